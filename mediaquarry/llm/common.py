@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 #: White space of every contract: \x20 and \x09-\x0D, as one string.
 SPACE = " \t\n\x0b\x0c\r"
@@ -85,3 +86,74 @@ def unit_hash(c: Column, seed: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def running(df: DataFrame, order: list, weight: Column, scratch: Scratch, name: str) -> DataFrame:
+    """df with `_pos` double: the sum of `weight` over all rows before this one in the given order.
+
+    Range partitions are sorted and summed each in its own task; only one total a partition reaches
+    the driver. The sorted table is written first, so that both passes see the same partitions.
+    """
+    import pyarrow as pa
+
+    cols = df.columns
+    ranged = df.withColumn("_w", weight.cast("double")).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = StructType([*ranged.schema.fields, StructField("_pid", IntegerType()), StructField("_run", DoubleType())])
+
+    def add(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        pid, total = TaskContext.get().partitionId(), 0.0
+        for b in batches:
+            w = b.column("_w").to_numpy(zero_copy_only=False)
+            run = total + np.cumsum(w) - w
+            total += float(w.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(w), pid, dtype=np.int32)), pa.array(run)], names=[*b.schema.names, "_pid", "_run"])
+
+    kept = scratch.write(ranged.mapInArrow(add, schema), name)
+    totals = sorted((r[0], r[1]) for r in kept.groupBy("_pid").agg(F.sum("_w")).collect())
+    starts, at = {}, 0.0
+    for pid, total in totals:
+        starts[pid] = at
+        at += total
+    if not starts:
+        return kept.select(*cols, F.col("_run").alias("_pos"))
+    begin = df.sparkSession.createDataFrame(list(starts.items()), "_pid int, _begin double")
+    return kept.join(F.broadcast(begin), "_pid").select(*cols, (F.col("_begin") + F.col("_run")).alias("_pos"))
+
+
+def groups(batches, keys: list[str]):
+    """Streams (key, pandas frame) from Arrow batches that are sorted by the keys; a group may span batches."""
+    import pyarrow as pa
+
+    kept, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        import numpy as np
+
+        cols = [np.asarray(b.column(k).to_numpy(zero_copy_only=False)) for k in keys]
+        change = np.zeros(b.num_rows, dtype=bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for s, e in zip(starts, starts[1:]):
+            if s == e:
+                continue
+            key = tuple(c[s].item() for c in cols)
+            if last is not None and key != last:
+                yield last, pa.Table.from_batches(kept)
+                kept = []
+            last = key
+            kept.append(b.slice(s, e - s))
+    if kept:
+        yield last, pa.Table.from_batches(kept)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing
+from . import linededup, minhash, mixing
 
 
 def queries() -> dict:
     return {
+        "op4_hyperminhash_dedup": minhash.op4_hyperminhash_dedup,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_pareto_mix": mixing.op10_pareto_mix,
     }
