@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, minhash, mixing, sharding
+from . import decontam, linededup, minhash, mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op3_bfd_shards": sharding.op3_bfd_shards,
         "op4_hyperminhash_dedup": minhash.op4_hyperminhash_dedup,
+        "op6_quality": quality.op6_quality,
         "op7_decontaminate": decontam.op7_decontaminate,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_pareto_mix": mixing.op10_pareto_mix,
