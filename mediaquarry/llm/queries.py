@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, minhash, mixing, quality, sharding
+from . import decontam, linededup, minhash, mixing, quality, rpforest, sharding
 
 
 def queries() -> dict:
     return {
         "op3_bfd_shards": sharding.op3_bfd_shards,
         "op4_hyperminhash_dedup": minhash.op4_hyperminhash_dedup,
+        "op5_forest_dedup": rpforest.op5_forest_dedup,
         "op6_quality": quality.op6_quality,
         "op7_decontaminate": decontam.op7_decontaminate,
         "op9_line_dedup": linededup.op9_line_dedup,
