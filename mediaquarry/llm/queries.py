@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, minhash, mixing, quality, rpforest, sharding
+from . import decontam, htmlcut, linededup, minhash, mixing, quality, rpforest, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_mincut_text": htmlcut.op1_mincut_text,
         "op3_bfd_shards": sharding.op3_bfd_shards,
         "op4_hyperminhash_dedup": minhash.op4_hyperminhash_dedup,
         "op5_forest_dedup": rpforest.op5_forest_dedup,
