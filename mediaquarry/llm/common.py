@@ -132,7 +132,7 @@ def running(df: DataFrame, order: list, weight: Column, scratch: Scratch, name:
 
 
 def groups(batches, keys: list[str]):
-    """Streams (key, pandas frame) from Arrow batches that are sorted by the keys; a group may span batches."""
+    """Streams (key, Arrow table) from Arrow batches that are sorted by the keys; a group may span batches."""
     import pyarrow as pa
 
     kept, last = [], None
@@ -149,7 +149,7 @@ def groups(batches, keys: list[str]):
         for s, e in zip(starts, starts[1:]):
             if s == e:
                 continue
-            key = tuple(c[s].item() for c in cols)
+            key = tuple(c[s].item() if hasattr(c[s], "item") else c[s] for c in cols)
             if last is not None and key != last:
                 yield last, pa.Table.from_batches(kept)
                 kept = []

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlcut, linededup, minhash, mixing, quality, rpforest, sharding
+from . import decontam, htmlcut, linededup, minhash, mixing, quality, rpforest, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_mincut_text": htmlcut.op1_mincut_text,
+        "op2_warc_roundtrip": warc.op2_warc_roundtrip,
         "op3_bfd_shards": sharding.op3_bfd_shards,
         "op4_hyperminhash_dedup": minhash.op4_hyperminhash_dedup,
         "op5_forest_dedup": rpforest.op5_forest_dedup,
