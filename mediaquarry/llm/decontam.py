@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small, table
 
 NGRAM, CHANCE, SCORE = 3, 5.0, 0.6
 BLOCK_BYTES = 8 << 20
@@ -206,7 +206,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, chance: flo
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a copy of any test item, with all their columns."""
-    return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = small(leaks(docs, benchmark, **options).select("doc_id").distinct())
+    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_decontaminate(spark, sf_dir):

@@ -314,9 +314,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the least of their component, with all their columns; repeated rows go."""
-    own = near_duplicates(docs, shingle, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(own, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that are the least of their component, with all their columns. Of rows that repeat a
+    doc_id one stays; rows without a doc_id stay."""
+    marked = Scratch(docs.sparkSession, "keep").write(near_duplicates(docs, shingle, percent), "marked")
+    gone = marked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    if marked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    return docs.join(small(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_hyperminhash_dedup(spark, sf_dir):

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import table
 
 BUCKETS, DIM, PER_WORD, WINDOW = 1 << 14, 32, 4, 2
 SHAPES, EXTRA, HIDDEN, SAMPLE = 64, 4, 24, 20_000
@@ -252,7 +252,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     out = src.mapInArrow(_scored(vectors, model), StructType([*src.schema.fields, StructField("_score", DoubleType())]))
-    return Scratch(docs.sparkSession, "quality").write(out.select(*(columns or docs.columns), "_score"), "scores")
+    return out.select(*[F.col(f"`{c}`") for c in columns or docs.columns], "_score")
 
 
 def learnable(labels: DataFrame) -> DataFrame:

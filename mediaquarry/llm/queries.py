@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlcut, linededup, minhash, mixing, quality, rpforest, sharding, warc
+from . import decontam, htmlcut, linededup, minhash, mixing, quality, rpforest, sharding, urlfilter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_forest_dedup": rpforest.op5_forest_dedup,
         "op6_quality": quality.op6_quality,
         "op7_decontaminate": decontam.op7_decontaminate,
+        "op8_temporal_url_filter": urlfilter.op8_temporal_url_filter,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_pareto_mix": mixing.op10_pareto_mix,
     }
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_temporal_url_filter": urlfilter.SQL,
         "op9_line_dedup": linededup.SQL,
         "op10_pareto_mix": mixing.SQL,
     }
