@@ -2,7 +2,8 @@
 
 Every step is a keyed minimum (combined map-side) and an equi-join, so a vertex of any degree is
 spread over tasks; nothing but three counts a round reaches the driver. Before the first round each
-partition shrinks its own edges to a forest of stars.
+partition shrinks its own edges to a forest of stars. As soon as at most `FEW` edges are left, one task
+finishes them by union-find: its memory is bounded by that constant, and the result is the same.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, release
 
-MOST_ROUNDS = 60
+MOST_ROUNDS, FEW = 60, 100_000
 
 
 def forest(a, b):
@@ -49,14 +50,19 @@ def _shrink(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     """edges: two long columns, in any order and with repeats. Returns (id, component): every vertex of
     an edge with the least id it reaches. Self-loops and edges with nulls are left out."""
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    e = e.mapInArrow(_shrink, "u long, v long").distinct()
-    e = scratch.write(e, "edges")
+    e = scratch.write(e.mapInArrow(_shrink, "u long, v long"), "edges")
     for _ in range(MOST_ROUNDS):
+        n, heads = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if n <= few:
+            e = e.coalesce(1).mapInArrow(_shrink, "u long, v long")
+            break
+        if n == heads and not e.join(e.select(F.col("u").alias("w")), e.v == F.col("w"), "left_semi").limit(1).count():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("y"), F.least("u", "m").alias("m"))
         large = e.join(least, e.v == least.y).select("u", F.col("m").alias("v")).distinct()
@@ -65,11 +71,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.write(small, "edges")
         scratch.drop(e)
         e = new
-        n, heads = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-        chained = e.join(e.select(F.col("u").alias("w")), e.v == F.col("w"), "left_semi").limit(1).count() if n == heads else 1
         release(scratch.spark)
-        if n == heads and not chained:
-            break
     else:
         raise RuntimeError("components have not settled")
     return scratch.write(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
