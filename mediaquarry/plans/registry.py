@@ -1,11 +1,491 @@
-"""Registered queries of the catalog engine and the SQL they are checked against."""
+"""Registered queries of the catalog engine, each over whole tables, and the SQL they are checked against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, media, text, vectors
+from ..operators import clusters, detect, memories, mutations, projection, relations, search, similarity
+from ..sources import scan
+from ..streaming import ingest
+from . import adapters as lib
+from .adapters import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+ITEMS = """items AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS captured_at, o_orderdate AS ts, o_totalprice AS modified_ts,
+  CASE o_orderstatus WHEN 'F' THEN 'image' WHEN 'O' THEN 'video' ELSE 'gif' END AS media_kind, o_orderpriority = '1-URGENT' AS favorite, o_orderpriority = '5-LOW' AS hidden FROM orders)"""
+TAGS = "item_tags AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS item_id, lower(l_returnflag) AS tag FROM lineitem)"
+PERSONAS = "personas AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CASE WHEN s_acctbal < 0 THEN 'pet' ELSE 'person' END AS kind FROM supplier)"
+LINKS = "item_personas AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS item_id, CAST(l_suppkey AS VARCHAR) AS persona_id FROM lineitem)"
+
+
+# filters, joins, paging ------------------------------------------------------
+
+
+@query("search_faceted", f"""WITH {ITEMS}, {TAGS}, {PERSONAS}, {LINKS} SELECT id, captured_at, media_kind, favorite FROM items WHERE NOT hidden AND media_kind = 'image'
+  AND id IN (SELECT item_id FROM item_tags WHERE tag = 'r') AND id IN (SELECT item_id FROM item_personas JOIN personas ON persona_id = personas.id WHERE kind = 'pet')
+  ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 180 OFFSET 20""")
+def _(spark, d):
+    out = search.query_items(lib.items(spark, d), lib.item_tags(spark, d), lib.item_personas(spark, d), lib.personas(spark, d), media_kind="image", tag="R", persona_kind="pet", limit=180, offset=20)
+    return out.select("id", "captured_at", "media_kind", "favorite")
+
+
+@query("filter_items", f"WITH {ITEMS} SELECT id, captured_at FROM items WHERE NOT hidden AND favorite AND substr(captured_at, 1, 4) = '1997'")
+def _(spark, d):
+    return search.query_items(lib.items(spark, d), favorites=True, year="1997", ordered=False).select("id", "captured_at")
+
+
+@query("search_composite", f"""WITH {ITEMS}, {TAGS}, {PERSONAS}, {LINKS} SELECT id, captured_at, CAST(NULL AS INT) AS score FROM items WHERE NOT hidden AND media_kind = 'video' AND substr(captured_at, 1, 4) = '1998'
+  AND id IN (SELECT item_id FROM item_tags WHERE tag = 'n') AND id IN (SELECT item_id FROM item_personas JOIN personas p ON persona_id = p.id WHERE p.kind = 'person' AND lower(p.name) = (SELECT lower(name) FROM personas WHERE id = '1'))
+  ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 180""")
+def _(spark, d):
+    p = lib.personas(spark, d)
+    name = p.filter("id = '1'").select("name").first()[0]
+    search_table = lib.items(spark, d).select(F.col("id").alias("item_id"), F.lit("").alias("search_blob"))
+    named = search.persona_ids_by_name(p, "person", f" {name.upper()} ")
+    out = search.query_items(lib.items(spark, d), lib.item_tags(spark, d), lib.item_personas(spark, d), p, search_table, media_kind="video", year="1998", tag="n", persona_ids=[r[0] for r in named.collect()] or ["-"], limit=180)
+    return out.select("id", "captured_at", F.lit(None).cast("int").alias("score"))
+
+
+@query("search_text_and", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lower(text) LIKE '%the%' AND lower(text) LIKE '%and%' AND lower(text) LIKE '%ti_n%'")
+def _(spark, d):
+    t = lib.text_items(spark, d)
+    return search.with_text(t, t.select(F.col("id").alias("item_id"), F.lower("text").alias("search_blob")), "The AND ti_n").select("id")
+
+
+@query("search_fuzzy_ranked")
+def _(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("blob"))
+    return p.withColumn("score", text.fuzzy_score("Polished STEEL", "blob")).filter("score >= 35").orderBy(F.col("score").desc(), "id").select("id", "score")
+
+
+@query("search_persona_name", f"WITH {PERSONAS}, {LINKS} SELECT DISTINCT item_id AS id FROM item_personas WHERE persona_id IN (SELECT id FROM personas WHERE kind = 'person' AND lower(trim(name)) = (SELECT lower(name) FROM personas WHERE id = '2'))")
+def _(spark, d):
+    p = lib.personas(spark, d)
+    ids = search.persona_ids_by_name(p, "person", p.filter("id = '2'").select("name").first()[0])
+    return lib.items(spark, d).join(lib.item_personas(spark, d).join(ids.select(F.col("id").alias("persona_id")), "persona_id", "left_semi").select(F.col("item_id").alias("id")), "id", "left_semi").select("id")
+
+
+@query("load_in_order", "SELECT pos, id, captured_at FROM (SELECT unnest(range(5)) AS pos, unnest(['7', '3', '7', '', '1']) AS id) q JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS captured_at FROM orders) o USING (id)")
+def _(spark, d):
+    return search.load_in_order(lib.items(spark, d), search.id_list(spark, ["7", "3", "7", "", "1"])).select(F.col("pos").cast("long").alias("pos"), "id", "captured_at")
+
+
+@query("items_by_ids_recent", f"WITH {ITEMS} SELECT id, captured_at FROM items WHERE id IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_quantity >= 49) ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 50 OFFSET 10")
+def _(spark, d):
+    ids = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").cast("string").alias("id"))
+    return search.by_ids_recent(lib.items(spark, d), ids, 50, 10).select("id", "captured_at")
+
+
+@query("status_counts", "SELECT 'items' AS name, count(*) AS n FROM orders UNION ALL SELECT 'personas', count(*) FROM supplier UNION ALL SELECT 'memories', count(*) FROM conversations UNION ALL SELECT 'detections', count(*) FROM embeddings")
+def _(spark, d):
+    return search.status_counts({"items": table(spark, d, "orders"), "personas": table(spark, d, "supplier"), "memories": table(spark, d, "conversations"), "detections": table(spark, d, "embeddings")})
+
+
+@query("detections_by_kind", "SELECT CAST(vec_id AS VARCHAR) AS detection_id, CASE WHEN label < 8 THEN 'pet' ELSE 'pet_face' END AS kind FROM embeddings WHERE label >= 6")
+def _(spark, d):
+    return search.query_detections(lib.detections(spark, d), "pet", dirty=False).select("detection_id", "kind")
+
+
+@query("list_personas", f"WITH {PERSONAS} SELECT kind, name, row_number() OVER (ORDER BY kind, lower(name), id) AS pos FROM personas")
+def _(spark, d):
+    p = lib.personas(spark, d)
+    return p.select("kind", "name", F.row_number().over(Window.orderBy("kind", F.lower("name"), "id")).cast("long").alias("pos"))
+
+
+@query("list_memories", "SELECT conv_id, turn, row_number() OVER (ORDER BY CASE WHEN role = 'user' THEN text ELSE text || '.' END DESC, text DESC, conv_id, turn) AS pos FROM conversations WHERE text IS NOT NULL")
+def _(spark, d):
+    c = table(spark, d, "conversations").filter("text is not null")
+    m = c.select("conv_id", "turn", F.when(F.col("role") == "user", "").otherwise(F.concat("text", F.lit("."))).alias("end_date"), F.col("text").alias("created_at"))
+    when = F.coalesce(F.nullif("end_date", F.lit("")), "created_at")
+    return m.select("conv_id", "turn", F.row_number().over(Window.orderBy(when.desc(), F.col("created_at").desc(), "conv_id", "turn")).cast("long").alias("pos"))
+
+
+@query("album_page", """WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS ids FROM orders GROUP BY o_custkey), p AS (SELECT o_custkey, unnest(ids[2:4]) AS k, unnest(range(len(ids[2:4]))) AS pos FROM a)
+  SELECT o_custkey AS album, pos, CAST(k AS VARCHAR) AS id FROM p""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    albums = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda s: s["o_orderkey"].cast("string")).alias("item_ids"))
+    ids = albums.select(F.col("o_custkey").alias("album"), F.posexplode(F.slice("item_ids", 2, 3)).alias("pos", "id"))
+    return search.load_in_order(lib.items(spark, d).select("id"), ids).select("album", F.col("pos").cast("long").alias("pos"), "id")
+
+
+@query("scan_order", "SELECT doc_id, row_number() OVER (ORDER BY CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) DESC, lower(source) DESC, lower(lang) DESC, n_chars DESC, lower(doc_id::VARCHAR) DESC) AS pos FROM documents")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    t = t.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("relative_key"), F.col("n_chars").cast("double").alias("modified_ts"))
+    return t.select("doc_id", F.row_number().over(Window.orderBy(*search.scan_order())).cast("long").alias("pos"))
+
+
+@query("timeline_runs", """WITH e AS (SELECT user_id, ts, event_id, strftime(ts, '%Y-%m-%d') || event_type AS title FROM events), f AS (SELECT *, CASE WHEN lag(title) OVER w = title THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id))
+  SELECT event_id, title, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM f""")
+def _(spark, d):
+    out = search.timeline_runs(table(spark, d, "events"), F.concat(F.date_format("ts", "yyyy-MM-dd"), "event_type"), [F.col("ts").desc(), F.col("event_id")], by=["user_id"])
+    return out.select("event_id", "title", "run")
+
+
+# relations ------------------------------------------------------------------
+
+
+@query("item_persona_ids", "SELECT CAST(l_orderkey AS VARCHAR) AS item_id, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS ids FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return lib.item_personas(spark, d).groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("persona_id")), ",").alias("ids"))
+
+
+@query("orphan_prune", "SELECT count(*) AS detections, count(DISTINCT l_orderkey) AS items FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+def _(spark, d):
+    det = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("item_id"), F.col("l_linenumber").cast("string").alias("detection_id"))
+    live = lib.items(spark, d).filter("media_kind <> 'image'")
+    members = det.select("item_id", "detection_id", F.col("item_id").alias("cluster_id"))
+    det, members, own = relations.prune(live, det, members.select("cluster_id").distinct(), members)
+    return det.agg(F.count(F.lit(1)).alias("detections"), F.count_distinct("item_id").alias("items"))
+
+
+@query("live_albums", "SELECT CAST(o_custkey AS VARCHAR) AS id, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) FILTER (o_orderpriority <> '5-LOW'), '') AS ids FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    albums = o.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda s: s["o_orderkey"].cast("string")).alias("item_ids"))
+    return relations.keep_live_ids(albums, lib.items(spark, d).filter("not hidden")).select("id", F.array_join("item_ids", ",").alias("ids"))
+
+
+@query("live_clusters", """WITH m AS (SELECT label, vec_id, vec_id // 4 AS item FROM embeddings WHERE vec_id % 20 <> 0) SELECT 'c' || label AS cluster_id, count(DISTINCT vec_id)::INT AS member_count, count(DISTINCT item)::INT AS item_count FROM m GROUP BY label""")
+def _(spark, d):
+    det = lib.detections(spark, d).withColumn("persona_id", F.when(F.col("vec_id") % 20 == 0, "someone"))
+    members = det.select(F.concat(F.lit("c"), F.col("class_label").cast("string")).alias("cluster_id"), "item_id", "detection_id")
+    own = members.select("cluster_id").distinct().withColumns({"member_count": F.lit(0), "item_count": F.lit(0), "latest_captured_at": F.lit("")})
+    return relations.live_clusters(own, members, det).select("cluster_id", "member_count", "item_count")
+
+
+@query("embedding_map_points", """SELECT CAST(vec_id AS VARCHAR) AS detection_id, '' AS persona_id, '#A0A0A0' AS color, 'c' || (label % 3) AS cluster_id, n_name AS cluster_label, coalesce(r_name, '') AS item_title FROM embeddings
+  JOIN nation ON n_nationkey = label % 3 LEFT JOIN region ON r_regionkey = vec_id // 4 WHERE label < 6 ORDER BY vec_id % 28 DESC, CAST(vec_id // 4 AS VARCHAR), CAST(vec_id AS VARCHAR) LIMIT 12000""")
+def _(spark, d):
+    det = lib.detections(spark, d)
+    cl = table(spark, d, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("cluster_id"), F.col("n_name").alias("label"))
+    members = det.select(F.concat(F.lit("c"), (F.col("class_label") % 3).cast("string")).alias("cluster_id"), "item_id", "detection_id")
+    it = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("title"), F.lit("").alias("thumbnail_path"))
+    pts = relations.map_points(det, lib.label_personas(spark, d), cl, members, it)
+    return pts.select("detection_id", "persona_id", "color", "cluster_id", "cluster_label", "item_title")
+
+
+@query("map_groups", "SELECT CASE WHEN label < 3 THEN 0 WHEN label < 6 THEN 1 ELSE 2 END AS class, count(*) AS size, CASE WHEN label < 6 THEN 'L' || label ELSE CAST(vec_id // 4 AS VARCHAR) || ':' || vec_id END AS group_key FROM embeddings GROUP BY 1, 3")
+def _(spark, d):
+    det = lib.detections(spark, d)
+    name = F.concat(F.lit("L"), F.col("class_label").cast("string"))
+    pts = det.select("item_id", "detection_id", F.when(F.col("class_label") < 3, name).otherwise("").alias("persona_id"), F.when(F.col("class_label").between(3, 5), name).otherwise("").alias("cluster_id"), F.lit("n").alias("persona_name"), F.lit("c").alias("cluster_label"))
+    return relations.map_groups(pts).select("class", "size", "group_key")
+
+
+@query("subject_summary", """WITH l AS (SELECT vec_id // 4 AS item, CASE WHEN label < 6 THEN 'human face' WHEN label % 2 = 0 THEN 'cat' ELSE 'dog' END AS w FROM embeddings), c AS (SELECT item, w, count(*) AS n FROM l GROUP BY item, w)
+  SELECT CAST(item AS VARCHAR) AS item_id, string_agg(CASE WHEN n > 1 THEN w || ' x' || n ELSE w END, ', ' ORDER BY n DESC, w DESC) AS summary FROM c GROUP BY item""")
+def _(spark, d):
+    it = lib.detections(spark, d).groupBy("item_id").agg(F.collect_list(F.struct("kind", "label")).alias("detections"))
+    return it.select("item_id", relations.subject_summary(F.col("detections")).alias("summary"))
+
+
+@query("search_blob", "SELECT doc_id, md5(lower(concat_ws(' ', nullif('doc ' || doc_id, ''), source, lang, nullif(text, '')))) AS digest FROM documents")
+def _(spark, d):
+    none, blank = F.expr("cast(array() as array<string>)"), F.lit("")
+    t = table(spark, d, "documents")
+    blob = text.search_blob(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), "source", "lang", none, none, none, F.expr("cast(map() as map<string,string>)"), F.coalesce("text", blank))
+    return t.select("doc_id", F.md5(blob).alias("digest"))
+
+
+# collections ----------------------------------------------------------------
+
+MEMORY = ["id", "title", "subtitle", "memory_type", "weight", "n_ids", "first_id", "start_date", "end_date"]
+
+
+def _flat(m: DataFrame) -> DataFrame:
+    return m.select("id", "title", "subtitle", "memory_type", "weight", F.size("item_ids").cast("long").alias("n_ids"), F.col("item_ids")[0].alias("first_id"), "start_date", "end_date")
+
+
+def _memory_sql(rows: str, by: str, least: int, idsql: str, title: str, subtitle: str, kind: str, weight: str, extra: str = "", cut: bool = False, order: str = "", limit: str = "", having: str = "") -> str:
+    start = "max(captured_at) FILTER (rn = least(n, 48))" if cut else "max(captured_at) FILTER (rn = n)"
+    return f"""WITH {ITEMS}{extra}, rows AS ({rows}), r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ts DESC, modified_ts DESC, id) AS rn, count(*) OVER (PARTITION BY {by}) AS n FROM rows),
+      g AS (SELECT {by}, n, max(ts) AS last_ts, min(ts) AS first_ts, count(DISTINCT ts::DATE) AS days, max(id) FILTER (rn = 1) AS first_id, {start} AS start_date, max(captured_at) FILTER (rn = 1) AS end_date FROM r GROUP BY {by}, n HAVING n >= {least} {having} {order} {limit})
+      SELECT substr(sha1({idsql}), 1, 16) AS id, {title} AS title, {subtitle} AS subtitle, {kind} AS memory_type, CAST({weight} AS BIGINT) AS weight, least(n, 48) AS n_ids, first_id, start_date, end_date FROM g"""
+
+
+MONTH_SQL = _memory_sql("SELECT *, strftime(ts, '%Y-%m') AS k FROM items", "k", 6, "'memory:month:' || k", "strftime(last_ts, '%B %Y')", "n || ' moments'", "'time'", "n + 18")
+DAY_SQL = _memory_sql("SELECT *, strftime(ts, '%Y-%m-%d') AS k FROM items", "k", 8, "'memory:day:' || k", "strftime(last_ts, '%B %d, %Y')", "n || ' moments from one day'", "'day'", "n + 24")
+SPAN_ROWS = "SELECT items.*, span FROM items JOIN (SELECT day, sum(fresh) OVER (ORDER BY day) AS span FROM (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) > 2 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT ts::DATE AS day FROM items))) s ON ts::DATE = day"
+SPAN_SQL = _memory_sql(SPAN_ROWS, "span", 6, "'memory:span:' || first_ts::DATE || ':' || last_ts::DATE", "strftime(first_ts, '%b %d') || ' to ' || strftime(last_ts, '%b %d, %Y')", "n || ' moments across ' || days || ' days'", "'span'", "n + 26", order="ORDER BY span", limit="LIMIT 8", having="AND count(DISTINCT ts::DATE) >= 2")
+PERSONA_SQL = _memory_sql("SELECT items.*, persona_id, name, kind FROM items JOIN item_personas ON id = item_id JOIN personas p ON p.id = persona_id", "persona_id, name, kind", 6, "'memory:persona:' || persona_id", "name", "n || ' appearances'", "kind || '_persona'", "n + CASE kind WHEN 'pet' THEN 30 ELSE 28 END", f", {PERSONAS}, {LINKS}")
+PAIRS_CTE = f""", {PERSONAS}, {LINKS}, four AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY persona_id) AS k FROM item_personas), pairs AS (SELECT x.item_id, x.persona_id AS a, y.persona_id AS b FROM four x JOIN four y ON x.item_id = y.item_id AND x.persona_id < y.persona_id WHERE x.k <= 4 AND y.k <= 4),
+  top AS (SELECT * FROM (SELECT a, b, count(*) AS c FROM pairs GROUP BY a, b ORDER BY c DESC, a, b LIMIT 6) WHERE c >= 6)"""
+PAIR_SQL = _memory_sql("SELECT items.*, a, b, p.name AS na, q.name AS nb FROM top JOIN pairs USING (a, b) JOIN items ON id = item_id JOIN personas p ON p.id = a JOIN personas q ON q.id = b", "a, b, na, nb", 1, "'memory:pair:' || a || ':' || b", "na || ' and ' || nb", "n || ' shared moments'", "'pair'", "n + 16", PAIRS_CTE, cut=True)
+THEME_CTE = ", tags AS (SELECT CAST(l_orderkey AS VARCHAR) AS oid, lower(unnest(string_split(p_name, ' '))) AS tag FROM lineitem JOIN part ON l_partkey = p_partkey), good AS (SELECT * FROM tags WHERE length(tag) >= 3 AND tag NOT IN ('image', 'video', 'gif', 'live', 'live photo', 'live_photo', 'face', 'person', 'pet', 'animal')), top AS (SELECT tag FROM (SELECT tag, count(*) AS c FROM good GROUP BY tag ORDER BY c DESC, tag LIMIT 8) WHERE c >= 6)"
+THEME_SQL = _memory_sql("SELECT items.*, tag FROM items JOIN good ON id = oid SEMI JOIN top USING (tag)", "tag", 1, "'memory:theme:' || tag", "upper(tag[1]) || tag[2:]", "n || ' tagged moments'", "'theme'", "n + 8", THEME_CTE)
+FAVORITE_SQL = _memory_sql("SELECT *, 0 AS k FROM items WHERE favorite", "k", 6, "'memory:favorites'", "'Favorites'", "n || ' saved moments'", "'favorites'", "n + 12")
+
+query("memory_month", MONTH_SQL)(lambda spark, d: _flat(memories.month_memories(lib.items(spark, d))))
+query("memory_day", DAY_SQL)(lambda spark, d: _flat(memories.day_memories(lib.items(spark, d))))
+query("memory_span", SPAN_SQL)(lambda spark, d: _flat(memories.span_memories(lib.items(spark, d))))
+query("memory_persona", PERSONA_SQL)(lambda spark, d: _flat(memories.persona_memories(lib.items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d))))
+query("memory_pair", PAIR_SQL)(lambda spark, d: _flat(memories.pair_memories(lib.items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d))))
+query("memory_theme", THEME_SQL)(lambda spark, d: _flat(memories.theme_memories(lib.tagged_items(spark, d))))
+query("memory_favorites", FAVORITE_SQL)(lambda spark, d: _flat(memories.favorite_memories(lib.items(spark, d))))
+
+
+@query("memory_top24")
+def _(spark, d):
+    return _flat(memories.regenerate(lib.tagged_items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d)))
+
+
+@query("user_spans", """WITH e AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS day FROM orders), f AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey ORDER BY day) > 30 THEN 1 ELSE 0 END AS fresh FROM e),
+  s AS (SELECT o_custkey, day, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY day) AS span FROM f) SELECT o_custkey, span::BIGINT AS span, count(*) AS n FROM s JOIN orders USING (o_custkey) WHERE o_orderdate::DATE = day GROUP BY 1, 2""")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", dates.iso("o_orderdate").alias("captured_at"), F.lit(0.0).alias("modified_ts"))
+    return memories.spans(o, by=["o_custkey"], gap_days=30).groupBy("o_custkey", "span").agg(F.count(F.lit(1)).alias("n"))
+
+
+# scalars --------------------------------------------------------------------
+
+
+@query("stable_ids", "SELECT doc_id, substr(sha1(source || '/' || doc_id), 1, 16) AS id FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.stable_id(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("id"))
+
+
+@query("tags_from_key", r"""SELECT CAST(doc_id AS VARCHAR) AS id, array_to_string(list_sort(list_distinct(list_concat(['image'], list_filter(string_split_regex(lower(source || '/' || lang || '/doc_' || doc_id || '-note.jpg'), '[^a-z0-9]+'), lambda t: length(t) >= 3)))), ',') AS tags FROM documents""")
+def _(spark, d):
+    return lib.text_items(spark, d).select("id", F.array_join(text.tag_set("media_kind", F.expr("cast(array() as array<string>)"), "relative_key"), ",").alias("tags"))
+
+
+@query("guessed_dates", """SELECT doc_id, strftime(make_date(1995 + (doc_id % 30)::INT, (doc_id % 12 + 1)::INT, 1), '%Y-%m-%dT00:00:00+00:00') AS captured_at FROM documents""")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    key = F.concat(F.lit("pics/"), (F.col("doc_id") % 30 + 1995).cast("string"), F.lit("-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("/IMG_9999.jpg"))
+    return t.select("doc_id", dates.guessed_date(key, F.col("n_chars").cast("double")).alias("captured_at"))
+
+
+@query("captured_dates", "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS title, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS exif FROM orders")
+def _(spark, d):
+    o = table(spark, d, "orders").withColumn("captured_at", dates.iso("o_orderdate"))
+    return o.select("o_orderkey", dates.label(dates.captured_ts("captured_at", F.lit(0.0)), "day_title").alias("title"), dates.year_of().alias("year"), dates.exif_date(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")).alias("exif"))
+
+
+@query("titles", "SELECT p_partkey, trim(replace(replace(replace(p_name, ' ', '_'), '_', ' '), '-', ' ')) AS title FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.title_from_stem(F.translate("p_name", " ", "_")).alias("title"))
+
+
+@query("thresholds", "SELECT label, min(CASE label WHEN 6 THEN 0.18 WHEN 8 THEN 0.18 WHEN 7 THEN 0.24 WHEN 9 THEN 0.24 ELSE 0.35 END)::DOUBLE AS object_cut, min(CASE label WHEN 6 THEN 0.14 WHEN 8 THEN 0.14 WHEN 7 THEN 0.18 WHEN 9 THEN 0.18 ELSE 0.22 END)::DOUBLE AS face_cut, count(*) FILTER (0.5 + (vec_id * 7 % 50) / 100.0 >= 0.75) AS n FROM embeddings GROUP BY label")
+def _(spark, d):
+    det = lib.detections(spark, d)
+    return det.groupBy(F.col("class_label").alias("label")).agg(F.min(text.object_threshold("label")).cast("double").alias("object_cut"), F.min(text.pet_face_threshold("label")).cast("double").alias("face_cut"), F.count_if(F.col("confidence") >= 0.75).alias("n"))
+
+
+@query("props_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("average_hash", """WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x::DOUBLE >= list_sum(embedding::DOUBLE[]) / len(embedding) THEN 1 ELSE 0 END) AS b FROM embeddings)
+  SELECT vec_id, array_to_string(list_transform(range(16), lambda k: substr('0123456789abcdef', (1 + 8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4])::BIGINT, 1)), '') AS hash FROM h""")
+def _(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", media.average_hash("embedding").alias("hash"))
+
+
+@query("normalised", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+def _(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", vectors.l2_normalise("embedding")[0].alias("first"))
+
+
+@query("sample_frames")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", media.sample_frames((F.col("user_id") % 500).cast("int"), (F.abs("value") % 60).cast("double")).alias("frames"))
+
+
+# similarity -----------------------------------------------------------------
+
+
+@query("cosine_topk", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS c FROM q JOIN embeddings ON vec_id <> query_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(c, 6) AS score FROM r WHERE rank <= 5""")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    parts = []
+    for q in similarity.in_blocks(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))):
+        s = e.crossJoin(F.broadcast(q)).filter("vec_id <> query_id").select("query_id", "vec_id", vectors.cosine("q", "v").alias("c"))
+        # the best five of each query inside each of 64 slices first, so that the last rank sees 320 rows a query
+        inner = Window.partitionBy("query_id", F.pmod("vec_id", F.lit(64))).orderBy(F.round("c", 9).desc(), "vec_id")
+        parts.append(s.withColumn("k", F.row_number().over(inner)).filter("k <= 5").drop("k"))
+    best = parts[0]
+    for p in parts[1:]:
+        best = best.unionByName(p)
+    w = Window.partitionBy("query_id").orderBy(F.round("c", 9).desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("query_id", "vec_id", "rank", F.round("c", 6).alias("score"))
+
+
+REFS = "refs AS (SELECT vec_id AS ref, label AS rl, embedding AS rv, substr(sha1(vec_id::VARCHAR), 1, 16) AS rs FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+@query("match_faces", f"""WITH {REFS}, s AS (SELECT vec_id, rl, ref, list_cosine_similarity(embedding::DOUBLE[], rv::DOUBLE[]) AS c FROM embeddings, refs WHERE label < 6 AND rl < 6), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, rl, ref) AS k FROM s WHERE c >= 0.3)
+  SELECT vec_id::VARCHAR AS detection_id, 'label-' || rl AS persona_id, round(c, 6) AS score FROM r WHERE k = 1""")
+def _(spark, d):
+    from ..config import Settings
+
+    s = Settings(face_embedding_similarity_threshold=0.3, face_match_tolerance=0.0)
+    faces = lib.detections(spark, d).filter("kind = 'face'")
+    return similarity.match_faces(faces, lib.label_personas(spark, d), s).filter("how = 'cosine'").select("detection_id", "persona_id", F.round("score", 6).alias("score"))
+
+
+@query("euclid_nearest", f"""WITH {REFS}, s AS (SELECT vec_id, ref, list_distance(embedding::DOUBLE[], rv::DOUBLE[]) AS e FROM embeddings, refs WHERE vec_id <> ref), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(e, 9), ref) AS k FROM s) SELECT vec_id, ref, round(e, 5) AS distance FROM r WHERE k = 1""")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    refs = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("ref"), F.col("v").alias("rv"))
+    score = F.when(F.col("vec_id") == F.col("ref"), F.lit(-1e9)).otherwise(-F.round(vectors.euclidean("v", "rv"), 9))
+    return similarity.best_match(e, ["vec_id"], refs, score, ["ref"], ["ref"]).select("vec_id", "ref", F.round(-F.col("score"), 5).alias("distance"))
+
+
+@query("hamming_nearest", """WITH b AS (SELECT item_id, substr(sha1(text), 1, 16) AS h FROM benchmark), d AS (SELECT doc_id, substr(sha1(coalesce(text, '')), 1, 16) AS g FROM documents),
+  s AS (SELECT doc_id, item_id, bit_count(xor(('0x' || substr(g, 1, 8))::BIGINT, ('0x' || substr(h, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(g, 9, 8))::BIGINT, ('0x' || substr(h, 9, 8))::BIGINT)) AS x FROM d, b),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x, item_id) AS k FROM s) SELECT doc_id, item_id, x::DOUBLE AS distance FROM r WHERE k = 1""")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", text.stable_id(F.coalesce("text", F.lit(""))).alias("g"))
+    refs = table(spark, d, "benchmark").select("item_id", text.stable_id("text").alias("h"))
+    return similarity.best_match(docs, ["doc_id"], refs, -vectors.hamming("g", "h"), ["item_id"], ["item_id"]).select("doc_id", "item_id", (-F.col("score")).alias("distance"))
+
+
+@query("iou_in_order", """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 40 AS x, l_suppkey % 40 AS y, CAST(l_quantity AS INT) AS w, l_linenumber * 8 AS h FROM lineitem),
+  p AS (SELECT a.l_orderkey, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS i, greatest(1, a.w * a.h) AS p, greatest(1, c.w * c.h) AS q FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey AND a.l_linenumber < c.l_linenumber)
+  SELECT l_orderkey, count(*) AS pairs, round(max(CASE WHEN i <= 0 THEN 0 ELSE i::DOUBLE / (p + q - i) END), 6) AS best FROM p GROUP BY l_orderkey""")
+def _(spark, d):
+    b = lib.boxes(spark, d)
+    a = b.select("l_orderkey", F.col("l_linenumber").alias("i"), F.col("box").alias("p"))
+    c = b.select("l_orderkey", F.col("l_linenumber").alias("j"), F.col("box").alias("q"))
+    return a.join(c, "l_orderkey").filter("i < j").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max(vectors.iou("p", "q")), 6).alias("best"))
+
+
+@query("cluster_suggestions", f"""WITH {REFS}, s AS (SELECT label, rl, max(list_cosine_similarity(embedding::DOUBLE[], rv::DOUBLE[])) AS c FROM embeddings, refs WHERE label < 6 AND rl < 6 GROUP BY label, rl), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(c, 9) DESC, rl) AS rank FROM s WHERE c >= 0.3)
+  SELECT 'c' || label AS cluster_id, count(*) AS n, round(min(c), 6) AS least FROM r WHERE rank <= 6 GROUP BY label""")
+def _(spark, d):
+    from ..config import Settings
+
+    refs = lib.detections(spark, d).filter("kind = 'face'").groupBy(F.concat(F.lit("c"), F.col("class_label").cast("string")).alias("cluster_id")).agg(F.collect_list("encoding").alias("encodings"), F.collect_list("signature").alias("signatures"))
+    s = similarity.cluster_scores(refs, lib.label_personas(spark, d), "person", Settings(face_embedding_similarity_threshold=0.3))
+    return similarity.suggestions(s).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("least"))
+
+
+@query("cluster_members")
+def _(spark, d):
+    from ..config import Settings
+
+    m = clusters.cluster_unknown(lib.detections(spark, d), "person", Settings(face_embedding_similarity_threshold=0.3))
+    return clusters.finalize(m).select("cluster_id", "kind", "label", "member_count", "item_count", F.round("average_confidence", 6).alias("average_confidence"), "latest_captured_at", "representative_detection_id")
+
+
+@query("auto_assign")
+def _(spark, d):
+    from ..config import Settings
+
+    out = similarity.auto_assign(lib.detections(spark, d), lib.label_personas(spark, d), Settings(face_embedding_similarity_threshold=0.3, pet_embedding_similarity_threshold=0.3))
+    return out.select("detection_id", "kind", "persona_id")
+
+
+@query("embedding_pca")
+def _(spark, d):
+    out = projection.project(table(spark, d, "embeddings"))
+    return out.select("vec_id", *[F.round(F.abs(c), 6).alias(c) for c in ("x", "y", "z")])
+
+
+@query("suppress_boxes")
+def _(spark, d):
+    b = lib.boxes(spark, d)
+    b = b.select(F.col("l_orderkey").alias("image_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("k"), F.col("box")[0].cast("double").alias("x1"), F.col("box")[1].cast("double").alias("y1"), (F.col("box")[0] + F.col("box")[2]).cast("double").alias("x2"), (F.col("box")[1] + F.col("box")[3]).cast("double").alias("y2"), F.col("l_extendedprice").alias("score"))
+    return detect.suppress(b.withColumn("box_id", F.to_json("k")).drop("k"))
+
+
+@query("merge_frames")
+def _(spark, d):
+    det = lib.detections(spark, d)
+    rows = det.select("item_id", (F.col("vec_id") % 2).cast("int").alias("frame"), F.col("vec_id").cast("int").alias("pos"), F.col("detection_id").alias("id"), "kind", "label", "confidence", F.array(*[(F.col("vec_id") * k % 9).cast("int") for k in (2, 3, 5, 7)]).alias("bbox"), "persona_id", "encoding", "signature")
+    return detect.merge_frames(rows).select("item_id", "pos", "id", "kind", "label", "confidence")
+
+
+# ingest and changes -----------------------------------------------------------
+
+
+@query("scan_assets", """WITH f AS (SELECT doc_id, source || '/' || (1995 + doc_id % 30) || '-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '/IMG_' || doc_id AS stem, n_chars, doc_id * 1000000000 AS t FROM documents)
+  SELECT substr(sha1(CASE WHEN doc_id % 3 = 0 THEN stem ELSE stem || '.jpg' END), 1, 16) AS id, CASE WHEN doc_id % 3 = 0 THEN 'live_photo' ELSE 'image' END AS media_kind, CASE WHEN doc_id % 3 = 0 THEN 2 * n_chars ELSE n_chars END AS size_bytes,
+  sha1(CASE WHEN doc_id % 3 = 0 THEN stem || '.HEIC' || n_chars || t || stem || '.MOV' || n_chars || t ELSE stem || '.jpg' || n_chars || t END) AS file_signature, 'IMG ' || doc_id AS title FROM f WHERE doc_id % 3 = 0 OR doc_id % 7 <> 0""")
+def _(spark, d):
+    return scan.build_assets(lib.files(spark, d)).select("id", "media_kind", "size_bytes", "file_signature", "title")
+
+
+@query("snapshot_diff", """WITH a AS (SELECT o_orderkey AS id, o_orderstatus || o_orderpriority AS s, o_orderpriority AS r FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'), b AS (SELECT o_orderkey AS id, o_orderstatus || CASE WHEN o_totalprice > 200000 THEN 'x' ELSE o_orderpriority END AS s, CASE WHEN o_orderpriority = '3-MEDIUM' THEN '' ELSE o_orderpriority END AS r FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01')
+  SELECT coalesce(a.id, b.id)::VARCHAR AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' WHEN a.r <> b.r THEN 'reanalyse' ELSE 'unchanged' END AS action FROM a FULL JOIN b ON a.id = b.id""")
+def _(spark, d):
+    return _diff(spark, d)
+
+
+def _diff(spark, d):
+    o = table(spark, d, "orders")
+    cols = [F.col("o_orderkey").cast("string").alias("id")]
+    now = o.filter("o_orderdate >= timestamp '1996-01-01'").select(*cols, F.concat("o_orderstatus", "o_orderpriority").alias("file_signature"), F.col("o_orderpriority").alias("rev"))
+    old = o.filter("o_orderdate < timestamp '2001-01-01'").select(*cols, F.concat("o_orderstatus", F.when(F.col("o_totalprice") > 200000, "x").otherwise(F.col("o_orderpriority"))).alias("file_signature"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "").otherwise(F.col("o_orderpriority")).alias("rev"))
+    return ingest.snapshot_diff(now, old, revision="rev")
+
+
+query("sync_summary", f"WITH x AS ({SQL['snapshot_diff']}) SELECT count(*) FILTER (action = 'added') AS added, count(*) FILTER (action IN ('changed', 'reanalyse')) AS updated, count(*) FILTER (action = 'removed') AS removed, count(*) FILTER (action = 'unchanged') AS unchanged FROM x")(lambda spark, d: ingest.diff_counts(_diff(spark, d)))
+
+
+@query("upsert_merge", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders UNION ALL SELECT -o_custkey - 1, count(*)::DOUBLE FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    base = o.select("o_orderkey", F.col("o_totalprice").alias("price"))
+    delta = o.filter("o_orderstatus = 'O'").select("o_orderkey", (F.col("o_totalprice") + 1).alias("price")).unionByName(o.groupBy((-F.col("o_custkey") - 1).alias("o_orderkey")).agg(F.count(F.lit(1)).cast("double").alias("price")))
+    return mutations.upsert(base, delta, "o_orderkey")
+
+
+@query("dirty_feed", """WITH n AS (SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value FROM events) SELECT n.event_id::VARCHAR AS detection_id, NOT (n.value = e.value AND e.event_type <> 'view') OR e.event_type = 'purchase' AS cluster_dirty FROM n JOIN events e USING (event_id)""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    none, blank = F.lit(None).cast("string"), F.lit("")
+    base = [F.lit("i").alias("item_id"), F.col("event_id").cast("string").alias("detection_id"), F.col("event_type").alias("kind"), F.lit("l").alias("label")]
+    rest = [*[F.lit(0).alias(f"bbox_{c}") for c in "xywh"], F.expr("cast(array() as array<double>)").alias("encoding"), blank.alias("signature"), blank.alias("source_frame_token"), blank.alias("captured_at"), blank.alias("pipeline_revision")]
+    old = e.filter("event_type <> 'view'").select(*base, F.col("value").alias("confidence"), blank.alias("persona_id"), *rest, (F.col("event_type") == "purchase").alias("cluster_dirty"), F.lit("r0").alias("cluster_dirty_revision"), F.lit("t0").alias("updated_at"))
+    new = e.select(*base, F.when(F.col("event_type") == "click", F.col("value") + 1).otherwise(F.col("value")).alias("confidence"), none.alias("persona_id"), *rest)
+    return ingest.detection_feed(old, new, "t1").select("detection_id", "cluster_dirty")
+
+
+@query("toggle_favorite", "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN true ELSE o_orderpriority = '1-URGENT' END AS favorite FROM orders")
+def _(spark, d):
+    it = lib.items(spark, d)
+    return mutations.toggle_favorite(it, it.filter(F.col("captured_at") >= "2000-01-01")).select("id", "favorite")
+
+
+@query("assign_clusters", "SELECT vec_id::VARCHAR AS detection_id, CASE WHEN label IN (1, 2) THEN 'p1' END AS persona_id FROM embeddings")
+def _(spark, d):
+    det = lib.detections(spark, d)
+    members = det.select(F.concat(F.lit("c"), F.col("class_label").cast("string")).alias("cluster_id"), "item_id", "detection_id")
+    own = members.select("cluster_id").distinct().withColumn("kind", F.lit("person"))
+    return mutations.assign_clusters(det, own, members, ["c1", "c2"], "p1", "person").select("detection_id", "persona_id")
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return ingest.event_windows(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
