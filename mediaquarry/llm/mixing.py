@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, small, unit_hash
+from .common import Scratch, n_words, small, unit_hash
 
 WEIGHTS = (5, 2, 1)
 SEED = 17
@@ -59,11 +59,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
         F.struct(*fields).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"),
         unit_hash(F.col("doc_id"), seed).alias("_u"), (F.col(importance).cast("double") if importance else F.lit(1.0)).alias("_rel"),
     )
-    light = base.select("_id", "_source", "_size", "_u", "_rel")
+    scratch = Scratch(docs.sparkSession, "mix")
+    light = scratch.write(base.select("_id", "_source", "_size", "_u", "_rel"), "light")
     plan = source_targets(light, weights, share, most)
     ratio = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(F.lit(0.0))
     plan = plan.withColumn("_whole", F.floor(ratio).cast("long")).withColumn("_f", ratio - F.floor(ratio))
-    plan = plan.withColumn("_left", F.col("_target") - F.col("_whole") * F.col("_words"))
+    plan = scratch.write(plan.withColumn("_left", F.col("_target") - F.col("_whole") * F.col("_words")), "plan")
 
     def ranked(df: DataFrame) -> DataFrame:
         p = F.least(F.col("_f") * F.col("_rel"), F.lit(1.0 - 1e-9))
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     up_to = Window.partitionBy("_source").orderBy("_cell")
     by_cell = by_cell.withColumn("_to", F.sum("_n").over(up_to))
     cut = by_cell.filter(F.col("_to") > F.col("_left")).groupBy("_source").agg(F.min(F.struct("_cell", (F.col("_to") - F.col("_n")).alias("_base"))).alias("_c"))
-    cut = cut.select("_source", F.col("_c._cell").alias("_cut"), F.col("_c._base").alias("_base"))
+    cut = scratch.write(cut.select("_source", F.col("_c._cell").alias("_cut"), F.col("_c._base").alias("_base")), "cut")
     inside = with_plan(rows, cut).filter(F.col("_cell") == F.col("_cut"))
     before = Window.partitionBy("_source", "_cell").orderBy("_q", "_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_sum", F.col("_base") + F.coalesce(F.sum("_size").over(before), F.lit(0)))
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     plan = plan.join(cut.withColumnRenamed("_source", "_s1"), F.col("_source").eqNullSafe(F.col("_s1")), "left").drop("_s1")
     plan = plan.join(last.withColumnRenamed("_source", "_s2"), F.col("_source").eqNullSafe(F.col("_s2")), "left").drop("_s2")
 
-    out = ranked(with_plan(base, plan))
+    out = ranked(with_plan(base, scratch.write(plan, "cuts")))
     taken = (F.col("_f") > 0) & (F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut")) | ((F.col("_cell") == F.col("_cut")) & F.coalesce(F.struct("_q", "_id") <= F.col("_last"), F.lit(False))))
     copies = F.col("_whole") + F.when(taken, F.lit(1)).otherwise(F.lit(0))
     mixed = F.struct(F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), F.coalesce(copies, F.lit(0)).cast("long").alias("copies"))
