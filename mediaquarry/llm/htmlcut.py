@@ -36,6 +36,7 @@ FURNITURE = frozenset(
     "discussion pagination pager copyright legal disclaimer tags tagcloud skip complementary contentinfo form paywall".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+LAYOUT = frozenset("with has no layout".split())  # "with-sidebar" names a layout, not a sidebar
 ARTICLE = frozenset("article content main post entry story text body articlebody maincontent hentry".split())
 #: Weights of the classifier: what an ancestor's tag or name says, in log odds.
 TAG_ODDS = {"nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "button": -6.0, "fieldset": -5.0, "header": -4.0, "article": 4.0, "main": 3.0, "address": -1.0, "figcaption": 0.0}
@@ -59,13 +60,23 @@ def _hints(tag: str, attrs: str) -> tuple[float, bool]:
             names |= {w.lower() for w in _WORDS.findall(value)} | {w.lower() for w in re.split(r"[^A-Za-z]+", value)}
     if names & COMMENTS:
         odds = min(odds, 0) + COMMENT_ODDS
-    elif names & FURNITURE and tag not in ("body", "html", "article", "main"):
+    elif names & FURNITURE and not names & LAYOUT and tag not in ("body", "html", "article", "main"):
         odds = min(odds, 0) + FURNITURE_ODDS
     elif names & ARTICLE:
         odds += ARTICLE_ODDS
     return odds, hidden
 
 
+def _within(above: float, odds: float) -> float:
+    """Log odds inside an element: furniture overrides what lies around it, and inside furniture an
+    article's marks count for little, among comments for nothing."""
+    if odds <= -4:
+        return min(above, 0.0) + odds
+    if above <= -4 and odds > 0:
+        return above if above <= -10 else above + odds / 4
+    return above + odds
+
+
 class Block:
     __slots__ = ("text", "links", "path", "odds", "tag")
 
@@ -165,7 +176,7 @@ def blocks_of(html: str) -> list[Block]:
         above = stack[-1] if stack else ("", 0, 0.0, False)
         if tag == "header" and above[2] > 0:
             odds = -1.0  # an article's own header holds its title
-        stack.append((tag, made, above[2] + odds if above[2] > -10 else min(above[2], above[2] + odds), above[3] or hidden))
+        stack.append((tag, made, _within(above[2], odds), above[3] or hidden))
     flush()
     return out
 
