@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, table
 
-NGRAM, CHANCE, SCORE = 3, 5.0, 0.6
+NGRAM, CHANCE, SCORE = 3, 5.0, 0.5
 BLOCK_BYTES = 8 << 20
 MATCH, OTHER, GAP = 2, -1, -1
 
