@@ -151,6 +151,7 @@ def carry_assignments(current: DataFrame, previous: DataFrame, personas: DataFra
     old = previous.join(personas.select(F.col("id").alias("persona_id")), "persona_id", "left_semi") if personas is not None else previous.filter("persona_id is not null and persona_id <> ''")
     known = old.select("item_id", "id").withColumn("live", F.lit(True))
     prior = previous.join(known, ["item_id", "id"], "left")
+    prior, current = prior.toDF(*prior.columns), current.toDF(*current.columns)  # both may stem from one table
 
     def run(key, now: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         if not len(now):

@@ -159,4 +159,4 @@ def regenerate(items: DataFrame, item_personas: DataFrame, personas: DataFrame,
         return every.limit(0)
     first = every.orderBy(F.col("weight").desc(), "builder", "seq").limit(MOST)
     w = Window.partitionBy("id").orderBy(F.col("weight").desc(), "builder", "seq")
-    return first.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return first.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").orderBy(F.col("weight").desc(), "builder", "seq")
