@@ -388,3 +388,32 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("k int, t int, v string").parquet(src)
     ingest.stream_upserts(stream, str(tmp_path / "out"), "k", "t", str(tmp_path / "ck")).awaitTermination()
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_api(spark, tmp_path):
+    from mediaquarry.api import LibraryApi, int_param
+
+    assert [int_param(v, 180) for v in (None, "", "x", "0", "7")] == [180, 180, 180, 1, 7]
+    api = LibraryApi(Library(spark, str(tmp_path / "api")))
+    files = lambda rows: spark.createDataFrame(rows, "path string, size_bytes long, mtime_ns long")
+    r = api.sync(files([("2024/05/cat.jpg", 1, 1), ("2024/05/dog.mp4", 2, 2)]), "t1").first()
+    assert (r.added, r.updated, r.removed) == (2, 0, 0)
+    r = api.sync(files([("2024/05/cat.jpg", 9, 1), ("2024/06/new.gif", 2, 2)]), "t2").first()
+    assert (r.added, r.updated, r.removed) == (1, 1, 1)
+    assert {x.title for x in api.items("type:gif").collect()} == {"new"} and {x.title for x in api.items("cat").collect()} == {"cat"}
+    cat = api.items("cat").first().id
+    api.create_persona("Alice", "person", "t3")
+    who = api.personas().first().id
+    api.assign_item(cat, who, "t4")
+    assert api.items("person:alice").first().personaNames == ["Alice"] and api.persona_items(who).count() == 1
+    assert api.item(cat).first().details.startswith("Title: cat\nType: image")
+    api.create_album("Trip", [cat], "t5")
+    album = api.albums().first()
+    assert album.itemCount == 1 and api.album_items(album.id).count() == 1
+    api.toggle_favorite([cat], "t6")
+    assert api.items(favorites="1").count() == 1 and {x.name: x.n for x in api.status().collect()}["people"] == 1
+    api.clear_item(cat, "t7")
+    assert api.items("person:alice").count() == 0
+    api.rebuild_clusters("person", "t8")
+    api.regenerate_memories("t9")
+    assert api.unknown_clusters().count() == 0 and api.memories().count() == 0
