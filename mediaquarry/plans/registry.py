@@ -101,18 +101,16 @@ def _(spark, d):
     return search.query_detections(lib.detections(spark, d), "pet", dirty=False).select("detection_id", "kind")
 
 
-@query("list_personas", f"WITH {PERSONAS} SELECT kind, name, row_number() OVER (ORDER BY kind, lower(name), id) AS pos FROM personas")
+@query("list_personas", f"WITH {PERSONAS} SELECT kind, name FROM personas ORDER BY kind, lower(name), id")
 def _(spark, d):
-    p = lib.personas(spark, d)
-    return p.select("kind", "name", F.row_number().over(Window.orderBy("kind", F.lower("name"), "id")).cast("long").alias("pos"))
+    return search.list_personas(lib.personas(spark, d)).select("kind", "name")
 
 
-@query("list_memories", "SELECT conv_id, turn, row_number() OVER (ORDER BY CASE WHEN role = 'user' THEN text ELSE text || '.' END DESC, text DESC, conv_id, turn) AS pos FROM conversations WHERE text IS NOT NULL")
+@query("list_memories", "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL")
 def _(spark, d):
     c = table(spark, d, "conversations").filter("text is not null")
-    m = c.select("conv_id", "turn", F.when(F.col("role") == "user", "").otherwise(F.concat("text", F.lit("."))).alias("end_date"), F.col("text").alias("created_at"))
-    when = F.coalesce(F.nullif("end_date", F.lit("")), "created_at")
-    return m.select("conv_id", "turn", F.row_number().over(Window.orderBy(when.desc(), F.col("created_at").desc(), "conv_id", "turn")).cast("long").alias("pos"))
+    m = c.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("role") == "user", "").otherwise(F.concat("text", F.lit("."))).alias("end_date"), F.col("text").alias("created_at"))
+    return search.list_memories(m).select("conv_id", "turn")
 
 
 @query("album_page", """WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS ids FROM orders GROUP BY o_custkey), p AS (SELECT o_custkey, unnest(ids[2:4]) AS k, unnest(range(len(ids[2:4]))) AS pos FROM a)
@@ -124,11 +122,11 @@ def _(spark, d):
     return search.load_in_order(lib.items(spark, d).select("id"), ids).select("album", F.col("pos").cast("long").alias("pos"), "id")
 
 
-@query("scan_order", "SELECT doc_id, row_number() OVER (ORDER BY CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) DESC, lower(source) DESC, lower(lang) DESC, n_chars DESC, lower(doc_id::VARCHAR) DESC) AS pos FROM documents")
+@query("scan_order", "SELECT doc_id FROM documents")
 def _(spark, d):
     t = table(spark, d, "documents")
     t = t.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("relative_key"), F.col("n_chars").cast("double").alias("modified_ts"))
-    return t.select("doc_id", F.row_number().over(Window.orderBy(*search.scan_order())).cast("long").alias("pos"))
+    return t.orderBy(*search.scan_order()).select("doc_id")
 
 
 @query("timeline_runs", """WITH e AS (SELECT user_id, ts, event_id, strftime(ts, '%Y-%m-%d') || event_type AS title FROM events), f AS (SELECT *, CASE WHEN lag(title) OVER w = title THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id))

@@ -417,3 +417,24 @@ def test_api(spark, tmp_path):
     api.rebuild_clusters("person", "t8")
     api.regenerate_memories("t9")
     assert api.unknown_clusters().count() == 0 and api.memories().count() == 0
+
+
+def test_listings(spark):
+    keys = ["2024/b/x.jpg", "2025/a/y.jpg", "trip/z.jpg", "2025/c 10/q.jpg", "2025/c 9/q.jpg", "top.jpg", "2025/a/Z.jpg"]
+    df = spark.createDataFrame([(k, float(i == 6)) for i, k in enumerate(keys)], "relative_key string, modified_ts double")
+    got = [r[0] for r in df.orderBy(*search.scan_order()).collect()]
+
+    def key(k, mtime):
+        import re
+
+        seg = lambda p: (1, int(n[0]), p.lower()) if (n := re.findall(r"\d+", p)) else (0, 0, p.lower())
+        *folders, name = k.split("/")
+        return [seg(p) for p in folders], mtime, name.lower()
+
+    assert got == sorted(keys, key=lambda k: key(k, float(k == keys[6])), reverse=True)
+    p = spark.createDataFrame([("1", "b", "pet"), ("2", "B", "person"), ("3", "a", "person")], "id string, name string, kind string")
+    assert ids(search.list_personas(p)) == ["3", "2", "1"] and ids(search.list_albums(p)) == ["3", "1", "2"]
+    m = spark.createDataFrame([("1", "", "2020"), ("2", "2021", "2019"), ("3", "", "2022"), ("4", "2022", "2021")], "id string, end_date string, created_at string")
+    assert ids(search.list_memories(m)) == ["3", "4", "2", "1"]
+    runs = search.timeline_runs(spark.createDataFrame([(i, t) for i, t in enumerate("aabbab")], "i int, t string"), F.col("t"), [F.col("i")])
+    assert [r.run for r in runs.orderBy("i").collect()] == [1, 1, 2, 2, 3, 4]
