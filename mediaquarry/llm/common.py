@@ -70,6 +70,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lean(spark: SparkSession, mb: int = 16) -> None:
+    """Bounds the Arrow batches that Python workers hold, in bytes, for the rest of the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    size = int(now[:-1]) * {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[now[-1].lower()] if now[-1].isalpha() else int(now)
+    if size <= 0 or size > mb << 20:
+        spark.conf.set(key, f"{mb}m")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, table
+from .common import Scratch, lean, small, table
 
 NGRAM, CHANCE, SCORE = 3, 5.0, 0.5
 BLOCK_BYTES = 8 << 20
@@ -190,6 +190,7 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, chance: float = CHANCE, least: float = SCORE) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the documents that hold a copy of a test item."""
+    lean(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for block in item_blocks(benchmark):

@@ -20,7 +20,7 @@ from html import unescape
 
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import lean, table
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -303,6 +303,7 @@ def _extract(batches):
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages."""
+    lean(pages.sparkSession)
     src = pages.selectExpr("cast(page_id as long) page_id", "url", "html")
     return src.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 

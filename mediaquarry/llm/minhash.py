@@ -29,7 +29,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups, release, running, small, table
+from .common import Scratch, groups, lean, release, running, small, table
 from .components import connected_components, forest
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 144, 6, 10, 4.0
@@ -268,6 +268,7 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
     spark = docs.sparkSession
+    lean(spark)
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = scratch.write(base.mapInArrow(_sign(shingle), "doc_id long, n long, digest binary, regs binary"), "signs")

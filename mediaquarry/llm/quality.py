@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 BUCKETS, DIM, PER_WORD, WINDOW = 1 << 14, 32, 4, 2
 SHAPES, EXTRA, HIDDEN, SAMPLE = 64, 4, 24, 20_000
@@ -244,6 +244,7 @@ def _scored(vectors, model):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """docs (or the given columns of it) with `_score`: the calibrated probability of label 1."""
+    lean(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     vectors = sc.broadcast(word_vectors(docs))
     model = sc.broadcast(learn(docs, labels, vectors))
