@@ -108,10 +108,12 @@ def _partial(token: str, blob: str) -> float:
         return 100.0
     n, best = len(token), 0.0
     letters = set(token)
+    hits = [ch in letters for ch in blob]
     for i in range(1 - n, len(blob)):
-        part = blob[max(0, i) : i + n]
-        if letters.intersection(part):
-            best = max(best, _ratio(token, part))
+        a, z = max(0, i), min(len(blob), i + n)
+        most = sum(hits[a:z])  # no window shares more letters than it has of the token's
+        if 200.0 * most / (n + z - a) > best:
+            best = max(best, _ratio(token, blob[a:z]))
     return best
 
 
@@ -143,7 +145,8 @@ def fuzzy_score(query: str, blob) -> Column:
 
     @F.pandas_udf("int")
     def graded(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: fuzzy_score_of(query, b or "")).astype("int32")
+        scores = {b: fuzzy_score_of(query, b or "") for b in s.unique()}
+        return s.map(scores).astype("int32")
 
     plain = F.lit(False)
     for token in query.split():

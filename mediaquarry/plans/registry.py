@@ -355,9 +355,9 @@ def _(spark, d):
   s AS (SELECT doc_id, item_id, bit_count(xor(('0x' || substr(g, 1, 8))::BIGINT, ('0x' || substr(h, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(g, 9, 8))::BIGINT, ('0x' || substr(h, 9, 8))::BIGINT)) AS x FROM d, b),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x, item_id) AS k FROM s) SELECT doc_id, item_id, x::DOUBLE AS distance FROM r WHERE k = 1""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.stable_id(F.coalesce("text", F.lit(""))).alias("g"))
-    refs = table(spark, d, "benchmark").select("item_id", text.stable_id("text").alias("h"))
-    return similarity.best_match(docs, ["doc_id"], refs, -vectors.hamming("g", "h"), ["item_id"], ["item_id"]).select("doc_id", "item_id", (-F.col("score")).alias("distance"))
+    docs = table(spark, d, "documents").select("doc_id", vectors.hash_bits(text.stable_id(F.coalesce("text", F.lit("")))).alias("g"))
+    refs = table(spark, d, "benchmark").select("item_id", vectors.hash_bits(text.stable_id("text")).alias("h"))
+    return similarity.best_match(docs, ["doc_id"], refs, -vectors.hamming_bits("g", "h"), ["item_id"], ["item_id"]).select("doc_id", "item_id", (-F.col("score")).alias("distance"))
 
 
 @query("iou_in_order", """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 40 AS x, l_suppkey % 40 AS y, CAST(l_quantity AS INT) AS w, l_linenumber * 8 AS h FROM lineitem),
