@@ -4,8 +4,6 @@ from collections import Counter
 
 import pytest
 
-pytest.importorskip("corpus_pipeline")
-
 import corpus_pipeline
 from mediaquarry.llm import decontam, mixing, quality
 
