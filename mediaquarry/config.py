@@ -10,7 +10,7 @@ from typing import ClassVar
 @dataclass(frozen=True)
 class Settings:
     # Defaults that results depend on.
-    face_match_tolerance: float = 0.42
+    face_match_threshold: float = 0.42
     face_embedding_similarity_threshold: float = 0.57
     pet_embedding_similarity_threshold: float = 0.70
     pet_hash_distance_threshold: int = 14

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import is_pet, stable_id
 from .relations import EMPTY, can_own, unassigned
 
-#: Fixed count: colours repeat after so many personas.
-COLORS = 7
+#: Colours of personas in order of creation; they repeat.
+COLORS = ("#0D3B66", "#3A7D44", "#A23B72", "#B56576", "#33658A", "#6D597A", "#5E6472")
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: list[str] | str = "id") -> DataFrame:
@@ -42,7 +42,7 @@ def create_persona(personas: DataFrame, name: str, kind: str, now: str) -> DataF
         raise ValueError("a persona needs a name")
     count = personas.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.lower("name") == name.lower()) & (F.col("kind") == kind)).alias("same"))
     new = count.filter("same = 0").select(
-        stable_id(F.lit(f"persona:{kind}:{name.lower()}:{now}")).alias("id"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(now).alias("created_at"), (F.col("n") % COLORS).cast("string").alias("color")
+        stable_id(F.lit(f"persona:{kind}:{name.lower()}:{now}")).alias("id"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(now).alias("created_at"), F.array(*[F.lit(c) for c in COLORS])[(F.col("n") % len(COLORS)).cast("int")].alias("color")
     )
     return personas.unionByName(new, allowMissingColumns=True)
 

@@ -60,7 +60,7 @@ def match_faces(faces: DataFrame, personas: DataFrame, settings: Settings | None
     faces = faces.select(*key, "encoding").filter(F.size("encoding") > 0)
     near = best_match(faces, key, refs, cosine("encoding", "reference"), ["persona_pos", "ref_pos"], ["persona_id"], s.face_embedding_similarity_threshold).withColumn("how", F.lit("cosine"))
     rest = faces.join(near.select(*key), key, "left_anti")
-    close = best_match(rest, key, refs, -euclidean("encoding", "reference"), ["persona_pos", "ref_pos"], ["persona_id"], -s.face_match_tolerance).withColumn("how", F.lit("euclidean"))
+    close = best_match(rest, key, refs, -euclidean("encoding", "reference"), ["persona_pos", "ref_pos"], ["persona_id"], -s.face_match_threshold).withColumn("how", F.lit("euclidean"))
     return near.unionByName(close)
 
 

@@ -338,7 +338,7 @@ REFS = "refs AS (SELECT vec_id AS ref, label AS rl, embedding AS rv, substr(sha1
 def _(spark, d):
     from ..config import Settings
 
-    s = Settings(face_embedding_similarity_threshold=0.3, face_match_tolerance=0.0)
+    s = Settings(face_embedding_similarity_threshold=0.3, face_match_threshold=0.0)
     faces = lib.detections(spark, d).filter("kind = 'face'")
     return similarity.match_faces(faces, lib.label_personas(spark, d), s).filter("how = 'cosine'").select("detection_id", "persona_id", F.round("score", 6).alias("score"))
 

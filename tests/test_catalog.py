@@ -365,7 +365,7 @@ def test_library(spark, tmp_path, small):
 def test_mutations(spark, small):
     items, personas = small[0], small[1]
     more = mutations.create_persona(mutations.create_persona(personas, " Bob ", "person", "t"), "BOB", "person", "t")
-    assert more.filter("name = 'Bob'").count() == 1 and more.count() == 4
+    assert [r.color for r in more.filter("name = 'Bob'").collect()] == ["#B56576"] and more.count() == 4
     fav = lambda want: {r.id: r.favorite for r in mutations.toggle_favorite(items, spark.createDataFrame([(i,) for i in want], "id string")).collect()}
     assert fav(["a"])["a"] is False and fav(["a", "b"])["a"] is True and fav(["a", "b"])["b"] is True
     albums = mutations.create_album(conform(spark.createDataFrame([], "id string"), "albums"), items, "Trip", ["a", "zz", "a"], "t")
