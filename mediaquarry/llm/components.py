@@ -45,6 +45,8 @@ def _shrink(batches):
         kept += [(x, r) for x, r in forest(b.column(0).to_pylist(), b.column(1).to_pylist()) if x != r]
         if len(kept) > 500_000:
             kept = [(x, r) for x, r in forest(*zip(*kept)) if x != r]
+    if kept:  # batches are forests of their own: their links meet here
+        kept = [(x, r) for x, r in forest(*zip(*kept)) if x != r]
     for i in range(0, len(kept), 50_000):
         part = kept[i : i + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])

@@ -266,6 +266,16 @@ def test_components(spark):
             assert got == {x: find(x) for x in linked}
 
 
+def test_components_over_many_arrow_batches(spark):
+    import random
+
+    pairs = [(g * 100 + i, g * 100 + i + 1) for g in range(500) for i in range(60)]
+    random.Random(5).shuffle(pairs)
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    got = components.connected_components(df, Scratch(spark, "t")).collect()
+    assert len(got) == 500 * 61 and {(r.id, r.component) for r in got} == {(g * 100 + i, g * 100) for g in range(500) for i in range(61)}
+
+
 # decontamination ------------------------------------------------------------
 
 
