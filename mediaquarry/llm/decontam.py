@@ -2,8 +2,10 @@
 
 Seeds are the n-grams of test items that chance alone would seldom put into the corpus: under the word
 counts of the whole corpus, an n-gram's expected count (the product of its words' frequencies times
-the corpus's length) is at most `chance` a million words. Judging by the words rather than by the
-n-gram's own count keeps a passage that contaminates many documents searchable. The seeds join the
+the corpus's length) is at most `chance` a million words. Where an n-gram is more common, it grows by
+the words after it until it passes. An item without any n-gram that passes (its words are common, or
+its copies make up much of the corpus, or the corpus is small) has all its n-grams as seeds, so a
+verbatim copy is found whatever the counts. The seeds join the
 n-grams of every document; where they hit, the item is aligned with the passage around the hits
 (match +2, other word -1, gap -1), so edited or paraphrased copies with changed, dropped or added
 words still score. score = best alignment / (2 * words of the item).
@@ -95,6 +97,21 @@ def _count_words(wanted: set[str]):
     return run
 
 
+def seeds_of(words: list[str], rare: dict[str, float], n: int, chance: float) -> list[tuple[int, int]]:
+    """(start, length) of an item's seeds: the windows of n words or more that pass and hold no shorter
+    one that does; all n-grams where none of n words passes."""
+    import numpy as np
+
+    size = min(n, len(words))
+    starts = np.arange(len(words) - size + 1)
+    log = np.concatenate(([0.0], np.cumsum([-np.log(max(rare[x], 1e-18)) for x in words])))
+    ends = np.maximum(np.searchsorted(log, log[starts] + np.log(1e6 / chance) - 1e-6), starts + size)
+    shortest = ends < np.append(ends[1:], len(words) + 1)  # ends never fall; one past the item: none passes
+    if not (shortest & (ends == starts + size)).any():
+        return [(p, size) for p in starts.tolist()]
+    return [(p, z - p) for p, z in zip(starts[shortest].tolist(), ends[shortest].tolist())]
+
+
 def _search(items: list[tuple[int, list[str]]], rare: dict[str, float], n: int, chance: float, least: float):
     """rare: chance frequency of each item word."""
 
@@ -108,21 +125,28 @@ def _search(items: list[tuple[int, list[str]]], rare: dict[str, float], n: int,
                 code.setdefault(x, len(code) + 1)
         coded = [np.array([code[x] for x in w], dtype=np.int64) for _, w in items]
         distinct = [np.unique(x, return_counts=True) for x in coded]
-        base = len(code) + 2
+        base = np.uint64(0x9E3779B97F4A7C15)
+
+        def keys_of(c, size):
+            """Hashes of all windows; the alignment sees to equal hashes of other words."""
+            g = np.zeros(len(c) - size + 1, dtype=np.uint64)
+            for j in range(size):
+                g = g * base + c[j : len(c) - size + 1 + j].astype(np.uint64)
+            return g
+
         seeds: dict[int, list[tuple[int, int]]] = {}
+        longer: dict[int, dict[int, dict[bytes, list[tuple[int, int]]]]] = {}  # by first n words, length, all words
         for k, (_, w) in enumerate(items):
             size = min(n, len(w))
-            for p in range(len(w) - size + 1):
-                expected = 1e6
-                for x in w[p : p + size]:
-                    expected *= rare[x]
-                if expected <= chance:
-                    g = 0
-                    for x in w[p : p + size]:
-                        g = g * base + code[x]
-                    seeds.setdefault(g, []).append((k, p))
+            g = keys_of(coded[k], size).tolist()
+            for p, length in seeds_of(w, rare, n, chance):
+                own = seeds.setdefault(g[p], [])
+                if length == size:
+                    own.append((k, p))
+                else:
+                    longer.setdefault(g[p], {}).setdefault(length, {}).setdefault(coded[k][p : p + length].tobytes(), []).append((k, p))
         lengths = sorted({min(n, len(w)) for _, w in items})
-        keys = np.array(sorted(seeds), dtype=np.int64)
+        keys = np.array(sorted(seeds), dtype=np.uint64)
         for b in batches:
             out = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -134,15 +158,20 @@ def _search(items: list[tuple[int, list[str]]], rare: dict[str, float], n: int,
                 for size in lengths:
                     if len(c) < size:
                         continue
-                    g, some = np.zeros(len(c) - size + 1, dtype=np.int64), np.ones(len(c) - size + 1, dtype=bool)
+                    some = np.ones(len(c) - size + 1, dtype=bool)
                     for j in range(size):
-                        part = c[j : len(c) - size + 1 + j]
-                        g = g * base + part
-                        some &= part > 0
-                    for p in np.flatnonzero(some):
-                        if len(keys) and (q := int(np.searchsorted(keys, g[p]))) < len(keys) and keys[q] == g[p]:
-                            for k, at in seeds[int(g[p])]:
-                                hits.setdefault(k, []).append(int(p) - at)
+                        some &= c[j : len(c) - size + 1 + j] > 0
+                    at_words = np.flatnonzero(some)
+                    if not len(at_words):
+                        continue
+                    g = keys_of(c, size)[at_words]
+                    there = keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g
+                    for p, key in zip(at_words[there].tolist(), g[there].tolist()):
+                        found = list(seeds[key])
+                        for length, by_words in longer.get(key, {}).items():
+                            found += by_words.get(c[p : p + length].tobytes(), ())
+                        for k, at in found:
+                            hits.setdefault(k, []).append(p - at)
                 for k, starts in hits.items():
                     item, size = coded[k], len(coded[k])
                     slack, best = size // 2 + 2, (0, 0, 0)

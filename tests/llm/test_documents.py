@@ -300,6 +300,46 @@ def test_leaks(spark):
     assert decontam.leaks(df, bench.limit(0)).count() == 0 and decontam.leaks(df.limit(0), bench).count() == 0
 
 
+def found_leaks(spark, rows, items):
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r.score for r in got}
+
+
+def test_leaks_in_a_tiny_table(spark):
+    items = [(1, "alpha beta gamma delta epsilon"), (2, "one two"), (3, "solo")]
+    rows = [(k, t) for k, (_, t) in enumerate(items)] + [(3, "alpha beta gamma delta zeta"), (4, "nothing here")]
+    assert found_leaks(spark, rows, items) == {(0, 1): 1.0, (1, 2): 1.0, (2, 3): 1.0, (3, 1): 0.8}
+
+
+def test_leaks_of_an_item_that_dominates(spark):
+    item = "what is the tall river that runs past our old town"
+    rows = [(k, f"{prose(k, 4)} {item} {prose(k + 900, 4)}") for k in range(200)] + [(500, item.replace("tall", "long"))] + [(600 + k, prose(2000 + k, 40)) for k in range(20)]
+    got = found_leaks(spark, rows, [(1, item)])
+    assert all(got[k, 1] == 1.0 for k in range(200)) and got[500, 1] > 0.8 and len(got) == 201
+
+
+def test_leaks_of_common_words(spark):
+    import random
+
+    r = random.Random(3)
+    common = "the of and a to in is it on as".split()
+    plain = [(k, " ".join(r.choice(common) if r.random() < 0.5 else f"w{r.randint(0, 5000)}" for _ in range(300))) for k in range(40)]
+    items = [(1, "it is as the a on in and of to"), (2, "to the in of a and on as is it qq rr ss")]
+    copies = [(100, f"w1 w2 {items[0][1]} w3"), (101, f"w4 {items[1][1]} w5"), (102, "w6 to the in of a and on as is it w7 w8 w9"), (103, "w6 it is as the w3 on in and of to w7")]
+    got = found_leaks(spark, plain + copies, items)
+    assert got[100, 1] == got[101, 2] == 1.0 and (102, 2) in got and (103, 1) in got
+
+
+@pytest.mark.parametrize("shares", [[0.001] * 8, [0.05] * 8, [0.05] * 6 + [0.0, 0.001], [0.5] * 12, [1.0] * 30, [0.02, 0.3] * 9])
+def test_seeds_are_the_shortest_windows(shares):
+    words, n, chance = [f"w{i}" for i in range(len(shares))], 3, 5.0
+    at = range(len(shares))
+    passing = [(p, z) for p in at for z in range(p + n, len(shares) + 1) if 1e6 * math.prod(shares[p:z]) <= chance]
+    least = [(p, z - p) for p, z in passing if not any((a, b) != (p, z) and p <= a and b <= z for a, b in passing)]
+    want = least if any(m == n for _, m in least) else [(p, n) for p in at[: len(shares) - n + 1]]
+    assert decontam.seeds_of(words, dict(zip(words, shares)), n, chance) == want
+
+
 def test_align_is_smith_waterman():
     import random
 
