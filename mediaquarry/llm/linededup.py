@@ -3,7 +3,8 @@
 A run is a Parquet table (key binary(16), n long), sorted by key within range-free hash partitions:
 the number of documents of one batch (or of merged batches) that hold the key. A batch is anti-joined
 with the settled keys (those that have already reached `min_docs`, which need no more counting), what
-remains becomes a run of level 0, and `fanout` runs of a level are merged into one of the next. A key's
+remains becomes a run of level 0, and `fanout` runs of a level are merged into one of the next. Each
+batch settles the keys that reach `min_docs` with it, so the next one is met by all of them. A key's
 count is the sum over all runs, so results do not depend on how documents are dealt to batches.
 
 Only hashes travel: the text is shuffled once, to meet the positions of the lines it loses.
@@ -50,26 +51,26 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """keys: (key, n) of a batch, one row a key."""
         if self.settled is not None:
-            keys = keys.join(self.settled, "key", "left_anti")
+            keys = keys.join(small(self.settled), "key", "left_anti")
         self.levels[0].append(self.scratch.write(keys.sortWithinPartitions("key"), "run"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
+        before, self.settled = self.settled, self.scratch.write(self.frequent(), "settled")
+        self.scratch.drop(before)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.sum("n").alias("n"))
 
     def _compact(self, level: int) -> None:
-        """Merges the runs of a level; keys that reach min_docs move to the settled keys."""
+        """Merges the runs of a level into one of the next."""
         if len(self.levels) == level + 1:
             self.levels.append([])
         runs, self.levels[level] = self.levels[level], []
         run = self.scratch.write(self._merged(runs).sortWithinPartitions("key"), "run")
         self.scratch.drop(*runs)
         self.levels[level + 1].append(run)
-        heavy = run.filter(F.col("n") >= self.min_docs).select("key")
-        self.settled = self.scratch.write(heavy if self.settled is None else self.settled.unionByName(heavy).distinct(), "settled")
 
     def frequent(self) -> DataFrame:
         """The keys found in at least min_docs documents so far."""
@@ -90,7 +91,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     for b in range(batches):
         runs.add(docs.sparkSession.read.schema("key binary, n long, batch int").parquet(at).filter(F.col("batch") == b).select("key", "n"))
     runs.scratch.drop(at)
-    frequent = small(runs.scratch.write(runs.frequent(), "frequent"))
+    frequent = small(runs.settled)
     placed = base.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, _hashed(k)))).alias("pos", "key"))
     dropped = placed.join(frequent, "key", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
     left = base.withColumn("h", F.xxhash64("text"))

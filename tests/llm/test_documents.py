@@ -51,6 +51,18 @@ def test_lines(docs, edges, least, batches):
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=repr) == sorted(lines_model(rows, least), key=repr)
 
 
+def test_settled_lines_are_not_counted_again(spark):
+    runs = linededup.LineRuns(spark, min_docs=3)
+    batches = [{b"a": 3, b"b": 1}, {b"a": 5, b"b": 2, b"c": 1}, {b"a": 1, b"b": 4, b"c": 1}, {b"a": 1, b"b": 1, b"c": 1, b"d": 1}]
+    left = [{b"a": 3, b"b": 1}, {b"b": 2, b"c": 1}, {b"c": 1}]
+    for k, batch in enumerate(batches):
+        runs.add(spark.createDataFrame([(bytearray(x), n) for x, n in batch.items()], "key binary, n long"))
+        if k < 3:
+            assert [{bytes(r.key): r.n for r in run.collect()} for run in runs.levels[0]] == left[: k + 1]
+    assert {bytes(r.key): r.n for r in runs.levels[1][0].collect()} == {b"a": 3, b"b": 3, b"c": 3, b"d": 1}
+    assert {bytes(r.key) for r in runs.settled.collect()} == {bytes(r.key) for r in runs.frequent().collect()} == {b"a", b"b", b"c"}
+
+
 def test_lines_of_nothing(none):
     assert linededup.drop_frequent_lines(none).count() == 0
 
