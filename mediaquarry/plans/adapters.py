@@ -49,6 +49,12 @@ def text_items(spark, d) -> DataFrame:
     return t.select(F.col("doc_id").cast("string").alias("id"), key.alias("relative_key"), F.col("n_chars").cast("double").alias("modified_ts"), F.lit("image").alias("media_kind"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def dated_texts(spark, d) -> DataFrame:
+    """Documents as items with dates; every tenth is hidden."""
+    day = F.format_string("2024-01-%02dT00:00:00+00:00", (F.col("id").cast("long") % 28 + 1).cast("int"))
+    return text_items(spark, d).withColumn("captured_at", day).withColumn("favorite", F.lit(False)).withColumn("hidden", F.col("id").cast("long") % 10 == 0)
+
+
 def detections(spark, d) -> DataFrame:
     """Vectors as detections, four to an item; labels 0 to 5 are faces, others pets of two kinds."""
     e = table(spark, d, "embeddings")

@@ -56,9 +56,15 @@ def _(spark, d):
     p = lib.personas(spark, d)
     name = p.filter("id = '1'").select("name").first()[0]
     search_table = lib.items(spark, d).select(F.col("id").alias("item_id"), F.lit("").alias("search_blob"))
-    named = search.persona_ids_by_name(p, "person", f" {name.upper()} ")
-    out = search.query_items(lib.items(spark, d), lib.item_tags(spark, d), lib.item_personas(spark, d), p, search_table, media_kind="video", year="1998", tag="n", persona_ids=[r[0] for r in named.collect()] or ["-"], limit=180)
-    return out.select("id", "captured_at", F.lit(None).cast("int").alias("score"))
+    out = search.search(lib.items(spark, d), lib.item_tags(spark, d), lib.item_personas(spark, d), p, search_table, f"type:video year:1998 tag:n person:{name.upper()}", limit=180)
+    return out.select("id", "captured_at", "score")
+
+
+@query("search_composite_text")
+def _(spark, d):
+    t = lib.dated_texts(spark, d)
+    blobs = t.select(F.col("id").alias("item_id"), F.lower("text").alias("search_blob"))
+    return search.search(t, None, None, None, blobs, "type:image The year:2024 heing", limit=180).select("id", "captured_at", "score")
 
 
 @query("search_text_and", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lower(text) LIKE '%the%' AND lower(text) LIKE '%and%' AND lower(text) LIKE '%ti_n%'")
@@ -69,7 +75,7 @@ def _(spark, d):
 
 @query("search_fuzzy_ranked")
 def _(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("blob"))
+    p = lib.text_items(spark, d).select("id", F.lower("text").alias("blob"))
     return p.withColumn("score", text.fuzzy_score("Polished STEEL", "blob")).filter("score >= 35").orderBy(F.col("score").desc(), "id").select("id", "score")
 
 

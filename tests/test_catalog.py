@@ -124,6 +124,20 @@ def test_composite(small):
     assert set(ids(search.search_in_memory(items, links, personas, blobs, "cat"))) >= {"a", "c"}
 
 
+def test_fuzzy_queries_read_whole_texts(spark, tmp_path):
+    from mediaquarry.plans import registry
+
+    filler = " ".join(f"zq{k}" for k in range(400))
+    rows = [(k, f"{filler} {tail} {filler}") for k, tail in enumerate(["x", "polished stel", "The heing", "of Heing the", "xx yy", "a polishd steeel", "heing", "POLISHED"] * 3)] + [(90, None), (91, "the heing")]
+    spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["search_fuzzy_ranked"](spark, str(tmp_path)).collect()
+    scores = {str(k): text.fuzzy_score_of("Polished STEEL", (t or "").lower()) for k, t in rows}
+    assert [(r.id, r.score) for r in got] == sorted(((k, s) for k, s in scores.items() if s >= 35), key=lambda x: (-x[1], x[0])) and got
+    got = registry.queries()["search_composite_text"](spark, str(tmp_path)).collect()
+    found = {str(k): text.fuzzy_score_of("The heing", t.lower()) for k, t in rows if t and k % 10 and "the" in t.lower() and "heing" in t.lower()}
+    assert {r.id: r.score for r in got} == {k: s for k, s in found.items() if s >= 35} and got and [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+
+
 def test_pages(spark, small):
     items = small[0]
     ordered = items.orderBy(*search.recency())
