@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,17 +18,22 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: A table of at most this many rows may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 200_000
+#: A table of at most so many rows and bytes may be broadcast; beyond that joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary
+    one; on a cluster executors would not see each other's files there, so that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN.setdefault("root", tempfile.mkdtemp(prefix="mq-shared-"))
-        if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-            root = f"file://{root}"
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        if "root" not in _OWN:
+            _OWN["root"] = tempfile.mkdtemp(prefix="mq-shared-")
+            atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
+        root = f"file://{_OWN['root']}"
     return root.rstrip("/")
 
 
@@ -36,13 +44,17 @@ class Scratch:
     """Tables written under the shared root. They cut lineage and survive lost executors.
 
     Paths are fresh for each object, so concurrent or repeated calls never meet. drop() deletes a
-    table that no later step reads.
+    table that no later step reads; what a result is still read from goes when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/mq-{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df written as Parquet and read again with the schema it had."""
@@ -65,9 +77,28 @@ class Scratch:
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(field) -> Column:
+    """Bytes that a value takes, roughly; nested values count as their JSON text."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16 if kind in ("array", "map", "struct") else F.lit(16)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and `size` bytes, else as it is (the join
+    then shuffles). The input runs for the count as well: give it a written table, or a cheap plan."""
+    widths = [_width(f) for f in df.schema.fields]
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(sum(widths[1:], widths[0]).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
+
+
+def fresh_name(taken, base: str) -> str:
+    """`base`, with as many underscores before it as it takes to differ from all taken names."""
+    low = {t.lower() for t in taken}
+    while base.lower() in low:
+        base = "_" + base
+    return base
 
 
 def lean(spark: SparkSession, mb: int = 16) -> None:

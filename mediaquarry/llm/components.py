@@ -3,7 +3,8 @@
 Every step is a keyed minimum (combined map-side) and an equi-join, so a vertex of any degree is
 spread over tasks; nothing but three counts a round reaches the driver. Before the first round each
 partition shrinks its own edges to a forest of stars. As soon as at most `FEW` edges are left, one task
-finishes them by union-find: its memory is bounded by that constant, and the result is the same.
+finishes them by union-find (`FEW` is below `MOST_KEPT`, so all meet in one forest): its memory is bounded
+by that constant, and the result is the same.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, release
 
-MOST_ROUNDS, FEW = 60, 100_000
+MOST_ROUNDS, FEW, MOST_KEPT = 60, 100_000, 500_000
 
 
 def forest(a, b):
@@ -38,18 +39,23 @@ def forest(a, b):
 
 
 def _shrink(batches):
+    """The edges of a partition as forests of stars: one, but for every `MOST_KEPT` links a new one."""
     import pyarrow as pa
 
+    def starred(links):
+        kept = [(x, r) for x, r in forest(*zip(*links)) if x != r]
+        for i in range(0, len(kept), 50_000):
+            part = kept[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
+
     kept: list[tuple[int, int]] = []
     for b in batches:
         kept += [(x, r) for x, r in forest(b.column(0).to_pylist(), b.column(1).to_pylist()) if x != r]
-        if len(kept) > 500_000:
-            kept = [(x, r) for x, r in forest(*zip(*kept)) if x != r]
+        if len(kept) > MOST_KEPT:
+            yield from starred(kept)
+            kept = []
     if kept:  # batches are forests of their own: their links meet here
-        kept = [(x, r) for x, r in forest(*zip(*kept)) if x != r]
-    for i in range(0, len(kept), 50_000):
-        part = kept[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
+        yield from starred(kept)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
