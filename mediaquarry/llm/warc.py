@@ -4,8 +4,12 @@ Writing goes through Spark's text sink with the record separator as line separat
 any store Spark writes to and no task holds more than a record. Records with a payload that occurs again
 (by SHA-1 and length) are one response, of least page_id, and revisits of it.
 
-Reading splits the archives at every occurrence of the magic "WARC/1.1" line, inside payloads too. Each
-piece is a candidate record; its header names its successor's offset. Tasks compose the successors
+Reading splits the archives at every occurrence of the magic "WARC/1.", inside payloads too. The pieces
+are written once, with their bytes, and all later steps read that table: what names a piece (file, split,
+place in the split) is then the same for all of them, however the cluster changes meanwhile. A piece that
+goes on with a version, "0" or "1" and a line end, is a candidate record; its header names its successor's
+offset. The pieces of a file must add up to its length, or reading fails. Plain files are read in splits;
+gzipped ones, also of a member a record, by a task a file. Tasks compose the successors
 inside their split to one jump out of it; pointer jumping over the splits, in as many rounds as the
 logarithm of a file's splits, then finds where the chain from the file's start enters each split, and
 only records on that chain are kept. Pieces that magic inside a payload has cut off are joined again.
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, groups, small, table
 
-MAGIC = "WARC/1.1\r\n"
+MAGIC = "WARC/1."
 END = "\r\n\r\n"
 MIN_BYTES, PER_FILE = 0, 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -54,13 +58,14 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: st
     """Writes (page_id, url, html) as WARC records under path."""
     body = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("body"), F.octet_length(body).cast("long").alias("bytes"), base32_sha1(body.cast("binary")).alias("digest"))
+    scratch = Scratch(pages.sparkSession, "revisits")
     again = p.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    p = p.join(small(again), ["digest", "bytes"], "left")
+    p = p.join(small(scratch.write(again, "again")), ["digest", "bytes"], "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("body")))
     lines = [
-        F.lit("WARC/1.1"),
+        F.lit(MAGIC + "1"),
         F.when(revisit, F.lit("WARC-Type: revisit")).otherwise(F.lit("WARC-Type: response")),
         _header("WARC-Record-ID", _record_id(F.col("page_id"))),
         _header("WARC-Target-URI", _clean_url(F.col("url"))),
@@ -115,19 +120,27 @@ def _walk(batches):
         yield from t.drop_columns(["entry", "till"]).append_column("on", pa.array(on)).combine_chunks().to_batches()
 
 
-def pieces_of(spark: SparkSession, path: str) -> DataFrame:
-    """The archive cut at every magic: (file, block, seq, value); seq orders the pieces of a split."""
+def pieces_of(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """The archive cut at every magic, written: (file, block, seq, value, bytes); seq orders the pieces of a split."""
+    meta = lambda name: F.col(f"_metadata.{name}")
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value"))
+    raw = raw.select(meta("file_path").alias("file"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value", F.octet_length("value").cast("long").alias("bytes"), meta("file_size").alias("file_size"))
+    pieces = scratch.write(raw, "pieces")
+    # the last piece of a file has no magic behind it, unless the file ends with one
+    held = pieces.groupBy("file").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("n"), F.max("file_size").alias("size"))
+    bad = held.filter((F.col("n") != F.col("size")) & (F.col("n") != F.col("size") + len(MAGIC)) & ~F.lower("file").rlike(r"\.(gz|gzip)$")).first()
+    if bad:
+        raise RuntimeError(f"{bad.n} of {bad.size} bytes of {bad.file} have been read")
+    return pieces.drop("file_size")
 
 
-def chain(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+def chain(pieces: DataFrame, scratch: Scratch) -> DataFrame:
     """(file, block, seq, owner, part): the pieces of true records; owner is the record's offset."""
     head = F.substring_index(F.col("value"), END, 1)
-    whole = F.instr(F.col("value"), END) > 0
+    whole = F.col("value").rlike(r"^[01]\r\n") & (F.instr(F.col("value"), END) > 0)
     length = F.expr("try_cast(length as long)")
-    light = pieces_of(spark, path).select("file", "block", "seq", F.octet_length("value").cast("long").alias("bytes"), F.when(whole, F.octet_length(head).cast("long") + 4).alias("head"), _field(head, "Content-Length", r"\d+").alias("length"))
-    light = scratch.write(light.withColumn("length", length), "pieces")
+    light = pieces.select("file", "block", "seq", "bytes", F.when(whole, F.octet_length(head).cast("long") + 4).alias("head"), F.when(whole, _field(head, "Content-Length", r"\d+")).alias("length"))
+    light = scratch.write(light.withColumn("length", length), "heads")
     step = len(MAGIC)
     splits = light.groupBy("file", "block").agg(F.sum(F.col("bytes") + step).alias("sum"))
     to = Window.partitionBy("file").orderBy("block")
@@ -166,10 +179,11 @@ def chain(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Verified records: (file, offset, type, record_id, url, refers_to, digest, http_bytes, payload binary, intact)."""
     scratch = Scratch(spark, "warc")
-    owned = scratch.write(chain(spark, path, scratch), "owned")
+    pieces = pieces_of(spark, path, scratch)
+    owned = scratch.write(chain(pieces, scratch), "owned")
     cut = owned.filter("part").select("file", "owner").distinct()
     owned = owned.join(small(cut.withColumn("many", F.lit(True))), ["file", "owner"], "left")
-    got = pieces_of(spark, path).join(small(owned), ["file", "block", "seq"])
+    got = pieces.join(small(owned), ["file", "block", "seq"])
     single = got.filter("many is null").select("file", "owner", "value")
     split = got.filter("many").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("v")).select("file", "owner", F.array_join(F.col("v.value"), MAGIC).alias("value"))
     both = single.unionByName(split)
@@ -178,8 +192,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     size = F.expr("try_cast(size as long)")
     recs = both.select("file", F.col("owner").alias("offset"), head.alias("head"), _field(head, "Content-Length", r"\d+").alias("size"), rest.alias("raw")).withColumn("size", size)
     recs = recs.withColumn("block", F.expr("substring(raw, octet_length(head) + 5, cast(size as int))"))
-    http = F.expr("cast(substring(block, 1, 65536) as string)")
-    recs = recs.withColumn("http", F.substring_index(http, END, 1))
+    recs = recs.withColumn("http", F.substring_index(F.col("block").cast("string"), END, 1))
     payload = F.expr("substring(block, octet_length(http) + 5)")
     out = recs.select(
         "file", "offset", _field(F.col("head"), "WARC-Type").alias("type"), _field(F.col("head"), "WARC-Record-ID").alias("record_id"), _field(F.col("head"), "WARC-Target-URI").alias("url"),
@@ -201,3 +214,15 @@ def op2_warc_roundtrip(spark, sf_dir):
     r = read_warc(spark, path)
     size = F.when(F.col("type") == "revisit", F.col("http_bytes")).otherwise(F.octet_length("payload").cast("long"))
     return r.select(_page(F.col("record_id")).alias("page_id"), size.alias("payload_bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.col("type").alias("record_type"), _page(F.col("refers_to")).alias("refers_to"), "intact")
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS hexed FROM pages),
+d AS (
+  SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(hexed, i // 8 * 10 + 1, 10))::BIGINT >> (35 - i % 8 * 5)) & 31) + 1 AS BIGINT), 1)
+                             for i in range(32)], '') AS digest,
+         min(page_id) OVER (PARTITION BY hexed, bytes) AS head FROM p)
+SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to, true AS intact
+FROM d
+"""
