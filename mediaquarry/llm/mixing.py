@@ -6,13 +6,14 @@ random odds U / (1 - U), and the documents with the smallest ratio of both are t
 words come nearest to the rest of the target. f differs from source to source, so over the whole
 mix the inclusion probabilities are unequal; `importance` makes them unequal inside a source too.
 
-The cut is found without sorting a source in one task: ranks fall into `buckets` equal cells, the
-cells are summed (map-side first), and only the cell that holds the cut is ordered row by row.
-The decision is then a function of the row and of its source's cut, so no row meets another.
+The cut is found without sorting a source in one task: ranks fall into `cells` equal cells, the
+cells are summed (map-side first), and only the cell that holds the cut is ordered, rows of one rank
+and doc_id summed first. A source taken in whole copies alone has no cut. The decision is then a
+function of the row and of its source's cut, so no row meets another.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its
-own, last in order; rows that repeat a doc_id share one decision; an empty table gives an empty mix;
-other columns, whatever their names, pass through untouched.
+own, last in order; rows that repeat a doc_id, or have none, share one decision a source; an empty
+table gives an empty mix; other columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, most:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0, seed: int = SEED, cells: int = CELLS, importance: str | None = None) -> DataFrame:
-    """docs with struct column `_mix`: size, source_size, target, copies (how often the mix takes the row)."""
+    """Structs `row` (the columns of docs) and `mix`: size, source_size, target, copies (how often the mix takes the row)."""
     fields = [F.col(f"`{c}`") for c in docs.columns]
     base = docs.select(
         F.struct(*fields).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"),
@@ -76,14 +77,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
         other = small(other.withColumnRenamed("_source", "_of"))
         return df.join(other, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
 
-    rows = ranked(with_plan(light, plan))
+    rows = ranked(with_plan(light, plan)).filter("_f > 0")
     by_cell = rows.groupBy("_source", "_cell").agg(F.sum("_size").alias("_n"), F.first("_left").alias("_left"))
     up_to = Window.partitionBy("_source").orderBy("_cell")
     by_cell = by_cell.withColumn("_to", F.sum("_n").over(up_to))
     cut = by_cell.filter(F.col("_to") > F.col("_left")).groupBy("_source").agg(F.min(F.struct("_cell", (F.col("_to") - F.col("_n")).alias("_base"))).alias("_c"))
     cut = scratch.write(cut.select("_source", F.col("_c._cell").alias("_cut"), F.col("_c._base").alias("_base")), "cut")
     inside = with_plan(rows, cut).filter(F.col("_cell") == F.col("_cut"))
-    before = Window.partitionBy("_source", "_cell").orderBy("_q", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.groupBy("_source", "_q", "_id").agg(F.sum("_size").alias("_size"), F.first("_base").alias("_base"), F.first("_left").alias("_left"))
+    before = Window.partitionBy("_source").orderBy("_q", "_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_sum", F.col("_base") + F.coalesce(F.sum("_size").over(before), F.lit(0)))
     inside = inside.filter(F.col("_sum") + F.col("_size") / 2 <= F.col("_left"))
     last = inside.groupBy("_source").agg(F.max(F.struct("_q", "_id")).alias("_last"))
@@ -94,20 +96,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     taken = (F.col("_f") > 0) & (F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut")) | ((F.col("_cell") == F.col("_cut")) & F.coalesce(F.struct("_q", "_id") <= F.col("_last"), F.lit(False))))
     copies = F.col("_whole") + F.when(taken, F.lit(1)).otherwise(F.lit(0))
     mixed = F.struct(F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), F.coalesce(copies, F.lit(0)).cast("long").alias("copies"))
-    return out.select("_row.*", mixed.alias("_mix"))
+    return out.select(F.col("_row").alias("row"), mixed.alias("mix"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of docs."""
-    out = mix(docs, **options).filter(F.col("_mix.copies") > 0)
-    return out.withColumn("_mix", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).drop("_mix")
+    out = mix(docs, **options).filter(F.col("mix.copies") > 0)
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int")))).select("row.*")
 
 
 def op10_pareto_mix(spark, sf_dir):
     from .common import table
 
     m = mix(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", F.col("_mix.size").alias("size"), F.col("_mix.source_size").alias("source_size"), F.col("_mix.target").alias("target"), (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+    return m.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 SQL = r"""
@@ -123,6 +125,9 @@ best AS (SELECT level AS best FROM lv WHERE cap / w >= level ORDER BY cap / w LI
 plan AS (SELECT source, words, CASE WHEN (SELECT count(*) FROM best) = 0 THEN cap ELSE least(cap, (SELECT best FROM best) * w) END AS target FROM lv),
 p2 AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS whole, CASE WHEN words > 0 THEN target / words - floor(target / words) ELSE 0 END AS f FROM plan),
 r AS (SELECT b.*, p.words, p.target, p.whole, p.f, p.target - p.whole * p.words AS rest, (u / (1 - u)) / (f / (1 - f)) AS q FROM base b JOIN p2 p ON b.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
-SELECT doc_id, size, words AS source_size, target, CAST(size * (whole + CASE WHEN f > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+g AS (SELECT source, q, doc_id, rest, sum(size) AS group_size FROM r WHERE f > 0 GROUP BY ALL),
+c AS (SELECT source, doc_id, group_size, rest, coalesce(sum(group_size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+t AS (SELECT source, doc_id, 1 AS one FROM c WHERE before + group_size / 2 <= rest)
+SELECT r.doc_id, size, words AS source_size, target, CAST(size * (whole + coalesce(one, 0)) AS BIGINT) AS taken
+FROM r LEFT JOIN t ON r.source IS NOT DISTINCT FROM t.source AND r.doc_id IS NOT DISTINCT FROM t.doc_id
 """
