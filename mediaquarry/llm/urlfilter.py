@@ -3,8 +3,10 @@
 List events (list, kind, pattern, action, at) become validity intervals: an `add` holds until the next
 event of its (list, kind, pattern). A capture offers its keys - the host, every domain it lies under, and
 every path prefix of it that ends at a slash - and an as-of join on the key picks the entries whose
-interval holds the fetch time. A list of at most BROADCAST_ROWS intervals is broadcast; a larger one is
-joined by key, where adaptive execution splits a hot host.
+interval holds the fetch time. The join is by key and by cell of time: the captures' span is cut into
+`CELLS` cells, an interval stands in each cell it touches, so a capture only meets the entries of its own
+cell and a hot host's captures and entries are dealt by cell. Captures that share url and fetch time are
+judged once.
 
 Kinds: `host` (that host alone), `domain` (the domain and all below it), `prefix` (host and path, without
 scheme, port and query, starting with the pattern, which ends with a slash).
@@ -19,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import Scratch, small, table
 
-FOREVER = "9999-12-31 00:00:00"
+FOREVER, CELLS = "9999-12-31 00:00:00", 64
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -40,18 +42,24 @@ def with_host(df: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
     """(page_id, url, fetched_at, blocked, n_entries, lists) for every row of captures (page_id, url, fetched_at)."""
-    rows = with_host(captures.select("page_id", "url", "fetched_at")).withColumn("row", F.monotonically_increasing_id())
+    rows = captures.select("page_id", "url", "fetched_at")
+    known = with_host(rows.filter("url is not null and fetched_at is not null").select("url", "fetched_at").distinct()).filter("host <> ''")
+    first, last = rows.agg(F.min(F.unix_micros("fetched_at")), F.max(F.unix_micros("fetched_at"))).first()
+    first, wide = first or 0, ((last or 0) - (first or 0)) // CELLS + 1
+    cell = lambda at: F.floor((F.unix_micros(at) - first) / wide).cast("long")
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     steps = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.lower(F.concat("host", F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/"))))
     key = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("pattern"))
     keys = F.concat(F.array(key("host")(F.col("host"))), F.transform(domains, key("domain")), F.transform(prefixes, key("prefix")))
-    offered = rows.filter("host <> '' and fetched_at is not null").select("row", "fetched_at", F.explode(F.array_distinct(keys)).alias("k")).select("row", "fetched_at", "k.kind", "k.pattern")
-    active = small(intervals(events))
-    hit = offered.join(active, ["kind", "pattern"]).filter((F.col("since") <= F.col("fetched_at")) & (F.col("fetched_at") < F.col("until")))
-    per = hit.groupBy("row").agg(F.count(F.lit(1)).alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    out = rows.join(per, "row", "left")
+    offered = known.select("url", "fetched_at", cell(F.col("fetched_at")).alias("cell"), F.explode(F.array_distinct(keys)).alias("k")).select("url", "fetched_at", "cell", "k.kind", "k.pattern")
+    held = intervals(events).filter((F.unix_micros("since") <= F.lit(first) + wide * CELLS) & (F.unix_micros("until") > first))
+    touched = F.sequence(F.greatest(cell(F.col("since")), F.lit(0).cast("long")), F.least(cell(F.col("until")), F.lit(CELLS - 1).cast("long")))
+    active = Scratch(captures.sparkSession, "lists").write(held.withColumn("cell", F.explode(touched)), "active")
+    hit = offered.join(small(active), ["kind", "pattern", "cell"]).filter((F.col("since") <= F.col("fetched_at")) & (F.col("fetched_at") < F.col("until")))
+    per = hit.groupBy("url", "fetched_at").agg(F.count(F.lit(1)).alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    out = rows.join(per, ["url", "fetched_at"], "left")
     return out.select("page_id", "url", "fetched_at", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("lists", F.lit("")).alias("lists"))
 
 
@@ -89,7 +97,7 @@ def op8_temporal_url_filter(spark, sf_dir):
 
 SQL = r"""
 WITH h AS (
-  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 37 % 366 AS INT)) AS fetched_at,
+  SELECT row_number() OVER () AS rid, page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 37 % 366 AS INT)) AS fetched_at,
          rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.') AS host,
          CASE WHEN regexp_extract(url, '^[^/]*//[^/?#]*(/[^?#]*)?', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^/]*//[^/?#]*(/[^?#]*)?', 1) END AS path
   FROM pages),
@@ -102,8 +110,8 @@ iv AS (
   SELECT list, kind, pattern, TIMESTAMP '2024-01-01' + to_days(day) AS since, CASE WHEN kind = 'prefix' THEN TIMESTAMP '9999-12-31' ELSE TIMESTAMP '2024-01-01' + to_days(day + 60) END AS until FROM e
   UNION ALL SELECT list, kind, pattern, TIMESTAMP '2024-01-01' + to_days(day + 180), TIMESTAMP '9999-12-31' FROM e WHERE kind <> 'prefix'),
 m AS (
-  SELECT h.page_id, h.url, h.fetched_at, iv.list FROM h LEFT JOIN iv ON h.host <> '' AND h.fetched_at >= iv.since AND h.fetched_at < iv.until AND (
+  SELECT h.rid, h.page_id, h.url, h.fetched_at, iv.list FROM h LEFT JOIN iv ON h.host <> '' AND h.fetched_at >= iv.since AND h.fetched_at < iv.until AND (
     (kind = 'host' AND host = pattern) OR (kind = 'domain' AND (host = pattern OR ends_with(host, '.' || pattern))) OR (kind = 'prefix' AND starts_with(lower(host || path), pattern))))
 SELECT page_id, url, fetched_at, count(list) > 0 AS blocked, count(list)::BIGINT AS n_entries, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS lists
-FROM m GROUP BY page_id, url, fetched_at
+FROM m GROUP BY rid, page_id, url, fetched_at
 """
