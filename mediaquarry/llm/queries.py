@@ -22,6 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_roundtrip": warc.SQL,
+        "op4_hyperminhash_dedup": minhash.SQL,
+        "op5_forest_dedup": rpforest.SQL,
         "op8_temporal_url_filter": urlfilter.SQL,
         "op9_line_dedup": linededup.SQL,
         "op10_pareto_mix": mixing.SQL,

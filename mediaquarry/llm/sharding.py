@@ -157,12 +157,14 @@ def pack_fixed(classes: list[tuple[int, int]], shards: int):
     return runs + [(first + b, k) for b, k in best[0]]
 
 
-def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, overhead: int = OVERHEAD) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row; give `shards`, or `capacity` for the fewest shards of that size."""
+def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, overhead: int = OVERHEAD, whole: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) for every row; give `shards`, or `capacity` for the fewest shards
+    of that size. `whole` adds the struct `row`, the row's own columns."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     text = F.col("text")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.md5(text), F.lit("null")).alias("same"))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(*own, "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.md5(text), F.lit("null")).alias("same"))
     rows = scratch.write(rows, "rows")
     sets = rows.groupBy("same").agg(F.sum("size").alias("weight"))
     ordered = scratch.write(running(sets, [F.col("weight").desc(), F.col("same")], F.lit(1.0), scratch, "groups"), "ordered")
@@ -186,15 +188,16 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = N
     placed = scratch.write(placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "same"), F.lit(slices)).cast("int")), "placed")
     counts = placed.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    starts = scratch.write(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "starts")
     rank = Window.partitionBy("shard", "slice").orderBy("doc_id", "same")
-    out = placed.withColumn("rank", F.row_number().over(rank) - 1).join(F.broadcast(starts), ["shard", "slice"])
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"))
+    out = placed.withColumn("rank", F.row_number().over(rank) - 1).join(small(starts), ["shard", "slice"])
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"), *(["row"] if whole else []))
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    out = shard(docs, shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+def shard_rows(docs: DataFrame, shards: int = SHARDS, whole: bool = False) -> DataFrame:
+    """The digest columns; `whole` adds the struct `row`, the row's own columns."""
+    out = shard(docs, shards, whole=whole)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *(["row"] if whole else []))
 
 
 def op3_bfd_shards(spark, sf_dir):
