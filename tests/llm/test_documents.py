@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import pytest
 
@@ -51,16 +52,69 @@ def test_lines(docs, edges, least, batches):
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=repr) == sorted(lines_model(rows, least), key=repr)
 
 
-def test_settled_lines_are_not_counted_again(spark):
-    runs = linededup.LineRuns(spark, min_docs=3)
-    batches = [{b"a": 3, b"b": 1}, {b"a": 5, b"b": 2, b"c": 1}, {b"a": 1, b"b": 4, b"c": 1}, {b"a": 1, b"b": 1, b"c": 1, b"d": 1}]
-    left = [{b"a": 3, b"b": 1}, {b"b": 2, b"c": 1}, {b"c": 1}]
-    for k, batch in enumerate(batches):
-        runs.add(spark.createDataFrame([(bytearray(x), n) for x, n in batch.items()], "key binary, n long"))
-        if k < 3:
-            assert [{bytes(r.key): r.n for r in run.collect()} for run in runs.levels[0]] == left[: k + 1]
-    assert {bytes(r.key): r.n for r in runs.levels[1][0].collect()} == {b"a": 3, b"b": 3, b"c": 3, b"d": 1}
-    assert {bytes(r.key) for r in runs.settled.collect()} == {bytes(r.key) for r in runs.frequent().collect()} == {b"a", b"b", b"c"}
+BATCHES = [{b"a": 3, b"b": 1}, {b"a": 5, b"b": 2, b"c": 1}, {b"a": 1, b"b": 4, b"c": 1}, {b"a": 1, b"b": 1, b"c": 1, b"d": 1}]
+
+
+def batch_of(spark, counts):
+    return spark.createDataFrame([(bytearray(k),) for k, n in counts.items() for _ in range(n)], "key binary")
+
+
+def held(run):
+    return {bytes(r.key): r.n for r in run.collect()}
+
+
+def test_batches_meet_runs(spark):
+    """A key lies in one run, that of its first batch; later counts are increments; runs merge while batches come."""
+    runs = linededup.LineRuns(spark, min_docs=7, fanout=2)
+    for batch in BATCHES:
+        runs.add(batch_of(spark, batch))
+        if batch is BATCHES[1]:
+            assert [[held(r) for r in level] for level in runs.levels] == [[], [{b"a": 3, b"b": 1, b"c": 1}]]
+        if batch is BATCHES[2]:
+            assert [[held(r) for r in level] for level in runs.levels] == [[{}], [{b"a": 3, b"b": 1, b"c": 1}]]
+    assert [[held(r) for r in level] for level in runs.levels] == [[], [], [{b"a": 3, b"b": 1, b"c": 1, b"d": 1}]]
+    assert [held(r) for r in runs.increments] == [{b"a": 5, b"b": 2}, {b"a": 1, b"b": 4, b"c": 1}, {b"a": 1, b"b": 1, b"c": 1}]
+    assert {bytes(r.key) for r in runs.frequent().collect()} == {b"a", b"b"}
+    runs.close()
+
+
+def test_result_hangs_on_the_anti_join(spark, monkeypatch):
+    def frequent():
+        runs = linededup.LineRuns(spark, min_docs=8, fanout=2)
+        for batch in BATCHES:
+            runs.add(batch_of(spark, batch))
+        found = sorted(bytes(r.key) for r in runs.frequent().collect())
+        runs.close()
+        return found
+
+    assert frequent() == [b"a", b"b"]
+    with monkeypatch.context() as m:  # no run is met
+        m.setattr(linededup.LineRuns, "_unseen", lambda self, batch: batch)
+        assert frequent() != [b"a", b"b"]
+    with monkeypatch.context() as m:  # one run is withheld
+        m.setattr(linededup.LineRuns, "_unseen", lambda self, batch: reduce(self._without, self.runs[:-1], batch))
+        assert frequent() != [b"a", b"b"]
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    """The joins of a batch with the runs are merge joins without any exchange or sort of a run."""
+    runs = linededup.LineRuns(spark, fanout=3)
+    for batch in BATCHES[:2]:
+        runs.add(batch_of(spark, batch))
+    batch = runs._written(batch_of(spark, BATCHES[2]).groupBy("key").count().withColumnRenamed("count", "n"), "batch")
+    with runs._in_order():
+        plan = runs._unseen(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 == plan.count("LeftAnti") and "Exchange" not in plan and "Sort [" not in plan
+    runs._drop(batch)
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("mq_")]
+
+
+def test_repeated_rows_are_documents(spark):
+    df = spark.createDataFrame([(1, "x\ny")] * 3 + [(2, "x\nz"), (None, "X \n"), (None, None)], "doc_id long, text string")
+    rows = [tuple(r) for r in df.collect()]
+    got = linededup.drop_frequent_lines(df, min_docs=4, batches=3).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=repr) == sorted(lines_model(rows, 4), key=repr)
 
 
 def test_lines_of_nothing(none):
@@ -88,13 +142,14 @@ def test_mix(docs, edges):
     for df in (docs, edges):
         rows = df.collect()
         got = mixing.mix(df).collect()
-        assert len(got) == len(rows) and set(got[0].asDict()) == {*df.columns, "_mix"}
+        assert len(got) == len(rows) and set(got[0].row.asDict()) == {*df.columns}
         sizes = defaultdict(int)
         for r in rows:
             sizes[r.source] += len(words(r.text))
         want, took, largest = targets_model(sizes), defaultdict(int), defaultdict(int)
         for r in got:
-            m = r._mix
+            m = r.mix
+            r = r.row
             assert m.size == len(words(r.text)) and m.source_size == sizes[r.source] and m.target == pytest.approx(want[r.source])
             assert 0 <= m.copies <= 3
             took[r.source] += m.size * m.copies
@@ -105,7 +160,7 @@ def test_mix(docs, edges):
 
 
 def test_mixed_rows(docs):
-    m = {r.doc_id: r._mix.copies for r in mixing.mix(docs).collect()}
+    m = {r.row.doc_id: r.mix.copies for r in mixing.mix(docs).collect()}
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: c for i, c in m.items() if c})
@@ -114,12 +169,31 @@ def test_mixed_rows(docs):
 def test_mix_unequal_importance(spark):
     rows = [(i, "w " * 10, "s", 1.6 if i < 200 else 0.4) for i in range(400)] + [(1000 + i, "w " * 10, "t", 1.0) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, imp double")
-    got = [r for r in mixing.mix(df, weights=(1, 4), importance="imp").collect() if r.source == "s"]
-    heavy = sum(r._mix.copies for r in got if r.doc_id < 200)
-    light = sum(r._mix.copies for r in got if r.doc_id >= 200)
+    got = [r for r in mixing.mix(df, weights=(1, 4), importance="imp").collect() if r.row.source == "s"]
+    heavy = sum(r.mix.copies for r in got if r.row.doc_id < 200)
+    light = sum(r.mix.copies for r in got if r.row.doc_id >= 200)
     assert heavy > 2 * light > 0
 
 
+def test_mix_takes_columns_of_any_name(spark):
+    rows = [(i, "w " * (i % 7), f"s{i % 2}", i, i, i, i, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix long, mix long, row long, _row long, copies long")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and all(r._mix == r.doc_id == r.copies for r in out.collect())
+
+
+def test_capped_sources_and_nameless_rows_are_not_ordered(spark, monkeypatch):
+    """A source at its cap has no cut; rows without a doc_id meet as one sum."""
+    rows = [(i, "w " * 9, "a") for i in range(100)] + [(None, "w " * 9, "b") for i in range(3000)] + [(5000 + i, "w " * 9, "b") for i in range(1000)]
+    written = {}
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.mix.copies for r in got if r.row.source == "a"} == {3}
+    assert {r._source for r in written["cut"].collect()} == {"b"}
+    assert len({r.mix.copies for r in got if r.row.doc_id is None}) == 1
+
+
 def test_mix_of_nothing(none):
     assert mixing.mix(none).count() == 0
 
@@ -396,3 +470,19 @@ def test_quality(spark, edges, none):
     assert e.columns == [*edges.columns, "_score"] and e.count() == edges.count() and e.filter("_score is null").count() == 0
     assert quality.quality_scores(none, lab).count() == 0
     assert {r._score for r in quality.quality_scores(edges, lab.limit(0)).collect()} == {0.5}
+
+
+def test_shared_folder_is_named_or_local():
+    from types import SimpleNamespace
+
+    from mediaquarry.llm.common import shared_root
+
+    def session(master, folder=None):
+        conf = {"spark.master": master, **({"spark.checkpoint.dir": folder} if folder else {})}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(getConf=lambda: conf))
+
+    assert shared_root(session("spark://host:7077", "hdfs:///x/")) == "hdfs:///x"
+    assert shared_root(session("local[4]")).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://h"):
+        with pytest.raises(RuntimeError):
+            shared_root(session(master))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 from datetime import datetime, timedelta
 from itertools import product
@@ -74,15 +75,24 @@ def test_extract_rows(spark):
 EVIL = "x WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\nend WARC/1.1\r\n"
 
 
-@pytest.mark.parametrize("split", ["128m", "6000"])
-def test_archive_round_trip(spark, split):
+@pytest.mark.parametrize("split", ["128m", "6000", "changing"])
+def test_archive_round_trip(spark, split, monkeypatch):
     html = lambda i: EVIL * (i % 5 + 1) + str(i) + "é" * (i % 50) if i % 3 else "dup" if i % 2 else None
     rows = [(i, f"http://a/{i}" if i % 9 else None, html(i), "t", "n", "h") for i in range(120)] + [(None, "http://x\r\n/", "no id", None, None, None)]
     pages = spark.createDataFrame(rows, PAGES).coalesce(2)
     path = Scratch(spark, "archive").fresh("warc")
     warc.write_warc(pages, path)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000" if split == "changing" else split)
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    if split == "changing":  # the cluster changes behind each step
+
+        class Changing(Scratch):
+            def write(self, df, name):
+                out = super().write(df, name)
+                spark.conf.set("spark.sql.files.maxPartitionBytes", str(3000 + 1700 * self._n))
+                return out
+
+        monkeypatch.setattr(warc, "Scratch", Changing)
     try:
         got = warc.read_warc(spark, path).collect()
     finally:
@@ -113,6 +123,23 @@ def test_damaged_and_empty_archives(spark):
     assert {r.record_id for r in warc.read_warc(spark, path).collect()} == {"<urn:page:1>", "<urn:page:2>"}
 
 
+def test_other_archives(spark):
+    """WARC/1.0, gzip (a member a record), HTTP headers beyond 64 KB, and a file that is cut short in reading."""
+    import gzip
+
+    record = lambda v, k, block: (f"WARC/1.{v}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    blocks = [b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 100_000 + b"\r\n\r\n" + bytes(range(256)) * 9, b"HTTP/1.1 200 OK\r\n\r\nsee WARC/1.1\r\nContent-Length: 1\r\n\r\nz\r\n\r\nWARC/1.0", b"HTTP/1.1 204 OK\r\n\r\n"]
+    for kind in ("plain", "gz"):
+        folder = Scratch(spark, "archive").fresh("warc")[len("file:"):]
+        os.makedirs(folder)
+        with open(f"{folder}/a.warc{'.gz' if kind == 'gz' else ''}", "wb") as f:
+            for k, b in enumerate(blocks):
+                raw = record(k % 2, k, b)
+                f.write(gzip.compress(raw) if kind == "gz" else raw)
+        got = {r.record_id: bytes(r.payload) for r in warc.read_warc(spark, f"file:{folder}").collect()}
+        assert got == {f"<urn:page:{k}>": b.split(b"\r\n\r\n", 1)[1] for k, b in enumerate(blocks)}
+
+
 # url filters ----------------------------------------------------------------
 
 
@@ -193,10 +220,41 @@ def test_forest_recall(spark, leaf, block, sample):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_forest_recall_as_shipped(spark):
+    """Production parameters, 64 dimensions, links just above the threshold: cosines of .9 to .95."""
+    import numpy as np
+
+    r, rows = np.random.default_rng(3), []
+    for i in range(1200):
+        a = r.normal(size=64)
+        a /= np.linalg.norm(a)
+        rows.append((3 * i, a.tolist(), 0))
+        for k in (1, 2):
+            b = r.normal(size=64)
+            b -= (b @ a) * a
+            c = r.uniform(0.901, 0.95)
+            rows.append((3 * i + k, (c * a + math.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist(), 0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rpforest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute_links(rows, 0.9)
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
+
+
+def test_links_are_counted_once(spark):
+    """Many vectors of one spot share leaves in all trees and in several blocks: each link counts once."""
+    r = random.Random(4)
+    spot = [r.gauss(0, 1) for _ in range(16)]
+    rows = [(i, [x + r.gauss(0, 0.01) for x in spot], 0) for i in range(90)] + [(i, [r.gauss(0, 1) for _ in range(16)], 0) for i in range(90, 150)] + [(200 + i, spot, 0) for i in range(5)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rpforest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=20, block=16).collect()}
+    want = brute_links(rows, 0.9)
+    assert {i: got[i] for i in want} == want
+
+
 def test_forest_edges(spark):
     rows = [(1, [1.0, 0.0, 0.0], 0), (2, [2.0, 0.0, 0.0], 0), (3, None, None), (4, [0.0, 0.0, 0.0], 1), (5, [1.0, None, 0.0], 1), (6, [float("nan"), 1.0, 0.0], 1), (7, [], 1), (8, [1.0, 0.0], 1), (9, [0.9, 0.1, 0.0], 2), (9, [0.9, 0.1, 0.0], 2), (10, [1e-200, 0.0, 0.0], 2), (11, [1e300, 1e299, 0.0], 2), (12, [0.0, 0.0, 1.0], 3), (13, [float("inf"), 0.0, 0.0], 3), (14, [1.0, 0.0, 0.0], 0)]
-    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "vec_id long, embedding array<double>, label int, id long, raw string")
+    df = spark.createDataFrame([(*r, 1, "k") for r in [*rows, (None, [1.0, 0.0, 0.0], 0)]], "vec_id long, embedding array<double>, label int, id long, raw string")
     got = {r.vec_id: (r.n_links, r.component_id) for r in rpforest.near_duplicates(df, 0.9).collect()}
     near = [1, 2, 9, 10, 11, 14]
+    assert got.pop(None) == (0, None)
     assert got == {**{i: (0, i) for i in (3, 4, 5, 6, 7, 8, 12, 13)}, **{i: (5, 1) for i in near}}
     assert rpforest.near_duplicates(df.limit(0), 0.9).count() == 0

@@ -45,10 +45,11 @@ def test_pipeline(spark, folder):
     kept = {i: r for i, r in kept.items() if comp[i] == i}
     items = [" ".join(decontam.words_of(r.text)) for r in bench.collect()]
     kept = {i: r for i, r in kept.items() if not any(x in " ".join(decontam.words_of(r.text)) for x in items)}
-    mixed = {r.doc_id: r._mix.copies for r in mixing.mix(docs.filter(docs.doc_id.isin(*kept))).collect()}
+    mixed = {r.row.doc_id: r.mix.copies for r in mixing.mix(docs.filter(docs.doc_id.isin(*kept))).collect()}
     out = corpus_pipeline.run(spark, folder).collect()
     assert Counter(r.doc_id for r in out) == Counter({i: c for i, c in mixed.items() if c})
     assert all(r.law == "bytes" and 0 <= r.shard < 24 for r in out)
+    assert all(r.row == rows[r.doc_id] for r in out)
 
 
 def test_stages_keep_columns(spark, folder):
