@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards of near-equal bytes; equal texts share a shard."""
-    return sharding.shard_rows(docs)
+    """Shards of near-equal bytes, each row with its place and, as struct `row`, the document; equal texts share a shard."""
+    return sharding.shard_rows(docs, whole=True)
 
 
 STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix_sources), ("shard", shard)]
