@@ -1,30 +1,39 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network with calibrated odds.
 
-Every token has a sparse random index vector that its hash gives (no table). A token's context vector is
-the sum of the index vectors around it over the whole corpus. Tokens share `BUCKETS` hashed rows, so what
-a task sums, sends and later reads is of one fixed size (BUCKETS x DIM float32, 2 MB) whatever the corpus.
-A document is the mean and the spread of its tokens' unit context vectors, a bag of hashed token shapes,
-the shares of repeated neighbours and of distinct tokens, and its log length. A two-layer numpy network learns on a bounded sample of labelled rows; a temperature
-fitted on a part of them that it did not learn from calibrates its probabilities.
-
-The sample: at most `SAMPLE` labelled rows, those with the least hash of doc_id. Corpus statistics cover
-every document.
-
-Defined results: a null or empty text has zero features beside its length and gets a score as any other;
-without labels of both kinds every score is the share of label 1 (0.5 without labels); rows that repeat
-a doc_id are scored each; an empty table gives an empty result; extra columns are not read.
+Every token has a sparse random index vector that its own hash gives (`PER_WORD` signs among `DIM` places;
+no table). Its context vector is the sum of the index vectors within `WINDOW` tokens of it, over the whole
+corpus and over whole documents. The sums are whole numbers, so they do not depend on how tasks are dealt
+and reruns give the same scores. Context vectors are kept by hash in a table that grows with the words
+seen, up to `ROWS` rows; beyond that, words share rows with others of the same hash (32 MB as broadcast).
+
+A document is what its tokens' unit context vectors pool to: their mean, their spread, and the mean and
+spread of the products of neighbours and of next neighbours (how well words that stand side by side go
+together; 1 where a word repeats). Nothing else is an input: no counts, lengths or shapes. A two-layer
+numpy network learns on a bounded sample of labelled rows; a temperature fitted on a part of them that it
+did not learn from calibrates its probabilities.
+
+The sample: of the distinct labelled (doc_id, text, label), the `SAMPLE` with the least hash of doc_id.
+Corpus statistics cover every document.
+
+Defined results: a null or empty text, or one without tokens, has zero features and gets a score as any
+other; without labels of both kinds every score is the share of label 1 (0.5 without labels); rows that
+repeat a doc_id are scored each, rows without one too; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import lean, table
+from .common import fresh_name, lean, table
 
-BUCKETS, DIM, PER_WORD, WINDOW = 1 << 14, 32, 4, 2
-SHAPES, EXTRA, HIDDEN, SAMPLE = 64, 4, 24, 20_000
+ROWS, DIM, PER_WORD, WINDOW = 1 << 18, 64, 4, 2
+HIDDEN, SAMPLE = 24, 20_000
 CUT = 0.3
+FEATURES = 2 * DIM + 4
+STRETCH = 20_000  # tokens worked on at once
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -34,131 +43,162 @@ def tokens_of(text: str | None) -> list[str]:
     return re.findall(r"\w+|[^\w\s]+", text) if text else []
 
 
-def _index_table():
-    """Index vectors by bucket: PER_WORD positions and signs each, from a hash of the bucket."""
+def hashes_of(tokens: list[str]):
     import numpy as np
+    from xxhash import xxh64_intdigest
 
-    i = np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(PER_WORD) + np.arange(PER_WORD, dtype=np.uint64)[None, :] + np.uint64(1)
-    with np.errstate(over="ignore"):
-        h = i * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    rows = np.repeat(np.arange(BUCKETS), PER_WORD)
-    np.add.at(out, (rows, (h % np.uint64(DIM)).astype(np.int64).ravel()), np.where(h.ravel() >> np.uint64(40) & np.uint64(1), 1.0, -1.0).astype(np.float32))
-    return out
+    return np.fromiter((xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens), dtype=np.uint64, count=len(tokens))
 
 
-class _Codes(dict):
-    """token -> bucket | shape << 16, kept for the tokens of a task up to a bound."""
+def index_vectors(hashes):
+    """The index vectors of tokens: int8, a row each."""
+    import numpy as np
 
-    def __missing__(self, token: str) -> int:
-        from zlib import crc32
+    out = np.zeros((len(hashes), DIM), dtype=np.int8)
+    for k in range(PER_WORD):
+        with np.errstate(over="ignore"):
+            h = (hashes + np.uint64(2 * k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        out[np.arange(len(out)), (h % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(40) & np.uint64(1), 1, -1).astype(np.int8)
+    return out
 
-        raw = token.encode("utf-8", "surrogatepass")
-        shape = crc32(_shape(token).encode()) % SHAPES
-        code = crc32(raw) % BUCKETS | shape << 16
-        if len(self) < 200_000:
-            self[token] = code
-        return code
 
+class _Words(dict):
+    """token -> place in `hashes`, for the tokens a task has met; emptied when it has met many."""
 
-def _shape(token: str) -> str:
-    """What a token looks like: its class, capped length, and the mark itself for marks."""
-    if token[0].isalnum() or token[0] == "_":
-        kind = "d" if token.isdigit() else "U" if token.isupper() and len(token) > 1 else "T" if token[0].isupper() else "l" if token.isalpha() else "m"
-        return f"{kind}{min(len(token), 12)}"
-    return token[:2]
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most, self.new = most, []
+        self.rows = self.index = None
 
+    def __missing__(self, token: str) -> int:
+        self[token] = at = len(self)
+        self.new.append(token)
+        return at
 
-def _codes(text, cache):
-    import numpy as np
+    def codes(self, texts, index: bool = False) -> list:
+        """The places of each text's tokens; rows (and index vectors, if asked) then cover them."""
+        import numpy as np
 
-    t = tokens_of(text)
-    return np.fromiter(map(cache.__getitem__, t), dtype=np.int64, count=len(t))
+        if len(self) > self.most:
+            self.clear()
+            self.rows = self.index = None
+        out = []
+        for text in texts:
+            t = tokens_of(text.as_py())
+            out.append(np.fromiter(map(self.__getitem__, t), dtype=np.int64, count=len(t)))
+        if self.new:
+            h = hashes_of(self.new)
+            rows = (h % np.uint64(ROWS)).astype(np.int64)
+            self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
+            if index:
+                vectors = index_vectors(h)
+                self.index = vectors if self.index is None else np.concatenate([self.index, vectors])
+            self.new = []
+        return out
 
 
 def _context(batches):
+    """(row, vec): a task's sums of index vectors around the tokens of each row, as int8 or int32."""
     import numpy as np
     import pyarrow as pa
 
-    index, cache = _index_table(), _Codes()
-    flat = np.zeros(BUCKETS * DIM)
+    words, total = _Words(), np.zeros((ROWS, DIM), dtype=np.int32)
     for b in batches:
-        for t in b.column(0):
-            c = _codes(t.as_py(), cache) & 0xFFFF
-            for s in range(0, len(c), 20_000):
-                part = c[s : s + 20_000]
-                if len(part) < 2:
-                    continue
-                vec = index[part]
+        for c in words.codes(b.column(0), index=True):
+            for s in range(0, len(c), STRETCH):
+                lo, hi, end = max(0, s - WINDOW), min(len(c), s + STRETCH + WINDOW), min(len(c), s + STRETCH)
+                vec = words.index[c[lo:hi]].astype(np.int16)
                 near = np.zeros_like(vec)
                 for k in range(1, WINDOW + 1):
                     near[k:] += vec[:-k]
                     near[:-k] += vec[k:]
-                order = np.argsort(part, kind="stable")
-                own = part[order]
+                own = words.rows[c[s:end]]
+                order = np.argsort(own, kind="stable")
+                own = own[order]
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                flat.reshape(BUCKETS, DIM)[own[first]] += np.add.reduceat(near[order], first, axis=0)
-    seen = np.flatnonzero(np.abs(flat.reshape(BUCKETS, DIM)).sum(1))
-    values = flat.reshape(BUCKETS, DIM)[seen].astype(np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array([v.tobytes() for v in values], pa.binary())], names=["bucket", "vec"])
+                total[own[first]] += np.add.reduceat(near[s - lo : end - lo][order], first, axis=0, dtype=np.int32)
+    seen = np.flatnonzero(total.any(1))
+    for s in range(0, len(seen), 20_000):
+        part = total[seen[s : s + 20_000]]
+        fits = np.abs(part).max(1) < 128
+        yield pa.RecordBatch.from_arrays([pa.array(seen[s : s + 20_000], pa.int32()), pa.array([(v.astype(np.int8) if f else v).tobytes() for v, f in zip(part, fits.tolist())], pa.binary())], names=["row", "vec"])
 
 
 def _add_up(batches):
-    """Sums vectors by bucket; the buckets of one shuffle partition are few, so memory is bounded."""
+    """(rows, vectors): the unit vectors of all rows of a shuffle partition, packed; float16."""
     import numpy as np
     import pyarrow as pa
 
     total: dict[int, object] = {}
     for b in batches:
         for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = np.frombuffer(v, dtype=np.float32).astype(np.float64)
-            total[k] = total[k] + v if k in total else v
+            v = np.frombuffer(v, dtype=np.int8 if len(v) == DIM else np.int32).astype(np.int64)
+            if k in total:
+                total[k] += v
+            else:
+                total[k] = v
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["bucket", "vec"])
+        x = np.array(list(total.values()), dtype=np.float64)
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+        yield pa.RecordBatch.from_arrays([pa.array([np.array(list(total), dtype=np.int32).tobytes()], pa.binary()), pa.array([x.astype(np.float16).tobytes()], pa.binary())], names=["rows", "vectors"])
 
 
 def word_vectors(docs: DataFrame):
-    """The BUCKETS x DIM matrix of unit context vectors over all documents."""
+    """The ROWS x DIM float16 matrix of unit context vectors over all documents."""
     import numpy as np
 
-    parts = docs.select("text").mapInArrow(_context, "bucket int, vec binary").repartition("bucket").mapInArrow(_add_up, "bucket int, vec binary")
-    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    for r in parts.toLocalIterator():  # at most BUCKETS rows, 2 MB
-        out[r[0]] = np.frombuffer(r[1], dtype=np.float32)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    parts = docs.select("text").mapInArrow(_context, "row int, vec binary").repartition("row").mapInArrow(_add_up, "rows binary, vectors binary")
+    out = np.zeros((ROWS, DIM), dtype=np.float16)
+    for r in parts.toLocalIterator():  # together at most ROWS rows, 32 MB
+        out[np.frombuffer(r[0], dtype=np.int32)] = np.frombuffer(r[1], dtype=np.float16).reshape(-1, DIM)
+    return out
 
 
-def features(text, vectors, cache):
+def features(rows, vectors):
+    """The pooled vector of a document from the table rows of its tokens."""
     import numpy as np
 
-    c = _codes(text, cache)
-    out = np.zeros(2 * DIM + SHAPES + EXTRA, dtype=np.float64)
-    out[-1] = np.log1p(len(c)) / 10
-    if len(c) > 2:
-        out[-4:-1] = (c[1:] == c[:-1]).mean(), (c[2:] == c[:-2]).mean(), len(np.unique(c)) / len(c)
-    if len(c):
-        count = np.bincount(c & 0xFFFF, minlength=BUCKETS) if len(c) > 4000 else None
-        if count is None:
-            v = vectors[c & 0xFFFF]
-            out[:DIM], out[DIM : 2 * DIM] = v.mean(0), v.std(0)
-        else:
-            w = count / len(c)
-            mean = w @ vectors
-            out[:DIM], out[DIM : 2 * DIM] = mean, np.sqrt(np.maximum(w @ (vectors * vectors) - mean * mean, 0))
-        out[2 * DIM : -EXTRA] = np.sqrt(np.bincount(c >> 16, minlength=SHAPES) / len(c))
+    out, n = np.zeros(FEATURES), len(rows)
+    if not n:
+        return out
+    sums, squares, pairs = np.zeros(DIM), np.zeros(DIM), np.zeros((2, 2))
+    for s in range(0, n, STRETCH):
+        v = vectors[rows[max(0, s - 2) : s + STRETCH]]
+        own = v[min(s, 2) :]
+        sums += own.sum(0, dtype=np.float64)
+        squares += np.einsum("ij,ij->j", own, own, dtype=np.float64)
+        for k in (1, 2):
+            # the pairs whose later token is this stretch's own
+            near = np.einsum("ij,ij->i", v[k:], v[:-k])[max(0, min(s, 2) - k) :] if len(v) > k else np.zeros(0)
+            pairs[k - 1] += near.sum(dtype=np.float64), (near * near).sum(dtype=np.float64)
+    mean = sums / n
+    out[:DIM], out[DIM : 2 * DIM] = mean, np.sqrt(np.maximum(squares / n - mean * mean, 0))
+    for k in (1, 2):
+        if n > k:
+            m, q = pairs[k - 1] / (n - k)
+            out[2 * DIM + 2 * k - 2 : 2 * DIM + 2 * k] = m, np.sqrt(max(q - m * m, 0))
     return out
 
 
+def _pooled(texts, vectors, words):
+    """The features of a batch of texts; vectors is the broadcast table, widened once a task."""
+    import numpy as np
+
+    if not hasattr(words, "table"):
+        words.table = vectors.value.astype(np.float32)
+    return [features(words.rows[c] if len(c) else c, words.table) for c in words.codes(texts)]
+
+
 def _featured(vectors):
     def run(batches):
         import pyarrow as pa
 
-        cache = _Codes()
+        words = _Words()
         for b in batches:
-            x = [features(t.as_py(), vectors.value, cache).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
+            x = [f.tobytes() for f in _pooled(b.column("text"), vectors, words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("t"), pa.array(x, pa.binary())], names=["doc_id", "label", "t", "x"])
 
     return run
 
@@ -211,49 +251,48 @@ def learn(docs: DataFrame, labels: DataFrame, vectors, most: int = SAMPLE):
     """A network fitted on at most `most` rows of labels (doc_id, quality), or the share of label 1."""
     import numpy as np
 
-    spark = docs.sparkSession
-    chosen = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("label"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "label").limit(most).drop("h")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows
-    got = rows.select("doc_id", "text", "label").mapInArrow(_featured(vectors), docs.select("doc_id").schema.add("label", "double").add("x", "binary")).limit(2 * most).collect()
+    own = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("t"))
+    known = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("label")).distinct()
+    chosen = own.select("doc_id", "t").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "t", "label").limit(most)
+    rows = own.join(F.broadcast(chosen), ["doc_id", "t"])  # at most `most` rows of three numbers
+    got = rows.select("doc_id", "text", "label", "t").mapInArrow(_featured(vectors), docs.select("doc_id").schema.add("label", "double").add("t", "long").add("x", "binary"))
+    got = got.dropDuplicates(["doc_id", "t", "label"]).collect()
     if not got:
         return 0.5
-    got.sort(key=lambda r: (r[0], r[1], r[2]))
+    got.sort(key=lambda r: (r[0], r[2], r[1]))
     y = np.array([r[1] for r in got])
     if y.min() == y.max():
         return float(y[0])
-    return Network(np.array([np.frombuffer(r[2]) for r in got]), y)
+    return Network(np.array([np.frombuffer(r[3]) for r in got]), y)
 
 
-def _scored(vectors, model):
+def _scored(vectors, model, name: str):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        cache = _Codes()
+        words = _Words()
         for b in batches:
-            texts = b.column("text")
             if isinstance(model.value, float):
-                s = np.full(len(texts), model.value)
+                s = np.full(b.num_rows, model.value)
             else:
-                x = [features(t.as_py(), vectors.value, cache) for t in texts]
+                x = _pooled(b.column("text"), vectors, words)
                 s = model.value.score(np.array(x)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[c for n, c in zip(b.schema.names, b.columns)], pa.array(s)], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, name])
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """docs (or the given columns of it) with `_score`: the calibrated probability of label 1."""
+def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, name: str = "_score") -> DataFrame:
+    """docs (or the given columns of it) with column `name`: the calibrated probability of label 1."""
     lean(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     vectors = sc.broadcast(word_vectors(docs))
     model = sc.broadcast(learn(docs, labels, vectors))
     cols = list(dict.fromkeys([*(columns or docs.columns), "text"]))
     src = docs.select(*[F.col(f"`{c}`") for c in cols])
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    out = src.mapInArrow(_scored(vectors, model), StructType([*src.schema.fields, StructField("_score", DoubleType())]))
-    return out.select(*[F.col(f"`{c}`") for c in columns or docs.columns], "_score")
+    out = src.mapInArrow(_scored(vectors, model, name), StructType([*src.schema.fields, StructField(name, DoubleType())]))
+    return out.select(*[F.col(f"`{c}`") for c in columns or docs.columns], name)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -262,8 +301,9 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents scored at least `cut`, with all their columns."""
-    return quality_scores(docs, learnable(labels)).filter(F.col("_score") >= cut).drop("_score")
+    """The documents scored at least `cut`, with all their columns, whatever their names."""
+    name = fresh_name(docs.columns, "_score")
+    return quality_scores(docs, learnable(labels), name=name).filter(F.col(name) >= cut).drop(name)
 
 
 def op6_quality(spark, sf_dir):
