@@ -464,14 +464,63 @@ def test_quality(spark, edges, none):
     right = sum((r._score >= quality.CUT) == (r.doc_id % 4 != 0) for r in held)
     assert len(got) == 600 and right >= 0.97 * len(held) and all(0 <= r._score <= 1 for r in got)
     shifted = df.withColumn("source", df.lang)
-    again = {r.doc_id: r._score for r in quality.quality_scores(shifted, quality.learnable(lab)).collect()}
-    assert all(again[r.doc_id] == pytest.approx(r._score, abs=1e-3) for r in got)
+    again = {r.doc_id: r._score for r in quality.quality_scores(shifted.repartition(5), quality.learnable(lab)).collect()}
+    assert all(again[r.doc_id] == r._score for r in got)  # however the rows are dealt
     e = quality.quality_scores(edges, quality.learnable(lab))
     assert e.columns == [*edges.columns, "_score"] and e.count() == edges.count() and e.filter("_score is null").count() == 0
     assert quality.quality_scores(none, lab).count() == 0
     assert {r._score for r in quality.quality_scores(edges, lab.limit(0)).collect()} == {0.5}
 
 
+def test_quality_is_the_plain_model(spark, monkeypatch):
+    """Word vectors, features and scores against loops over tokens, with stretches shorter than texts."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "ROWS", 512)
+    texts = [prose(i, 3 + 7 * i) for i in range(60)] + [None, "", "one", "a b", "!! a !! a !! a"]
+    df = spark.createDataFrame([(i, t, float(i % 2)) for i, t in enumerate(texts)], "doc_id long, text string, _score double")
+    tokens = [quality.tokens_of(t) for t in texts]
+    row = lambda w: int(quality.hashes_of([w])[0] % np.uint64(512))
+    index = {w: quality.index_vectors(quality.hashes_of([w]))[0].astype(int) for t in tokens for w in t}
+    assert len({v.tobytes() for v in index.values()}) == len(index)  # of the token itself, not of its row
+    table = np.zeros((512, quality.DIM))
+    for t in tokens:
+        for i, w in enumerate(t):
+            for j in range(max(0, i - 2), min(len(t), i + 3)):
+                if i != j:
+                    table[row(w)] += index[t[j]]
+
+    batches = lambda k: [type("B", (), {"column": lambda self, _, p=texts[s : s + k]: [type("T", (), {"as_py": lambda self, t=t: t})() for t in p]})() for s in range(0, len(texts), k)]
+    for stretch in (5, 20_000):
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        got = np.zeros((512, quality.DIM))
+        for b in quality._context(iter(batches(7))):
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[k] += np.frombuffer(v, dtype=np.int8 if len(v) == quality.DIM else np.int32)
+        assert (got == table).all()
+        unit = (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        for t in tokens:
+            v = unit[[row(w) for w in t]]
+            want = np.zeros(quality.FEATURES)
+            if t:
+                want[:64], want[64:128] = v.mean(0), v.std(0)
+            for k in (1, 2):
+                if len(t) > k:
+                    near = (v[k:] * v[:-k]).sum(1)
+                    want[126 + 2 * k : 128 + 2 * k] = near.mean(), near.std()
+            assert quality.features(np.array([row(w) for w in t], dtype=np.int64), unit) == pytest.approx(want, abs=2e-4)
+    monkeypatch.undo()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    sc = spark.sparkContext
+    vectors = quality.word_vectors(df)
+    model = quality.learn(df, labels, sc.broadcast(vectors))
+    wide = vectors.astype(np.float32)
+    want = {i: float(model.score(np.array([quality.features((quality.hashes_of(t) % np.uint64(quality.ROWS)).astype(np.int64), wide)]))[0]) for i, t in enumerate(tokens)}
+    assert {r.doc_id: r.mine for r in quality.quality_scores(df, labels, name="mine").collect()} == pytest.approx(want, abs=1e-6)
+    good = quality.keep_good(df, labels, 0.0)
+    assert good.columns == df.columns and {r.doc_id: r._score for r in good.collect()} == {i: float(i % 2) for i in range(len(texts))}
+
+
 def test_shared_folder_is_named_or_local():
     from types import SimpleNamespace
 
