@@ -1,11 +1,15 @@
 """Main-text extraction by a minimum cut over the text blocks of a page.
 
-A page becomes text blocks (runs between block-level tags). A linear classifier gives every block log
-odds of being content, from its ancestors' tags and names, its link density, length and punctuation.
-The odds are the capacities to the two terminals; blocks next to each other and blocks with a common
-parent are tied with capacities that fall with their distance in the tree. The cut of least capacity
-labels the blocks. A block whose odds outweigh all its ties is settled before the flow (no minimum cut
-could place it otherwise), so the flow runs on the doubtful rest.
+A page becomes text blocks (runs between block-level tags). A logistic classifier gives every block log
+odds of being main text: from its words, links, punctuation and tag, and from what the elements around it
+say (marks: article, furniture, readers' comments). The odds are the capacities to the two terminals.
+Blocks next to each other, and neighbours among the blocks of one parent, are tied with capacities that
+fall with their distance in the tree. The cut of least capacity labels the blocks: a heading, a short line
+or a list item goes with what it stands in, a prose-like advert or comment with the lines around it.
+
+A block whose odds outweigh all its ties is settled first (no least cut could place it otherwise), the flow
+decides the rest. Weights and ties are fitted on labelled pages of three styles, one of them with names
+that say nothing (`fit`; tests fit them anew and compare). Parsing takes time in proportion to the page.
 
 Defined results: a null or empty page, or one without content, has empty text; broken markup is read as
 browsers do, roughly: unclosed elements end with their parents, stray end tags are ignored, an unclosed
@@ -15,6 +19,7 @@ comment, script or style takes the rest; repeated rows are extracted each; extra
 from __future__ import annotations
 
 import functools
+import math
 import re
 from html import unescape
 
@@ -24,24 +29,35 @@ from .common import lean, table
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe object svg math head select option datalist canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template title textarea iframe object svg head select datalist canvas audio video annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow msub msup mfrac msqrt semantics".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("body article section main div table ul ol dl nav aside header footer form blockquote".split())
 #: Words in class, id and role that mark page furniture, and words that mark the article.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot "
     "masthead topbar toolbar sidebar aside widget widgets rail cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog newsletter subscribe "
-    "subscription signup login register search searchform share sharing social related recommended recommendations trending popular comment comments disqus respond reply replies "
-    "discussion pagination pager copyright legal disclaimer tags tagcloud skip complementary contentinfo form paywall".split()
+    "subscription signup login register search searchform share sharing social related recommended recommendations trending popular pagination pager copyright legal "
+    "disclaimer tags tagcloud skip complementary contentinfo form paywall".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 LAYOUT = frozenset("with has no layout".split())  # "with-sidebar" names a layout, not a sidebar
 ARTICLE = frozenset("article content main post entry story text body articlebody maincontent hentry".split())
-#: Weights of the classifier: what an ancestor's tag or name says, in log odds.
-TAG_ODDS = {"nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "button": -6.0, "fieldset": -5.0, "header": -4.0, "article": 4.0, "main": 3.0, "address": -1.0, "figcaption": 0.0}
-FURNITURE_ODDS, COMMENT_ODDS, ARTICLE_ODDS = -6.0, -12.0, 2.5
-NEAR, SIBLING, FADE = 0.6, 0.4, 0.6
+#: Words that go with any mark and do not weaken it: places, parts and roles of boxes.
+NEUTRAL = frozenset("site page top bottom left right center global primary secondary area box block bar list item items inner outer wrap wrapper container section slot unit zone header head title links link module".split())
+FURNITURE_TAGS = frozenset("nav footer aside form menu dialog fieldset header".split())
+ARTICLE_TAGS = {"article": 1.0, "main": 0.8}
+#: Words of a block that go with furniture.
+CUES = frozenset("cookies cookie subscribe newsletter reply replies login advertisement sponsored copyright privacy terms imprint follow share tweet unsubscribe \u00a9".split())
+HEADINGS, PROSE, ITEMS, CELLS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("p blockquote pre".split()), frozenset("li dt dd".split()), frozenset("td th".split())
+
+#: Fitted on labelled pages (see `fit`): log odds for each feature.
+FEATURES = "bias article furniture comments words links closed marks heading prose item cell button short cue".split()
+WEIGHTS = (-1.17, 4.06, -2.92, -2.28, 0.31, -3.84, -0.83, 0.67, 0.9, 1.32, 2.07, 2.58, -0.42, -0.83, -1.46)
+#: Ties: capacity between neighbours in the page (by FADE for each further step in the tree) and in a parent.
+NEAR, SIBLING, FADE, FAR = 0.5, 1.5, 0.4, 12
+#: Added to all odds of a page that would else have no main text.
+RELIEF = 1.0
 
 _TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>?)""")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -49,46 +65,83 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @functools.lru_cache(maxsize=4096)
-def _hints(tag: str, attrs: str) -> tuple[float, bool]:
-    """(log odds an element gives to what it holds, hidden)."""
-    odds, hidden, names = TAG_ODDS.get(tag, 0.0), False, set()
+def _hints(tag: str, attrs: str) -> tuple[float, float, float, bool]:
+    """(article, furniture, comments, hidden): what an element says of what it holds, each from 0 to 1.
+
+    A name counts by the share of its words that are known: "site-footer" fully, "copyright-law" by half.
+    """
+    article, furniture, comments, hidden = ARTICLE_TAGS.get(tag, 0.0), float(tag in FURNITURE_TAGS), 0.0, False
     for m in _NAMES.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
         elif key in ("class", "id", "role"):
-            names |= {w.lower() for w in _WORDS.findall(value)} | {w.lower() for w in re.split(r"[^A-Za-z]+", value)}
-    if names & COMMENTS:
-        odds = min(odds, 0) + COMMENT_ODDS
-    elif names & FURNITURE and not names & LAYOUT and tag not in ("body", "html", "article", "main"):
-        odds = min(odds, 0) + FURNITURE_ODDS
-    elif names & ARTICLE:
-        odds += ARTICLE_ODDS
-    return odds, hidden
-
-
-def _within(above: float, odds: float) -> float:
-    """Log odds inside an element: furniture overrides what lies around it, and inside furniture an
-    article's marks count for little, among comments for nothing."""
-    if odds <= -4:
-        return min(above, 0.0) + odds
-    if above <= -4 and odds > 0:
-        return above if above <= -10 else above + odds / 4
-    return above + odds
+            for name in value.split():
+                words = {w.lower() for w in _WORDS.findall(name)} if name.lower() not in FURNITURE | COMMENTS | ARTICLE else {name.lower()}
+                own = words - NEUTRAL
+                if not own or words & LAYOUT:
+                    continue
+                comments = max(comments, len(own & COMMENTS) / len(own))
+                if tag not in ("body", "html", "article", "main"):
+                    furniture = max(furniture, len(own & FURNITURE) / len(own))
+                article = max(article, 0.7 * len(own & ARTICLE) / len(own))
+    return article, furniture, comments, hidden
+
+
+def _within(above: tuple, hints: tuple) -> tuple[float, float, float]:
+    """Marks inside an element: furniture overrides the article around it, inside furniture an article's
+    marks count for little, among comments for nothing."""
+    article, furniture, comments = above
+    a, f, c = hints[:3]
+    if c > comments:
+        comments, article = c, article * (1 - c)
+    if f > 0:
+        furniture, article = max(furniture, f), article * (1 - f)
+    elif a > article and not comments:
+        article, furniture = a * (1 - furniture) if furniture else a, furniture * (0.8 if furniture > 0.5 else 1 - a)
+    return article, furniture, comments
 
 
 class Block:
-    __slots__ = ("text", "links", "path", "odds", "tag")
+    __slots__ = ("text", "links", "node", "marks", "tag")
+
+    def __init__(self, text, links, node, marks, tag):
+        self.text, self.links, self.node, self.marks, self.tag = text, links, node, marks, tag
+
+
+class Tree:
+    """The block-level elements of a page: parent and depth of each; node 0 is the page."""
 
-    def __init__(self, text, links, path, odds, tag):
-        self.text, self.links, self.path, self.odds, self.tag = text, links, path, odds, tag
+    def __init__(self):
+        self.parent, self.depth = [0], [0]
 
+    def add(self, above: int) -> int:
+        self.parent.append(above)
+        self.depth.append(self.depth[above] + 1)
+        return len(self.parent) - 1
 
-def blocks_of(html: str) -> list[Block]:
+    def distance(self, x: int, y: int, far: int = FAR) -> int:
+        """Steps from x to y, `far` if there are as many or more."""
+        steps = abs(self.depth[x] - self.depth[y])
+        if steps >= far:
+            return far
+        while self.depth[x] > self.depth[y]:
+            x = self.parent[x]
+        while self.depth[y] > self.depth[x]:
+            y = self.parent[y]
+        while x != y and steps < far:
+            x, y, steps = self.parent[x], self.parent[y], steps + 2
+        return min(steps, far)
+
+
+def blocks_of(html: str) -> tuple[list[Block], Tree]:
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # tag, id, log odds with ancestors, hidden
+    tree, root = Tree(), ("", 0, (0.0, 0.0, 0.0), False, "")
+    stack: list[tuple] = []  # tag, node, marks, hidden, name of the nearest block-level element
+    opened: dict[str, int] = {}
+    absent: set[str] = set()  # elements with no end tag in the rest of the page
     parts: list[str] = []
-    linked = depth_a = made = 0
+    linked = depth_a = 0
     pos, end = 0, len(html)
 
     def flush():
@@ -96,8 +149,8 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                odds, tag = (stack[-1][2], next((s[0] for s in reversed(stack) if s[0] not in INLINE), "")) if stack else (0.0, "")
-                out.append(Block(text, linked, tuple(s[1] for s in stack if s[0] not in INLINE), odds, tag))
+                _, node, marks, _, tag = stack[-1] if stack else root
+                out.append(Block(text, linked, node, marks, tag))
             parts.clear()
         linked = 0
 
@@ -113,7 +166,9 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal depth_a
         if any(s[0] not in INLINE for s in stack[k:]):
             flush()
-        depth_a -= sum(s[0] == "a" for s in stack[k:])
+        for s in stack[k:]:
+            opened[s[0]] -= 1
+            depth_a -= s[0] == "a"
         del stack[k:]
 
     while pos < end:
@@ -135,12 +190,13 @@ def blocks_of(html: str) -> list[Block]:
             continue
         tag = m[3].lower()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE or tag == "p" and stack[k][0] in SCOPE:
-                    break
+            if opened.get(tag):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        pop_to(k)
+                        break
+                    if tag in INLINE and stack[k][0] not in INLINE or tag == "p" and stack[k][0] in SCOPE:
+                        break
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input"):
@@ -149,76 +205,108 @@ def blocks_of(html: str) -> list[Block]:
             else:
                 flush()
             continue
+        if tag == "option":  # of a list whose start is lost
+            at = html.find("<", pos)
+            pos = at if at >= 0 else end
+            continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, pos) if tag != "head" else re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(html, pos)
             if m[4].endswith("/"):
                 continue
-            if tag not in ("head", "option", "svg", "math"):
+            close = None if tag in absent else _END(tag).search(html, pos)
+            if close is None:
+                absent.add(tag)
+            if tag not in ("head", "svg"):
                 parts.append(" ")
-            pos = close.end() if close else (end if tag not in ("head", "option") else pos)
+            pos = close.end() if close else (end if tag != "head" else pos)
             continue
+        above = stack[-1] if stack else root
         if tag in INLINE:
-            odds, hidden = _hints(tag, m[4]) if tag != "a" and m[4] else (0.0, False)
+            hints = _hints(tag, m[4]) if tag != "a" and m[4] else (0.0, 0.0, 0.0, False)
             depth_a += tag == "a"
+            node, name = above[1], above[4]
         else:
             flush()
-            shut = CLOSES.get(tag, {"p"} if tag in SCOPE or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr") else ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-            odds, hidden = _hints(tag, m[4])
-        if m[4].endswith("/") and tag not in INLINE:
-            continue
-        made += 1
-        above = stack[-1] if stack else ("", 0, 0.0, False)
-        if tag == "header" and above[2] > 0:
-            odds = -1.0  # an article's own header holds its title
-        stack.append((tag, made, _within(above[2], odds), above[3] or hidden))
+            shut = CLOSES.get(tag, {"p"} if tag in SCOPE or tag in HEADINGS or tag in ("pre", "hr") else ())
+            if any(opened.get(x) for x in shut):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in shut:
+                        pop_to(k)
+                        break
+                    if stack[k][0] in SCOPE:
+                        break
+            hints = _hints(tag, m[4])
+            if m[4].endswith("/"):
+                continue
+            above = stack[-1] if stack else root
+            node, name = tree.add(above[1]), tag
+        if tag == "header" and above[2][0] > 0.5:
+            hints = (hints[0], 0.0, hints[2], hints[3])  # an article's own header holds its title
+        stack.append((tag, node, _within(above[2], hints), above[3] or hints[3], name))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return out
+    return out, tree
+
+
+@functools.cache
+def _END(tag: str):
+    return re.compile(r"</head\b[^>]*>|(?=<body\b)" if tag == "head" else rf"</{tag}\b[^>]*>", re.I)
+
+
+def features(b: Block) -> list[float]:
+    words = b.text.split(" ")
+    n = len(words)
+    links = min(1.0, b.links / len(b.text))
+    marks = sum(map(b.text.count, ".,;:!?")) / n
+    cue = n < 40 and any(w.lower().strip(".,:!?()") in CUES for w in words)
+    return [
+        1.0, *b.marks, math.log1p(min(n, 120)), links, float(b.text[-1] in ".!?\u2026\"\u201d\u00bb:"), min(marks, 0.4), float(b.tag in HEADINGS), float(b.tag in PROSE), float(b.tag in ITEMS),
+        float(b.tag in CELLS), float(b.tag == "button"), float(n < 4), float(cue),
+    ]
 
 
 def log_odds(b: Block) -> float:
-    """The classifier: log odds that a block is content."""
-    words = b.text.count(" ") + 1
-    density = min(1.0, b.links / max(1, len(b.text)))
-    odds = b.odds - 0.4 + min(words, 40) * 0.06 - 3.0 * density
-    if b.text[-1] in ".!?…\"”»:":
-        odds += 0.6
-    if b.tag in ("h1", "h2", "h3", "h4"):
-        odds += 0.8
-    elif b.tag in ("p", "blockquote", "pre"):
-        odds += 0.6
-    elif b.tag == "li" and density > 0.5:
-        odds -= 1.0
-    return odds
-
-
-def ties_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
-    """Smoothness capacities: neighbours in the page, and neighbours among the blocks of one parent."""
+    """The classifier: log odds that a block is main text."""
+    return sum(w * x for w, x in zip(WEIGHTS, features(b)))
+
+
+def fit(pages: list[tuple[list[Block], list[bool]]], decay: float = 1e-3, steps: int = 60):
+    """Weights of the classifier from labelled blocks, by Newton's method."""
+    import numpy as np
+
+    x = np.array([features(b) for blocks, _ in pages for b in blocks])
+    y = np.array([float(g) for _, good in pages for g in good])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) / len(y) + decay * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(len(w))
+        w = w - np.linalg.solve(curve, grad)
+    return w
+
+
+def ties_of(blocks: list[Block], tree: Tree) -> dict[tuple[int, int], float]:
+    """Smoothness capacities: neighbours in the page, and neighbours among the blocks of one parent; the less,
+    the more the marks of furniture and comments around both differ."""
+
+    def alike(a: Block, b: Block) -> float:
+        return max(0.0, 1 - abs(a.marks[1] - b.marks[1])) * max(0.0, 1 - abs(a.marks[2] - b.marks[2]))
+
     ties: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            common = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                common += 1
-            ties[i - 1, i] = NEAR * FADE ** max(0, len(a) + len(b.path) - 2 * common - 2)
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            apart = tree.distance(blocks[i - 1].node, b.node)
+            if apart < FAR:
+                ties[i - 1, i] = NEAR * FADE ** max(0, apart - 2) * alike(blocks[i - 1], b)
+        parent = tree.parent[b.node]
         if parent in last:
-            ties[last[parent], i] = ties.get((last[parent], i), 0.0) + SIBLING
+            ties[last[parent], i] = ties.get((last[parent], i), 0.0) + SIBLING * alike(blocks[last[parent]], b)
         last[parent] = i
     return ties
 
 
 def min_cut(odds: list[float], ties: dict[tuple[int, int], float]) -> list[bool]:
-    """Labels (True: content) of least cost: odds against their sign, and ties between unlike labels."""
+    """Labels (True: main text) of least cost: odds against their sign, and ties between unlike labels."""
     n = len(odds)
     odds = list(odds)
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -238,59 +326,82 @@ def min_cut(odds: list[float], ties: dict[tuple[int, int], float]) -> list[bool]
             near[i] = {}
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        for i, side in zip(rest, _flow([odds[i] for i in rest], [{rest.index(j): c for j, c in near[i].items()} for i in rest])):
+        place = {i: k for k, i in enumerate(rest)}
+        for i, side in zip(rest, _flow([odds[i] for i in rest], [{place[j]: c for j, c in near[i].items()} for i in rest])):
             label[i] = side
     return [bool(x) for x in label]
 
 
 def _flow(odds: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """Max flow by level graphs (Dinic); the source side of the cut is content."""
+    """Max flow by level graphs (Dinic); the source side of the cut is main text. Edges lie in flat arrays,
+    an edge and its reverse side by side, and each node keeps its place among its edges within a level graph."""
     n = len(odds)
     s, t = n, n + 1
-    cap: list[dict[int, float]] = [dict(x) for x in near] + [{}, {}]
+    to, room, first = [], [], [[] for _ in range(n + 2)]
+
+    def edge(u, v, there, back):
+        first[u].append(len(to))
+        first[v].append(len(to) + 1)
+        to.extend((v, u))
+        room.extend((there, back))
+
     for i, o in enumerate(odds):
-        if o > 0:
-            cap[s][i], cap[i][s] = o, 0.0
-        else:
-            cap[i][t], cap[t][i] = -o, 0.0
+        edge(s, i, o, 0.0) if o > 0 else edge(i, t, -o, 0.0)
+        for j, c in near[i].items():
+            if i < j:
+                edge(i, j, c, c)
     while True:
-        level = {s: 0}
-        queue = [s]
+        level = [-1] * (n + 2)
+        level[s], queue = 0, [s]
         for u in queue:
-            for v, c in cap[u].items():
-                if c > 1e-12 and v not in level:
-                    level[v] = level[u] + 1
-                    queue.append(v)
-        if t not in level:
-            return [i in level for i in range(n)]
-        edges = {u: iter(list(cap[u])) for u in level}
-        path = [s]
-        while path:
-            u = path[-1]
+            for e in first[u]:
+                if room[e] > 1e-12 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        at, path, u = [0] * (n + 2), [], s
+        while True:
             if u == t:
-                push = min(cap[a][b] for a, b in zip(path, path[1:]))
-                for a, b in zip(path, path[1:]):
-                    cap[a][b] -= push
-                    cap[b][a] = cap[b].get(a, 0.0) + push
-                path = [s]
-                edges = {u: iter(list(cap[u])) for u in level}
+                push = min(room[e] for e in path)
+                cut = len(path)
+                for k in range(len(path) - 1, -1, -1):
+                    room[path[k]] -= push
+                    room[path[k] ^ 1] += push
+                    if room[path[k]] <= 1e-12:
+                        cut = k
+                u = to[path[cut] ^ 1]  # back to the first edge without room
+                del path[cut:]
                 continue
-            for v in edges[u]:
-                if cap[u][v] > 1e-12 and level.get(v) == level[u] + 1:
-                    path.append(v)
+            while at[u] < len(first[u]):
+                e = first[u][at[u]]
+                if room[e] > 1e-12 and level[to[e]] == level[u] + 1:
                     break
+                at[u] += 1
+            if at[u] < len(first[u]):
+                path.append(e)
+                u = to[e]
+            elif path:
+                level[u] = -1
+                u = to[path.pop() ^ 1]
             else:
-                path.pop()
+                break
+
+
+def labelled(html: str) -> tuple[list[Block], list[bool]]:
+    """The blocks of a page and whether each is main text."""
+    blocks, tree = blocks_of(html)
+    odds, ties = [log_odds(b) for b in blocks], ties_of(blocks, tree)
+    keep = min_cut(odds, ties)
+    if not any(keep):  # few pages have no main text at all
+        keep = min_cut([o + RELIEF for o in odds], ties)
+    return blocks, keep
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    blocks = blocks_of(html)
-    if not blocks:
-        return ""
-    keep = min_cut([log_odds(b) for b in blocks], ties_of(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep) if k)
+    return " ".join(b.text for b, keep in zip(*labelled(html)) if keep)
 
 
 def _extract(batches):
