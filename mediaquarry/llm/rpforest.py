@@ -213,10 +213,11 @@ def _links(least: float):
             some = np.flatnonzero(near.any(1))
             if not len(some):
                 continue
-            root = _least_reached(near)
             fresh = near & ~_shared(t.column("before").to_pylist(), some, len(ids))
-            n = fresh @ weight
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(n[some], pa.int64())], names=["id", "root", "n"])
+            some = np.flatnonzero(fresh.any(1))
+            root, n = _least_reached(fresh), fresh @ weight
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(n[some], pa.int64())], names=["id", "root", "n"])
 
     return run
 
