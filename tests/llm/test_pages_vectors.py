@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import time
 from datetime import datetime, timedelta
 from itertools import product
 
@@ -14,6 +15,7 @@ from mediaquarry.llm import htmlcut, rpforest, urlfilter, warc
 from mediaquarry.llm.common import Scratch
 
 from .fixtures import prose
+from .labelled import Page
 
 PAGES = "page_id long, url string, html string, text string, n_chars string, host string"
 
@@ -62,6 +64,67 @@ def test_cut_is_least():
         assert cost(htmlcut.min_cut(odds, ties)) == pytest.approx(min(map(cost, product([False, True], repeat=n))))
 
 
+def judged(seeds, style=None):
+    out = []
+    for seed in seeds:
+        page = Page(seed, style)
+        blocks, tree = htmlcut.blocks_of(page.html)
+        assert [b.text for b in blocks] == [t for t, _ in page.labels]
+        odds = [htmlcut.log_odds(b) for b in blocks]
+        out.append(([o > 0 for o in odds], htmlcut.min_cut(odds, htmlcut.ties_of(blocks, tree)), [g for _, g in page.labels]))
+    return out
+
+
+@pytest.mark.parametrize("style,alone,cut,whole", [("tags", 0.95, 0.99, 0.95), ("names", 0.99, 0.99, 0.95), ("mute", 0.85, 0.97, 0.65)])
+def test_the_cut_decides(style, alone, cut, whole):
+    """Share of blocks labelled rightly by the classifier alone and by the cut; share of pages wholly right."""
+    pages = judged(range(5000, 5200), style)
+    n = sum(len(g) for _, _, g in pages)
+    by_odds = sum(x == y for o, _, g in pages for x, y in zip(o, g)) / n
+    by_cut = sum(x == y for _, c, g in pages for x, y in zip(c, g)) / n
+    right = sum(c == g for _, c, g in pages) / len(pages)
+    assert by_odds > alone and by_cut > cut and right > whole
+    assert by_cut > by_odds and right > sum(o == g for o, _, g in pages) / len(pages)
+    if style == "mute":
+        assert by_cut - by_odds > 0.05
+
+
+def test_flow_runs(monkeypatch):
+    ran, flow = [], htmlcut._flow
+    monkeypatch.setattr(htmlcut, "_flow", lambda odds, near: ran.append(len(odds)) or flow(odds, near))
+    judged(range(5000, 5200))
+    assert len(ran) >= 20
+
+
+def test_weights_are_those_fitted():
+    pages = []
+    for seed in range(1500):
+        page = Page(seed)
+        pages.append((htmlcut.blocks_of(page.html)[0], [g for _, g in page.labels]))
+    assert [round(float(w), 2) for w in htmlcut.fit(pages)] == pytest.approx(htmlcut.WEIGHTS, abs=0.011)
+
+
+LONG = "".join(f"<p>{prose(k, 60)}</p>" for k in range(4))
+
+
+def test_names_that_say_nothing_or_mislead():
+    text = " ".join(prose(k, 60) for k in range(4))
+    reader = lambda k: f'<div class="x{k}"><div><a href=u{k}>kab{k} oplin</a></div><p>{prose(50 + k, 14)}</p><div><a href=r{k}>Reply</a></div></div>'
+    assert htmlcut.main_text(f'<body><div class="c-9">{LONG}</div><div class="c-4">{reader(1)}{reader(2)}{reader(3)}</div></body>') == text
+    law = LONG.replace("<p>", '<p class="copyright-law">', 1)
+    assert htmlcut.main_text(f"<article>{law}</article>") == text
+    assert htmlcut.main_text(f"<article><p>Let <math><mi>x</mi></math> be 3.</p>{LONG}</article>") == "Let x be 3. " + text
+    links = "".join(f"<div><a href=/{k}>{prose(70 + k, 5)}</a></div>" for k in range(4))
+    assert htmlcut.main_text(f'<body><div class="zone-b7">{links}</div><div class="zone-b8">{LONG}</div><div class="zone-b9">{links}</div></body>') == text
+
+
+@pytest.mark.parametrize("html", ["<div>x" * 20_000, "<b>y" * 20_000, "<div><p>z</section>" * 20_000, "<option>o" * 20_000, "<head>h" * 20_000, "<ul><li><a href=x>k</a> and so on" * 10_000, "<div><b>" * 20_000 + "</i></div>" * 20_000])
+def test_parsing_takes_linear_time(html):
+    began = time.process_time()
+    htmlcut.main_text(html)
+    assert time.process_time() - began < 5
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", f"<article>{BODY}</article>", "x", "y", "z"), (2, None, None, None, None, None), (None, "u", "", None, None, None), (1, "u", f"<article>{BODY}</article>", "x", "y", "z"), (4, "u", "<article><p>" + prose(1, 50_000) + "</article>", None, None, None)]
     got = htmlcut.extract_text(spark.createDataFrame(rows, PAGES)).collect()
