@@ -23,6 +23,10 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument(e)
         if name == "search":
             c.add_argument("--limit", type=int, default=20)
+            c.add_argument("--type", default="all", help="image, video, gif or live_photo")
+            c.add_argument("--persona-kind", default="all", help="person or pet")
+            c.add_argument("--persona-id", default="")
+            c.add_argument("--favorites", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("mediaquarry").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     ship(spark)
@@ -32,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "sync":
         api.sync(list_files(spark, a.media_root), now).show(truncate=False)
     elif a.command == "search":
-        api.items(a.query, limit=str(max(1, a.limit))).select("id", "mediaKind", "capturedAt", "title").show(max(1, a.limit), truncate=False)
+        api.items(a.query, a.type, a.persona_kind, a.persona_id, "1" if a.favorites else "", limit=str(max(1, a.limit))).select("id", "mediaKind", "capturedAt", "title").show(max(1, a.limit), truncate=False)
     else:
         print("imported" if api.library.import_json(a.json_folder, now) else "the library is not empty")
     return 0

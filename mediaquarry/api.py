@@ -5,14 +5,17 @@ Reading methods return lazy DataFrames with the names the routes use; changing o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import clusters, memories, mutations, relations, search, similarity
+from .operators import clusters, detect, memories, mutations, relations, search, similarity
+from .schema import conform
 from .sources.scan import build_assets
 from .sources.store import Library
-from .streaming.ingest import diff_counts, snapshot_diff
+from .streaming.ingest import diff_counts, keep_assignments, mark_clean, mark_stable, refresh_faces, snapshot_diff
 
 
 def int_param(value: str | None, default: int) -> int:
@@ -100,6 +103,10 @@ class LibraryApi:
         kind = (self.t("unknown_clusters").filter(F.col("cluster_id") == cluster_id).select("kind").first() or ["person"])[0]
         return similarity.suggestions(similarity.cluster_scores(kept, self.t("personas"), kind, self.settings), limit)
 
+    def count_detections(self, kind: str = "all", dirty_only: bool = False) -> int:
+        """Detections that clusters of a kind may hold, or only those changed since the last clustering."""
+        return search.query_detections(self.t("detections"), kind, True if dirty_only else None).count()
+
     def embedding_map(self, limit: int = 12_000) -> DataFrame:
         t = self.library.load()
         return relations.map_points(t["detections"], t["personas"], t["unknown_clusters"], t["unknown_cluster_members"], t["items"], limit)
@@ -109,19 +116,64 @@ class LibraryApi:
     def _save(self, now: str, **tables: DataFrame) -> None:
         self.library.save(tables, now)
 
-    def sync(self, files: DataFrame, now: str) -> DataFrame:
-        """Files as listed now against the stored items: new and changed assets are saved, missing ones removed.
-        Returns the counts."""
-        assets, known = build_assets(files), self.t("items")
-        diff = snapshot_diff(assets, known).persist()
-        changed = assets.join(diff.filter(F.col("action").isin("added", "changed")).select("id"), "id", "left_semi")
-        keep = known.select("id", "favorite", "hidden", "manual_persona_ids", "notes")
-        changed = changed.join(keep, "id", "left").withColumn("discovered_at", F.lit(now))
-        counts = diff_counts(diff)
-        rows = counts.collect()
-        self.library.save_items(changed, diff.filter("action = 'removed'").select("id"), now)
+    def sync(self, files: DataFrame, now: str, analyse: Callable[[DataFrame], DataFrame] | None = None, face_pipeline: str | None = None, batches: int = 1) -> DataFrame:
+        """Files as listed now against the stored items: new and changed assets are saved, missing ones removed,
+        in as many saves as `batches`. Returns the counts.
+
+        analyse takes items and returns (id, detections and any other columns of items) of what its models find;
+        without it, changed items keep what was found before. Personas are carried over to detections that go
+        on from earlier ones, free detections go to personas they match, and what users have set stays. With
+        face_pipeline, items that were analysed by another one only have their faces done anew.
+        """
+        assets, known = build_assets(files), self.t("items").drop("_rev")
+        recorded = F.coalesce(F.try_element_at("metadata", F.lit("human_face_pipeline")), F.lit(""))
+        pipeline = F.lit(face_pipeline) if face_pipeline is not None else F.lit("")
+        left = assets.withColumn("_rev", pipeline)
+        diff = snapshot_diff(left, known.withColumn("_rev", recorded if face_pipeline is not None else F.lit("")), revision="_rev").persist()
+        rows = diff_counts(diff).collect()
+        todo = diff.filter(F.col("action").isin("added", "changed", "reanalyse")).withColumn("_batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
+        removed = diff.filter("action = 'removed'").select("id")
+        for b in range(batches):
+            part = todo.filter(F.col("_batch") == b).select("id", "action")
+            changed = self._analysed(assets.join(part, "id"), now, analyse)
+            self.library.save_items(changed, removed, now)
         diff.unpersist()
-        return known.sparkSession.createDataFrame(rows, counts.schema)
+        return known.sparkSession.createDataFrame(rows, diff_counts(diff).schema)
+
+    def _analysed(self, assets: DataFrame, now: str, analyse: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+        """Items as a sync saves them. assets has the column `action`."""
+        known, personas = self.t("items"), self.t("personas")
+        own = [c for c in assets.columns if c not in ("id", "action")]
+        stored = known.select("id", *[F.col(c).alias(f"old_{c}") for c in known.columns if c != "id"])
+        rows = assets.join(stored, "id", "left")
+        kept = {c: F.col(f"old_{c}") for c in known.columns if c not in ("id", *own)}
+        kept["discovered_at"] = F.coalesce(F.nullif("old_discovered_at", F.lit("")), F.lit(now))
+        base = conform(rows.select("id", *own, *[v.alias(c) for c, v in kept.items()]), "items")
+        if analyse is None:
+            return base
+        found = analyse(base)
+        extra = [c for c in found.columns if c != "id" and c in base.columns]
+        fresh = base.drop(*extra).join(found.select("id", *extra), "id").join(assets.select("id", "action"), "id")
+        fresh = conform(fresh, "items").join(assets.select("id", "action"), "id").join(known.select("id", *[F.col(c).alias(f"old_{c}") for c in ("detections", "tags", "metadata")]), "id", "left")
+        d, t, m = refresh_faces(F.col("old_detections"), F.col("detections"), F.col("old_tags"), F.col("tags"), F.col("old_metadata"), F.col("metadata"))
+        partly = F.col("action") == "reanalyse"
+        fresh = fresh.withColumns({"detections": F.when(partly, d).otherwise(F.col("detections")), "tags": F.when(partly, t).otherwise(F.col("tags")), "metadata": F.when(partly, m).otherwise(F.col("metadata"))})
+        fresh = fresh.select(*known.columns)
+        carried = detect.carry_assignments(relations.detections_of(fresh), relations.detections_of(known.join(fresh.select("id"), "id", "left_semi")), personas)
+        carried = similarity.auto_assign(carried.withColumnRenamed("id", "detection_id"), personas, self.settings).withColumnRenamed("detection_id", "id")
+        return keep_assignments(relations.with_detections(fresh, carried), known)
+
+    def refresh_clusters(self, kind: str, now: str) -> str:
+        """Places new and changed detections into the stored clusters, or clusters anew where there is nothing
+        to go on from. Returns which."""
+        t = self.library.load()
+        how, members = clusters.refresh(t["unknown_clusters"], t["unknown_cluster_members"], t["detections"], kind, self.settings)
+        cols = ["item_id", "detection_id", "label", "confidence", "captured_at"]
+        full = members.join(t["detections"].select(*cols), ["item_id", "detection_id"]).withColumn("kind", F.lit(kind))
+        full = clusters.order_rank(full, ["cluster_id"])
+        new, links = mutations.replace_clusters(t["unknown_clusters"], t["unknown_cluster_members"], clusters.finalize(full, revision=now), members, t["detections"], kind)
+        self._save(now, unknown_clusters=mark_stable(new, kind, now), unknown_cluster_members=links, detections=mark_clean(t["detections"], members, now))
+        return how
 
     def rebuild_clusters(self, kind: str, now: str) -> None:
         det = self.t("detections")
@@ -132,29 +184,66 @@ class LibraryApi:
     def regenerate_memories(self, now: str) -> None:
         self._save(now, memories=memories.regenerate(self.t("items"), self.t("item_personas"), self.t("personas"), now, self.settings))
 
-    def create_persona(self, name: str, kind: str, now: str) -> None:
+    def create_persona(self, name: str, kind: str, now: str) -> str:
+        """Its id, or that of the persona of this name and kind."""
         self._save(now, personas=mutations.create_persona(self.t("personas"), name, kind, now))
-
-    def assign_region(self, item_id: str, detection_id: str, persona_id: str, now: str) -> None:
-        kind = self.library.find("personas", persona_id).select("kind").first()[0]
-        region = self.t("detections").filter((F.col("item_id") == item_id) & (F.col("detection_id") == detection_id))
-        self._save(now, detections=mutations.assign_region(self.t("detections"), self.t("unknown_cluster_members"), region, persona_id, kind))
+        return self.t("personas").filter((F.lower("name") == name.strip().lower()) & (F.col("kind") == kind)).select("id").first()[0]
+
+    def _persona(self, persona_id: str, new_name: str, kind: str, now: str) -> tuple[str, str]:
+        """(id, kind) of a persona, created where only a name is given."""
+        persona_id = persona_id or self.create_persona(new_name, kind, now)
+        found = self.library.find("personas", persona_id).select("kind").first()
+        if found is None:
+            raise ValueError("there is no such persona")
+        return persona_id, found[0]
+
+    def _assign(self, regions: DataFrame, persona_id: str, kind: str, now: str, reassign: bool) -> None:
+        """Items, detections, personas (with what they learn) and indexes in one save."""
+        changed = mutations.assign_in_items(self.t("items"), regions, persona_id, kind, reassign)
+        if changed.isEmpty():
+            raise ValueError("there are no detections that this persona can own")
+        taught = relations.detections_of(changed).join(regions.select("item_id", F.col("detection_id").alias("id")).distinct(), ["item_id", "id"], "left_semi").filter(F.col("persona_id") == persona_id)
+        self.library.save_persona_assignment(mutations.learn(self.t("personas"), persona_id, kind, taught), changed, now)
+
+    def assign_region(self, item_id: str, detection_id: str, persona_id: str, now: str, new_name: str = "", kind: str = "person") -> None:
+        """The region and its whole cluster, others' assignments included."""
+        persona_id, kind = self._persona(persona_id, new_name, kind, now)
+        region = self.library.spark.createDataFrame([(item_id, detection_id)], "item_id string, detection_id string")
+        self._assign(mutations.with_whole_cluster(region, self.t("unknown_cluster_members")), persona_id, kind, now, reassign=True)
+
+    def assign_clusters(self, cluster_ids: list[str], persona_id: str, now: str, new_name: str = "", kind: str = "person") -> None:
+        """The members of clusters of the persona's kind; regions that others own stay."""
+        persona_id, kind = self._persona(persona_id, new_name, kind, now)
+        own = self.t("unknown_clusters").filter(F.col("cluster_id").isin(*cluster_ids))
+        if {r[0] for r in own.select("kind").distinct().limit(2).collect()} != {kind}:
+            raise ValueError("clusters must be of the persona's kind")
+        self._assign(self.t("unknown_cluster_members").join(own.select("cluster_id"), "cluster_id", "left_semi"), persona_id, kind, now, reassign=False)
 
     def clear_region(self, item_id: str, detection_id: str, now: str) -> None:
-        region = self.t("detections").filter((F.col("item_id") == item_id) & (F.col("detection_id") == detection_id))
-        self._save(now, detections=mutations.clear_regions(self.t("detections"), region))
-
-    def assign_item(self, item_id: str, persona_id: str, now: str) -> None:
-        items = mutations.assign_item(self.t("items"), item_id, persona_id)
-        self._save(now, items=items, **Library.indexes(items, self.t("personas")))
+        region = self.library.spark.createDataFrame([(item_id, detection_id)], "item_id string, detection_id string")
+        changed = mutations.clear_in_items(self.t("items"), region)
+        self.library.save_persona_assignment(self.t("personas"), changed, now)
+        self.regenerate_memories(now)
+
+    def assign_item(self, item_id: str, persona_id: str, now: str, new_name: str = "", kind: str = "person") -> None:
+        """The persona by hand; it learns from the item's only face, or from all its pets."""
+        persona_id, kind = self._persona(persona_id, new_name, kind, now)
+        changed = mutations.assign_item(self.library.find("items", item_id), item_id, persona_id)
+        taught = mutations.learnable_of_item(relations.detections_of(changed).withColumnRenamed("id", "detection_id"), item_id, kind).withColumnRenamed("detection_id", "id")
+        personas = mutations.learn(self.t("personas"), persona_id, kind, taught)
+        personas = personas.withColumn("avatar_item_id", F.when((F.col("id") == persona_id) & (F.coalesce("avatar_item_id", F.lit("")) == ""), F.lit(item_id)).otherwise(F.col("avatar_item_id")))
+        self.library.save_persona_assignment(personas, changed, now)
+        self.regenerate_memories(now)
 
     def clear_item(self, item_id: str, now: str) -> None:
-        items, detections = mutations.clear_items(self.t("items"), self.t("detections"), [item_id])
-        self._save(now, items=items, detections=detections, **Library.indexes(items, self.t("personas")))
+        """The item and its detections without personas."""
+        one = self.library.find("items", item_id)
+        changed, _ = mutations.clear_items(one, self.t("detections").limit(0), [item_id])
+        self.library.save_persona_assignment(self.t("personas"), changed, now)
+        self.regenerate_memories(now)
 
-    def assign_clusters(self, cluster_ids: list[str], persona_id: str, now: str) -> None:
-        kind = self.library.find("personas", persona_id).select("kind").first()[0]
-        self._save(now, detections=mutations.assign_clusters(self.t("detections"), self.t("unknown_clusters"), self.t("unknown_cluster_members"), cluster_ids, persona_id, kind))
+    def dedupe_references(self, now: str) -> None:
+        self._save(now, personas=mutations.dedupe_references(self.t("personas"), self.t("items")))
 
     def create_album(self, name: str, item_ids: list[str], now: str) -> None:
         self._save(now, albums=mutations.create_album(self.t("albums"), self.t("items"), name, item_ids, now))

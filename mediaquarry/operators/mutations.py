@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_pet, stable_id
-from .relations import EMPTY, can_own, unassigned
+from .detect import distinct_references, learned_encodings
+from .relations import EMPTY, can_own, detections_of, unassigned
 
 #: Colours of personas in order of creation; they repeat.
 COLORS = ("#0D3B66", "#3A7D44", "#A23B72", "#B56576", "#33658A", "#6D597A", "#5E6472")
@@ -74,6 +75,68 @@ def assign_clusters(detections: DataFrame, clusters: DataFrame, members: DataFra
     return assign_regions(detections, members.join(own.select("cluster_id"), "cluster_id", "left_semi"), persona_id, persona_kind)
 
 
+def _by_item(regions: DataFrame) -> DataFrame:
+    return regions.groupBy(F.col("item_id").alias("id")).agg(F.collect_set("detection_id").alias("_own"))
+
+
+def assign_in_items(items: DataFrame, regions: DataFrame, persona_id: str, persona_kind: str, reassign: bool = False) -> DataFrame:
+    """The items among whose detections some regions (item_id, detection_id) take the persona, changed."""
+    fits = lambda d: F.array_contains("_own", d["id"]) & can_own(F.lit(persona_kind), d["kind"], d["label"]) & (F.lit(reassign) | F.coalesce(d["persona_id"], F.lit("")).isin("", persona_id))
+    hit = items.join(_by_item(regions), "id").filter(F.exists("detections", fits))
+    return hit.withColumn("detections", F.transform("detections", lambda d: F.when(fits(d), d.withField("persona_id", F.lit(persona_id))).otherwise(d))).select(*items.columns)
+
+
+def clear_in_items(items: DataFrame, regions: DataFrame) -> DataFrame:
+    """The items of the regions, without personas on these."""
+    hit = items.join(_by_item(regions), "id")
+    bare = lambda d: F.when(F.array_contains("_own", d["id"]), d.withField("persona_id", F.lit(None).cast("string"))).otherwise(d)
+    return hit.withColumn("detections", F.transform("detections", bare)).select(*items.columns)
+
+
+def learn(personas: DataFrame, persona_id: str, persona_kind: str, taught: DataFrame) -> DataFrame:
+    """personas after one has been assigned detections (item_id, detection fields as in an item's list).
+
+    Of those it can own, in order of item and detection, a vector is learnt if its cosine to all references
+    is below 0.985, a hash if it is new. The first item becomes the avatar where there is none. The fold over
+    vectors runs in one task for the persona, as each step depends on those before.
+    """
+    own = taught.filter(can_own(F.lit(persona_kind), F.col("kind"), F.col("label")))
+    order = Window.partitionBy("persona_id").orderBy("item_id", "id")
+    new = own.filter(F.coalesce(F.size("encoding"), F.lit(0)) > 0).select(F.lit(persona_id).alias("persona_id"), "item_id", "id", "encoding")
+    new = new.withColumn("seq", F.row_number().over(order).cast("long") + (1 << 40))
+    me = F.col("id") == persona_id
+    known = personas.filter(me).select(F.col("id").alias("persona_id"), F.posexplode("reference_encodings").alias("pos", "encoding"))
+    rows = known.select("persona_id", F.col("pos").cast("long").alias("seq"), "encoding").unionByName(new.select("persona_id", "seq", "encoding"))
+    fits = learned_encodings(rows).filter(F.col("kept") | (F.col("seq") < 1 << 40)).select("persona_id", "seq")
+    vectors = rows.join(fits, ["persona_id", "seq"]).groupBy("persona_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "encoding"))), lambda x: x["encoding"]).alias("_v"))
+    hashes = own.filter(F.coalesce("signature", F.lit("")) != "").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "id", "signature"))), lambda x: x["signature"])).alias("_h"))
+    avatar = taught.agg(F.min("item_id").alias("_a"))
+    extra = hashes.crossJoin(avatar).join(vectors, F.lit(True), "left").withColumn("_p", F.lit(persona_id))  # one row
+    out = personas.join(F.broadcast(extra.select("_p", "_v", "_h", "_a")), F.col("id") == F.col("_p"), "left")
+    out = out.withColumns({
+        "reference_encodings": F.when(me, F.coalesce("_v", "reference_encodings")).otherwise(F.col("reference_encodings")),
+        "reference_signatures": F.when(me, F.array_union("reference_signatures", F.coalesce("_h", F.expr(EMPTY)))).otherwise(F.col("reference_signatures")),
+        "avatar_item_id": F.when(me & (F.coalesce("avatar_item_id", F.lit("")) == ""), F.col("_a")).otherwise(F.col("avatar_item_id")),
+    })
+    return out.select(*personas.columns)
+
+
+def dedupe_references(personas: DataFrame, items: DataFrame) -> DataFrame:
+    """personas whose reference images, oldest first, have a path of their own and stem from detections that
+    differ from those of all images kept before; images whose detection is gone stay."""
+    each = personas.select(F.col("id").alias("persona_id"), F.explode("reference_images").alias("r")).filter("r.path <> ''")
+    each = each.groupBy("persona_id", "r.path").agg(F.min_by("r", "r.created_at").alias("r"))
+    each = each.withColumn("seq", F.row_number().over(Window.partitionBy("persona_id").orderBy("r.created_at", "path")))
+    source = detections_of(items).select(F.col("item_id").alias("_i"), F.col("id").alias("_d"), "encoding", "signature")
+    found = each.join(source, (F.col("r.source_item_id") == F.col("_i")) & (F.col("r.source_region_id") == F.col("_d")), "left")
+    kept = distinct_references(found.filter("_d is not null").select("persona_id", "seq", "encoding", "signature")).filter("kept").select("persona_id", "seq")
+    kept = kept.unionByName(found.filter("_d is null").select("persona_id", "seq"))
+    left = each.join(kept, ["persona_id", "seq"]).groupBy("persona_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "r"))), lambda x: x["r"]).alias("_r"))
+    out = personas.join(left, F.col("id") == F.col("persona_id"), "left")
+    none = F.array().cast(personas.schema["reference_images"].dataType)
+    return out.withColumn("reference_images", F.coalesce("_r", none)).select(*personas.columns)
+
+
 def clear_regions(detections: DataFrame, regions: DataFrame) -> DataFrame:
     hit = detections.join(regions.select("item_id", "detection_id").distinct().withColumn("_hit", F.lit(True)), ["item_id", "detection_id"], "left")
     return hit.withColumn("persona_id", F.when(F.col("_hit").isNull(), F.col("persona_id"))).select(*detections.columns)

@@ -162,6 +162,27 @@ def keep_live_ids(owners: DataFrame, items: DataFrame, column: str = "item_ids")
     return owners.join(kept, "id", "left").withColumn(column, F.coalesce("_kept", F.expr(EMPTY))).drop("_kept").select(*owners.columns)
 
 
+def keep_live_avatars(personas: DataFrame, items: DataFrame) -> DataFrame:
+    """Personas without avatars of items that are gone."""
+    live = items.select(F.col("id").alias("avatar_item_id"), F.lit(True).alias("_live"))
+    out = personas.join(live, "avatar_item_id", "left").withColumn("avatar_item_id", F.when(F.col("_live"), F.col("avatar_item_id")))
+    return out.select(*personas.columns)
+
+
+def detections_of(items: DataFrame) -> DataFrame:
+    """(item_id, pos, detection fields): the items' own lists, a row an entry."""
+    return items.select(F.col("id").alias("item_id"), F.posexplode("detections").alias("pos", "d")).select("item_id", "pos", "d.*")
+
+
+def with_detections(items: DataFrame, rows: DataFrame) -> DataFrame:
+    """items with the rows (item_id, pos, detection fields) as their lists."""
+    fields = [f.name for f in items.schema["detections"].dataType.elementType.fields]
+    kept = rows.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("d")))), lambda s: s["d"]).alias("_d"))
+    out = items.join(kept, items.id == kept.item_id, "left")
+    kind = items.schema["detections"].dataType
+    return out.withColumn("detections", F.coalesce(F.col("_d").cast(kind), F.array().cast(kind))).select(*items.columns)
+
+
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")

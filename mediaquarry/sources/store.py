@@ -1,19 +1,25 @@
 """A library on disk: one Parquet folder a table and snapshot, and a small manifest that names the current one.
 
-A save writes new snapshots of the tables it changes and then replaces the manifest, so readers see the old
-or the new state and no path is overwritten while it is read.
+A save writes new snapshots of the tables it changes and then a manifest with the next number, by renaming a
+finished file to a name that must not exist yet. The highest number counts, so readers see the old or the new
+state whenever a save stops, no path is overwritten while it is read, and of two saves that start from one
+state the later fails instead of undoing the other.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mutations, relations
-from ..schema import TABLES, conform, empty
+from ..schema import TABLES, conform, empty, schema
+
+
+KEPT_MANIFESTS = 10
 
 
 class Library:
@@ -26,21 +32,38 @@ class Library:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[tuple[int, str]]:
+        """(number, path) of the manifests there are, in order."""
+        at, fs = self._fs(self.root)
+        names = [str(f.getPath().getName()) for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted((int(n[len("manifest-") : -len(".json")]), f"{self.root}/{n}") for n in names if re.fullmatch(r"manifest-\d+\.json", n))
+
     def manifest(self) -> dict:
-        at, fs = self._fs(f"{self.root}/manifest.json")
-        if not fs.exists(at):
-            return {"tables": {}, "metadata": {"schema_version": "1"}}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).collect()))
+        found = self._manifests()
+        if not found:
+            return {"number": 0, "tables": {}, "metadata": {"schema_version": "1"}}
+        number, at = found[-1]
+        path, fs = self._fs(at)
+        stream = fs.open(path)
+        try:
+            return {**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")), "number": number}
+        finally:
+            stream.close()
 
     def _publish(self, manifest: dict) -> None:
-        tmp, fs = self._fs(f"{self.root}/manifest-{uuid.uuid4().hex}.tmp")
+        """Makes the manifest, read under number n, the one of number n + 1."""
+        number = manifest["number"] + 1
+        tmp, fs = self._fs(f"{self.root}/_manifest-{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        at, _ = self._fs(f"{self.root}/manifest.json")
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(tmp, at)
+        at, _ = self._fs(f"{self.root}/manifest-{number}.json")
+        if fs.exists(at) or not fs.rename(tmp, at):
+            fs.delete(tmp, False)
+            raise RuntimeError("the library has been saved by another session; load it again")
+        for old, path in self._manifests():
+            if old <= number - KEPT_MANIFESTS:
+                fs.delete(self._fs(path)[0], False)
 
     def metadata(self, key: str, default: str | None = None) -> str | None:
         return self.manifest()["metadata"].get(key, default)
@@ -52,38 +75,62 @@ class Library:
 
     # tables -----------------------------------------------------------------
 
-    def table(self, name: str) -> DataFrame:
-        at = self.manifest()["tables"].get(name)
-        return conform(self.spark.read.parquet(f"{self.root}/{at}"), name) if at else empty(self.spark, name)
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        at = (manifest or self.manifest())["tables"].get(name)
+        return conform(self.spark.read.schema(schema(name)).parquet(f"{self.root}/{at}"), name) if at else empty(self.spark, name)
 
     def load(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in TABLES if name != "metadata"}
+        """All tables of one state."""
+        m = self.manifest()
+        return {name: self.table(name, m) for name in TABLES if name != "metadata"}
+
+    def _stage(self, name: str, df: DataFrame, made: dict[str, str]) -> DataFrame:
+        """A new snapshot of a table, not published yet: what is derived from it reads it."""
+        made[name] = f"{name}/{uuid.uuid4().hex}"
+        conform(df, name).write.parquet(f"{self.root}/{made[name]}")
+        return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{made[name]}")
+
+    def _commit(self, manifest: dict, made: dict[str, str], now: str) -> None:
+        manifest["tables"].update(made)
+        if now:
+            manifest["metadata"]["updated_at"] = now
+        self._publish(manifest)
 
     def save(self, tables: dict[str, DataFrame], now: str = "") -> None:
         """New snapshots of the given tables, published together."""
-        m = self.manifest()
+        m, made = self.manifest(), {}
         for name, df in tables.items():
-            at = f"{name}/{uuid.uuid4().hex}"
-            conform(df, name).write.parquet(f"{self.root}/{at}")
-            m["tables"][name] = at
-        if now:
-            m["metadata"]["updated_at"] = now
-        self._publish(m)
+            self._stage(name, df, made)
+        self._commit(m, made, now)
 
     def save_state(self, items: DataFrame, personas: DataFrame, albums: DataFrame, memories: DataFrame, now: str) -> None:
-        """Everything at once: tables replaced, indexes rebuilt, detections diffed, clusters pruned."""
+        """Everything at once: tables replaced, indexes rebuilt, detections diffed, clusters pruned; albums, memories
+        and avatars lose items that are gone."""
         from ..streaming.ingest import detection_feed
 
+        m, made = self.manifest(), {}
+        items = self._stage("items", items, made)
+        personas = self._stage("personas", relations.keep_live_avatars(personas, items), made)
+        self._stage("albums", relations.keep_live_ids(albums, items), made)
+        self._stage("memories", relations.keep_live_ids(memories, items), made)
+        for name, df in self.indexes(items, personas).items():
+            self._stage(name, df, made)
         feed = detection_feed(self.table("detections"), relations.detection_rows(items, now), now)
-        detections, members, clusters = relations.prune(items, feed, self.table("unknown_clusters"), self.table("unknown_cluster_members"))
-        members = members.join(detections.filter(relations.unassigned() & ~F.col("cluster_dirty")).select("item_id", "detection_id"), ["item_id", "detection_id"], "left_semi")
-        clusters = clusters.join(members.select("cluster_id"), "cluster_id", "left_semi")
-        self.save({"items": items, "personas": personas, "albums": albums, "memories": memories, **self.indexes(items, personas), "detections": detections, "unknown_cluster_members": members, "unknown_clusters": clusters}, now)
-
-    def save_items(self, changed: DataFrame, removed: DataFrame, now: str) -> None:
-        """Progress of a sync: removed ids go, changed items are upserted, indexes and detections follow."""
+        detections = self._stage("detections", feed, made)
+        _, members, clusters = relations.prune(items, detections, self.table("unknown_clusters"), self.table("unknown_cluster_members"))
+        free = detections.filter(relations.unassigned() & ~F.col("cluster_dirty")).select("item_id", "detection_id")
+        members = self._stage("unknown_cluster_members", members.join(free, ["item_id", "detection_id"], "left_semi"), made)
+        self._stage("unknown_clusters", clusters.join(members.select("cluster_id"), "cluster_id", "left_semi"), made)
+        self._commit(m, made, now)
+
+    def save_items(self, changed: DataFrame, removed: DataFrame, now: str, personas: DataFrame | None = None) -> None:
+        """Progress of a sync, or an assignment: removed ids go, changed items are upserted, indexes and detections follow."""
         items = mutations.upsert(mutations.remove(self.table("items"), removed), conform(changed, "items"))
-        self.save_state(items, self.table("personas"), self.table("albums"), self.table("memories"), now)
+        self.save_state(items, personas if personas is not None else self.table("personas"), self.table("albums"), self.table("memories"), now)
+
+    def save_persona_assignment(self, personas: DataFrame, changed: DataFrame, now: str) -> None:
+        """Personas as learnt and the items they were assigned in: items, detections and indexes in one save."""
+        self.save_items(changed, changed.limit(0).select("id"), now, personas)
 
     @staticmethod
     def indexes(items: DataFrame, personas: DataFrame) -> dict[str, DataFrame]:
@@ -96,9 +143,26 @@ class Library:
     # JSON -------------------------------------------------------------------
 
     def export_json(self, path: str) -> None:
-        """One folder of JSON lines a table."""
+        """One folder of JSON lines a table, under a new folder that then takes the place of `path`."""
+        staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
         for name, df in self.load().items():
-            df.write.mode("overwrite").json(f"{path}/{name}")
+            df.write.json(f"{staged}/{name}")
+        new, fs = self._fs(staged)
+        at, _ = self._fs(path)
+        old, _ = self._fs(f"{staged}-old")
+        had = fs.exists(at)
+        if had:
+            fs.rename(at, old)
+        fs.rename(new, at)
+        if had:
+            fs.delete(old, True)
+
+    def backfill_detections(self, now: str = "") -> bool:
+        """Detections from the items' own lists, where there are items and no detection is stored."""
+        if self.table("items").isEmpty() or not self.table("detections").isEmpty():
+            return False
+        self.save({"detections": relations.detection_rows(self.table("items"), now)}, now)
+        return True
 
     def import_json(self, path: str, now: str = "") -> bool:
         """Reads such a folder into an empty library; rebuilds detections from items where they are missing."""
@@ -109,7 +173,6 @@ class Library:
             at, fs = self._fs(f"{path}/{name}")
             if name != "metadata" and fs.exists(at):
                 got[name] = self.spark.read.schema(ddl).json(f"{path}/{name}")
-        if "items" in got and ("detections" not in got or got["detections"].isEmpty()):
-            got["detections"] = relations.detection_rows(conform(got["items"], "items"), now)
         self.save(got, now)
+        self.backfill_detections(now)
         return True

@@ -433,6 +433,114 @@ def test_api(spark, tmp_path):
     assert api.unknown_clusters().count() == 0 and api.memories().count() == 0
 
 
+FOUND = "id string, detections array<struct<id:string,kind:string,label:string,confidence:double,bbox:array<int>,persona_id:string,encoding:array<double>,signature:string>>, tags array<string>, metadata map<string,string>"
+
+
+def faces(*rows):
+    """Detections (id, kind, label, vector, hash); the box tells the place."""
+    return [(i, kind, name, 0.9, [10 * k, 0, 8, 8], None, v, h) for k, (i, kind, name, v, h) in enumerate(rows)]
+
+
+def test_assignments_persist(spark, tmp_path):
+    """Assigned people are found, teach matching, and survive new analysis, syncs, clearing and deletion."""
+    from mediaquarry.api import LibraryApi
+
+    api = LibraryApi(Library(spark, str(tmp_path / "lib")))
+    files = lambda rows: spark.createDataFrame(rows, "path string, size_bytes long, mtime_ns long")
+    names = ["2024/05/a.jpg", "2024/05/b.jpg", "2024/06/c.jpg"]
+    seen = {"a": faces(("f1", "face", "", [1.0, 0.0, 0.0], ""), ("f2", "face", "", [0.0, 1.0, 0.0], "")), "b": faces(("f1", "face", "", [0.6, 0.8, 0.0], "")), "c": faces(("p1", "pet", "dog", [], "00ff00ff00ff00ff"))}
+
+    def analyse(found, pipeline="v1"):
+        def run(items):
+            rows = [(r.id, found[r.title], ["face", "found"], {"human_face_pipeline": pipeline}) for r in items.select("id", "title").collect()]
+            return spark.createDataFrame(rows, FOUND)
+
+        return run
+
+    r = api.sync(files([(n, 1, 1) for n in names]), "t1", analyse(seen)).first()
+    assert (r.added, r.updated, r.removed) == (3, 0, 0) and api.count_detections() == 4 and api.count_detections("pet") == 1
+    assert api.count_detections("person", dirty_only=True) == 3
+    at = {x.title: x.id for x in api.items().collect()}
+    api.assign_region(at["a"], "f1", "", "t2", new_name="Alice")
+    who = api.personas("person").first()
+    assert who.name == "Alice" and who.avatarItemId == at["a"]
+    people = lambda: {x.id: (x.reference_encodings, x.reference_signatures) for x in api.t("personas").collect()}
+    assert people()[who.id] == ([[1.0, 0.0, 0.0]], [])
+    assert ids(api.items("person:alice")) == [at["a"]] and ids(api.items("alice")) == [at["a"]]
+    owner = lambda: {(x.item_id, x.detection_id): x.persona_id for x in api.t("detections").collect()}
+    assert owner() == {(at["a"], "f1"): who.id, (at["a"], "f2"): None, (at["b"], "f1"): None, (at["c"], "p1"): None}
+
+    # a sync keeps what users set; new analysis of a changed file carries the persona, its match gets it
+    api.sync(files([(n, 1, 1) for n in names]), "t3")
+    assert owner()[at["a"], "f1"] == who.id and ids(api.items("person:alice")) == [at["a"]]
+    again = {**seen, "a": faces(("g9", "face", "", [0.99, 0.05, 0.0], ""), ("g8", "face", "", [0.0, 1.0, 0.0], "")), "b": faces(("f1", "face", "", [0.6, 0.8, 0.0], ""))}
+    r = api.sync(files([(names[0], 7, 1), (names[1], 7, 1), (names[2], 1, 1)]), "t4", analyse(again), batches=2).first()
+    assert (r.added, r.updated, r.unchanged) == (0, 2, 1)
+    assert owner() == {(at["a"], "g9"): who.id, (at["a"], "g8"): None, (at["b"], "f1"): who.id, (at["c"], "p1"): None}
+    assert set(ids(api.items("person:alice"))) == {at["a"], at["b"]}
+    # without analysis a changed file keeps detections and metadata
+    api.sync(files([(names[0], 8, 1), (names[1], 7, 1), (names[2], 1, 1)]), "t5")
+    assert owner()[at["a"], "g9"] == who.id and api.library.find("items", at["a"]).first().metadata == {"human_face_pipeline": "v1"}
+    # another face pipeline: faces anew, other detections stay
+    r = api.sync(files([(names[0], 8, 1), (names[1], 7, 1), (names[2], 1, 1)]), "t6", analyse({**again, "c": faces(("n1", "face", "", [0.0, 0.0, 1.0], ""))}, "v2"), face_pipeline="v2").first()
+    assert r.updated == 3 and set(owner()) == {(at["a"], "g9"), (at["a"], "g8"), (at["b"], "f1"), (at["c"], "p1"), (at["c"], "n1")} and owner()[at["a"], "g9"] == who.id
+
+    # learning: near vectors add nothing, hashes once; a pet item teaches its pets
+    api.assign_region(at["a"], "g8", who.id, "t7")
+    assert people()[who.id][0] == [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
+    api.assign_item(at["c"], "", "t8", new_name="Rex", kind="pet")
+    rex = api.personas("pet").first()
+    assert people()[rex.id] == ([], ["00ff00ff00ff00ff"]) and rex.avatarItemId == at["c"] and ids(api.items("pet:rex")) == [at["c"]]
+    with pytest.raises(ValueError):
+        api.assign_region(at["c"], "p1", who.id, "t9")  # a person can not own a dog
+
+    # clusters: members go to a persona together, incremental clustering goes on
+    api.clear_region(at["b"], "f1", "u1")
+    assert owner()[at["b"], "f1"] is None and ids(api.items("person:alice")) == [at["a"]]
+    assert api.refresh_clusters("person", "u2") in ("incremental", "full")
+    groups = api.t("unknown_cluster_members").filter(F.col("item_id") == at["b"]).collect()
+    assert len(groups) == 1 and api.count_detections("person", dirty_only=True) <= 2
+    api.assign_clusters([groups[0].cluster_id], "", "u3", new_name="Bob")
+    bob = next(x for x in api.personas("person").collect() if x.name == "Bob")
+    assert owner()[at["b"], "f1"] == bob.id and ids(api.items("person:bob")) == [at["b"]]
+    api.clear_item(at["b"], "u4")
+    assert owner()[at["b"], "f1"] is None and api.items("person:bob").count() == 0
+
+    # a deleted file goes from albums and avatars too
+    api.create_album("All", list(at.values()), "u5")
+    api.sync(files([(names[1], 7, 1)]), "u6")
+    assert api.albums().first().itemCount == 1 and {x.name: x.avatarItemId or "" for x in api.personas().collect()} == {"Alice": "", "Bob": at["b"], "Rex": ""}
+    assert {k[0] for k in owner()} == {at["b"]}
+
+
+def test_saves_are_atomic(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.set_metadata(a="1")
+    lib.set_metadata(b="2")
+    assert lib.metadata("a") == "1" and [n for n, _ in lib._manifests()] == [1, 2]
+    before = lib.manifest()
+    lib.set_metadata(c="3")
+    before["metadata"]["c"] = "lost"
+    with pytest.raises(RuntimeError):
+        lib._publish(before)  # from a state that is no longer the newest
+    assert lib.metadata("c") == "3"
+    (tmp_path / "lib" / "_manifest-x.tmp").write_text("half a mani")  # a save that stopped
+    assert Library(spark, str(tmp_path / "lib")).metadata("b") == "2"
+    for k in range(15):
+        lib.set_metadata(k=str(k))
+    assert len(lib._manifests()) <= 10 and lib.metadata("k") == "14" and lib.metadata("a") == "1"
+
+
+def test_reference_images_are_distinct(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    items = conform(spark.createDataFrame([("i", faces(("d1", "face", "", [1.0, 0.0], ""), ("d2", "face", "", [0.999, 0.001], ""), ("d3", "face", "", [0.0, 1.0], "")))], FOUND.split(", tags")[0]), "items")
+    image = lambda path, d, at: (path, "i", d, "", "person", at)
+    refs = [image("p3", "d3", "3"), image("p2", "d2", "2"), image("p1", "d1", "1"), image("p1", "d3", "4"), image("", "d3", "0"), image("p9", "gone", "9")]
+    people = conform(spark.createDataFrame([("x", refs), ("y", [])], "id string, reference_images array<struct<path:string,source_item_id:string,source_region_id:string,label:string,kind:string,created_at:string>>"), "personas")
+    got = {r.id: [x.path for x in r.reference_images] for r in mutations.dedupe_references(people, items).collect()}
+    assert got == {"x": ["p1", "p3", "p9"], "y": []}
+
+
 def test_listings(spark):
     keys = ["2024/b/x.jpg", "2025/a/y.jpg", "trip/z.jpg", "2025/c 10/q.jpg", "2025/c 9/q.jpg", "top.jpg", "2025/a/Z.jpg"]
     df = spark.createDataFrame([(k, float(i == 6)) for i, k in enumerate(keys)], "relative_key string, modified_ts double")
