@@ -4,7 +4,8 @@ Every token has a sparse random index vector that its own hash gives (`PER_WORD`
 no table). Its context vector is the sum of the index vectors within `WINDOW` tokens of it, over the whole
 corpus and over whole documents. The sums are whole numbers, so they do not depend on how tasks are dealt
 and reruns give the same scores. Context vectors are kept by hash in a table that grows with the words
-seen, up to `ROWS` rows; beyond that, words share rows with others of the same hash (32 MB as broadcast).
+seen, up to `ROWS` rows; beyond that, words share rows with others of the same hash. As broadcast a component
+is a byte (16 MB in all); no task widens more than the tokens it works on.
 
 A document is what its tokens' unit context vectors pool to: their mean, their spread, and the mean and
 spread of the products of neighbours and of next neighbours (how well words that stand side by side go
@@ -127,7 +128,7 @@ def _context(batches):
 
 
 def _add_up(batches):
-    """(rows, vectors): the unit vectors of all rows of a shuffle partition, packed; float16."""
+    """(rows, vectors): the unit vectors of all rows of a shuffle partition, packed; components are 127ths."""
     import numpy as np
     import pyarrow as pa
 
@@ -142,17 +143,17 @@ def _add_up(batches):
     if total:
         x = np.array(list(total.values()), dtype=np.float64)
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array([np.array(list(total), dtype=np.int32).tobytes()], pa.binary()), pa.array([x.astype(np.float16).tobytes()], pa.binary())], names=["rows", "vectors"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.array(list(total), dtype=np.int32).tobytes()], pa.binary()), pa.array([np.rint(127 * x).astype(np.int8).tobytes()], pa.binary())], names=["rows", "vectors"])
 
 
 def word_vectors(docs: DataFrame):
-    """The ROWS x DIM float16 matrix of unit context vectors over all documents."""
+    """The ROWS x DIM matrix of unit context vectors over all documents, components in 127ths."""
     import numpy as np
 
     parts = docs.select("text").mapInArrow(_context, "row int, vec binary").repartition("row").mapInArrow(_add_up, "rows binary, vectors binary")
-    out = np.zeros((ROWS, DIM), dtype=np.float16)
-    for r in parts.toLocalIterator():  # together at most ROWS rows, 32 MB
-        out[np.frombuffer(r[0], dtype=np.int32)] = np.frombuffer(r[1], dtype=np.float16).reshape(-1, DIM)
+    out = np.zeros((ROWS, DIM), dtype=np.int8)
+    for r in parts.toLocalIterator():  # together at most ROWS rows, 16 MB
+        out[np.frombuffer(r[0], dtype=np.int32)] = np.frombuffer(r[1], dtype=np.int8).reshape(-1, DIM)
     return out
 
 
@@ -165,7 +166,7 @@ def features(rows, vectors):
         return out
     sums, squares, pairs = np.zeros(DIM), np.zeros(DIM), np.zeros((2, 2))
     for s in range(0, n, STRETCH):
-        v = vectors[rows[max(0, s - 2) : s + STRETCH]]
+        v = vectors[rows[max(0, s - 2) : s + STRETCH]].astype(np.float32) / np.float32(127)
         own = v[min(s, 2) :]
         sums += own.sum(0, dtype=np.float64)
         squares += np.einsum("ij,ij->j", own, own, dtype=np.float64)
@@ -183,12 +184,8 @@ def features(rows, vectors):
 
 
 def _pooled(texts, vectors, words):
-    """The features of a batch of texts; vectors is the broadcast table, widened once a task."""
-    import numpy as np
-
-    if not hasattr(words, "table"):
-        words.table = vectors.value.astype(np.float32)
-    return [features(words.rows[c] if len(c) else c, words.table) for c in words.codes(texts)]
+    """The features of a batch of texts; vectors is the broadcast table."""
+    return [features(words.rows[c] if len(c) else c, vectors.value) for c in words.codes(texts)]
 
 
 def _featured(vectors):
@@ -244,7 +241,8 @@ class Network:
     def score(self, x):
         import numpy as np
 
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
+        # rounded, as products differ in the last digits with the rows that share a batch
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40))), 9)
 
 
 def learn(docs: DataFrame, labels: DataFrame, vectors, most: int = SAMPLE):
