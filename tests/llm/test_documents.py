@@ -498,7 +498,8 @@ def test_quality_is_the_plain_model(spark, monkeypatch):
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got[k] += np.frombuffer(v, dtype=np.int8 if len(v) == quality.DIM else np.int32)
         assert (got == table).all()
-        unit = (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        stored = np.rint(127 * table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.int8)
+        unit = stored / 127
         for t in tokens:
             v = unit[[row(w) for w in t]]
             want = np.zeros(quality.FEATURES)
@@ -508,14 +509,13 @@ def test_quality_is_the_plain_model(spark, monkeypatch):
                 if len(t) > k:
                     near = (v[k:] * v[:-k]).sum(1)
                     want[126 + 2 * k : 128 + 2 * k] = near.mean(), near.std()
-            assert quality.features(np.array([row(w) for w in t], dtype=np.int64), unit) == pytest.approx(want, abs=2e-4)
+            assert quality.features(np.array([row(w) for w in t], dtype=np.int64), stored) == pytest.approx(want, abs=2e-4)
     monkeypatch.undo()
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
     sc = spark.sparkContext
     vectors = quality.word_vectors(df)
     model = quality.learn(df, labels, sc.broadcast(vectors))
-    wide = vectors.astype(np.float32)
-    want = {i: float(model.score(np.array([quality.features((quality.hashes_of(t) % np.uint64(quality.ROWS)).astype(np.int64), wide)]))[0]) for i, t in enumerate(tokens)}
+    want = {i: float(model.score(np.array([quality.features((quality.hashes_of(t) % np.uint64(quality.ROWS)).astype(np.int64), vectors)]))[0]) for i, t in enumerate(tokens)}
     assert {r.doc_id: r.mine for r in quality.quality_scores(df, labels, name="mine").collect()} == pytest.approx(want, abs=1e-6)
     good = quality.keep_good(df, labels, 0.0)
     assert good.columns == df.columns and {r.doc_id: r._score for r in good.collect()} == {i: float(i % 2) for i in range(len(texts))}
