@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 #: Extensions by kind.
 EXTENSIONS = {
@@ -47,9 +46,15 @@ def sample_frames_of(frame_count: int, fps: float, seconds: float = 2.0, most: i
     return picks[:most]
 
 
-@F.udf(ArrayType(IntegerType()), useArrow=True)
-def sample_frames(frame_count: int, fps: float) -> list[int]:
-    return sample_frames_of(frame_count or 0, fps or 0.0)
+def sample_frames(frame_count, fps, seconds: float = 2.0, most: int = 12) -> Column:
+    """Column form of sample_frames_of."""
+    n, rate = F.coalesce(_c(frame_count).cast("int"), F.lit(0)), F.coalesce(_c(fps).cast("double"), F.lit(0.0))
+    stride = F.greatest(F.lit(1), F.when(rate > 0, F.bround(rate * max(0.5, seconds))).otherwise(F.floor(n / most)).cast("int"))
+    spread = F.array_distinct(F.concat(F.sequence(F.lit(0), n - 1, stride), F.array(n - 1)))
+    last = F.size(spread) - 1
+    thinned = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.get(spread, (last * k / max(1, most - 1)).cast("int")))))
+    none = F.array().cast("array<int>")
+    return F.when(n <= 0, none).when(n <= most, F.sequence(F.lit(0), n - 1)).when(F.size(spread) > most, F.slice(thinned, 1, most)).otherwise(spread)
 
 
 def average_hash_of(pixels) -> str:

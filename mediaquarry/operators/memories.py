@@ -33,14 +33,14 @@ def _grouped(rows: DataFrame, by: list[str], least: int, whole_span: bool = True
 
     The dates are those of the group's last and first row in order; with whole_span off, of the 48 listed.
     """
-    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.to_date("ts")).alias("days"), F.max("ts").alias("last_ts"), F.min("ts").alias("first_ts")).filter(F.col("n") >= least)
+    oldest = F.max_by("captured_at", F.struct(-F.unix_micros("ts"), -F.col("modified_ts"), F.col("id")))  # the last row of the order
+    sums = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.to_date("ts")).alias("days"), F.max("ts").alias("last_ts"), F.min("ts").alias("first_ts"), oldest.alias("oldest_date")
+    ).filter(F.col("n") >= least)
     w = Window.partitionBy(*by).orderBy(*_newest())
-    back = Window.partitionBy(*by).orderBy(F.col("ts"), F.col("modified_ts"), F.col("id").desc())
-    ranked = rows.join(sums.select(*by), by, "left_semi").withColumn("rn", F.row_number().over(w)).withColumn("rb", F.row_number().over(back)).filter((F.col("rn") <= IDS) | (F.col("rb") == 1))
+    ranked = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= IDS)  # a group limit: tasks drop the rest before the shuffle
     listed = ranked.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= IDS, F.struct("rn", "id")))), lambda s: s["id"]).alias("item_ids"),
-        F.max_by("captured_at", F.when(F.col("rn") <= IDS, F.col("rn"))).alias("cut_date"), F.max(F.when(F.col("rn") == 1, F.col("captured_at"))).alias("end_date"),
-        F.max(F.when(F.col("rb") == 1, F.col("captured_at"))).alias("oldest_date"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda s: s["id"]).alias("item_ids"), F.max_by("captured_at", "rn").alias("cut_date"), F.min_by("captured_at", "rn").alias("end_date")
     )
     return sums.join(listed, by).withColumn("start_date", F.col("oldest_date") if whole_span else F.col("cut_date"))
 
@@ -49,9 +49,9 @@ def _memory(df: DataFrame, builder: int, *, id_: Column, title: Column, subtitle
     none = F.expr("cast(array() as array<string>)")
     out = df.select(
         stable_id(id_).alias("id"), title.alias("title"), subtitle.alias("subtitle"), summary.alias("summary"), F.lit(now).alias("created_at"), kind.alias("memory_type"), "item_ids",
-        (personas if personas is not None else none).alias("persona_ids"), "start_date", "end_date", weight.cast("long").alias("weight"), F.lit(builder).alias("builder"), F.struct(*seq).alias("_seq"),
+        (personas if personas is not None else none).alias("persona_ids"), "start_date", "end_date", weight.cast("long").alias("weight"), F.lit(builder).alias("builder"), F.struct(*seq).alias("seq"),
     )
-    return out.withColumn("seq", F.row_number().over(Window.orderBy("_seq", "id"))).select(*COLUMNS)
+    return out.select(*COLUMNS)
 
 
 def _n(text: str) -> Column:
@@ -154,7 +154,10 @@ def regenerate(items: DataFrame, item_personas: DataFrame, personas: DataFrame,
     """All builders together: by weight, builders in their order at ties; the first 24, then one of each id."""
     s = settings or Settings()
     parts = [month_memories(items, now, s), day_memories(items, now, s), span_memories(items, now, s), persona_memories(items, item_personas, personas, now, s), pair_memories(items, item_personas, personas, now, s), theme_memories(items, now, s), favorite_memories(items, now, s)]
-    every = reduce(DataFrame.unionByName, parts)
+    # each builder's first 24 are numbered in its own order; only they can be among the first 24 of all
+    first = [p.orderBy(F.col("weight").desc(), "seq", "id").limit(MOST) for p in parts]
+    numbered = [p.withColumn("seq", F.row_number().over(Window.orderBy(F.col("weight").desc(), "seq", "id"))) for p in first]
+    every = reduce(DataFrame.unionByName, numbered)
     if not s.auto_generate_memories:
         return every.limit(0)
     first = every.orderBy(F.col("weight").desc(), "builder", "seq").limit(MOST)

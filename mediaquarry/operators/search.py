@@ -217,16 +217,24 @@ def query_detections(detections: DataFrame, kind: str = "all", dirty: bool | Non
     return out.orderBy(F.col("captured_at").desc(), "item_id", "detection_id")
 
 
+def persona_order() -> list[Column]:
+    return [F.col("kind"), F.lower("name"), F.col("id")]
+
+
 def list_personas(personas: DataFrame) -> DataFrame:
-    return personas.orderBy("kind", F.lower("name"), "id")
+    return personas.orderBy(*persona_order())
 
 
 def list_albums(albums: DataFrame) -> DataFrame:
     return albums.orderBy(F.lower("name"), "id")
 
 
+def memory_order() -> list[Column]:
+    return [F.coalesce(F.nullif("end_date", F.lit("")), "created_at").desc(), F.col("created_at").desc(), F.col("id")]
+
+
 def list_memories(memories: DataFrame) -> DataFrame:
-    return memories.orderBy(F.coalesce(F.nullif("end_date", F.lit("")), "created_at").desc(), F.col("created_at").desc(), "id")
+    return memories.orderBy(*memory_order())
 
 
 def list_clusters(clusters: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Matching vectors and hashes against a reference set: persona assignment and suggestions.
 
 The reference side is a stated query set (one row a reference), matched against all detections in blocks
-of bounded size: each block is broadcast, and the best match is kept per detection by a keyed maximum that
-is combined before the shuffle. Nothing emits all pairs.
+of bounded size. Vectors meet a block by one matrix product an Arrow batch and keep their best references
+there; hashes meet a broadcast block, with a keyed minimum that is combined before the shuffle. Nothing emits
+all pairs.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.vectors import cosine, euclidean, hamming
+from ..functions.vectors import cosine, hamming
 from .relations import can_own, unassigned
 
-BLOCK = 4096
+BLOCK, REFERENCE_BYTES = 4096, 32 << 20
 
 
 def in_blocks(references: DataFrame, block: int = BLOCK) -> list[DataFrame]:
@@ -33,24 +34,155 @@ def best_match(rows: DataFrame, key: list[str], references: DataFrame, score: Co
         pairs = rows.crossJoin(F.broadcast(part)).withColumn("_score", score)
         if least is not None:
             pairs = pairs.filter(F.col("_score") >= least)
-        rank = F.struct(F.col("_score"), *[_flip(F.col(t)) for t in tie])
-        found.append(pairs.groupBy(*key).agg(F.max_by(F.struct(F.col("_score").alias("score"), *keep), rank).alias("_b"), F.max(rank).alias("_r")))
+        rank = F.struct((-F.col("_score")).alias("_worst"), *tie)
+        found.append(pairs.groupBy(*key).agg(F.min_by(F.struct(F.col("_score").alias("score"), *keep), rank).alias("_b"), F.min(rank).alias("_r")))
     every = reduce(DataFrame.unionByName, found)
     if len(found) > 1:
-        every = every.groupBy(*key).agg(F.max_by("_b", "_r").alias("_b"))
+        every = every.groupBy(*key).agg(F.min_by("_b", "_r").alias("_b"))
     return every.select(*key, "_b.*")
 
 
-def _flip(c: Column) -> Column:
-    return -c.cast("long")
+def _vectors(column, size: int):
+    """(places, matrix) of the vectors of one length in an Arrow list column, in double precision."""
+    import numpy as np
 
+    lists = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    start = np.asarray(lists.offsets)
+    own = np.flatnonzero((np.diff(start) == size) & ~np.asarray(lists.is_null()))
+    flat = np.asarray(lists.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+    return own, flat[(start[own][:, None] + np.arange(size)[None, :])]
 
-def persona_references(personas: DataFrame, kind: str, what: str = "reference_encodings") -> DataFrame:
-    """(persona_id, persona_pos, ref_pos, reference): persona order is by id."""
+
+def best_vectors(rows: DataFrame, key: list[str], references: DataFrame, tie: list[str], keep: str, least: float | None = None, euclidean: bool = False, self_key: str | None = None, most: int = 1) -> DataFrame:
+    """(key..., score, keep, rank): for each row its `most` best references by cosine, or by negative Euclidean distance.
+
+    rows: (key..., encoding), references: (tie..., keep, reference); vectors of other lengths do not compare.
+    The references come in blocks of at most `REFERENCE_BYTES` bytes in their order by `tie`; norms are taken
+    once, a batch of rows meets a block by one matrix product, and a row sends its best ones only, so nothing
+    is shuffled for one block. Scores that agree to 12 digits are ties, and go to the first reference.
+    self_key names a column of key: a reference whose `keep` equals it is left out.
+    """
+    import numpy as np
+
+    order = references.select(*dict.fromkeys([*tie, keep]), F.col("reference").cast("array<double>").alias("reference")).filter(F.size("reference") > 0)
+    kind, schema = dict(references.dtypes)[keep], ", ".join(f"{c} {t}" for c, t in rows.select(*key).dtypes)
+    n, width = order.agg(F.count(F.lit(1)), F.max(F.size("reference"))).first()
+    parts = max(1, -(-(n * (width or 1) * 8) // REFERENCE_BYTES))
+    found = []
+    for part in range(parts):
+        own = order.filter(F.pmod(F.xxhash64(*tie), F.lit(parts)) == part) if parts > 1 else order
+        got = own.orderBy(*tie).collect()  # at most about REFERENCE_BYTES
+        by_size = {}
+        for size in {len(r["reference"]) for r in got}:
+            mine = [(at, r[keep], r["reference"]) for at, r in enumerate(got) if len(r["reference"]) == size]
+            by_size[size] = (np.array([m[0] for m in mine]), [m[1] for m in mine], np.array([m[2] for m in mine], dtype=np.float64))
+        found.append(rows.select(*key, F.col("encoding").cast("array<double>").alias("encoding")).mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(by_size), key, keep, kind, euclidean, least, self_key, most), f"{schema}, score double, {keep} {kind}, place long, rank int"))
+    if parts == 1:
+        return found[0].drop("place")
+    every = reduce(DataFrame.unionByName, [f.withColumn("part", F.lit(k)) for k, f in enumerate(found)]).join(order.select(keep, F.struct(*tie).alias("_t")).groupBy(keep).agg(F.min("_t").alias("_t")), keep)
     from pyspark.sql import Window
 
-    own = personas.filter(F.col("kind") == kind).withColumn("persona_pos", F.row_number().over(Window.orderBy("id")))
-    return own.select(F.col("id").alias("persona_id"), "persona_pos", F.posexplode(what).alias("ref_pos", "reference"))
+    w = Window.partitionBy(*key).orderBy(F.round("score", 12).desc(), "_t")
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("place", "part", "_t")
+
+
+def _nearest(shared, key: list[str], keep: str, kind: str, euclidean: bool, least: float | None, self_key: str | None, most: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out: list[tuple[int, float, object, int, int]] = []
+            ids = b.column(self_key).to_pylist() if self_key else None
+            for size, (places, names, refs) in shared.value.items():
+                own, x = _vectors(b.column("encoding"), size)
+                if not len(own):
+                    continue
+                norms = np.sqrt((refs * refs).sum(1))
+                unit = refs / np.where(norms > 0, norms, 1)[:, None]
+                for s in range(0, len(own), 1024):
+                    v = x[s : s + 1024]
+                    if euclidean:
+                        scores = -np.sqrt(np.maximum((v * v).sum(1)[:, None] + (norms * norms)[None, :] - 2 * (v @ refs.T), 0))
+                    else:
+                        length = np.sqrt((v * v).sum(1))
+                        scores = (v / np.where(length > 0, length, 1)[:, None]) @ unit.T
+                    if self_key:
+                        at = {n: k for k, n in enumerate(names)}
+                        for i, row in enumerate(own[s : s + 1024].tolist()):
+                            if ids[row] in at:
+                                scores[i, at[ids[row]]] = -np.inf
+                    rounded = np.round(scores, 12)
+                    for rank in range(1, most + 1):
+                        best = rounded.argmax(1)  # the first at ties
+                        for i, j in enumerate(best.tolist()):
+                            if np.isfinite(rounded[i, j]) and (least is None or scores[i, j] >= least):
+                                out.append((int(own[s + i]), float(scores[i, j]), names[j], int(places[j]), rank))
+                        rounded[np.arange(len(best)), best] = -np.inf
+            out.sort(key=lambda o: (o[0], o[4]))
+            rows = pa.array([o[0] for o in out], pa.int64())
+            taken = [b.column(k).take(rows) for k in key]
+            names_type = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+            yield pa.RecordBatch.from_arrays(
+                [*taken, pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], names_type), pa.array([o[3] for o in out], pa.int64()), pa.array([o[4] for o in out], pa.int32())],
+                names=[*key, "score", keep, "place", "rank"],
+            )
+
+    return run
+
+
+def search_vectors(rows: DataFrame, queries: DataFrame, most: int = 5, digits: int = 9) -> DataFrame:
+    """(query_id, id, rank, score): the `most` rows nearest by cosine to each query, itself left out.
+
+    rows: (id, encoding), queries: (query_id, encoding) of ids of the same kind, a stated set of at most about
+    `REFERENCE_BYTES`. A task keeps its best rows for each query, so `most` rows a query and task are shuffled.
+    Ties, to so many digits, go to the lesser id.
+    """
+    import numpy as np
+    from pyspark.sql import Window
+
+    got = queries.select("query_id", F.col("encoding").cast("array<double>").alias("v")).filter(F.size("v") > 0).orderBy("query_id").collect()
+    sizes = {len(r[1]) for r in got}
+    shared = {n: ([r[0] for r in got if len(r[1]) == n], np.array([r[1] for r in got if len(r[1]) == n], dtype=np.float64)) for n in sizes}
+    kind = dict(rows.dtypes)["id"]
+    sent = rows.sparkSession.sparkContext.broadcast(shared)
+    found = rows.select("id", F.col("encoding").cast("array<double>").alias("encoding")).mapInArrow(_best_rows(sent, most, digits), f"query_id {kind}, id {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", digits).desc(), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "id", "rank", "score")
+
+
+def _best_rows(shared, most: int, digits: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kept: dict[object, list[tuple[float, object, float]]] = {}
+        types = None
+        for b in batches:
+            types = b.column("id").type
+            ids = b.column("id").to_pylist()
+            for size, (names, q) in shared.value.items():
+                own, x = _vectors(b.column("encoding"), size)
+                if not len(own):
+                    continue
+                unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+                scores = unit(q) @ unit(x).T
+                for k, name in enumerate(names):
+                    some = np.argpartition(-scores[k], min(most + 1, len(own)) - 1)[: most + 1]
+                    edge = np.round(scores[k][some].min(), digits)
+                    near = np.flatnonzero(np.round(scores[k], digits) >= edge)  # with all ties at the edge
+                    best = [(-round(float(scores[k, j]), digits), ids[own[j]], float(scores[k, j])) for j in near.tolist() if ids[own[j]] != name]
+                    kept[name] = sorted(kept.get(name, []) + best)[:most]
+        if types is not None:
+            flat = [(name, i, s) for name, best in kept.items() for _, i, s in best]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], types), pa.array([f[1] for f in flat], types), pa.array([f[2] for f in flat], pa.float64())], names=["query_id", "id", "score"])
+
+    return run
+
+
+def persona_references(personas: DataFrame, kind: str, what: str = "reference_encodings") -> DataFrame:
+    """(persona_id, ref_pos, reference): personas are in order of their ids."""
+    return personas.filter(F.col("kind") == kind).select(F.col("id").alias("persona_id"), F.posexplode(what).alias("ref_pos", "reference"))
 
 
 def match_faces(faces: DataFrame, personas: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -58,19 +190,19 @@ def match_faces(faces: DataFrame, personas: DataFrame, settings: Settings | None
     s = settings or Settings()
     key, refs = ["item_id", "detection_id"], persona_references(personas, "person")
     faces = faces.select(*key, "encoding").filter(F.size("encoding") > 0)
-    near = best_match(faces, key, refs, cosine("encoding", "reference"), ["persona_pos", "ref_pos"], ["persona_id"], s.face_embedding_similarity_threshold).withColumn("how", F.lit("cosine"))
+    near = best_vectors(faces, key, refs, ["persona_id", "ref_pos"], "persona_id", s.face_embedding_similarity_threshold).withColumn("how", F.lit("cosine"))
     rest = faces.join(near.select(*key), key, "left_anti")
-    close = best_match(rest, key, refs, -euclidean("encoding", "reference"), ["persona_pos", "ref_pos"], ["persona_id"], -s.face_match_threshold).withColumn("how", F.lit("euclidean"))
-    return near.unionByName(close)
+    close = best_vectors(rest, key, refs, ["persona_id", "ref_pos"], "persona_id", -s.face_match_threshold, euclidean=True).withColumn("how", F.lit("euclidean"))
+    return near.unionByName(close).drop("rank")
 
 
 def match_pets(pets: DataFrame, personas: DataFrame, settings: Settings | None = None) -> DataFrame:
     """As match_faces, by cosine, else by Hamming distance of hashes."""
     s = settings or Settings()
     key = ["item_id", "detection_id"]
-    near = best_match(pets.filter(F.size("encoding") > 0).select(*key, "encoding"), key, persona_references(personas, "pet"), cosine("encoding", "reference"), ["persona_pos", "ref_pos"], ["persona_id"], s.pet_embedding_similarity_threshold)
+    near = best_vectors(pets.filter(F.size("encoding") > 0).select(*key, "encoding"), key, persona_references(personas, "pet"), ["persona_id", "ref_pos"], "persona_id", s.pet_embedding_similarity_threshold).drop("rank")
     rest = pets.filter(F.coalesce("signature", F.lit("")) != "").join(near.select(*key), key, "left_anti").select(*key, "signature")
-    close = best_match(rest, key, persona_references(personas, "pet", "reference_signatures"), -hamming("signature", "reference"), ["persona_pos", "ref_pos"], ["persona_id"], -float(s.pet_hash_distance_threshold))
+    close = best_match(rest, key, persona_references(personas, "pet", "reference_signatures"), -hamming("signature", "reference"), ["persona_id", "ref_pos"], ["persona_id"], -float(s.pet_hash_distance_threshold))
     return near.withColumn("how", F.lit("cosine")).unionByName(close.withColumn("how", F.lit("hamming")))
 
 

@@ -42,6 +42,18 @@ def tagged_items(spark, d) -> DataFrame:
     return items(spark, d).join(tags, "id")
 
 
+def whole_items(spark, d) -> DataFrame:
+    """Items with their line items as faces, each owned by its supplier; urgent ones also belong to persona 7 by hand."""
+    from ..schema import conform
+
+    li = table(spark, d, "lineitem")
+    name = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linenumber")
+    face = F.struct(name.alias("id"), F.lit("face").alias("kind"), F.lit("").alias("label"), F.lit(1.0).alias("confidence"), F.lit(None).cast("array<int>").alias("bbox"), F.col("l_suppkey").cast("string").alias("persona_id"), F.lit(None).cast("array<double>").alias("encoding"), F.lit("").alias("signature"))
+    per = li.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_sort(F.collect_list(face)).alias("detections"))
+    hand = F.when(F.col("favorite"), F.array(F.lit("7"))).otherwise(F.array().cast("array<string>"))
+    return conform(items(spark, d).join(per, "id").withColumn("manual_persona_ids", hand), "items")
+
+
 def text_items(spark, d) -> DataFrame:
     """Documents as items: the path is source/lang/doc_id, the text is the searchable blob."""
     t = table(spark, d, "documents")

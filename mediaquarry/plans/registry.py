@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,16 +109,21 @@ def _(spark, d):
     return search.query_detections(lib.detections(spark, d), "pet", dirty=False).select("detection_id", "kind")
 
 
-@query("list_personas", f"WITH {PERSONAS} SELECT kind, name FROM personas ORDER BY kind, lower(name), id")
+def _placed(df: DataFrame, by: str, order: list) -> DataFrame:
+    """The place of each row in a listing, within a part of it: the order is what such queries are about."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
+
+
+@query("list_personas", f"WITH {PERSONAS} SELECT kind, name, row_number() OVER (PARTITION BY kind ORDER BY lower(name), id) AS place FROM personas")
 def _(spark, d):
-    return search.list_personas(lib.personas(spark, d)).select("kind", "name")
+    return _placed(lib.personas(spark, d), "kind", search.persona_order()).select("kind", "name", "place")
 
 
-@query("list_memories", "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL")
+@query("list_memories", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(CASE WHEN role <> 'user' THEN text || '.' END, text) DESC, text DESC, conv_id || '-' || turn) AS place FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
 def _(spark, d):
-    c = table(spark, d, "conversations").filter("text is not null")
+    c = table(spark, d, "conversations").filter("text is not null and role is not null")
     m = c.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("role") == "user", "").otherwise(F.concat("text", F.lit("."))).alias("end_date"), F.col("text").alias("created_at"))
-    return search.list_memories(m).select("conv_id", "turn")
+    return _placed(m, "conv_id", search.memory_order()).select("conv_id", "turn", "place")
 
 
 @query("album_page", """WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS ids FROM orders GROUP BY o_custkey), p AS (SELECT o_custkey, unnest(ids[2:4]) AS k, unnest(range(len(ids[2:4]))) AS pos FROM a)
@@ -128,11 +135,12 @@ def _(spark, d):
     return search.load_in_order(lib.items(spark, d).select("id"), ids).select("album", F.col("pos").cast("long").alias("pos"), "id")
 
 
-@query("scan_order", "SELECT doc_id FROM documents")
+@query("scan_order", r"""WITH k AS (SELECT doc_id, n_chars, lang, regexp_matches(source, '\d')::INT AS s1, coalesce(try_cast(nullif(regexp_extract(source, '(\d+)', 1), '') AS BIGINT), 0) AS s2, lower(source) AS s3 FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+  SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY s1 DESC, s2 DESC, s3 DESC, n_chars::DOUBLE DESC, doc_id::VARCHAR DESC) AS place FROM k""")
 def _(spark, d):
-    t = table(spark, d, "documents")
-    t = t.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("relative_key"), F.col("n_chars").cast("double").alias("modified_ts"))
-    return t.orderBy(*search.scan_order()).select("doc_id")
+    t = table(spark, d, "documents").filter("source is not null and lang is not null")
+    t = t.select("doc_id", "lang", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("relative_key"), F.col("n_chars").cast("double").alias("modified_ts"))
+    return _placed(t, "lang", search.scan_order()).select("doc_id", "place")
 
 
 @query("timeline_runs", """WITH e AS (SELECT user_id, ts, event_id, strftime(ts, '%Y-%m-%d') || event_type AS title FROM events), f AS (SELECT *, CASE WHEN lag(title) OVER w = title THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id))
@@ -145,9 +153,48 @@ def _(spark, d):
 # relations ------------------------------------------------------------------
 
 
-@query("item_persona_ids", "SELECT CAST(l_orderkey AS VARCHAR) AS item_id, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS ids FROM lineitem GROUP BY 1")
+@query("item_persona_ids", """WITH p AS (SELECT l_orderkey, CAST(l_suppkey AS VARCHAR) AS id FROM lineitem), x AS (SELECT DISTINCT * FROM p UNION SELECT o_orderkey, '7' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey IN (SELECT l_orderkey FROM lineitem))
+  SELECT CAST(l_orderkey AS VARCHAR) AS item_id, id AS persona_id FROM x""")
 def _(spark, d):
-    return lib.item_personas(spark, d).groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("persona_id")), ",").alias("ids"))
+    return relations.item_personas(lib.whole_items(spark, d))
+
+
+@query("item_tags", "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS item_id, lower(unnest(string_split(p_name, ' '))) AS tag FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey")
+def _(spark, d):
+    return relations.item_tags(lib.tagged_items(spark, d).withColumn("tags", F.transform("tags", F.initcap))).filter("tag <> ''")
+
+
+@query("assign_in_items", """SELECT l_orderkey::VARCHAR AS item_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R' AND l_linenumber <= 2) AS assigned FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 HAVING assigned > 0""")
+def _(spark, d):
+    it = lib.whole_items(spark, d)
+    regions = relations.detections_of(it).filter("endswith(id, '-R-1') or endswith(id, '-R-2')").select("item_id", F.col("id").alias("detection_id"))
+    own = F.filter("detections", lambda x: x["persona_id"] == "new")
+    return mutations.assign_in_items(it, regions, "new", "person", reassign=True).select(F.col("id").alias("item_id"), F.size("detections").cast("long").alias("n"), F.size(own).cast("long").alias("assigned"))
+
+
+@query("learned_references", f"""WITH f AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 6 AND vec_id % 10 < 5)
+  SELECT 'label-' || label AS persona_id, count(*)::BIGINT AS n, sum(vec_id)::BIGINT AS ids FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.label = b.label AND b.vec_id < a.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.985) GROUP BY label""")
+def _(spark, d):
+    rows = lib.detections(spark, d).filter("kind = 'face' and vec_id % 10 < 5")
+    rows = rows.select(F.concat(F.lit("label-"), F.col("class_label").cast("string")).alias("persona_id"), F.col("vec_id").alias("seq"), "encoding")
+    return detect.learned_encodings(rows).filter("kept").groupBy("persona_id").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("ids"))
+
+
+@query("carried_assignments", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'label-' || label END AS persona_id FROM embeddings")
+def _(spark, d):
+    """A second analysis with other ids finds each detection again by its vector, and carries its persona over."""
+    det = lib.detections(spark, d).withColumn("pos", F.col("vec_id").cast("int")).withColumn("bbox", F.array(*[F.lit(0)] * 4)).withColumnRenamed("detection_id", "id")
+    cols = ["item_id", "pos", *detect.FIELDS]
+    old = det.withColumn("persona_id", F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("label-"), F.col("class_label").cast("string")))).select(*cols)
+    new = det.withColumn("id", F.concat(F.lit("new-"), "id")).select(*cols)
+    return detect.carry_assignments(new, old).select(F.substring("id", 5, 20).cast("long").alias("vec_id"), "persona_id")
+
+
+@query("albums_changed", "SELECT o_custkey::VARCHAR AS id, count(*)::BIGINT + CASE WHEN o_custkey = 4 THEN (SELECT count(*) FROM orders WHERE o_orderkey IN (1, 2, 3) AND o_custkey <> 4) ELSE 0 END AS n FROM orders WHERE o_custkey <> 7 GROUP BY o_custkey")
+def _(spark, d):
+    o, it = table(spark, d, "orders"), lib.items(spark, d)
+    albums = o.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))).alias("item_ids"))
+    return mutations.delete_album(mutations.add_to_album(albums, it, "4", ["1", "2", "2", "", "3", "no such item"]), "7").select("id", F.size("item_ids").cast("long").alias("n"))
 
 
 @query("orphan_prune", "SELECT count(*) AS detections, count(DISTINCT l_orderkey) AS items FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
@@ -166,12 +213,12 @@ def _(spark, d):
     return relations.keep_live_ids(albums, lib.items(spark, d).filter("not hidden")).select("id", F.array_join("item_ids", ",").alias("ids"))
 
 
-@query("live_clusters", """WITH m AS (SELECT label, vec_id, vec_id // 4 AS item FROM embeddings WHERE vec_id % 20 <> 0) SELECT 'c' || label AS cluster_id, count(DISTINCT vec_id)::INT AS member_count, count(DISTINCT item)::INT AS item_count FROM m GROUP BY label""")
+@query("live_clusters", """WITH m AS (SELECT label, vec_id, vec_id // 4 AS item FROM embeddings WHERE vec_id % 20 <> 0) SELECT 'c' || label AS cluster_id, count(DISTINCT vec_id)::INT AS member_count, count(DISTINCT item)::INT AS item_count, string_agg(DISTINCT item::VARCHAR, ',' ORDER BY item::VARCHAR) AS items FROM m GROUP BY label""")
 def _(spark, d):
     det = lib.detections(spark, d).withColumn("persona_id", F.when(F.col("vec_id") % 20 == 0, "someone"))
     members = det.select(F.concat(F.lit("c"), F.col("class_label").cast("string")).alias("cluster_id"), "item_id", "detection_id")
     own = members.select("cluster_id").distinct().withColumns({"member_count": F.lit(0), "item_count": F.lit(0), "latest_captured_at": F.lit("")})
-    return relations.live_clusters(own, members, det).select("cluster_id", "member_count", "item_count")
+    return relations.live_clusters(own, members, det).select("cluster_id", "member_count", "item_count", F.array_join("item_ids", ",").alias("items"))
 
 
 @query("embedding_map_points", """SELECT CAST(vec_id AS VARCHAR) AS detection_id, '' AS persona_id, '#A0A0A0' AS color, 'c' || (label % 3) AS cluster_id, n_name AS cluster_label, coalesce(r_name, '') AS item_title FROM embeddings
@@ -217,35 +264,45 @@ def _flat(m: DataFrame) -> DataFrame:
     return m.select("id", "title", "subtitle", "memory_type", "weight", F.size("item_ids").cast("long").alias("n_ids"), F.col("item_ids")[0].alias("first_id"), "start_date", "end_date")
 
 
-def _memory_sql(rows: str, by: str, least: int, idsql: str, title: str, subtitle: str, kind: str, weight: str, extra: str = "", cut: bool = False, order: str = "", limit: str = "", having: str = "") -> str:
+def _memory_sql(rows: str, by: str, least: int, idsql: str, title: str, subtitle: str, kind: str, weight: str, extra: str = "", cut: bool = False, order: str = "", limit: str = "", having: str = "", seq: str = "") -> str:
     start = "max(captured_at) FILTER (rn = least(n, 48))" if cut else "max(captured_at) FILTER (rn = n)"
     return f"""WITH {ITEMS}{extra}, rows AS ({rows}), r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ts DESC, modified_ts DESC, id) AS rn, count(*) OVER (PARTITION BY {by}) AS n FROM rows),
       g AS (SELECT {by}, n, max(ts) AS last_ts, min(ts) AS first_ts, count(DISTINCT ts::DATE) AS days, max(id) FILTER (rn = 1) AS first_id, {start} AS start_date, max(captured_at) FILTER (rn = 1) AS end_date FROM r GROUP BY {by}, n HAVING n >= {least} {having} {order} {limit})
-      SELECT substr(sha1({idsql}), 1, 16) AS id, {title} AS title, {subtitle} AS subtitle, {kind} AS memory_type, CAST({weight} AS BIGINT) AS weight, least(n, 48) AS n_ids, first_id, start_date, end_date FROM g"""
+      SELECT substr(sha1({idsql}), 1, 16) AS id, {title} AS title, {subtitle} AS subtitle, {kind} AS memory_type, CAST({weight} AS BIGINT) AS weight, least(n, 48) AS n_ids, first_id, start_date, end_date{seq} FROM g"""
 
 
-MONTH_SQL = _memory_sql("SELECT *, strftime(ts, '%Y-%m') AS k FROM items", "k", 6, "'memory:month:' || k", "strftime(last_ts, '%B %Y')", "n || ' moments'", "'time'", "n + 18")
-DAY_SQL = _memory_sql("SELECT *, strftime(ts, '%Y-%m-%d') AS k FROM items", "k", 8, "'memory:day:' || k", "strftime(last_ts, '%B %d, %Y')", "n || ' moments from one day'", "'day'", "n + 24")
+MONTH = partial(_memory_sql, "SELECT *, strftime(ts, '%Y-%m') AS k FROM items", "k", 6, "'memory:month:' || k", "strftime(last_ts, '%B %Y')", "n || ' moments'", "'time'", "n + 18")
+DAY = partial(_memory_sql, "SELECT *, strftime(ts, '%Y-%m-%d') AS k FROM items", "k", 8, "'memory:day:' || k", "strftime(last_ts, '%B %d, %Y')", "n || ' moments from one day'", "'day'", "n + 24")
 SPAN_ROWS = "SELECT items.*, span FROM items JOIN (SELECT day, sum(fresh) OVER (ORDER BY day) AS span FROM (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) > 2 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT ts::DATE AS day FROM items))) s ON ts::DATE = day"
-SPAN_SQL = _memory_sql(SPAN_ROWS, "span", 6, "'memory:span:' || first_ts::DATE || ':' || last_ts::DATE", "strftime(first_ts, '%b %d') || ' to ' || strftime(last_ts, '%b %d, %Y')", "n || ' moments across ' || days || ' days'", "'span'", "n + 26", order="ORDER BY span", limit="LIMIT 8", having="AND count(DISTINCT ts::DATE) >= 2")
-PERSONA_SQL = _memory_sql("SELECT items.*, persona_id, name, kind FROM items JOIN item_personas ON id = item_id JOIN personas p ON p.id = persona_id", "persona_id, name, kind", 6, "'memory:persona:' || persona_id", "name", "n || ' appearances'", "kind || '_persona'", "n + CASE kind WHEN 'pet' THEN 30 ELSE 28 END", f", {PERSONAS}, {LINKS}")
+SPAN = partial(_memory_sql, SPAN_ROWS, "span", 6, "'memory:span:' || first_ts::DATE || ':' || last_ts::DATE", "strftime(first_ts, '%b %d') || ' to ' || strftime(last_ts, '%b %d, %Y')", "n || ' moments across ' || days || ' days'", "'span'", "n + 26", order="ORDER BY span", limit="LIMIT 8", having="AND count(DISTINCT ts::DATE) >= 2")
+PERSONA = partial(_memory_sql, "SELECT items.*, persona_id, name, kind FROM items JOIN item_personas ON id = item_id JOIN personas p ON p.id = persona_id", "persona_id, name, kind", 6, "'memory:persona:' || persona_id", "name", "n || ' appearances'", "kind || '_persona'", "n + CASE kind WHEN 'pet' THEN 30 ELSE 28 END", f", {PERSONAS}, {LINKS}")
 PAIRS_CTE = f""", {PERSONAS}, {LINKS}, four AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY persona_id) AS k FROM item_personas), pairs AS (SELECT x.item_id, x.persona_id AS a, y.persona_id AS b FROM four x JOIN four y ON x.item_id = y.item_id AND x.persona_id < y.persona_id WHERE x.k <= 4 AND y.k <= 4),
   top AS (SELECT * FROM (SELECT a, b, count(*) AS c FROM pairs GROUP BY a, b ORDER BY c DESC, a, b LIMIT 6) WHERE c >= 6)"""
-PAIR_SQL = _memory_sql("SELECT items.*, a, b, p.name AS na, q.name AS nb FROM top JOIN pairs USING (a, b) JOIN items ON id = item_id JOIN personas p ON p.id = a JOIN personas q ON q.id = b", "a, b, na, nb", 1, "'memory:pair:' || a || ':' || b", "na || ' and ' || nb", "n || ' shared moments'", "'pair'", "n + 16", PAIRS_CTE, cut=True)
+PAIR = partial(_memory_sql, "SELECT items.*, a, b, p.name AS na, q.name AS nb FROM top JOIN pairs USING (a, b) JOIN items ON id = item_id JOIN personas p ON p.id = a JOIN personas q ON q.id = b", "a, b, na, nb", 1, "'memory:pair:' || a || ':' || b", "na || ' and ' || nb", "n || ' shared moments'", "'pair'", "n + 16", PAIRS_CTE, cut=True)
 THEME_CTE = ", tags AS (SELECT CAST(l_orderkey AS VARCHAR) AS oid, lower(unnest(string_split(p_name, ' '))) AS tag FROM lineitem JOIN part ON l_partkey = p_partkey), good AS (SELECT * FROM tags WHERE length(tag) >= 3 AND tag NOT IN ('image', 'video', 'gif', 'live', 'live photo', 'live_photo', 'face', 'person', 'pet', 'animal')), top AS (SELECT tag FROM (SELECT tag, count(*) AS c FROM good GROUP BY tag ORDER BY c DESC, tag LIMIT 8) WHERE c >= 6)"
-THEME_SQL = _memory_sql("SELECT items.*, tag FROM items JOIN good ON id = oid SEMI JOIN top USING (tag)", "tag", 1, "'memory:theme:' || tag", "upper(tag[1]) || tag[2:]", "n || ' tagged moments'", "'theme'", "n + 8", THEME_CTE)
-FAVORITE_SQL = _memory_sql("SELECT *, 0 AS k FROM items WHERE favorite", "k", 6, "'memory:favorites'", "'Favorites'", "n || ' saved moments'", "'favorites'", "n + 12")
+THEME = partial(_memory_sql, "SELECT items.*, tag FROM items JOIN good ON id = oid SEMI JOIN top USING (tag)", "tag", 1, "'memory:theme:' || tag", "upper(tag[1]) || tag[2:]", "n || ' tagged moments'", "'theme'", "n + 8", THEME_CTE)
+FAVORITE = partial(_memory_sql, "SELECT *, 0 AS k FROM items WHERE favorite", "k", 6, "'memory:favorites'", "'Favorites'", "n || ' saved moments'", "'favorites'", "n + 12")
+
+query("memory_month", MONTH())(lambda spark, d: _flat(memories.month_memories(lib.items(spark, d))))
+query("memory_day", DAY())(lambda spark, d: _flat(memories.day_memories(lib.items(spark, d))))
+query("memory_span", SPAN())(lambda spark, d: _flat(memories.span_memories(lib.items(spark, d))))
+query("memory_persona", PERSONA())(lambda spark, d: _flat(memories.persona_memories(lib.items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d))))
+query("memory_pair", PAIR())(lambda spark, d: _flat(memories.pair_memories(lib.items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d))))
+query("memory_theme", THEME())(lambda spark, d: _flat(memories.theme_memories(lib.tagged_items(spark, d))))
+query("memory_favorites", FAVORITE())(lambda spark, d: _flat(memories.favorite_memories(lib.items(spark, d))))
+
 
-query("memory_month", MONTH_SQL)(lambda spark, d: _flat(memories.month_memories(lib.items(spark, d))))
-query("memory_day", DAY_SQL)(lambda spark, d: _flat(memories.day_memories(lib.items(spark, d))))
-query("memory_span", SPAN_SQL)(lambda spark, d: _flat(memories.span_memories(lib.items(spark, d))))
-query("memory_persona", PERSONA_SQL)(lambda spark, d: _flat(memories.persona_memories(lib.items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d))))
-query("memory_pair", PAIR_SQL)(lambda spark, d: _flat(memories.pair_memories(lib.items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d))))
-query("memory_theme", THEME_SQL)(lambda spark, d: _flat(memories.theme_memories(lib.tagged_items(spark, d))))
-query("memory_favorites", FAVORITE_SQL)(lambda spark, d: _flat(memories.favorite_memories(lib.items(spark, d))))
+def _top_sql() -> str:
+    """All builders over items that have tags: weight, builder, then the builder's own order."""
+    none = ", 0.0 AS s1, '' AS s2, '' AS s3"
+    newest, first = ", -epoch(last_ts)::DOUBLE AS s1, '' AS s2, '' AS s3", ", -n::DOUBLE AS s1"
+    parts = [MONTH(seq=newest), DAY(seq=newest), SPAN(seq=", span::DOUBLE AS s1, '' AS s2, '' AS s3"), PERSONA(seq=", 0.0 AS s1, kind AS s2, lower(name) AS s3"), PAIR(seq=f"{first}, a AS s2, b AS s3"), THEME(seq=f"{first}, tag AS s2, '' AS s3"), FAVORITE(seq=none)]
+    every = " UNION ALL ".join(f"SELECT *, {k} AS builder FROM ({p})" for k, p in enumerate(parts))
+    every = every.replace("AS hidden FROM orders)", "AS hidden FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey))")
+    return f"SELECT {', '.join(MEMORY)} FROM ({every}) ORDER BY weight DESC, builder, s1, s2, s3, id LIMIT 24"
 
 
-@query("memory_top24")
+@query("memory_top24", _top_sql())
 def _(spark, d):
     return _flat(memories.regenerate(lib.tagged_items(spark, d), lib.item_personas(spark, d), lib.personas(spark, d)))
 
@@ -305,15 +362,18 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", media.average_hash("embedding").alias("hash"))
 
 
-@query("normalised", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+@query("normalised", "WITH n AS (SELECT vec_id, embedding, sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])) AS len FROM embeddings) SELECT vec_id, unnest(range(len(embedding))) AS pos, round(unnest(embedding)::DOUBLE / len, 6) AS value FROM n")
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", vectors.l2_normalise("embedding")[0].alias("first"))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.l2_normalise("embedding")).alias("pos", "value"))
+    return e.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query("sample_frames")
+@query("sample_frames", """WITH e AS (SELECT event_id, (user_id % 500)::INT AS n, (abs(value) % 60)::DOUBLE AS fps FROM events), s AS (SELECT *, greatest(1, CASE WHEN fps > 0 THEN round_even(fps * 2, 0)::INT ELSE n // 12 END) AS stride FROM e),
+  p AS (SELECT *, list_sort(list_distinct(list_concat(range(0, n, stride), [n - 1]))) AS picks FROM s)
+  SELECT event_id, array_to_string(CASE WHEN n <= 0 THEN [] WHEN n <= 12 THEN range(0, n) WHEN len(picks) > 12 THEN list_sort(list_distinct([picks[trunc((len(picks) - 1) * k / 11.0)::INT + 1] for k in range(12)]))[1:12] ELSE picks END, ',') AS frames FROM p""")
 def _(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", media.sample_frames((F.col("user_id") % 500).cast("int"), (F.abs("value") % 60).cast("double")).alias("frames"))
+    return e.select("event_id", media.sample_frames((F.col("user_id") % 500).cast("int"), (F.abs("value") % 60).cast("double")).alias("frames")).select("event_id", F.array_join("frames", ",").alias("frames"))
 
 
 # similarity -----------------------------------------------------------------
@@ -322,18 +382,9 @@ def _(spark, d):
 @query("cosine_topk", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS c FROM q JOIN embeddings ON vec_id <> query_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(c, 6) AS score FROM r WHERE rank <= 5""")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    parts = []
-    for q in similarity.in_blocks(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))):
-        s = e.crossJoin(F.broadcast(q)).filter("vec_id <> query_id").select("query_id", "vec_id", vectors.cosine("q", "v").alias("c"))
-        # the best five of each query inside each of 64 slices first, so that the last rank sees 320 rows a query
-        inner = Window.partitionBy("query_id", F.pmod("vec_id", F.lit(64))).orderBy(F.round("c", 9).desc(), "vec_id")
-        parts.append(s.withColumn("k", F.row_number().over(inner)).filter("k <= 5").drop("k"))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.round("c", 9).desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("query_id", "vec_id", "rank", F.round("c", 6).alias("score"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("encoding"))
+    best = similarity.search_vectors(e, e.filter("id % 20 = 0").withColumnRenamed("id", "query_id"))
+    return best.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 REFS = "refs AS (SELECT vec_id AS ref, label AS rl, embedding AS rv, substr(sha1(vec_id::VARCHAR), 1, 16) AS rs FROM embeddings WHERE vec_id % 20 = 0)"
@@ -351,10 +402,10 @@ def _(spark, d):
 
 @query("euclid_nearest", f"""WITH {REFS}, s AS (SELECT vec_id, ref, list_distance(embedding::DOUBLE[], rv::DOUBLE[]) AS e FROM embeddings, refs WHERE vec_id <> ref), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(e, 9), ref) AS k FROM s) SELECT vec_id, ref, round(e, 5) AS distance FROM r WHERE k = 1""")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    refs = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("ref"), F.col("v").alias("rv"))
-    score = F.when(F.col("vec_id") == F.col("ref"), F.lit(-1e9)).otherwise(-F.round(vectors.euclidean("v", "rv"), 9))
-    return similarity.best_match(e, ["vec_id"], refs, score, ["ref"], ["ref"]).select("vec_id", "ref", F.round(-F.col("score"), 5).alias("distance"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("encoding"))
+    refs = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("ref"), F.col("encoding").alias("reference"))
+    best = similarity.best_vectors(e, ["vec_id"], refs, ["ref"], "ref", euclidean=True, self_key="vec_id")
+    return best.select("vec_id", "ref", F.round(-F.col("score"), 5).alias("distance"))
 
 
 @query("hamming_nearest", """WITH b AS (SELECT item_id, substr(sha1(text), 1, 16) AS h FROM benchmark), d AS (SELECT doc_id, substr(sha1(coalesce(text, '')), 1, 16) AS g FROM documents),
@@ -394,7 +445,10 @@ def _(spark, d):
     return clusters.finalize(m).select("cluster_id", "kind", "label", "member_count", "item_count", F.round("average_confidence", 6).alias("average_confidence"), "latest_captured_at", "representative_detection_id")
 
 
-@query("auto_assign")
+@query("auto_assign", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, substr(sha1(vec_id::VARCHAR), 1, 16) AS h FROM embeddings), refs AS (SELECT vec_id AS ref, label AS rl, v AS rv, h AS rh FROM e WHERE vec_id % 20 = 0),
+  s AS (SELECT vec_id, rl, ref, list_cosine_similarity(v, rv) AS c, list_distance(v, rv) AS far, bit_count(xor(('0x' || substr(h, 1, 8))::BIGINT, ('0x' || substr(rh, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(h, 9, 8))::BIGINT, ('0x' || substr(rh, 9, 8))::BIGINT)) AS x, label FROM e, refs WHERE (label < 6) = (rl < 6)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY how, CASE how WHEN 1 THEN -round(c, 12) WHEN 2 THEN far ELSE x END, rl, ref) AS k FROM (SELECT *, CASE WHEN c >= 0.3 THEN 1 WHEN label < 6 AND far <= 0.42 THEN 2 WHEN label >= 6 AND x <= 14 THEN 3 END AS how FROM s) WHERE how IS NOT NULL)
+  SELECT e.vec_id::VARCHAR AS detection_id, CASE WHEN e.label < 6 THEN 'face' WHEN e.label < 8 THEN 'pet' ELSE 'pet_face' END AS kind, 'label-' || rl AS persona_id FROM e LEFT JOIN (SELECT * FROM r WHERE k = 1) q ON q.vec_id = e.vec_id""")
 def _(spark, d):
     from ..config import Settings
 
@@ -408,11 +462,18 @@ def _(spark, d):
     return out.select("vec_id", *[F.round(F.abs(c), 6).alias(c) for c in ("x", "y", "z")])
 
 
-@query("suppress_boxes")
+@query("suppress_boxes", """WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS box_id, (l_partkey % 40)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, (l_partkey % 40 + l_quantity)::DOUBLE AS x2, (l_suppkey % 40 + l_linenumber * 8)::DOUBLE AS y2, l_extendedprice AS score FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS k FROM b),
+  w(image_id, k, kept) AS (SELECT image_id, k, [{'box_id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}] FROM r WHERE k = 1
+    UNION ALL SELECT r.image_id, r.k, CASE WHEN len([o for o in kept if greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1) + 1) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1) + 1)
+        > 0.4 * ((o.x2 - o.x1 + 1) * (o.y2 - o.y1 + 1) + (r.x2 - r.x1 + 1) * (r.y2 - r.y1 + 1) - greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1) + 1) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1) + 1))]) = 0
+      THEN list_append(kept, {'box_id': r.box_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'score': r.score}) ELSE kept END FROM w JOIN r ON r.image_id = w.image_id AND r.k = w.k + 1),
+  last AS (SELECT image_id, max_by(kept, k) AS kept FROM w GROUP BY image_id), f AS (SELECT image_id, unnest(kept) AS o, unnest(range(len(kept))) AS rank FROM last)
+  SELECT image_id, o.box_id AS box_id, o.score AS score, rank::INT AS rank FROM f""")
 def _(spark, d):
     b = lib.boxes(spark, d)
     b = b.select(F.col("l_orderkey").alias("image_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("k"), F.col("box")[0].cast("double").alias("x1"), F.col("box")[1].cast("double").alias("y1"), (F.col("box")[0] + F.col("box")[2]).cast("double").alias("x2"), (F.col("box")[1] + F.col("box")[3]).cast("double").alias("y2"), F.col("l_extendedprice").alias("score"))
-    return detect.suppress(b.withColumn("box_id", F.to_json("k")).drop("k"))
+    return detect.suppress(b.withColumn("box_id", F.concat_ws("-", "k.l_linenumber", "k.l_partkey", "k.l_suppkey", F.col("k.l_quantity").cast("int"))).drop("k"))
 
 
 @query("merge_frames")
