@@ -10,16 +10,20 @@ n-grams of every document; where they hit, the item is aligned with the passage
 (match +2, other word -1, gap -1), so edited or paraphrased copies with changed, dropped or added
 words still score. score = best alignment / (2 * words of the item).
 
-Test items are read in blocks whose size is checked, each block against all documents in one pass
-without a shuffle: every document meets a bounded table. An item shorter than an n-gram is one seed.
+Test items are read in blocks of `BLOCK_BYTES`, each block against all documents in one pass without a
+shuffle: every document meets a bounded table of seeds. The words of `COUNTED` blocks are counted in one
+more pass. A benchmark larger than a block so costs a pass for each block; the documents' n-grams, many
+times the benchmark's, are never shuffled. An item shorter than an n-gram is one seed.
 
 Defined results: null, empty and wordless texts and items match nothing; a repeated row repeats its
-rows; an empty table gives an empty result; extra columns are not read.
+rows; documents without an id are searched too and give rows without one; items without an id are left
+out; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, lean, small, table
 
 NGRAM, CHANCE, SCORE = 3, 5.0, 0.5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, COUNTED = 8 << 20, 8
 MATCH, OTHER, GAP = 2, -1, -1
 
 
@@ -222,13 +226,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, chance: flo
     lean(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
-    for block in item_blocks(benchmark):
-        wanted = {x for _, w in block for x in w}
+    for blocks in batched(item_blocks(benchmark), COUNTED):
+        wanted = {x for block in blocks for _, w in block for x in w}
         counts = base.select("text").mapInArrow(_count_words(wanted), "word string, n long").groupBy("word").agg(F.sum("n")).collect()
-        seen = dict((r[0], r[1]) for r in counts)  # at most the block's own words
+        seen = dict((r[0], r[1]) for r in counts)  # at most these blocks' own words
         total = max(1, seen.get("", 0))
-        rare = {x: seen.get(x, 0) / total for x in wanted}
-        found.append(base.mapInArrow(_search(block, rare, ngram, chance, least), "doc_id long, item_id long, score double, start_word long, end_word long"))
+        for block in blocks:
+            rare = {x: seen.get(x, 0) / total for _, w in block for x in w}
+            found.append(base.mapInArrow(_search(block, rare, ngram, chance, least), "doc_id long, item_id long, score double, start_word long, end_word long"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     return Scratch(docs.sparkSession, "leaks").write(reduce(DataFrame.unionByName, found), "leaks")
