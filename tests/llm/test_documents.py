@@ -391,6 +391,35 @@ def found_leaks(spark, rows, items):
     return {(r.doc_id, r.item_id): r.score for r in got}
 
 
+def plain_alignment(item, passage):
+    """The best local alignment's score, cell by cell."""
+    best, prev = 0, [0] * (len(passage) + 1)
+    for a in item:
+        row = [0]
+        for j, b in enumerate(passage):
+            row.append(max(0, prev[j] + (decontam.MATCH if a == b else decontam.OTHER), prev[j + 1] + decontam.GAP, row[j] + decontam.GAP))
+        best, prev = max(best, *row), row
+    return best
+
+
+def test_leaks_are_all_pairs_that_align(spark, monkeypatch):
+    """Every document against every item, aligned whole; two blocks of items, and their words counted apart."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 800)
+    monkeypatch.setattr(decontam, "COUNTED", 1)
+    items = [(k, prose(7000 + k, 14 + 6 * k)) for k in range(6)] + [(20, "only three words"), (21, None), (22, " "), (None, prose(1, 20))]
+    docs = [(k, f"{prose(k, 30)} {edited(items[k % 6][1], k, (0.0, 0.05, 0.1, 0.3, 0.9)[k % 5])} {prose(k + 40, 25)}") for k in range(40)]
+    docs += [(100, "said Only three, words here"), (101, None), (102, ""), (None, items[2][1]), (103, f"{items[0][1]} and {items[5][1]}"), *[(200 + k, prose(k + 300, 60)) for k in range(10)]]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): r.score for r in got.collect()}
+    want = {}
+    for i, t in docs:
+        for k, u in items:
+            a, b = decontam.words_of(u), decontam.words_of(t)
+            if k is not None and a and b and (s := plain_alignment(a, b) / (2 * len(a))) >= decontam.SCORE:
+                want[i, k] = s
+    assert found == pytest.approx(want) and len(want) > 25 and (None, 2) in want
+
+
 def test_leaks_in_a_tiny_table(spark):
     items = [(1, "alpha beta gamma delta epsilon"), (2, "one two"), (3, "solo")]
     rows = [(k, t) for k, (_, t) in enumerate(items)] + [(3, "alpha beta gamma delta zeta"), (4, "nothing here")]
