@@ -1,15 +1,17 @@
 """Greedy leader clustering of unassigned detections, exact: rows of a kind in one order, one pass.
 
 The result depends on the order (newest first, then ids), so a kind is one group of applyInPandas. To keep
-that group from growing with the table, `by` names columns that split it into independent libraries. Kept
-vectors are one matrix, so a row costs one matrix product.
+that group from growing with the table, `by` names columns that split it into independent libraries. The
+kept vectors of all clusters are one matrix and their hashes one array, so a row costs one matrix product.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from hashlib import sha1
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,8 +53,6 @@ class Cluster:
 
 
 def _unit(v):
-    import numpy as np
-
     if v is None or not len(v):
         return None
     a = np.asarray(v, dtype=float)
@@ -60,25 +60,85 @@ def _unit(v):
     return a / n if n > 0 else None
 
 
-def place(clusters: list[Cluster], row, kind: str, s: Settings) -> Cluster:
-    """The cluster of best cosine, else of least Hamming distance, within thresholds; else a new one.
-    Of equals the earliest cluster wins, and any vector match beats any hash match."""
-    best, top, near, least = None, -1.0, None, float("inf")
-    for c in clusters:
-        if row["unit"] is not None and c.units:
-            sim = max(float(row["unit"] @ u) if len(u) == len(row["unit"]) else -1.0 for u in c.units)
-            if sim >= s.join_cosine(kind) and sim > top:
-                best, top = c, sim
-        if best is None and row["signature"] and c.hashes:
-            d = min(hamming_of(row["signature"], h) for h in c.hashes)
-            if d <= s.join_hamming(kind) and d < least:
-                near, least = c, d
-    chosen = best or near
-    if chosen is None:
-        chosen = Cluster(cluster_id(kind, row["item_id"], row["detection_id"]))
-        clusters.append(chosen)
-    chosen.add(row)
-    return chosen
+class Leaders:
+    """Clusters in order, and what they have kept, in flat arrays with the place of each entry's cluster."""
+
+    def __init__(self, clusters: list[Cluster] = ()):
+        self.clusters: list[Cluster] = []
+        self.units: dict[int, list] = {}  # by length: matrix, owners, filled
+        self.hashes, self.odd = [np.zeros(16, np.uint64), np.zeros(16, np.int64), 0], []
+        for c in clusters:
+            self.clusters.append(c)
+            for u in c.units:
+                self._unit(u, len(self.clusters) - 1)
+            for h in c.hashes:
+                self._hash(h, len(self.clusters) - 1)
+
+    @staticmethod
+    def _append(store: list, value, owner: int) -> None:
+        if store[2] == len(store[1]):
+            store[0] = np.concatenate([store[0], np.zeros_like(store[0])])
+            store[1] = np.concatenate([store[1], np.zeros_like(store[1])])
+        store[0][store[2]], store[1][store[2]] = value, owner
+        store[2] += 1
+
+    def _unit(self, u, owner: int) -> None:
+        self._append(self.units.setdefault(len(u), [np.zeros((16, len(u))), np.zeros(16, np.int64), 0]), u, owner)
+
+    def _hash(self, h: str, owner: int) -> None:
+        if re.fullmatch("[0-9a-fA-F]{16}", h):
+            self._append(self.hashes, np.uint64(int(h, 16)), owner)
+        else:
+            self.odd.append((h, owner))
+
+    def add(self, at: int, row) -> None:
+        """The row as a member of the cluster at a place."""
+        c = self.clusters[at]
+        n, m = len(c.units), len(c.hashes)
+        c.add(row)
+        for u in c.units[n:]:
+            self._unit(u, at)
+        for h in c.hashes[m:]:
+            self._hash(h, at)
+
+    def similar(self, units: list) -> np.ndarray:
+        """Each cluster's best cosine with any of the vectors; -1 where there is none to compare."""
+        out = np.full(len(self.clusters), -1.0)
+        for size in {len(u) for u in units}:
+            if size in self.units:
+                kept, owner, n = self.units[size]
+                np.maximum.at(out, owner[:n], (np.array([u for u in units if len(u) == size]) @ kept[:n].T).max(0))
+        return out
+
+    def apart(self, hashes: list[str]) -> np.ndarray:
+        """Each cluster's least distance to any of the hashes."""
+        out = np.full(len(self.clusters), np.inf)
+        kept, owner, n = self.hashes
+        for h in hashes:
+            if n and re.fullmatch("[0-9a-fA-F]{16}", h):
+                np.minimum.at(out, owner[:n], np.bitwise_count(kept[:n] ^ np.uint64(int(h, 16))).astype(float))
+            for x, at in self.odd if re.fullmatch("[0-9a-fA-F]{16}", h) else [*self.odd, *((f"{int(k):016x}", o) for k, o in zip(kept[:n], owner[:n]))]:
+                out[at] = min(out[at], hamming_of(h, x))
+        return out
+
+
+def place(leaders: Leaders, row, kind: str, s: Settings) -> None:
+    """The row goes to the cluster of best cosine, else of least Hamming distance, within thresholds; else to a
+    new one. Of equals the earliest cluster wins, and any vector match beats any hash match."""
+    at = None
+    if row["unit"] is not None and leaders.clusters:
+        sims = leaders.similar([row["unit"]])
+        best = float(sims.max())
+        if best >= s.join_cosine(kind):
+            at = int(np.flatnonzero(sims >= best - 1e-12)[0])
+    if at is None and row["signature"] and leaders.clusters:
+        gaps = leaders.apart([row["signature"]])
+        if gaps.min() <= s.join_hamming(kind):
+            at = int(gaps.argmin())
+    if at is None:
+        at = len(leaders.clusters)
+        leaders.clusters.append(Cluster(cluster_id(kind, row["item_id"], row["detection_id"])))
+    leaders.add(at, row)
 
 
 def _alike(a: Counter, b: Counter) -> bool:
@@ -86,41 +146,43 @@ def _alike(a: Counter, b: Counter) -> bool:
     return "pet" in a | b or any(a & set(group) and b & set(group) for group in (CAT_LABELS, DOG_LABELS)) or bool(a & b)
 
 
-def should_merge(a: Cluster, b: Cluster, kind: str, s: Settings) -> bool:
-    if kind == "pet" and not _alike(a.labels, b.labels):
-        return False
-    if any(len(u) == len(v) and float(u @ v) >= s.merge_cosine(kind) for u in a.units for v in b.units):
-        return True
-    return any(hamming_of(x, y) <= s.merge_hamming(kind) for x in a.hashes for y in b.hashes)
-
-
 def merge_all(clusters: list[Cluster], kind: str, s: Settings) -> list[Cluster]:
     """Folds the later of the first mergeable pair into the earlier and starts over, until none is left."""
-    i = 0
+    i, flat = 0, Leaders(clusters)
+
+    def partners(c: Cluster, places) -> list[int]:
+        """Those of the places, in order, whose clusters merge with c."""
+        near = np.zeros(len(clusters), dtype=bool)
+        if c.units:
+            near |= flat.similar(c.units) >= s.merge_cosine(kind)
+        if c.hashes:
+            near |= flat.apart(c.hashes) <= s.merge_hamming(kind)
+        return [k for k in places if near[k] and (kind != "pet" or _alike(c.labels, clusters[k].labels))]
+
     while i < len(clusters):
-        j = next((j for j in range(i + 1, len(clusters)) if should_merge(clusters[i], clusters[j], kind, s)), None)
-        if j is None:
+        found = partners(clusters[i], range(i + 1, len(clusters)))
+        if not found:
             i += 1
             continue
-        left, right = clusters[i], clusters.pop(j)
+        left, right = clusters[i], clusters.pop(found[0])
         left.rows += right.rows
         left.labels.update(right.labels)
         for r in right.rows:
             unit, hashed = right.kept[r["seq"]]
             left.kept[r["seq"]] = [unit and left.learn_unit(r["unit"]), hashed and left.learn_hash(r["signature"])]
+        flat = Leaders(clusters)
         # earlier clusters did not match the old left one; they may match what it has become
-        i = next((k for k in range(i) if should_merge(clusters[k], left, kind, s)), i)
+        i = next(iter(partners(left, range(i))), i)
     return clusters
 
 
 def _fold(kind: str, s: Settings, merge: bool, by: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["captured_at", "item_id", "detection_id"], ascending=[False, True, True], kind="stable")
-        clusters: list[Cluster] = []
+        leaders = Leaders()
         for seq, r in enumerate(pdf.to_dict("records")):
-            place(clusters, {**r, "seq": seq, "unit": _unit(r["encoding"]), "signature": r["signature"] or ""}, kind, s)
-        if merge:
-            clusters = merge_all(clusters, kind, s)
+            place(leaders, {**r, "seq": seq, "unit": _unit(r["encoding"]), "signature": r["signature"] or ""}, kind, s)
+        clusters = merge_all(leaders.clusters, kind, s) if merge else leaders.clusters
         out = [[*[r[b] for b in by], c.id, kind, r["item_id"], r["detection_id"], r["label"], r["confidence"], r["captured_at"], at, *c.kept[r["seq"]]] for c in clusters for at, r in enumerate(c.rows)]
         return pd.DataFrame(out, columns=[*by, *[f.split()[0] for f in MEMBER.split(", ")]])
 
@@ -181,10 +243,10 @@ def cluster_incremental(state: DataFrame, detections: DataFrame, dirty: DataFram
                 later.append(row)
             else:
                 found.setdefault(r["cluster_id"], Cluster(r["cluster_id"])).add(row)
-        clusters = sorted(found.values(), key=lambda c: (-len(c.rows), c.id))
+        leaders = Leaders(sorted(found.values(), key=lambda c: (-len(c.rows), c.id)))
         for row in later:
-            place(clusters, row, kind, s)
-        return pd.DataFrame([(c.id, r["item_id"], r["detection_id"]) for c in clusters for r in c.rows], columns=["cluster_id", "item_id", "detection_id"])
+            place(leaders, row, kind, s)
+        return pd.DataFrame([(c.id, r["item_id"], r["detection_id"]) for c in leaders.clusters for r in c.rows], columns=["cluster_id", "item_id", "detection_id"])
 
     return rows.groupBy(F.lit(kind)).applyInPandas(run, "cluster_id string, item_id string, detection_id string")
 

@@ -38,14 +38,20 @@ LINKS = "item_personas AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS item_i
 # filters, joins, paging ------------------------------------------------------
 
 
-@query("search_faceted", f"""WITH {ITEMS}, {TAGS}, {PERSONAS}, {LINKS} SELECT id, captured_at, media_kind, favorite FROM items WHERE NOT hidden AND media_kind = 'image'
-  AND id IN (SELECT item_id FROM item_tags WHERE tag = 'r') AND id IN (SELECT item_id FROM item_personas JOIN personas ON persona_id = personas.id WHERE kind = 'pet')
-  ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 180 OFFSET 20""")
-def _(spark, d):
-    out = search.query_items(lib.items(spark, d), lib.item_tags(spark, d), lib.item_personas(spark, d), lib.personas(spark, d), media_kind="image", tag="R", persona_kind="pet", limit=180, offset=20)
+FACETED = f"""WITH {ITEMS}, {TAGS}, {PERSONAS}, {LINKS} SELECT id, captured_at, media_kind, favorite FROM items WHERE NOT hidden AND media_kind = 'image'
+  AND id IN (SELECT item_id FROM item_tags WHERE tag = 'r') AND id IN (SELECT item_id FROM item_personas JOIN personas ON persona_id = personas.id WHERE kind = '{{}}')
+  ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 180 OFFSET {{}}"""
+
+
+def _faceted(spark, d, kind: str, offset: int) -> DataFrame:
+    out = search.query_items(lib.items(spark, d), lib.item_tags(spark, d), lib.item_personas(spark, d), lib.personas(spark, d), media_kind="image", tag="R", persona_kind=kind, limit=180, offset=offset)
     return out.select("id", "captured_at", "media_kind", "favorite")
 
 
+query("search_faceted", FACETED.format("pet", 20))(lambda spark, d: _faceted(spark, d, "pet", 20))
+query("search_first_page", FACETED.format("person", 0))(lambda spark, d: _faceted(spark, d, "person", 0))
+
+
 @query("filter_items", f"WITH {ITEMS} SELECT id, captured_at FROM items WHERE NOT hidden AND favorite AND substr(captured_at, 1, 4) = '1997'")
 def _(spark, d):
     return search.query_items(lib.items(spark, d), favorites=True, year="1997", ordered=False).select("id", "captured_at")

@@ -55,4 +55,4 @@ def test_query(spark, name):
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["id", "captured_at", "media_kind", "favorite"]
+    assert df.columns == ["id", "captured_at", "media_kind", "favorite"] and df.count() > 0
