@@ -20,11 +20,14 @@ from ..schema import TABLES, conform, empty, schema
 
 
 KEPT_MANIFESTS = 10
+#: Tables in parts by a hash of the item's id: a save of some items leaves the parts of others as they are.
+KEYED = {"items": "id", "item_personas": "item_id", "item_tags": "item_id", "item_search": "item_id", "detections": "item_id", "unknown_cluster_members": "item_id"}
 
 
 class Library:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = 16):
+        """parts: how many parts the tables of a new library have; an existing one keeps its own."""
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
 
     # manifest ---------------------------------------------------------------
 
@@ -75,22 +78,43 @@ class Library:
 
     # tables -----------------------------------------------------------------
 
-    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
-        at = (manifest or self.manifest())["tables"].get(name)
-        return conform(self.spark.read.schema(schema(name)).parquet(f"{self.root}/{at}"), name) if at else empty(self.spark, name)
+    def table(self, name: str, manifest: dict | None = None, parts: set[int] | None = None) -> DataFrame:
+        """A table, or those parts of it that the given hashes of item ids lie in."""
+        return self._read(name, (manifest or self.manifest())["tables"].get(name), parts)
+
+    def _read(self, name: str, entry: str | dict[str, str] | None, parts: set[int] | None = None) -> DataFrame:
+        paths = [entry] if isinstance(entry, str) else [at for k, at in (entry or {}).items() if parts is None or int(k) in parts]
+        if not paths:
+            return empty(self.spark, name)
+        return conform(self.spark.read.schema(schema(name)).parquet(*[f"{self.root}/{at}" for at in paths]), name)
 
     def load(self) -> dict[str, DataFrame]:
         """All tables of one state."""
         m = self.manifest()
         return {name: self.table(name, m) for name in TABLES if name != "metadata"}
 
-    def _stage(self, name: str, df: DataFrame, made: dict[str, str]) -> DataFrame:
-        """A new snapshot of a table, not published yet: what is derived from it reads it."""
-        made[name] = f"{name}/{uuid.uuid4().hex}"
-        conform(df, name).write.parquet(f"{self.root}/{made[name]}")
-        return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{made[name]}")
-
-    def _commit(self, manifest: dict, made: dict[str, str], now: str) -> None:
+    def _part(self, column: str, manifest: dict):
+        return F.pmod(F.xxhash64(column), F.lit(manifest.setdefault("parts", self.parts))).cast("int")
+
+    def _stage(self, name: str, df: DataFrame, manifest: dict, made: dict, parts: set[int] | None = None) -> DataFrame:
+        """A new snapshot of a table, or of the given parts of it, not published yet; what is derived from it reads it."""
+        at, df = f"{name}/{uuid.uuid4().hex}", conform(df, name)
+        if name not in KEYED:
+            made[name] = at
+            df.write.parquet(f"{self.root}/{at}")
+            return self._read(name, at)
+        df.withColumn("_part", self._part(KEYED[name], manifest)).write.partitionBy("_part").parquet(f"{self.root}/{at}")
+        path, fs = self._fs(f"{self.root}/{at}")
+        names = [str(f.getPath().getName()) for f in fs.listStatus(path)]
+        new = {n.split("=")[1]: f"{at}/{n}" for n in names if n.startswith("_part=")}
+        old = manifest["tables"].get(name) or {}
+        if parts is not None and isinstance(old, dict):
+            made[name] = {k: v for k, v in old.items() if int(k) not in parts} | new
+        else:
+            made[name] = new
+        return self._read(name, new)
+
+    def _commit(self, manifest: dict, made: dict, now: str) -> None:
         manifest["tables"].update(made)
         if now:
             manifest["metadata"]["updated_at"] = now
@@ -100,33 +124,58 @@ class Library:
         """New snapshots of the given tables, published together."""
         m, made = self.manifest(), {}
         for name, df in tables.items():
-            self._stage(name, df, made)
+            self._stage(name, df, m, made)
         self._commit(m, made, now)
 
     def save_state(self, items: DataFrame, personas: DataFrame, albums: DataFrame, memories: DataFrame, now: str) -> None:
         """Everything at once: tables replaced, indexes rebuilt, detections diffed, clusters pruned; albums, memories
         and avatars lose items that are gone."""
+        m, made = self.manifest(), {}
+        items = self._stage("items", items, m, made)
+        personas = self._stage("personas", relations.keep_live_avatars(personas, items), m, made)
+        self._stage("albums", relations.keep_live_ids(albums, items), m, made)
+        self._stage("memories", relations.keep_live_ids(memories, items), m, made)
+        self._follow(items, personas, m, made, now)
+        self._commit(m, made, now)
+
+    def _follow(self, items: DataFrame, personas: DataFrame, m: dict, made: dict, now: str, parts: set[int] | None = None) -> None:
+        """What follows from new items, or from those of some parts: indexes, detections, memberships, clusters."""
         from ..streaming.ingest import detection_feed
 
-        m, made = self.manifest(), {}
-        items = self._stage("items", items, made)
-        personas = self._stage("personas", relations.keep_live_avatars(personas, items), made)
-        self._stage("albums", relations.keep_live_ids(albums, items), made)
-        self._stage("memories", relations.keep_live_ids(memories, items), made)
         for name, df in self.indexes(items, personas).items():
-            self._stage(name, df, made)
-        feed = detection_feed(self.table("detections"), relations.detection_rows(items, now), now)
-        detections = self._stage("detections", feed, made)
-        _, members, clusters = relations.prune(items, detections, self.table("unknown_clusters"), self.table("unknown_cluster_members"))
+            self._stage(name, df, m, made, parts)
+        feed = detection_feed(self.table("detections", m, parts), relations.detection_rows(items, now), now)
+        detections = self._stage("detections", feed, m, made, parts)
         free = detections.filter(relations.unassigned() & ~F.col("cluster_dirty")).select("item_id", "detection_id")
-        members = self._stage("unknown_cluster_members", members.join(free, ["item_id", "detection_id"], "left_semi"), made)
-        self._stage("unknown_clusters", clusters.join(members.select("cluster_id"), "cluster_id", "left_semi"), made)
-        self._commit(m, made, now)
+        self._stage("unknown_cluster_members", self.table("unknown_cluster_members", m, parts).join(free, ["item_id", "detection_id"], "left_semi"), m, made, parts)
+        members = self._read("unknown_cluster_members", made["unknown_cluster_members"])
+        self._stage("unknown_clusters", self.table("unknown_clusters", m).join(members.select("cluster_id"), "cluster_id", "left_semi"), m, made)
 
     def save_items(self, changed: DataFrame, removed: DataFrame, now: str, personas: DataFrame | None = None) -> None:
-        """Progress of a sync, or an assignment: removed ids go, changed items are upserted, indexes and detections follow."""
-        items = mutations.upsert(mutations.remove(self.table("items"), removed), conform(changed, "items"))
-        self.save_state(items, personas if personas is not None else self.table("personas"), self.table("albums"), self.table("memories"), now)
+        """Progress of a sync, or an assignment: removed ids go, changed items are upserted, indexes and detections
+        follow. Only the parts that hold such items are read and written anew."""
+        m, made, staged = self.manifest(), {}, f"{self.root}/_changes/{uuid.uuid4().hex}"
+        conform(changed, "items").write.parquet(staged)
+        changed = self.spark.read.schema(schema("items")).parquet(staged)
+        keys = changed.select("id", F.lit(False).alias("gone")).unionByName(removed.select("id", F.lit(True).alias("gone")))
+        touched = {r[0]: r[1] for r in keys.groupBy(self._part("id", m).alias("p")).agg(F.max("gone")).collect()}  # at most a row a part
+        parts, gone = set(touched), any(touched.values())
+        if parts:
+            items = mutations.upsert(mutations.remove(self.table("items", m, parts), removed), changed)
+            items = self._stage("items", items, m, made, parts)
+        people = personas if personas is not None else self.table("personas", m)
+        if gone:
+            every = self._read("items", made["items"])
+            people = relations.keep_live_avatars(people, every)
+            for name in ("albums", "memories"):
+                self._stage(name, relations.keep_live_ids(self.table(name, m), every), m, made)
+        if gone or personas is not None:
+            people = self._stage("personas", people, m, made)
+        if parts:
+            self._follow(items, people, m, made, now, parts)
+        self._commit(m, made, now)
+        at, fs = self._fs(staged)
+        fs.delete(at, True)
 
     def save_persona_assignment(self, personas: DataFrame, changed: DataFrame, now: str) -> None:
         """Personas as learnt and the items they were assigned in: items, detections and indexes in one save."""

@@ -531,6 +531,22 @@ def test_saves_are_atomic(spark, tmp_path):
     assert len(lib._manifests()) <= 10 and lib.metadata("k") == "14" and lib.metadata("a") == "1"
 
 
+def test_a_save_leaves_other_parts(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"), parts=8)
+    items = items_of(spark, [{"id": f"i{k}", "title": f"t{k}", "tags": [f"g{k}"]} for k in range(40)])
+    none = {n: lib.table(n) for n in ("personas", "albums", "memories")}
+    lib.save_state(items, none["personas"], none["albums"], none["memories"], "t1")
+    before = lib.manifest()["tables"]
+    assert len(before["items"]) == 8
+    gone = spark.createDataFrame([("i9",)], "id string")
+    lib.save_items(lib.table("items").filter("id = 'i7'").withColumn("title", F.lit("new")), gone, "t2")
+    after = Library(spark, str(tmp_path / "lib")).manifest()
+    assert after["parts"] == 8 and 1 <= sum(after["tables"]["items"][k] != at for k, at in before["items"].items()) <= 2
+    assert {r.id: r.title for r in lib.table("items").collect()} == {f"i{k}": "new" if k == 7 else f"t{k}" for k in range(40) if k != 9}
+    assert {r.item_id: r.tag for r in lib.table("item_tags").collect()} == {f"i{k}": f"g{k}" for k in range(40) if k != 9}
+    assert {r.item_id for r in lib.table("item_search").filter("search_blob like '%new%'").collect()} == {"i7"}
+
+
 def test_reference_images_are_distinct(spark, tmp_path):
     lib = Library(spark, str(tmp_path / "lib"))
     items = conform(spark.createDataFrame([("i", faces(("d1", "face", "", [1.0, 0.0], ""), ("d2", "face", "", [0.999, 0.001], ""), ("d3", "face", "", [0.0, 1.0], "")))], FOUND.split(", tags")[0]), "items")
