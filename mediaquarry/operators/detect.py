@@ -119,6 +119,12 @@ def merge_frames(detections: DataFrame, settings: Settings | None = None) -> Dat
     return detections.groupBy("item_id").applyInPandas(run, SCHEMA)
 
 
+def merge_tags(frames: DataFrame) -> DataFrame:
+    """frames (item_id, tags): the distinct tags of all frames of an item, in order; empty ones left out."""
+    each = frames.select("item_id", F.explode("tags").alias("tag")).filter("tag <> ''")
+    return each.groupBy("item_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
 def merge_still_and_video(still: DataFrame, video: DataFrame, settings: Settings | None = None) -> DataFrame:
     """still and video (item_id, frame, pos, seconds, fields): a video adds faces and pets only, its ids are
     prefixed by frame and time."""

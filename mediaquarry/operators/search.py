@@ -225,8 +225,12 @@ def list_personas(personas: DataFrame) -> DataFrame:
     return personas.orderBy(*persona_order())
 
 
+def album_order() -> list[Column]:
+    return [F.lower("name"), F.col("id")]
+
+
 def list_albums(albums: DataFrame) -> DataFrame:
-    return albums.orderBy(F.lower("name"), "id")
+    return albums.orderBy(*album_order())
 
 
 def memory_order() -> list[Column]:
@@ -237,8 +241,12 @@ def list_memories(memories: DataFrame) -> DataFrame:
     return memories.orderBy(*memory_order())
 
 
+def cluster_order() -> list[Column]:
+    return [F.col("member_count").desc(), F.col("item_count").desc(), F.col("latest_captured_at").desc(), F.col("cluster_id")]
+
+
 def list_clusters(clusters: DataFrame) -> DataFrame:
-    return clusters.orderBy(F.col("member_count").desc(), F.col("item_count").desc(), F.col("latest_captured_at").desc(), "cluster_id")
+    return clusters.orderBy(*cluster_order())
 
 
 def status_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -34,6 +34,8 @@ TAGS = "item_tags AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS item_id, lo
 PERSONAS = "personas AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CASE WHEN s_acctbal < 0 THEN 'pet' ELSE 'person' END AS kind FROM supplier)"
 LINKS = "item_personas AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS item_id, CAST(l_suppkey AS VARCHAR) AS persona_id FROM lineitem)"
 
+FACES = "faces AS (SELECT l_orderkey::VARCHAR AS item_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linenumber) AS detection_id, 'face' AS kind, l_suppkey::VARCHAR AS persona_id, l_returnflag AS flag FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
 
 # filters, joins, paging ------------------------------------------------------
 
@@ -555,8 +557,12 @@ def _(spark, d):
 
 
 def queries() -> dict:
+    from . import state_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import state_queries  # noqa: F401
+
     return dict(SQL)
