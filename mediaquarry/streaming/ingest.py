@@ -77,22 +77,48 @@ def batch_size(scan: int = 8, analysis: int = 24) -> int:
     return max(scan, min(analysis, 32))
 
 
-def stream_upserts(stream: DataFrame, target: str, key: str, order: str, checkpoint: str):
+def upserted_parts(spark, target: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each part of an upsert target, from finished batches (below `before`, if given)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda path: [str(f.getPath().getName()) for f in fs.listStatus(path)]
+    versions = sorted(int(n[2:]) for n in (listed(at) if fs.exists(at) else []) if n.startswith("v=") and n[2:].isdigit())
+    out: dict[int, str] = {}
+    for v in versions:
+        names = listed(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}"))
+        if "_SUCCESS" in names and (before is None or v < before):
+            out |= {int(n[len("_part=") :]): f"{target}/v={v}/{n}" for n in names if n.startswith("_part=")}
+    return out
+
+
+def read_upserts(spark, target: str, schema) -> DataFrame:
+    """The rows an upsert target holds now."""
+    paths = list(upserted_parts(spark, target).values())
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def stream_upserts(stream: DataFrame, target: str, key: str, order: str, checkpoint: str, parts: int = 16):
     """Structured Streaming twin of upsert: each micro-batch's newest row a key replaces what the target holds.
 
-    Targets are versioned folders `v=<batch id>` under `target`; a batch that is run again writes the same one.
-    Returns the started query (available-now trigger).
+    The target is in parts by a hash of the key. A batch writes the folder `v=<batch id>` with the parts its keys
+    lie in, and these alone are read and written; a batch that is run again writes the same folder, one that
+    stops leaves no mark of success and is not read. `read_upserts` gives the rows. Returns the started query
+    (available-now trigger).
     """
     from pyspark.sql import Window
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         w = Window.partitionBy(key).orderBy(F.col(order).desc())
-        new = batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-        if batch_id:
-            base = spark.read.schema(batch.schema).parquet(f"{target}/v={batch_id - 1}")
-            new = base.join(new.select(key), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        new = batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").persist()
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        touched = {r[0] for r in new.select(part).distinct().collect()}  # at most one row a part
+        old = [at for k, at in upserted_parts(spark, target, batch_id).items() if k in touched]
+        rows = new
+        if old:
+            rows = spark.read.schema(batch.schema).parquet(*old).join(new.select(key), key, "left_anti").select(*batch.columns).unionByName(new)
+        rows.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{target}/v={batch_id}")
+        new.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -404,6 +404,19 @@ def test_stream(spark, tmp_path):
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()} == {(1, "b"), (2, "c")}
 
 
+def test_stream_batches_rewrite_touched_parts(spark, tmp_path):
+    src, out, ddl = str(tmp_path / "src"), str(tmp_path / "out"), "k int, t int, v string"
+    run = lambda: ingest.stream_upserts(spark.readStream.schema(ddl).parquet(src), out, "k", "t", str(tmp_path / "ck"), parts=8).awaitTermination()
+    spark.createDataFrame([(k, 1, f"a{k}") for k in range(60)], ddl).coalesce(1).write.mode("append").parquet(src)
+    run()
+    spark.createDataFrame([(7, 2, "b7"), (7, 3, "c7")], ddl).coalesce(1).write.mode("append").parquet(src)
+    run()
+    assert {(r.k, r.v) for r in ingest.read_upserts(spark, out, ddl).collect()} == {(k, "c7" if k == 7 else f"a{k}") for k in range(60)}
+    assert len(list((tmp_path / "out" / "v=0").glob("_part=*"))) == 8 and len(list((tmp_path / "out" / "v=1").glob("_part=*"))) == 1
+    (tmp_path / "out" / "v=1" / "_SUCCESS").unlink()  # as if the batch had stopped
+    assert {(r.k, r.v) for r in ingest.read_upserts(spark, out, ddl).collect()} == {(k, f"a{k}") for k in range(60)}
+
+
 def test_api(spark, tmp_path):
     from mediaquarry.api import LibraryApi, int_param
 
