@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from .api import LibraryApi
 from .plans.shipping import ship
+from .sources.headers import headers_under
 from .sources.scan import list_files
 from .sources.store import Library
 
@@ -34,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "status":
         api.status().show(truncate=False)
     elif a.command == "sync":
-        api.sync(list_files(spark, a.media_root), now).show(truncate=False)
+        api.sync(list_files(spark, a.media_root), now, headers=headers_under(spark, a.media_root)).show(truncate=False)
     elif a.command == "search":
         api.items(a.query, a.type, a.persona_kind, a.persona_id, "1" if a.favorites else "", limit=str(max(1, a.limit))).select("id", "mediaKind", "capturedAt", "title").show(max(1, a.limit), truncate=False)
     else:

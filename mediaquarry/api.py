@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .config import Settings
 from .operators import clusters, detect, memories, mutations, relations, search, similarity
 from .schema import conform
+from .sources.headers import extract_metadata
 from .sources.scan import build_assets
 from .sources.store import Library
 from .streaming.ingest import diff_counts, keep_assignments, mark_clean, mark_stable, refresh_faces, snapshot_diff
@@ -116,16 +117,18 @@ class LibraryApi:
     def _save(self, now: str, **tables: DataFrame) -> None:
         self.library.save(tables, now)
 
-    def sync(self, files: DataFrame, now: str, analyse: Callable[[DataFrame], DataFrame] | None = None, face_pipeline: str | None = None, batches: int = 1) -> DataFrame:
+    def sync(self, files: DataFrame, now: str, analyse: Callable[[DataFrame], DataFrame] | None = None, face_pipeline: str | None = None, batches: int = 1, headers: DataFrame | None = None) -> DataFrame:
         """Files as listed now against the stored items: new and changed assets are saved, missing ones removed,
         in as many saves as `batches`. Returns the counts.
 
-        analyse takes items and returns (id, detections and any other columns of items) of what its models find;
+        headers (see sources.headers) give sizes, dates and durations. analyse takes items and returns (id, detections and any other columns of items) of what its models find;
         without it, changed items keep what was found before. Personas are carried over to detections that go
         on from earlier ones, free detections go to personas they match, and what users have set stays. With
         face_pipeline, items that were analysed by another one only have their faces done anew.
         """
-        assets, known = build_assets(files), self.t("items").drop("_rev")
+        assets, known = build_assets(files), self.t("items")
+        if headers is not None:
+            assets = extract_metadata(assets, headers)
         recorded = F.coalesce(F.try_element_at("metadata", F.lit("human_face_pipeline")), F.lit(""))
         pipeline = F.lit(face_pipeline) if face_pipeline is not None else F.lit("")
         left = assets.withColumn("_rev", pipeline)
@@ -148,6 +151,8 @@ class LibraryApi:
         rows = assets.join(stored, "id", "left")
         kept = {c: F.col(f"old_{c}") for c in known.columns if c not in ("id", *own)}
         kept["discovered_at"] = F.coalesce(F.nullif("old_discovered_at", F.lit("")), F.lit(now))
+        if "metadata" in own:
+            rows = rows.withColumn("metadata", mutations.merge_maps(F.coalesce("old_metadata", F.expr("cast(map() as map<string,string>)")), F.col("metadata")))
         base = conform(rows.select("id", *own, *[v.alias(c) for c, v in kept.items()]), "items")
         if analyse is None:
             return base

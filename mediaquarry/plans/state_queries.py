@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import clusters, detect, mutations, relations, search, similarity
 from ..schema import conform
+from ..sources import headers
 from ..streaming import ingest
 from . import adapters as lib
 from .adapters import table
@@ -85,6 +86,17 @@ def _(spark, d):
 # decoders and views ------------------------------------------------------------
 
 
+@query("file_headers", "SELECT p_partkey AS id, p_size AS width, (p_partkey % 5000 + 1)::INT AS height, p_partkey % 3 = 0 AS animated FROM part")
+def _(spark, d):
+    """Parts as PNG files of a size each; every third is animated."""
+    number = lambda c: F.lpad(F.hex(c), 8, "0")
+    p = table(spark, d, "part")
+    frames = F.when(F.col("p_partkey") % 3 == 0, "000000086163544C000000020000000000000000").otherwise("")
+    content = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(F.col("p_size")), number(F.col("p_partkey") % 5000 + 1), F.lit("080200000000000000"), frames, F.lit("0000000049454E4400000000"))
+    got = headers.read_headers(p.select(F.col("p_partkey").cast("string").alias("path"), F.unhex(content).alias("content")))
+    return got.select(F.col("path").cast("long").alias("id"), "width", "height", "animated")
+
+
 @query("conformed_rows", "SELECT event_id::VARCHAR AS id, coalesce(event_type, '') AS title, 0.0::DOUBLE AS modified_ts, false AS hidden, 0 AS n_tags, '' AS notes, (props::JSON ->> 'k')::BIGINT AS size_bytes FROM events")
 def _(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.from_json("props", "k string")["k"].alias("size_bytes"), F.lit(None).cast("boolean").alias("hidden"), F.lit("x").alias("no_such_field"))
