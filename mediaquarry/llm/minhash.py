@@ -11,9 +11,11 @@ sets can be banded too. Documents with equal sets collapse first. Then
    share a bucket, pairs are first judged by sizes and by the collision-corrected estimate, and what
    may reach the threshold is confirmed on the full shingle sets, best first; pairs that earlier links
    already connect need no confirmation, as only components are asked for;
-3. families that fit one tile are then finished; the others are dealt anew with components side by
-   side, and only tiles that still hold different components meet. No pair that shares a bucket is
-   left out, and no group lands in one task.
+3. families that fit one tile are then finished. In the others one document of each component in a
+   bucket is first confirmed against one of the bucket's least component: as many pairs as there are
+   components in buckets, which join most of a family of real copies. What is left is dealt anew with
+   components side by side, and only tiles that still hold different components meet. No pair that
+   shares a bucket is left out, and no group lands in one task.
 
 The estimate may only reject a pair that lies `SIGMAS` standard errors below the threshold.
 
@@ -265,6 +267,23 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("ta", "tb").sortWithinPartitions("ta", "tb").mapInArrow(_link(percent), "a long, b long")
 
 
+def _star_links(docs: DataFrame, members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Confirmed links between the least component of each bucket and the others in it, a document of each.
+
+    docs: (id, n, regs, ...); members: (key, id); comps: (id, component); sets: (id, packed).
+    """
+    own = docs.select("id").join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    one = members.select("key", "id").join(own, "id").groupBy("key", "comp").agg(F.min("id").alias("id"))
+    least = one.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("lo"))
+    pairs = one.join(least, "key").filter("comp <> lo.comp").select(F.col("lo.id").alias("ta"), F.col("id").alias("tb"), F.col("lo.comp").alias("ca"), F.col("comp").alias("cb"))
+    pairs = scratch.write(pairs.groupBy("ca", "cb").agg(F.min(F.struct("ta", "tb")).alias("p")).select("p.ta", "p.tb"), "stars")
+    full = docs.select("id", "n", "regs").join(sets, "id")
+    a = pairs.join(full, F.col("ta") == F.col("id")).withColumn("side", F.lit(0))
+    b = pairs.join(full, F.col("tb") == F.col("id")).withColumn("side", F.lit(1))
+    rows = a.unionByName(b).withColumn("comp", F.col("id"))
+    return scratch.write(_confirm(rows.select("ta", "tb", "side", "id", "comp", "n", "regs", "packed"), percent), "links")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
     spark = docs.sparkSession
@@ -293,6 +312,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spread = placed.groupBy("family").agg(F.min("tile").alias("lo"), F.max("tile").alias("hi")).filter("lo <> hi").select("family")
     open_ = scratch.write(placed.join(spread, "family", "left_semi").drop("tile"), "open")
     if open_.limit(1).count():
+        comps = connected_components(links, scratch)
+        links = links.unionByName(_star_links(open_, members, comps, sets, percent, scratch))
         comps = connected_components(links, scratch)
         now = open_.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         again = scratch.write(running(now, ["family", "comp", "id"], weight, scratch, "order2").withColumn("tile", F.floor(F.col("_pos") / TILE).cast("long")).drop("_pos"), "tiles2")
