@@ -298,6 +298,18 @@ def test_large_family_over_many_tiles(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 3, 85)
 
 
+def test_tiles_of_one_family_do_not_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    written, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+    base = prose(3, 300)
+    rows = [(i, edited(base, i, 0.004)) for i in range(160)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 3, 85)
+    tiles = written["tiles"].agg({"tile": "max"}).first()[0] + 1
+    assert tiles >= 10 and written["stars"].count() >= tiles - 1 and written["pairs"].count() <= tiles
+
+
 def test_near_duplicates_edges(edges, none):
     rows = edges.collect()
     got = minhash.near_duplicates(edges, 3, 85).collect()
