@@ -301,7 +301,12 @@ def test_large_family_over_many_tiles(spark, monkeypatch):
 def test_tiles_of_one_family_do_not_all_meet(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 8)
     written, write = {}, Scratch.write
-    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+
+    def noted(self, df, name):
+        written[name] = out = write(self, df, name)
+        return out
+
+    monkeypatch.setattr(Scratch, "write", noted)
     base = prose(3, 300)
     rows = [(i, edited(base, i, 0.004)) for i in range(160)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
