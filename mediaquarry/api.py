@@ -260,8 +260,8 @@ class LibraryApi:
         self._save(now, albums=mutations.delete_album(self.t("albums"), album_id))
 
     def toggle_favorite(self, ids: list[str], now: str) -> None:
-        want = self.t("items").filter(F.col("id").isin(*ids)).select("id")
-        self._save(now, items=mutations.toggle_favorite(self.t("items"), want))
+        own = self.t("items").filter(F.col("id").isin(*ids))
+        self.library.save_items(mutations.toggle_favorite(own, own.select("id")), own.limit(0).select("id"), now)
 
 
 def detect_references(rows: DataFrame) -> DataFrame:
