@@ -274,10 +274,13 @@ def _star_links(docs: DataFrame, members: DataFrame, comps: DataFrame, sets: Dat
     """
     own = docs.select("id").join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
     one = members.select("key", "id").join(own, "id").groupBy("key", "comp").agg(F.min("id").alias("id"))
-    least = one.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("lo"))
-    pairs = one.join(least, "key").filter("comp <> lo.comp").select(F.col("lo.id").alias("ta"), F.col("id").alias("tb"), F.col("lo.comp").alias("ca"), F.col("comp").alias("cb"))
+    one = scratch.write(one, "ends")
+    least = scratch.write(one.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("lo"), F.max("comp").alias("hi")).filter("lo.comp <> hi").drop("hi"), "least")
+    pairs = one.join(small(least), "key").filter("comp <> lo.comp").select(F.col("lo.id").alias("ta"), F.col("id").alias("tb"), F.col("lo.comp").alias("ca"), F.col("comp").alias("cb"))
     pairs = scratch.write(pairs.groupBy("ca", "cb").agg(F.min(F.struct("ta", "tb")).alias("p")).select("p.ta", "p.tb"), "stars")
-    full = docs.select("id", "n", "regs").join(sets, "id")
+    # the sets are filtered where they lie; only those of the stars' ends travel
+    ends = small(scratch.write(pairs.select(F.col("ta").alias("id")).unionByName(pairs.select(F.col("tb").alias("id"))).distinct(), "star_ids"))
+    full = scratch.write(docs.select("id", "n", "regs").join(ends, "id", "left_semi").join(sets.join(ends, "id", "left_semi"), "id"), "star_sets")
     a = pairs.join(full, F.col("ta") == F.col("id")).withColumn("side", F.lit(0))
     b = pairs.join(full, F.col("tb") == F.col("id")).withColumn("side", F.lit(1))
     rows = a.unionByName(b).withColumn("comp", F.col("id"))
