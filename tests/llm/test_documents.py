@@ -518,6 +518,18 @@ def test_quality(spark, edges, none):
     assert {r._score for r in quality.quality_scores(edges, lab.limit(0)).collect()} == {0.5}
 
 
+def test_words_are_forgotten_between_batches():
+    """A task that has met many tokens starts anew; places always lead to a token's own row and index vector."""
+    words = quality._Words(most=25)
+    for k in range(12):
+        texts = [prose(3 * k + j, 5 + 4 * j) for j in range(3)] + [None, ""]
+        codes = words.codes([type("T", (), {"as_py": lambda self, t=t: t})() for t in texts], index=True)
+        for t, c in zip(texts, codes):
+            h = quality.hashes_of(quality.tokens_of(t))
+            assert len(c) == len(h) and (not len(c) or (words.rows[c] == h % quality.ROWS).all() and (words.index[c] == quality.index_vectors(h)).all())
+        assert len(words) <= 25 + 60
+
+
 def test_quality_is_the_plain_model(spark, monkeypatch):
     """Word vectors, features and scores against loops over tokens, with stretches shorter than texts."""
     import numpy as np
