@@ -68,7 +68,7 @@ def index_vectors(hashes):
 class _Words(dict):
     """token -> place in `hashes`, for the tokens a task has met; emptied when it has met many."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 60_000):
         super().__init__()
         self.most, self.new = most, []
         self.rows = self.index = None
