@@ -101,7 +101,7 @@ def fresh_name(taken, base: str) -> str:
     return base
 
 
-def lean(spark: SparkSession, mb: int = 16) -> None:
+def lean(spark: SparkSession, mb: int = 8) -> None:
     """Bounds the Arrow batches that Python workers hold, in bytes, for the rest of the session."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "64m")
@@ -110,6 +110,26 @@ def lean(spark: SparkSession, mb: int = 16) -> None:
         spark.conf.set(key, f"{mb}m")
 
 
+def tidied(run):
+    """An Arrow batch function that gives its memory back when a task ends: workers live on, and what the
+    allocators keep would add up over the stages of a long session."""
+
+    def batches_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return batches_of
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

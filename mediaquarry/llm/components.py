@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release
+from .common import Scratch, release, tidied
 
 MOST_ROUNDS, FEW, MOST_KEPT = 60, 100_000, 500_000
 
@@ -63,11 +63,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, few: int = FEW) ->
     an edge with the least id it reaches. Self-loops and edges with nulls are left out."""
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    e = scratch.write(e.mapInArrow(_shrink, "u long, v long"), "edges")
+    e = scratch.write(e.mapInArrow(tidied(_shrink), "u long, v long"), "edges")
     for _ in range(MOST_ROUNDS):
         n, heads = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if n <= few:
-            e = e.coalesce(1).mapInArrow(_shrink, "u long, v long")
+            e = e.coalesce(1).mapInArrow(tidied(_shrink), "u long, v long")
             break
         if n == heads and not e.join(e.select(F.col("u").alias("w")), e.v == F.col("w"), "left_semi").limit(1).count():
             break

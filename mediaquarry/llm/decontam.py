@@ -28,7 +28,7 @@ from itertools import batched
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, small, table
+from .common import Scratch, lean, small, table, tidied
 
 NGRAM, CHANCE, SCORE = 3, 5.0, 0.5
 BLOCK_BYTES, COUNTED = 8 << 20, 8
@@ -228,12 +228,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, chance: flo
     found = []
     for blocks in batched(item_blocks(benchmark), COUNTED):
         wanted = {x for block in blocks for _, w in block for x in w}
-        counts = base.select("text").mapInArrow(_count_words(wanted), "word string, n long").groupBy("word").agg(F.sum("n")).collect()
+        counts = base.select("text").mapInArrow(tidied(_count_words(wanted)), "word string, n long").groupBy("word").agg(F.sum("n")).collect()
         seen = dict((r[0], r[1]) for r in counts)  # at most these blocks' own words
         total = max(1, seen.get("", 0))
         for block in blocks:
             rare = {x: seen.get(x, 0) / total for _, w in block for x in w}
-            found.append(base.mapInArrow(_search(block, rare, ngram, chance, least), "doc_id long, item_id long, score double, start_word long, end_word long"))
+            found.append(base.mapInArrow(tidied(_search(block, rare, ngram, chance, least)), "doc_id long, item_id long, score double, start_word long, end_word long"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     return Scratch(docs.sparkSession, "leaks").write(reduce(DataFrame.unionByName, found), "leaks")

@@ -35,7 +35,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups, lean, release, running, small, table
+from .common import Scratch, groups, lean, release, running, small, table, tidied
 from .components import connected_components, forest
 
 REGISTERS, ROWS, MANTISSA, SIGMAS = 144, 6, 10, 4.0
@@ -264,7 +264,7 @@ def _link(percent: int):
 
 def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     """rows: (ta, tb, side, id, comp, n, regs, packed)."""
-    return rows.repartition("ta", "tb").sortWithinPartitions("ta", "tb").mapInArrow(_link(percent), "a long, b long")
+    return rows.repartition("ta", "tb").sortWithinPartitions("ta", "tb").mapInArrow(tidied(_link(percent)), "a long, b long")
 
 
 def _star_links(docs: DataFrame, members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -293,9 +293,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     lean(spark)
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = scratch.write(base.mapInArrow(_sign(shingle), "doc_id long, n long, digest binary, regs binary"), "signs")
+    sigs = scratch.write(base.mapInArrow(tidied(_sign(shingle)), "doc_id long, n long, digest binary, regs binary"), "signs")
     reps = scratch.write(sigs.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")).filter("id is not null"), "sets")
-    bands = reps.select("id", "regs").mapInArrow(_bands, "key long, id long")
+    bands = reps.select("id", "regs").mapInArrow(tidied(_bands), "key long, id long")
     lows = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key", "lo")
     members = scratch.write(bands.join(lows, "key"), "buckets")
     release(spark)
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     placed = running(cand, ["family", "id"], weight, scratch, "order").withColumn("tile", F.floor(F.col("_pos") / TILE).cast("long")).drop("_pos")
     placed = scratch.write(placed, "tiles")
     texts = base.join(small(placed.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = scratch.write(texts.mapInArrow(_sets(shingle), "id long, packed binary").repartition("id").dropDuplicates(["id"]), "full")
+    sets = scratch.write(texts.mapInArrow(tidied(_sets(shingle)), "id long, packed binary").repartition("id").dropDuplicates(["id"]), "full")
     rows = placed.join(sets, "id").select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.lit(2).alias("side"), "id", F.col("id").alias("comp"), "n", "regs", "packed")
     links = scratch.write(_confirm(rows, percent), "links")
     release(spark)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh_name, lean, table
+from .common import fresh_name, lean, table, tidied
 
 ROWS, DIM, PER_WORD, WINDOW = 1 << 18, 64, 4, 2
 HIDDEN, SAMPLE = 24, 20_000
@@ -150,7 +150,7 @@ def word_vectors(docs: DataFrame):
     """The ROWS x DIM matrix of unit context vectors over all documents, components in 127ths."""
     import numpy as np
 
-    parts = docs.select("text").mapInArrow(_context, "row int, vec binary").repartition("row").mapInArrow(_add_up, "rows binary, vectors binary")
+    parts = docs.select("text").mapInArrow(tidied(_context), "row int, vec binary").repartition("row").mapInArrow(tidied(_add_up), "rows binary, vectors binary")
     out = np.zeros((ROWS, DIM), dtype=np.int8)
     for r in parts.toLocalIterator():  # together at most ROWS rows, 16 MB
         out[np.frombuffer(r[0], dtype=np.int32)] = np.frombuffer(r[1], dtype=np.int8).reshape(-1, DIM)
@@ -253,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors, most: int = SAMPLE):
     known = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("label")).distinct()
     chosen = own.select("doc_id", "t").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "t", "label").limit(most)
     rows = own.join(F.broadcast(chosen), ["doc_id", "t"])  # at most `most` rows of three numbers
-    got = rows.select("doc_id", "text", "label", "t").mapInArrow(_featured(vectors), docs.select("doc_id").schema.add("label", "double").add("t", "long").add("x", "binary"))
+    got = rows.select("doc_id", "text", "label", "t").mapInArrow(tidied(_featured(vectors)), docs.select("doc_id").schema.add("label", "double").add("t", "long").add("x", "binary"))
     got = got.dropDuplicates(["doc_id", "t", "label"]).collect()
     if not got:
         return 0.5
@@ -289,7 +289,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     model = sc.broadcast(learn(docs, labels, vectors))
     cols = list(dict.fromkeys([*(columns or docs.columns), "text"]))
     src = docs.select(*[F.col(f"`{c}`") for c in cols])
-    out = src.mapInArrow(_scored(vectors, model, name), StructType([*src.schema.fields, StructField(name, DoubleType())]))
+    out = src.mapInArrow(tidied(_scored(vectors, model, name)), StructType([*src.schema.fields, StructField(name, DoubleType())]))
     return out.select(*[F.col(f"`{c}`") for c in columns or docs.columns], name)
 
 
