@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlcut, linededup, minhash, mixing, quality, rpforest, sharding, urlfilter, warc
+from . import centroids, decontam, htmlcut, linededup, minhash, mixing, quality, rpforest, sharding, spelling, tokencounts, urlfilter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_temporal_url_filter": urlfilter.op8_temporal_url_filter,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_pareto_mix": mixing.op10_pareto_mix,
+        "op11_gemm_centroids": centroids.op11_gemm_centroids,
+        "op12_parity_spelling": spelling.op12_parity_spelling,
+        "op13_rank_merge_tokens": tokencounts.op13_rank_merge_tokens,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_temporal_url_filter": urlfilter.SQL,
         "op9_line_dedup": linededup.SQL,
         "op10_pareto_mix": mixing.SQL,
+        "op11_gemm_centroids": centroids.SQL,
+        "op12_parity_spelling": spelling.SQL,
     }
