@@ -46,22 +46,31 @@ def kept_vectors(column, size: int):
     return own[good], v[good]
 
 
+def exact_bound(size: int) -> int:
+    """The largest component for which 4 * size * component^2, more than any term or partial sum, is below 2^53."""
+    return math.isqrt((EXACT - 1) // (4 * size))
+
+
 def nearest(v, centroids: list[list[int]], scale: int = SCALE):
     """(clusters, distances, whole): the nearest centroid of each row of v, the lesser number at ties.
 
-    whole: the rows as float64 integers where the products are exact, else None; then distances are Python
-    integers. Called with the rows of one block, which all take one of the two ways.
+    whole: the rows as float64 integers where the products are exact, else None; then distances are Python integers.
     """
     import numpy as np
 
-    c = np.array([[float(x) for x in row] for row in centroids])
+    size = v.shape[1]
+    bound = exact_bound(size)
     with np.errstate(over="ignore"):
         q = np.floor(v * scale)
-        most = max(float(np.abs(q).max(initial=0)), float(np.abs(c).max(initial=0)))
-    if 4 * c.shape[1] * most * most < EXACT:
+    most = [max(map(abs, row)) for row in centroids]
+    # within the bound a centroid over 32 times as far out is never nearest while there is one within it:
+    # 31^2 exceeds 4 * size up to this size, so it is left out of the product
+    own = [k for k, m in enumerate(most) if m <= bound]
+    if own and float(np.abs(q).max(initial=0)) <= bound and all(m <= bound or m > 32 * bound and 4 * size <= 31 * 31 for m in most):
+        c = np.array([centroids[k] for k in own], dtype=np.float64)
         d = (q * q).sum(1)[:, None] - 2 * (q @ c.T) + (c * c).sum(1)[None, :]
         best = d.argmin(1)
-        return best, d[np.arange(len(best)), best].astype(np.int64), q
+        return np.array(own)[best], d[np.arange(len(best)), best].astype(np.int64), q
     best, least = [], []
     for row in v.tolist():
         x = integers_of(row, scale)
@@ -77,7 +86,8 @@ def blocks(column, centroids: list[list[int]], size: int, scale: int):
     import numpy as np
 
     own, v = kept_vectors(column, size)
-    wide = np.abs(v).max(axis=1, initial=0) * scale >= math.isqrt(EXACT // (4 * size)) - 1
+    with np.errstate(over="ignore"):
+        wide = np.abs(v).max(axis=1, initial=0) * scale > exact_bound(size) - 1
     for some in (np.flatnonzero(~wide), np.flatnonzero(wide)):
         for s in range(0, len(some), BLOCK):
             rows = some[s : s + BLOCK]

@@ -12,8 +12,9 @@ decides the rest. Weights and ties are fitted on labelled pages of three styles,
 that say nothing (`fit`; tests fit them anew and compare). Parsing takes time in proportion to the page.
 
 Defined results: a null or empty page, or one without content, has empty text; broken markup is read as
-browsers do, roughly: unclosed elements end with their parents, stray end tags are ignored, an unclosed
-comment, script or style takes the rest; repeated rows are extracted each; extra columns are not read.
+browsers do, roughly: unclosed elements (media, lists of options and drawings too) end with their parents, stray
+end tags are ignored, a quote opens a value only behind "=", a tag without end and an unclosed comment, script,
+style, title, noscript, iframe or textarea take the rest; repeated rows are extracted each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from .common import lean, table
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe object svg head select datalist canvas audio video annotation".split())
+RAW = frozenset("script style noscript title textarea iframe".split())  # text up to their end tag, whatever it is
+MUTE = frozenset("template object svg head select datalist canvas audio video annotation".split())  # elements whose text is not shown
+HEAD = RAW | frozenset("base basefont bgsound link meta template".split())  # what a head can hold
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow msub msup mfrac msqrt semantics".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("body article section main div table ul ol dl nav aside header footer form blockquote".split())
@@ -58,8 +61,15 @@ WEIGHTS = (-1.17, 4.06, -2.92, -2.28, 0.31, -3.84, -0.83, 0.67, 0.9, 1.32, 2.07,
 NEAR, SIBLING, FADE, FAR = 0.5, 1.5, 0.4, 12
 #: Added to all odds of a page that would else have no main text.
 RELIEF = 1.0
-
-_TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>?)""")
+NEVER = -50.0
+
+# A tag of plain form; it never reads beyond the next "<", so that trying it at each "<" takes linear time in all.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=]++))?+)*+\s*+/?)>""")
+_TAGNAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_BETWEEN = re.compile(r"[\s/]*+")
+_NAME = re.compile(r"[^\s/>][^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -134,122 +144,216 @@ class Tree:
         return min(steps, far)
 
 
+class Tags:
+    """Reads tags from left to right; what lies before a tag's end is never read again."""
+
+    def __init__(self, html: str):
+        self.html, self.none_from = html, {}
+
+    def find(self, what: str, at: int) -> int:
+        """html.find, with failures remembered: once `what` is missing, it is missing further on."""
+        if at >= self.none_from.get(what, len(self.html) + 1):
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.none_from[what] = at
+        return k
+
+    def read(self, at: int) -> tuple[bool, str, str, int]:
+        """(closing, name, attributes, end) of the tag at "<"; end -1 if it never ends."""
+        m = _PLAIN.match(self.html, at)
+        if m:
+            return m[1] == "/", m[2], m[3], m.end()
+        html, closing = self.html, self.html[at + 1] == "/"
+        m = _TAGNAME.match(html, at + 1 + closing)
+        name, pos, begin = m[0], m.end(), m.end()
+        while True:
+            pos = _BETWEEN.match(html, pos).end()
+            if pos >= len(html):
+                return closing, name, "", -1
+            if html[pos] == ">":
+                return closing, name, html[begin:pos], pos + 1
+            pos = _NAME.match(html, pos).end()
+            m = _EQUALS.match(html, pos)
+            if m is None:
+                continue
+            pos = m.end()
+            if pos < len(html) and html[pos] in "\"'":  # a quote opens a value only here
+                close = self.find(html[pos], pos + 1)
+                pos = close + 1 if close >= 0 else _BARE.match(html, pos).end()
+            else:
+                pos = _BARE.match(html, pos).end()
+
+
+class Open:
+    """An open element."""
+
+    __slots__ = ("tag", "node", "marks", "hidden", "name", "mute")
+
+    def __init__(self, tag, node, marks, hidden, name, mute=False):
+        self.tag, self.node, self.marks, self.hidden, self.name, self.mute = tag, node, marks, hidden, name, mute
+
+
+class Stack:
+    """Open elements, with counts that tell in one look whether an end tag meets its element: those of inline
+    elements since the last other one, those of all others since the last of SCOPE, and of all."""
+
+    def __init__(self):
+        self.all: list[Open] = []
+        self.opened: dict[str, int] = {}
+        self.lines: list[dict[str, int]] = [{}]
+        self.scopes: list[dict[str, int]] = [{}]
+        self.links = 0
+
+    def push(self, e: Open) -> None:
+        self.all.append(e)
+        self.links += e.tag == "a"
+        for counts in (self.opened, self.lines[-1], self.scopes[-1]):
+            counts[e.tag] = counts.get(e.tag, 0) + 1
+        if e.tag not in INLINE and not e.mute:
+            self.lines.append({})
+        if e.tag in SCOPE:
+            self.scopes.append({})
+
+    def pop(self) -> Open:
+        e = self.all.pop()
+        self.links -= e.tag == "a"
+        if e.tag in SCOPE:
+            self.scopes.pop()
+        if e.tag not in INLINE and not e.mute:
+            self.lines.pop()
+        for counts in (self.opened, self.lines[-1], self.scopes[-1]):
+            counts[e.tag] -= 1
+        return e
+
+    def meets(self, tag: str) -> bool:
+        """Whether the end tag has an open element that it can close."""
+        own = self.lines[-1] if tag in INLINE else self.scopes[-1] if tag == "p" else self.opened
+        return own.get(tag, 0) > 0
+
+
 def blocks_of(html: str) -> tuple[list[Block], Tree]:
     out: list[Block] = []
-    tree, root = Tree(), ("", 0, (0.0, 0.0, 0.0), False, "")
-    stack: list[tuple] = []  # tag, node, marks, hidden, name of the nearest block-level element
-    opened: dict[str, int] = {}
-    absent: set[str] = set()  # elements with no end tag in the rest of the page
+    tree, root = Tree(), Open("", 0, (0.0, 0.0, 0.0), False, "")
+    stack, tags = Stack(), Tags(html)
+    absent: set[str] = set()  # raw elements with no end tag in the rest of the page
     parts: list[str] = []
-    linked = depth_a = 0
-    pos, end = 0, len(html)
+    linked, pos, end = 0, 0, len(html)
+
+    def top() -> Open:
+        return stack.all[-1] if stack.all else root
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, node, marks, _, tag = stack[-1] if stack else root
-                out.append(Block(text, linked, node, marks, tag))
+                out.append(Block(text, linked, top().node, top().marks, top().name))
             parts.clear()
         linked = 0
 
     def say(text):
         nonlocal linked
-        if text and not (stack and stack[-1][3]):
+        if text and not top().hidden:
             text = unescape(text) if "&" in text else text
             parts.append(text)
-            if depth_a:
+            if stack.links:
                 linked += len(text)
 
-    def pop_to(k):
-        nonlocal depth_a
-        if any(s[0] not in INLINE for s in stack[k:]):
+    def close(names) -> None:
+        """Ends the nearest open element of these names and all inside it."""
+        k = len(stack.all) - 1
+        while stack.all[k].tag not in names:
+            k -= 1
+        if any(e.tag not in INLINE and not e.mute for e in stack.all[k:]):
             flush()
-        for s in stack[k:]:
-            opened[s[0]] -= 1
-            depth_a -= s[0] == "a"
-        del stack[k:]
+        elif any(e.mute and e.tag != "svg" for e in stack.all[k:]):
+            parts.append(" ")
+        while len(stack.all) > k:
+            stack.pop()
 
     while pos < end:
-        m = _TAG.search(html, pos)
-        if m is None:
-            at = html.find("<", pos)
-            while at >= 0 and at + 1 < end and not (html[at + 1].isalpha() or html[at + 1] in "/!?"):
-                at = html.find("<", at + 1)
-            say(html[pos : at if at >= 0 and at + 1 < end else end])
+        at = tags.find("<", pos)
+        if at < 0:
+            say(html[pos:])
             break
-        if m.start() > pos:
-            say(html[pos : m.start()])
-        pos = m.end()
-        if m[1]:
-            close = html.find("-->", m.start() + 4)
-            pos = end if close < 0 else close + 3
+        follows = html[at + 1 : at + 3]
+        if not follows[:1].isascii() or not (follows[:1].isalpha() or follows[:1] in "/!?") or not follows:
+            say(html[pos : at + 1])  # a plain "<"
+            pos = at + 1
             continue
-        if m[3] is None:
+        say(html[pos:at])
+        if html.startswith("<!--", at):
+            shut = tags.find("-->", at + 4)
+            pos = end if shut < 0 else shut + 3
             continue
-        tag = m[3].lower()
-        if m[2]:
-            if opened.get(tag):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
-                        break
-                    if tag in INLINE and stack[k][0] not in INLINE or tag == "p" and stack[k][0] in SCOPE:
-                        break
+        if follows[0] in "!?" or follows[0] == "/" and not (follows[1:].isascii() and follows[1:].isalpha()):
+            shut = tags.find(">", at)
+            pos = end if shut < 0 else shut + 1
             continue
+        closing, tag, attrs, pos = tags.read(at)
+        if pos < 0:
+            break
+        tag = tag.lower()
+        if closing:
+            if stack.meets(tag):
+                close((tag,))
+            continue
+        mute = top().mute
+        if stack.opened.get("head") and tag not in HEAD:
+            close(("head",))
+            mute = top().mute
         if tag in VOID:
-            if tag in ("br", "wbr", "img", "input"):
+            if not mute:
                 if tag == "br":
                     parts.append(" ")
-            else:
-                flush()
-            continue
-        if tag == "option":  # of a list whose start is lost
-            at = html.find("<", pos)
-            pos = at if at >= 0 else end
+                elif tag not in ("wbr", "img", "input"):
+                    flush()
             continue
         if tag in RAW:
-            if m[4].endswith("/"):
+            if attrs.endswith("/"):
                 continue
-            close = None if tag in absent else _END(tag).search(html, pos)
-            if close is None:
+            m = None if tag in absent else _END(tag).search(html, pos)
+            if m is None:
                 absent.add(tag)
-            if tag not in ("head", "svg"):
-                parts.append(" ")
-            pos = close.end() if close else (end if tag != "head" else pos)
+            parts.append(" ")
+            pos = m.end() if m else end
+            continue
+        if tag == "option" and not mute:  # of a list whose start is lost
+            at = tags.find("<", pos)
+            pos = at if at >= 0 else end
+            continue
+        if mute or tag in MUTE:
+            if not attrs.endswith("/"):
+                if not mute and tag not in ("svg", "head"):
+                    parts.append(" ")
+                above = top()
+                stack.push(Open(tag, above.node, above.marks, True, above.name, True))
             continue
-        above = stack[-1] if stack else root
+        above = top()
         if tag in INLINE:
-            hints = _hints(tag, m[4]) if tag != "a" and m[4] else (0.0, 0.0, 0.0, False)
-            depth_a += tag == "a"
-            node, name = above[1], above[4]
+            hints = _hints(tag, attrs) if tag != "a" and attrs else (0.0, 0.0, 0.0, False)
+            node, name = above.node, above.name
         else:
             flush()
             shut = CLOSES.get(tag, {"p"} if tag in SCOPE or tag in HEADINGS or tag in ("pre", "hr") else ())
-            if any(opened.get(x) for x in shut):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in shut:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
-            hints = _hints(tag, m[4])
-            if m[4].endswith("/"):
+            if any(stack.scopes[-1].get(x) for x in shut):
+                close(shut)
+            hints = _hints(tag, attrs)
+            if attrs.endswith("/"):
                 continue
-            above = stack[-1] if stack else root
-            node, name = tree.add(above[1]), tag
-        if tag == "header" and above[2][0] > 0.5:
+            above = top()
+            node, name = tree.add(above.node), tag
+        if tag == "header" and above.marks[0] > 0.5:
             hints = (hints[0], 0.0, hints[2], hints[3])  # an article's own header holds its title
-        stack.append((tag, node, _within(above[2], hints), above[3] or hints[3], name))
-        opened[tag] = opened.get(tag, 0) + 1
+        stack.push(Open(tag, node, _within(above.marks, hints), above.hidden or hints[3], name))
     flush()
     return out, tree
 
 
 @functools.cache
 def _END(tag: str):
-    return re.compile(r"</head\b[^>]*>|(?=<body\b)" if tag == "head" else rf"</{tag}\b[^>]*>", re.I)
+    return re.compile(rf"</{tag}\b[^>]*+>?", re.I)
 
 
 def features(b: Block) -> list[float]:
@@ -265,7 +369,9 @@ def features(b: Block) -> list[float]:
 
 
 def log_odds(b: Block) -> float:
-    """The classifier: log odds that a block is main text."""
+    """The classifier: log odds that a block is main text. A button's label never is."""
+    if b.tag == "button":
+        return NEVER
     return sum(w * x for w, x in zip(WEIGHTS, features(b)))
 
 
