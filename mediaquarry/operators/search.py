@@ -153,6 +153,22 @@ def search(
     return page(ranked, [F.col("score").desc(), captured_ts().desc(), F.col("modified_ts").desc(), F.col("id")], limit, offset)
 
 
+def fuzzy_ranked(texts: DataFrame, query: str, blob: str, ties: list[Column], least: int | None = None, limit: int | None = None) -> DataFrame:
+    """texts with their fuzzy `score`, the best first, those below `least` left out; a limit makes it a top-k.
+
+    Scoring costs far more than moving a text, so a table that is read in fewer parts than there are cores is dealt
+    out first; one of many parts stays where it is.
+    """
+    sc = texts.sparkSession.sparkContext
+    if texts.rdd.getNumPartitions() < sc.defaultParallelism:
+        texts = texts.repartition(4 * sc.defaultParallelism)
+    out = texts.withColumn("score", fuzzy_score(query, blob))
+    out = out.filter(F.col("score") >= (Settings().fuzzy_minimum if least is None else least))
+    if not limit:  # a sort looks at its input twice: what it looks at is the scored rows, not the scoring
+        out = out.repartition(F.xxhash64("score", *ties))
+    return page(out, [F.col("score").desc(), *ties], limit)
+
+
 def search_in_memory(items: DataFrame, item_personas: DataFrame, personas: DataFrame, item_search: DataFrame, q: str, settings: Settings | None = None) -> DataFrame:
     """The unpaged twin: field filters, then fuzzy scores over everything, hidden items included."""
     settings, query = settings or Settings(), parse_query(q)
