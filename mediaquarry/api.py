@@ -56,7 +56,7 @@ class LibraryApi:
     def items(self, query: str = "", type: str = "all", personaKind: str = "all", personaId: str = "", favorites: str = "", limit: str | None = None) -> DataFrame:
         kind = lambda v: None if v in ("", "all") else v
         t = self.library.load()
-        found = search.search(t["items"], t["item_tags"], t["item_personas"], t["personas"], t["item_search"], query, media_kind=kind(type), favorites=favorites == "1", persona_id=personaId or None, persona_kind=kind(personaKind), limit=int_param(limit, self.settings.page_size), settings=self.settings)
+        found = search.search(t["items"], t["item_tags"], t["item_personas"], t["personas"], t["item_search"], query, media_kind=kind(type), favorites=favorites == "1", persona_id=personaId or None, persona_kind=kind(personaKind), limit=int_param(limit, self.settings.page_size), settings=self.settings, item_grams=self.library.grams())
         return self.summaries(found)
 
     def item(self, item_id: str) -> DataFrame:

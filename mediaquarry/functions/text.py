@@ -216,6 +216,10 @@ def fuzzy_scores(query: str, blobs: list[str]) -> list[int]:
     return [int(max(score, _token_set(query, blob, score))) if score < 100 else 100 for score, blob in zip(best.tolist(), blobs)]
 
 
+def fuzzy_score_of(query: str, blob: str) -> int:
+    return fuzzy_scores(query, [blob])[0]
+
+
 def fuzzy_score(query: str, blob) -> Column:
     """0-100. Rows that hold a token of the query verbatim score 100 without leaving the JVM."""
     blob = _c(blob)

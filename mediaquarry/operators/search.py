@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.dates import captured_ts, year_of
 from ..functions.text import fuzzy_score, like_token
+from .textindex import with_tokens
 
 KEYS = ("type", "tag", "person", "pet", "year")
 
@@ -67,11 +68,13 @@ def with_personas(items: DataFrame, item_personas: DataFrame, persona_ids: list[
     return items.join(hit.select(F.col("item_id").alias("id")), "id", "left_semi")
 
 
-def with_text(items: DataFrame, item_search: DataFrame, text: str) -> DataFrame:
-    """Items whose blob holds every token (any case; % and _ are wildcards)."""
+def with_text(items: DataFrame, item_search: DataFrame, text: str, item_grams: DataFrame | None = None) -> DataFrame:
+    """Items whose blob holds every token (any case; % and _ are wildcards); from the index if there is one."""
     tokens = (text or "").lower().split()
     if not tokens:
         return items
+    if item_grams is not None:
+        return items.join(with_tokens(item_grams, item_search, tokens).select(F.col("item_id").alias("id")), "id", "left_semi")
     hit = F.lit(True)
     for t in tokens:
         hit = hit & like_token(F.col("search_blob"), t)
@@ -81,7 +84,7 @@ def with_text(items: DataFrame, item_search: DataFrame, text: str) -> DataFrame:
 def query_items(
     items: DataFrame, item_tags: DataFrame | None = None, item_personas: DataFrame | None = None, personas: DataFrame | None = None, item_search: DataFrame | None = None, *,
     media_kind: str | None = None, favorites: bool = False, year: str | None = None, tag: str | None = None, persona_ids: list[str] | None = None, persona_kind: str | None = None,
-    text: str | None = None, include_hidden: bool = False, limit: int | None = None, offset: int = 0, ordered: bool = True,
+    text: str | None = None, include_hidden: bool = False, limit: int | None = None, offset: int = 0, ordered: bool = True, item_grams: DataFrame | None = None,
 ) -> DataFrame:
     """The central query: every predicate optional, semi joins for facets, newest first."""
     out = items
@@ -97,7 +100,7 @@ def query_items(
         out = with_tag(out, item_tags, tag)
     out = with_personas(out, item_personas, persona_ids, persona_kind, personas)
     if text:
-        out = with_text(out, item_search, text)
+        out = with_text(out, item_search, text, item_grams)
     return page(out, recency(), limit, offset) if ordered else out
 
 
@@ -125,7 +128,7 @@ def persona_ids_by_name(personas: DataFrame, kind: str, name: str) -> DataFrame:
 
 def search(
     items: DataFrame, item_tags: DataFrame, item_personas: DataFrame, personas: DataFrame, item_search: DataFrame, q: str, *,
-    media_kind: str | None = None, favorites: bool = False, persona_id: str | None = None, persona_kind: str | None = None, limit: int | None = 180, offset: int = 0, settings: Settings | None = None,
+    media_kind: str | None = None, favorites: bool = False, persona_id: str | None = None, persona_kind: str | None = None, limit: int | None = 180, offset: int = 0, settings: Settings | None = None, item_grams: DataFrame | None = None,
 ) -> DataFrame:
     """The composite search. Columns of items and `score` (null without free text).
 
@@ -147,7 +150,7 @@ def search(
     if not query.text:
         return query_items(items, item_tags, item_personas, personas, item_search, **common, limit=limit, offset=offset).withColumn("score", F.lit(None).cast("int"))
     most = max(settings.search_candidate_limit, offset + (limit or 0) + 1) if limit else settings.search_candidate_limit
-    found = query_items(items, item_tags, item_personas, personas, item_search, **common, text=query.text, limit=most)
+    found = query_items(items, item_tags, item_personas, personas, item_search, **common, text=query.text, limit=most, item_grams=item_grams)
     ranked = found.join(item_search.select(F.col("item_id").alias("id"), "search_blob"), "id").withColumn("score", fuzzy_score(query.text, "search_blob")).drop("search_blob")
     ranked = ranked.filter(F.col("score") >= settings.fuzzy_minimum)
     return page(ranked, [F.col("score").desc(), captured_ts().desc(), F.col("modified_ts").desc(), F.col("id")], limit, offset)

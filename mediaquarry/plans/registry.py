@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, media, text, vectors
-from ..operators import clusters, detect, memories, mutations, projection, relations, search, similarity
+from ..operators import clusters, detect, memories, mutations, projection, relations, search, similarity, textindex
 from ..sources import scan
 from ..streaming import ingest
 from . import adapters as lib
@@ -119,6 +119,16 @@ def _(spark, d):
     return search.with_text(t, t.select(F.col("id").alias("item_id"), F.lower("text").alias("search_blob")), "The AND ti_n").select("id")
 
 
+def _indexed(spark, d, q: str) -> DataFrame:
+    t = lib.text_items(spark, d)
+    texts = t.select(F.col("id").alias("item_id"), F.lower("text").alias("search_blob"))
+    return search.with_text(t, texts, q, textindex.postings(texts)).select("id")
+
+
+query("search_text_indexed", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lower(text) LIKE '%orantion%' AND lower(text) LIKE '%the%'")(lambda spark, d: _indexed(spark, d, "Orantion THE"))
+query("search_text_wildcards", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lower(text) LIKE '%ora_tion%' AND lower(text) LIKE '%ing%ed%' AND lower(text) LIKE '%a%'")(lambda spark, d: _indexed(spark, d, "ora_tion Ing%ed A"))
+
+
 @query("search_fuzzy_ranked", f"""WITH s AS ({_fuzzy_sql("Polished STEEL", "SELECT doc_id::VARCHAR AS id, lower(coalesce(text, '')) AS blob FROM documents")}) SELECT id, score FROM s WHERE score >= 35""")
 def _(spark, d):
     p = lib.text_items(spark, d).select("id", F.lower("text").alias("blob"))

@@ -23,6 +23,7 @@ TABLES: dict[str, str] = {
     "item_personas": "item_id string, persona_id string",
     "item_tags": "item_id string, tag string",
     "item_search": "item_id string, search_blob string",
+    "item_grams": "item_id string, gram bigint, places array<int>",
     "detections": (
         "item_id string, detection_id string, kind string, label string, confidence double, bbox_x int, bbox_y int, bbox_w int, bbox_h int, persona_id string, encoding array<double>, "
         "signature string, source_frame_token string, captured_at string, pipeline_revision string, cluster_dirty boolean, cluster_dirty_revision string, updated_at string"

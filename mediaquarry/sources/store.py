@@ -15,13 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mutations, relations
+from ..operators import mutations, relations, textindex
 from ..schema import TABLES, conform, empty, schema
 
 
 KEPT_MANIFESTS = 10
 #: Tables in parts by a hash of the item's id: a save of some items leaves the parts of others as they are.
-KEYED = {"items": "id", "item_personas": "item_id", "item_tags": "item_id", "item_search": "item_id", "detections": "item_id", "unknown_cluster_members": "item_id"}
+KEYED = {"items": "id", "item_personas": "item_id", "item_tags": "item_id", "item_search": "item_id", "item_grams": "item_id", "detections": "item_id", "unknown_cluster_members": "item_id"}
+#: Tables whose files are sorted, so that readers skip the pages of other values.
+SORTED = {"item_grams": "gram"}
 
 
 class Library:
@@ -103,7 +105,10 @@ class Library:
             made[name] = at
             df.write.parquet(f"{self.root}/{at}")
             return self._read(name, at)
-        df.withColumn("_part", self._part(KEYED[name], manifest)).write.partitionBy("_part").parquet(f"{self.root}/{at}")
+        df = df.withColumn("_part", self._part(KEYED[name], manifest))
+        if name in SORTED:
+            df = df.repartition("_part").sortWithinPartitions("_part", SORTED[name])
+        df.write.partitionBy("_part").parquet(f"{self.root}/{at}")
         path, fs = self._fs(f"{self.root}/{at}")
         names = [str(f.getPath().getName()) for f in fs.listStatus(path)]
         new = {n.split("=")[1]: f"{at}/{n}" for n in names if n.startswith("_part=")}
@@ -183,7 +188,15 @@ class Library:
 
     @staticmethod
     def indexes(items: DataFrame, personas: DataFrame) -> dict[str, DataFrame]:
-        return {"item_personas": relations.item_personas(items), "item_tags": relations.item_tags(items), "item_search": relations.item_search(items, personas)}
+        search = relations.item_search(items, personas)
+        return {"item_personas": relations.item_personas(items), "item_tags": relations.item_tags(items), "item_search": search, "item_grams": textindex.postings(search)}
+
+    def grams(self) -> DataFrame | None:
+        """The index of search texts with its plain columns, so that filters reach its files; None before the first save."""
+        entry = self.manifest()["tables"].get("item_grams")
+        if not entry:
+            return None
+        return self.spark.read.schema(schema("item_grams")).parquet(*[f"{self.root}/{at}" for at in entry.values()])
 
     def find(self, name: str, key: str, column: str = "id") -> DataFrame:
         """Point lookup."""
