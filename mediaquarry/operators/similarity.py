@@ -1,45 +1,22 @@
 """Matching vectors and hashes against a reference set: persona assignment and suggestions.
 
-The reference side is a stated query set (one row a reference), matched against all detections in blocks
-of bounded size. Vectors meet a block by one matrix product an Arrow batch and keep their best references
-there; hashes meet a broadcast block, with a keyed minimum that is combined before the shuffle. Nothing emits
-all pairs.
+The reference side is a stated query set (one row a reference), matched against all detections. A small set,
+checked by count and bytes, meets every Arrow batch of vectors in one matrix product, and nothing is shuffled; a
+larger one is searched by pivots, and hashes by chunks of their bits (`neighbours`). Nothing emits all pairs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.vectors import cosine, hamming
+from ..functions.vectors import hamming, hash_bits
+from .neighbours import nearest_hashes, nearest_vectors
 from .relations import can_own, unassigned
 
-BLOCK, REFERENCE_BYTES = 4096, 32 << 20
-
-
-def in_blocks(references: DataFrame, block: int = BLOCK) -> list[DataFrame]:
-    """A reference set as DataFrames of about `block` rows, dealt by a hash, each fit to broadcast."""
-    n = references.count()
-    parts = max(1, -(-n // block))
-    return [references] if parts == 1 else [references.filter(F.pmod(F.xxhash64(*references.columns[:2]), F.lit(parts)) == k) for k in range(parts)]
-
-
-def best_match(rows: DataFrame, key: list[str], references: DataFrame, score: Column, tie: list[str], keep: list[str], least: float | None = None) -> DataFrame:
-    """(key..., score, keep...): for each row the reference of the highest score; ties go to the least `tie`."""
-    found = []
-    for part in in_blocks(references):
-        pairs = rows.crossJoin(F.broadcast(part)).withColumn("_score", score)
-        if least is not None:
-            pairs = pairs.filter(F.col("_score") >= least)
-        rank = F.struct((-F.col("_score")).alias("_worst"), *tie)
-        found.append(pairs.groupBy(*key).agg(F.min_by(F.struct(F.col("_score").alias("score"), *keep), rank).alias("_b"), F.min(rank).alias("_r")))
-    every = reduce(DataFrame.unionByName, found)
-    if len(found) > 1:
-        every = every.groupBy(*key).agg(F.min_by("_b", "_r").alias("_b"))
-    return every.select(*key, "_b.*")
+#: A reference set of at most so many vectors and bytes is sent to all tasks whole.
+DIRECT, REFERENCE_BYTES = 4096, 32 << 20
 
 
 def _vectors(column, size: int):
@@ -53,37 +30,35 @@ def _vectors(column, size: int):
     return own, flat[(start[own][:, None] + np.arange(size)[None, :])]
 
 
-def best_vectors(rows: DataFrame, key: list[str], references: DataFrame, tie: list[str], keep: str, least: float | None = None, euclidean: bool = False, self_key: str | None = None, most: int = 1) -> DataFrame:
+def best_vectors(rows: DataFrame, key: list[str], references: DataFrame, tie: list[str], keep: str, least: float | None = None, euclidean: bool = False, self_key: str | None = None, most: int = 1, direct: int = DIRECT) -> DataFrame:
     """(key..., score, keep, rank): for each row its `most` best references by cosine, or by negative Euclidean distance.
 
     rows: (key..., encoding), references: (tie..., keep, reference); vectors of other lengths do not compare.
-    The references come in blocks of at most `REFERENCE_BYTES` bytes in their order by `tie`; norms are taken
-    once, a batch of rows meets a block by one matrix product, and a row sends its best ones only, so nothing
-    is shuffled for one block. Scores that agree to 12 digits are ties, and go to the first reference.
+    At most `direct` references of `REFERENCE_BYTES` bytes are sent whole; norms are taken once, a batch of rows
+    meets them by one matrix product, and nothing is shuffled. Larger sets are searched by pivots. Scores that agree to
+    12 digits are ties, and go to the first reference by `tie`.
     self_key names a column of key: a reference whose `keep` equals it is left out.
     """
     import numpy as np
 
     order = references.select(*dict.fromkeys([*tie, keep]), F.col("reference").cast("array<double>").alias("reference")).filter(F.size("reference") > 0)
     kind, schema = dict(references.dtypes)[keep], ", ".join(f"{c} {t}" for c, t in rows.select(*key).dtypes)
-    n, width = order.agg(F.count(F.lit(1)), F.max(F.size("reference"))).first()
-    parts = max(1, -(-(n * (width or 1) * 8) // REFERENCE_BYTES))
-    found = []
-    for part in range(parts):
-        own = order.filter(F.pmod(F.xxhash64(*tie), F.lit(parts)) == part) if parts > 1 else order
-        got = own.orderBy(*tie).collect()  # at most about REFERENCE_BYTES
-        by_size = {}
-        for size in {len(r["reference"]) for r in got}:
-            mine = [(at, r[keep], r["reference"]) for at, r in enumerate(got) if len(r["reference"]) == size]
-            by_size[size] = (np.array([m[0] for m in mine]), [m[1] for m in mine], np.array([m[2] for m in mine], dtype=np.float64))
-        found.append(rows.select(*key, F.col("encoding").cast("array<double>").alias("encoding")).mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(by_size), key, keep, kind, euclidean, least, self_key, most), f"{schema}, score double, {keep} {kind}, place long, rank int"))
-    if parts == 1:
-        return found[0].drop("place")
-    every = reduce(DataFrame.unionByName, [f.withColumn("part", F.lit(k)) for k, f in enumerate(found)]).join(order.select(keep, F.struct(*tie).alias("_t")).groupBy(keep).agg(F.min("_t").alias("_t")), keep)
-    from pyspark.sql import Window
+    if not fits(order, "reference", direct):
+        return nearest_vectors(rows, key, references, tie, keep, least, euclidean, self_key, most)
+    got = order.orderBy(*tie).collect()  # at most `direct` rows
+    by_size = {}
+    for size in {len(r["reference"]) for r in got}:
+        mine = [(at, r[keep], r["reference"]) for at, r in enumerate(got) if len(r["reference"]) == size]
+        by_size[size] = (np.array([m[0] for m in mine]), [m[1] for m in mine], np.array([m[2] for m in mine], dtype=np.float64))
+    sent = rows.sparkSession.sparkContext.broadcast(by_size)
+    found = rows.select(*key, F.col("encoding").cast("array<double>").alias("encoding")).mapInArrow(_nearest(sent, key, keep, kind, euclidean, least, self_key, most), f"{schema}, score double, {keep} {kind}, place long, rank int")
+    return found.drop("place")
+
 
-    w = Window.partitionBy(*key).orderBy(F.round("score", 12).desc(), "_t")
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("place", "part", "_t")
+def fits(references: DataFrame, column: str, direct: int = DIRECT) -> bool:
+    """Whether so few vectors of so few bytes are there that all tasks can have them."""
+    n, held = references.limit(direct + 1).agg(F.count(F.lit(1)), F.sum(F.size(column).cast("long") * 8)).first()
+    return n <= direct and (held or 0) <= REFERENCE_BYTES
 
 
 def _nearest(shared, key: list[str], keep: str, kind: str, euclidean: bool, least: float | None, self_key: str | None, most: int):
@@ -134,10 +109,14 @@ def _nearest(shared, key: list[str], keep: str, kind: str, euclidean: bool, leas
 def search_vectors(rows: DataFrame, queries: DataFrame, most: int = 5, digits: int = 9) -> DataFrame:
     """(query_id, id, rank, score): the `most` rows nearest by cosine to each query, itself left out.
 
-    rows: (id, encoding), queries: (query_id, encoding) of ids of the same kind, a stated set of at most about
-    `REFERENCE_BYTES`. A task keeps its best rows for each query, so `most` rows a query and task are shuffled.
-    Ties, to so many digits, go to the lesser id.
+    rows: (id, encoding), queries: (query_id, encoding) of ids of the same kind. Few queries are sent to all
+    tasks, and a task keeps its best rows for each, so `most` rows a query and task are shuffled. More than
+    `DIRECT` of them, or `REFERENCE_BYTES`, are searched by pivots of the rows. Ties go to the lesser id, to so many digits
+    in the first case and to 12 in the second.
     """
+    if not fits(queries.select("encoding").filter(F.size("encoding") > 0), "encoding"):
+        near = nearest_vectors(queries, ["query_id"], rows.select("id", F.col("encoding").alias("reference")), ["id"], "id", self_key="query_id", most=most)
+        return near.select("query_id", "id", "rank", "score")
     import numpy as np
     from pyspark.sql import Window
 
@@ -202,10 +181,30 @@ def match_pets(pets: DataFrame, personas: DataFrame, settings: Settings | None =
     key = ["item_id", "detection_id"]
     near = best_vectors(pets.filter(F.size("encoding") > 0).select(*key, "encoding"), key, persona_references(personas, "pet"), ["persona_id", "ref_pos"], "persona_id", s.pet_embedding_similarity_threshold).drop("rank")
     rest = pets.filter(F.coalesce("signature", F.lit("")) != "").join(near.select(*key), key, "left_anti").select(*key, "signature")
-    close = best_match(rest, key, persona_references(personas, "pet", "reference_signatures"), -hamming("signature", "reference"), ["persona_id", "ref_pos"], ["persona_id"], -float(s.pet_hash_distance_threshold))
+    close = near_signatures(rest, key, persona_references(personas, "pet", "reference_signatures"), s.pet_hash_distance_threshold)
+    close = close.select(*key, (-F.col("distance")).alias("score"), "persona_id")
     return near.withColumn("how", F.lit("cosine")).unionByName(close.withColumn("how", F.lit("hamming")))
 
 
+def near_signatures(rows: DataFrame, key: list[str], references: DataFrame, within: int, each: bool = False) -> DataFrame:
+    """(key..., distance, persona_id): for rows (key..., signature) the nearest of references (persona_id, ref_pos, reference)
+    within so many bits, or the least distance of each persona. Strings that are no 16-digit hex hashes compare with
+    strings of their length by characters: they are joined by length."""
+    hexed = lambda c: F.lower(c).rlike("^[0-9a-f]{16}$")
+    row, ref = hexed("signature"), hexed("reference")
+    tie, bits = ["persona_id", "ref_pos"], lambda df, c: df.filter(hexed(c)).withColumn("h", hash_bits(c))
+    near = nearest_hashes(bits(rows, "signature").select(*key, "h"), key, bits(references, "reference"), tie, "persona_id", within, each=each)
+    odd = rows.select(*key, "signature").join(references, F.length("signature") == F.length("reference")).filter(~(row & ref))
+    odd = odd.withColumn("distance", hamming("signature", "reference")).filter(F.col("distance") <= within)
+    if each:
+        return near.unionByName(odd.select(*key, "distance", "persona_id")).groupBy(*key, "persona_id").agg(F.min("distance").alias("distance"))
+    rank = F.struct("distance", *tie)
+    odd = odd.groupBy(*key).agg(F.min(rank).alias("b")).select(*key, "b.distance", "b.persona_id")
+    # a row of 16 hex digits may be near references of both kinds
+    both = near.unionByName(odd).groupBy(*key).agg(F.min(F.struct("distance", "persona_id")).alias("b"))
+    return both.select(*key, "b.distance", "b.persona_id")
+
+
 def auto_assign(detections: DataFrame, personas: DataFrame, settings: Settings | None = None) -> DataFrame:
     """detections with persona ids filled in where unassigned ones match a persona that can own them."""
     free = detections.filter(unassigned())
@@ -224,16 +223,16 @@ def cluster_scores(references: DataFrame, personas: DataFrame, kind: str, settin
     """
     s = settings or Settings()
     enc = references.select("cluster_id", F.explode("encodings").alias("encoding"))
-    found = [enc.crossJoin(F.broadcast(p)).groupBy("cluster_id", "persona_id").agg(F.max(cosine("encoding", "reference")).alias("score")) for p in in_blocks(persona_references(personas, kind))]
-    best = reduce(DataFrame.unionByName, found).groupBy("cluster_id", "persona_id").agg(F.max("score").alias("score")).filter(F.col("score") >= s.assign_cosine(kind)).withColumn("how", F.lit("embedding"))
+    least = s.assign_cosine(kind)
+    best = nearest_vectors(enc, ["cluster_id"], persona_references(personas, kind), ["persona_id", "ref_pos"], "persona_id", least, most=None)
+    best = best.filter(F.col("score") >= least).select("cluster_id", "persona_id", "score", F.lit("embedding").alias("how"))
     if kind != "pet":
         return best
     limit = float(max(1, s.pet_hash_distance_threshold))
-    sig = references.select("cluster_id", F.explode("signatures").alias("signature"))
-    near = [sig.crossJoin(F.broadcast(p)).groupBy("cluster_id", "persona_id").agg(F.min(hamming("signature", "reference")).alias("d")) for p in in_blocks(persona_references(personas, kind, "reference_signatures"))]
-    near = reduce(DataFrame.unionByName, near).groupBy("cluster_id", "persona_id").agg(F.min("d").alias("d")).filter(F.col("d") <= s.pet_hash_distance_threshold)
+    sig = references.select("cluster_id", F.explode("signatures").alias("signature")).filter(F.coalesce("signature", F.lit("")) != "")
+    near = near_signatures(sig, ["cluster_id"], persona_references(personas, kind, "reference_signatures"), s.pet_hash_distance_threshold, each=True)
     near = near.join(best.select("cluster_id", "persona_id"), ["cluster_id", "persona_id"], "left_anti")
-    return best.unionByName(near.select("cluster_id", "persona_id", F.greatest(F.lit(0.0), 1 - F.col("d") / limit).alias("score"), F.lit("signature").alias("how")))
+    return best.unionByName(near.select("cluster_id", "persona_id", F.greatest(F.lit(0.0), 1 - F.col("distance") / limit).alias("score"), F.lit("signature").alias("how")))
 
 
 def suggestions(scores: DataFrame, limit: int = 6) -> DataFrame:

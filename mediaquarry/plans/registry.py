@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, media, text, vectors
-from ..operators import clusters, detect, memories, mutations, projection, relations, search, similarity, textindex
+from ..operators import clusters, detect, memories, mutations, neighbours, projection, relations, search, similarity, textindex
 from ..sources import scan
 from ..streaming import ingest
 from . import adapters as lib
@@ -468,7 +468,16 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", vectors.hash_bits(text.stable_id(F.coalesce("text", F.lit("")))).alias("g"))
     refs = table(spark, d, "benchmark").select("item_id", vectors.hash_bits(text.stable_id("text")).alias("h"))
-    return similarity.best_match(docs, ["doc_id"], refs, -vectors.hamming_bits("g", "h"), ["item_id"], ["item_id"]).select("doc_id", "item_id", (-F.col("score")).alias("distance"))
+    return neighbours.nearest_hashes(docs.withColumnRenamed("g", "h"), ["doc_id"], refs, ["item_id"], "item_id").select("doc_id", "item_id", "distance")
+
+
+@query("pivot_nearest", """WITH s AS (SELECT a.vec_id, b.vec_id AS ref, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 12) DESC, ref) AS rank FROM s) SELECT vec_id, ref, rank::INT AS rank, round(c, 6) AS score FROM r WHERE rank <= 3""")
+def _(spark, d):
+    """The three nearest of all other vectors, for all vectors."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("encoding"))
+    refs = e.select(F.col("vec_id").alias("ref"), F.col("encoding").alias("reference"))
+    return neighbours.nearest_vectors(e, ["vec_id"], refs, ["ref"], "ref", self_key="vec_id", most=3).select("vec_id", "ref", "rank", F.round("score", 6).alias("score"))
 
 
 @query("iou_in_order", """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 40 AS x, l_suppkey % 40 AS y, CAST(l_quantity AS INT) AS w, l_linenumber * 8 AS h FROM lineitem),

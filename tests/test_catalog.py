@@ -1,6 +1,7 @@
 """Operators of the catalog engine against hand-computed results and plain models."""
 
 import math
+import re
 import random
 from datetime import datetime
 
