@@ -1,38 +1,23 @@
 """Folds over the detections of one asset: suppression, merging of frames, pet rules, carrying assignments.
 
-A group is one image, video or item, so its rows are few by nature; the folds run in applyInPandas.
+A group is one image, video or item, so its rows are few by nature. They become one sorted array of structs, which
+F.aggregate walks with an array or a struct as its state; vectors, hashes and boxes are compared inside.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CAT_LABELS, DISTINCT_COSINE, DISTINCT_HAMMING, DOG_LABELS, PET_LABELS, Settings
-from ..functions.vectors import cosine_of, hamming_of, iou, iou_of
+from ..functions.text import is_pet
+from ..functions.vectors import cosine, cosine_of, hamming, hamming_of, iou
 
 FIELDS = ["id", "kind", "label", "confidence", "bbox", "persona_id", "encoding", "signature"]
 SCHEMA = "item_id string, pos int, id string, kind string, label string, confidence double, bbox array<int>, persona_id string, encoding array<double>, signature string"
 
 
-def nms_of(boxes: np.ndarray, scores: np.ndarray, most: float = 0.4) -> list[int]:
-    """Greedy suppression, best score first; sides count one pixel more than their difference."""
-    left = list(np.argsort(-scores, kind="stable"))
-    area = (boxes[:, 2] - boxes[:, 0] + 1) * (boxes[:, 3] - boxes[:, 1] + 1)
-    keep = []
-    while left:
-        i = left.pop(0)
-        keep.append(int(i))
-        if left:
-            rest = np.array(left)
-            w = np.maximum(0, np.minimum(boxes[i, 2], boxes[rest, 2]) - np.maximum(boxes[i, 0], boxes[rest, 0]) + 1)
-            h = np.maximum(0, np.minimum(boxes[i, 3], boxes[rest, 3]) - np.maximum(boxes[i, 1], boxes[rest, 1]) + 1)
-            left = [j for j, o in zip(left, w * h / (area[i] + area[rest] - w * h)) if o <= most]
-    return keep
-
-
 def suppress(boxes: DataFrame, most: float = 0.4, key: str = "image_id") -> DataFrame:
     """boxes (key, box_id, x1, y1, x2, y2, score): those that survive, with their rank.
 
@@ -54,69 +39,99 @@ def suppress(boxes: DataFrame, most: float = 0.4, key: str = "image_id") -> Data
     return per.select(key, F.posexplode(kept).alias("rank", "box")).select(key, "box.box_id", "box.score", "rank")
 
 
-def is_pet_like(d: dict) -> bool:
-    return d["kind"].startswith("pet") or d["label"].lower() in (*PET_LABELS, "pet")
+#: How alike two detections are that show one subject (faces, pets; bits; overlap of subjects, of objects).
+SAME_FACE, SAME_PET, SAME_BITS, SAME_BOX, SAME_OBJECT_BOX = 0.72, 0.78, 8, 0.55, 0.65
+#: The same for a detection and the one of an earlier analysis that it continues.
+NEXT_FACE, NEXT_PET, NEXT_BITS = 0.50, 0.60, 10
+#: What kinds and labels add to a detection's confidence where one of a subject is chosen.
+RANK_KIND, RANK_SPECIES, RANK_NAMED = {"pet_face": 0.20, "face": 0.15}, 0.08, 0.04
+#: Fixed value: overlap from which a body and a pet face belong together.
+COVERED = 0.12
 
 
-def _labels_fit(a: str, b: str) -> bool:
-    a, b = a.lower(), b.lower()
-    return "pet" in (a, b) or a == b or any(a in group and b in group for group in (CAT_LABELS, DOG_LABELS))
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _has(x) -> bool:
-    return x is not None and len(x) > 0
+def _tag(d: Column) -> Column:
+    return F.lower(d["label"])
+
+
+def _species(d: Column) -> Column:
+    """cat or dog for their labels, else the label itself."""
+    t = _tag(d)
+    return F.when(t.isin(*CAT_LABELS), "cat").when(t.isin(*DOG_LABELS), "dog").otherwise(t)
+
+
+def _named(d: Column) -> Column:
+    return _tag(d).isin(*CAT_LABELS, *DOG_LABELS)
+
+
+def _long(v: Column) -> Column:
+    return F.coalesce(F.size(v), F.lit(0)) > 0
+
+
+def _text(v: Column) -> Column:
+    return F.coalesce(v, F.lit("")) != ""
 
 
-def same_subject(a: dict, b: dict, s: Settings) -> bool:
-    """Whether detections of two frames show one subject: by vector, else hash, else overlap."""
-    faces, pets = a["kind"] == b["kind"] == "face", is_pet_like(a) and is_pet_like(b)
-    if not faces and not pets:
-        return a["label"].lower() == b["label"].lower() and iou_of(a["bbox"], b["bbox"]) >= 0.65
-    if not faces and not _labels_fit(a["label"], b["label"]):
-        return False
-    if _has(a["encoding"]) and _has(b["encoding"]):
-        return cosine_of(a["encoding"], b["encoding"]) >= (max(s.face_embedding_similarity_threshold, 0.72) if faces else max(s.pet_embedding_similarity_threshold, 0.78))
-    if a["signature"] and b["signature"]:
-        return hamming_of(a["signature"], b["signature"]) <= 8
-    return iou_of(a["bbox"], b["bbox"]) >= 0.55
+def by_evidence(a: Column, b: Column, vectors, hashes, boxes) -> Column:
+    """What the best evidence that both detections have says: vectors, else hashes, else boxes. Each argument
+    is a function of the cosine, the differing bits or the overlap."""
+    return F.when(_long(a["encoding"]) & _long(b["encoding"]), vectors(cosine(a["encoding"], b["encoding"]))).when(
+        _text(a["signature"]) & _text(b["signature"]), hashes(hamming(a["signature"], b["signature"]))
+    ).otherwise(boxes(iou(a["bbox"], b["bbox"])))
 
 
-def rank_of(d: dict) -> float:
-    label = d["label"].lower()
-    return d["confidence"] + {"pet_face": 0.20, "face": 0.15}.get(d["kind"], 0.0) + (0.08 if label in (*CAT_LABELS, *DOG_LABELS) else 0.0) + (0.04 if label != "pet" else 0.0)
+def one_subject(a: Column, b: Column, settings: Settings) -> Column:
+    """Whether detections of two frames show one subject: two faces, or two pets that may be of one species
+    (a generic pet may be of any), by their evidence; other things by label and place."""
+    faces = (a["kind"] == "face") & (b["kind"] == "face")
+    pet = lambda d: is_pet(d["kind"], d["label"]) | (_tag(d) == "pet")
+    pets = pet(a) & pet(b)
+    species = (_species(a) == _species(b)) | (_tag(a) == "pet") | (_tag(b) == "pet")
+    least = F.when(faces, max(settings.face_embedding_similarity_threshold, SAME_FACE)).otherwise(max(settings.pet_embedding_similarity_threshold, SAME_PET))
+    alike = by_evidence(a, b, lambda c: c >= least, lambda h: h <= SAME_BITS, lambda o: o >= SAME_BOX)
+    things = (_tag(a) == _tag(b)) & (iou(a["bbox"], b["bbox"]) >= SAME_OBJECT_BOX)
+    return F.coalesce(F.when(faces | pets & species, alike).when(pets, F.lit(False)).otherwise(things), F.lit(False))
 
 
-def merge_unique(kept: list[dict], incoming: list[dict], s: Settings) -> list[dict]:
-    """Adds what is new; a higher rank replaces its subject, else it may name a generic pet."""
-    for d in incoming:
-        at = next((i for i, k in enumerate(kept) if same_subject(k, d, s)), None)
-        if at is None:
-            kept.append(dict(d))
-        elif rank_of(d) > rank_of(kept[at]):
-            kept[at] = dict(d)
-        elif kept[at]["label"].lower() == "pet" and d["label"].lower() in (*CAT_LABELS, *DOG_LABELS):
-            k = kept[at]
-            k["label"] = d["label"]
-            k["encoding"] = k["encoding"] if _has(k["encoding"]) else d["encoding"]
-            k["signature"] = k["signature"] or d["signature"]
-    return kept
+def worth(d: Column) -> Column:
+    """Confidence, and what the kind and a telling label add."""
+    kind = F.lit(0.0)
+    for name, more in RANK_KIND.items():
+        kind = F.when(d["kind"] == name, more).otherwise(kind)
+    return d["confidence"] + kind + F.when(_named(d), RANK_SPECIES).otherwise(0.0) + F.when(_tag(d) != "pet", RANK_NAMED).otherwise(0.0)
 
 
-def _rows(item, kept: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame([[item, i, *[d[f] for f in FIELDS]] for i, d in enumerate(kept)], columns=["item_id", "pos", *FIELDS])
+def _settled(kept: Column, new: Column) -> Column:
+    """The better of two detections of one subject; a generic pet that stays takes a cat's or dog's name from the
+    other, and the evidence that it lacks."""
+    same = lambda f: F.when(_long(kept[f]), kept[f]).otherwise(new[f]) if f == "encoding" else F.when(_text(kept[f]), kept[f]).otherwise(new[f])
+    renamed = F.struct(*[(new[f] if f == "label" else same(f) if f in ("encoding", "signature") else kept[f]).alias(f) for f in FIELDS])
+    return F.when(worth(new) > worth(kept), new).when((_tag(kept) == "pet") & _named(new), renamed).otherwise(kept)
+
+
+def _fields(prefix: str = "") -> Column:
+    return F.struct(*[F.col(f"{prefix}{f}").alias(f) for f in FIELDS])
 
 
 def merge_frames(detections: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """detections (item_id, frame, pos, detection fields): one list of subjects an item, frames in order."""
+    """detections (item_id, frame, pos, detection fields): one list of subjects an item (SCHEMA), frames in order.
+
+    A detection joins the first subject of the list that it shows, or becomes one.
+    """
     s = settings or Settings()
+    per = detections.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("frame", "pos", _fields().alias("d")))).alias("all"))
+    ordered = F.transform("all", lambda x: x["d"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for _, part in pdf.sort_values(["frame", "pos"]).groupby("frame", sort=True):
-            merge_unique(kept, part[FIELDS].to_dict("records"), s)
-        return _rows(pdf["item_id"].iloc[0], kept)
+    def step(kept: Column, d: Column) -> Column:
+        hit = F.array_position(F.transform(kept, lambda k: one_subject(k, d, s)), True)
+        return _let(hit, lambda at: F.when(at == 0, F.concat(kept, F.array(d))).otherwise(F.transform(kept, lambda k, i: F.when(i == at - 1, _settled(k, d)).otherwise(k))))
 
-    return detections.groupBy("item_id").applyInPandas(run, SCHEMA)
+    kept = F.aggregate(ordered, F.slice(ordered, 1, 0), step)
+    return per.select("item_id", F.posexplode(kept).alias("pos", "d")).select("item_id", "pos", "d.*")
 
 
 def merge_tags(frames: DataFrame) -> DataFrame:
@@ -133,87 +148,67 @@ def merge_still_and_video(still: DataFrame, video: DataFrame, settings: Settings
     return merge_frames(still.withColumn("frame", F.lit(0).cast(dict(seen.dtypes)["frame"])).unionByName(seen, allowMissingColumns=True), settings)
 
 
-def best_previous(d: dict, prior: list[dict], used: set[str]) -> dict | None:
-    """The unused earlier detection of the same kind that fits best by vector, hash or overlap."""
-    best, top = None, -1.0
-    for p in prior:
-        if p["id"] in used or p["kind"] != d["kind"]:
-            continue
-        score = -1.0
-        face = d["kind"] == "face"
-        pet = (d["kind"].startswith("pet") or d["label"].lower() in PET_LABELS) and (p["kind"].startswith("pet") or p["label"].lower() in PET_LABELS)
-        if face or pet:
-            if _has(d["encoding"]) and _has(p["encoding"]):
-                sim = cosine_of(d["encoding"], p["encoding"])
-                score = 2.0 + sim if sim >= (0.50 if face else 0.60) else score
-            elif d["signature"] and p["signature"]:
-                gap = hamming_of(d["signature"], p["signature"])
-                score = 1.5 - gap / 20.0 if gap <= 10 else score
-        overlap = iou_of(d["bbox"], p["bbox"])
-        if overlap >= 0.55:
-            score = max(score, 1.0 + overlap)
-        if score > top:
-            best, top = p, score
-    return best
+def continues(d: Column, p: Column) -> Column:
+    """How well an earlier detection p of the same kind fits d: by vector above 2, else by hash from 1 to 1.5,
+    in either case by overlap from 1.55 if that is more; null if in no way."""
+    face, pets = d["kind"] == "face", is_pet(d["kind"], d["label"]) & is_pet(p["kind"], p["label"])
+    nothing = F.lit(None).cast("double")
+    alike = by_evidence(d, p, lambda c: F.when(c >= F.when(face, NEXT_FACE).otherwise(NEXT_PET), 2.0 + c), lambda h: F.when(h <= NEXT_BITS, 1.5 - h / 20.0), lambda o: nothing)
+    overlap = iou(d["bbox"], p["bbox"])
+    return F.when(d["kind"] == p["kind"], F.greatest(F.when(face | pets, alike), F.when(overlap >= SAME_BOX, 1.0 + overlap)))
 
 
 def carry_assignments(current: DataFrame, previous: DataFrame, personas: DataFrame | None = None) -> DataFrame:
-    """current (SCHEMA) with persona ids of the previous detections they continue: same id first, else best fit."""
+    """current (SCHEMA) with persona ids of the previous detections they continue: the one of the same id first, else
+    the best fit, each used once, in order."""
     old = previous.join(personas.select(F.col("id").alias("persona_id")), "persona_id", "left_semi") if personas is not None else previous.filter("persona_id is not null and persona_id <> ''")
-    known = old.select("item_id", "id").withColumn("live", F.lit(True))
-    prior = previous.join(known, ["item_id", "id"], "left")
-    prior, current = prior.toDF(*prior.columns), current.toDF(*current.columns)  # both may stem from one table
-
-    def run(key, now: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if not len(now):
-            return _rows(key[0], [])
-        old_rows = before.sort_values("pos").to_dict("records") if len(before) else []
-        by_id, used, out = {p["id"]: p for p in old_rows}, set(), []
-        for d in now.sort_values("pos")[FIELDS].to_dict("records"):
-            match = by_id[d["id"]] if d["id"] in by_id and d["id"] not in used else best_previous(d, old_rows, used)
-            if match is not None:
-                used.add(match["id"])
-                if match["live"] is True and not d["persona_id"]:
-                    d["persona_id"] = match["persona_id"]
-            out.append(d)
-        return _rows(key[0], out)
-
-    return current.groupBy("item_id").cogroup(prior.groupBy("item_id")).applyInPandas(run, SCHEMA)
-
-
-def pet_detections_of(objects: list[dict], pet_faces: list[dict]) -> tuple[list[dict], list[str]]:
-    """Pets of one image from object boxes and named pet faces: a cat or dog body that a pet face overlaps
-    adds tags only, other pets become detections of their own. (The image cascade is not part of this.)"""
-    out, tags = [dict(p) for p in pet_faces], set()
-    for p in pet_faces:
-        label = p["label"].lower()
-        tags |= {"animal", "pet", label, "cat face" if label in CAT_LABELS else "dog face" if label in DOG_LABELS else "pet face"}
-    for o in objects:
-        label = o["label"].lower()
-        if label not in PET_LABELS:
-            continue
-        covered = any(p["kind"] == "pet_face" and iou_of(o["bbox"], p["bbox"]) >= 0.12 for p in pet_faces)
-        name = "cat" if label in CAT_LABELS else "dog" if label in DOG_LABELS and covered else label
-        tags |= {"animal", "pet", name} | ({f"{name} face"} if covered and name in ("cat", "dog") else set())
-        if not (covered and label in (*CAT_LABELS, *DOG_LABELS)):
-            out.append({**o, "id": f"pet-{o['id']}", "kind": "pet", "label": name})
-    return out, sorted(tags - {""})
+    known = old.select("item_id", "id").distinct().withColumn("live", F.lit(True))
+    prior = previous.join(known, ["item_id", "id"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    before = prior.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", _fields().alias("d"), "live"))).alias("prior"))
+    now = current.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", _fields().alias("d")))).alias("now"))
+    both = now.join(before, "item_id", "left").withColumn("prior", F.coalesce("prior", F.array().cast(before.schema["prior"].dataType)))
+    # the state: ids already used, and the detections so far
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.transform(F.slice("now", 1, 0), lambda x: x["d"]).alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        d, free = x["d"], F.filter("prior", lambda p: ~F.array_contains(state["used"], p["d"]["id"]))
+        found = lambda p, i, score: F.struct(score.alias("score"), i.alias("place"), p["d"]["id"].alias("id"), F.when(p["live"], p["d"]["persona_id"]).alias("persona"))
+        same = F.filter(F.transform(free, lambda p, i: found(p, i, F.when(p["d"]["id"] == d["id"], 9.0))), lambda m: m["score"].isNotNull())
+        fits = F.filter(F.transform(free, lambda p, i: found(p, -i, continues(d, p["d"]))), lambda m: m["score"].isNotNull())
+        match = F.coalesce(F.array_max(same), F.array_max(fits))  # of equal ids the last, of equal scores the first
+        return _let(match, lambda m: F.struct(
+            F.when(m.isNull(), state["used"]).otherwise(F.concat(state["used"], F.array(m["id"]))).alias("used"),
+            F.concat(state["out"], F.array(d.withField("persona_id", F.when(_text(d["persona_id"]), d["persona_id"]).when(m.isNotNull() & m["persona"].isNotNull(), m["persona"]).otherwise(d["persona_id"])))).alias("out"),
+        ))
+
+    out = F.aggregate("now", start, step, lambda state: state["out"])
+    return both.select("item_id", F.posexplode(out).alias("pos", "d")).select("item_id", "pos", "d.*")
 
 
 def pet_detections(detections: DataFrame) -> DataFrame:
-    """detections (SCHEMA; kinds object and pet_face): the pets of each item."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos")[FIELDS].to_dict("records")
-        kept, _ = pet_detections_of([r for r in rows if r["kind"] == "object"], [r for r in rows if r["kind"] == "pet_face"])
-        return _rows(pdf["item_id"].iloc[0], kept)
+    """detections (SCHEMA; kinds object and pet_face): item_id, pets (array of detections), tags, for each item.
 
-    return detections.groupBy("item_id").applyInPandas(run, SCHEMA)
+    A cat's or dog's body that a pet face overlaps adds tags only; other pets become detections of their own.
+    """
+    per = detections.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", _fields().alias("d")))).alias("all"))
+    of = lambda kind: F.transform(F.filter("all", lambda x: x["d"]["kind"] == kind), lambda x: x["d"])
+    per = per.select("item_id", of("pet_face").alias("faces"), F.filter(of("object"), lambda o: _tag(o).isin(*PET_LABELS)).alias("bodies"))
+    covered = lambda o: has_pet_face(F.transform("faces", lambda f: f["bbox"]), o["bbox"])
+    name = lambda o: F.when(_tag(o).isin(*CAT_LABELS), "cat").when(_tag(o).isin(*DOG_LABELS) & covered(o), "dog").otherwise(_tag(o))
+    own = F.transform(F.filter("bodies", lambda o: ~(covered(o) & _named(o))), lambda o: o.withField("id", F.concat(F.lit("pet-"), o["id"])).withField("kind", F.lit("pet")).withField("label", name(o)))
+    face_tags = F.transform("faces", lambda f: F.array(F.lit("animal"), F.lit("pet"), _tag(f), F.when(_tag(f).isin(*CAT_LABELS), "cat face").when(_tag(f).isin(*DOG_LABELS), "dog face").otherwise("pet face")))
+    body_tags = F.transform("bodies", lambda o: F.array(F.lit("animal"), F.lit("pet"), name(o), F.when(covered(o) & name(o).isin("cat", "dog"), F.concat(name(o), F.lit(" face")))))
+    tags = F.array_sort(F.array_distinct(F.filter(F.flatten(F.concat(face_tags, body_tags)), lambda t: t.isNotNull() & (t != ""))))
+    return per.select("item_id", F.concat("faces", own).alias("pets"), tags.alias("tags"))
 
 
 def has_pet_face(boxes: Column | str, bbox: Column | str) -> Column:
-    """Column: some pet-face box of the array overlaps the box by 0.12 or more."""
-    return F.exists(boxes, lambda b: iou(b, bbox) >= 0.12)
+    """Column: some pet-face box of the array overlaps the box."""
+    return F.exists(boxes, lambda b: iou(b, bbox) >= COVERED)
+
+
+def _has(x) -> bool:
+    return x is not None and len(x) > 0
 
 
 def distinct_references(rows: DataFrame) -> DataFrame:

@@ -295,24 +295,6 @@ def test_matching(spark):
     assert [(r.persona_id, r.score) for r in best] == [("p1", 1.0)]
 
 
-def test_detect_folds():
-    import numpy as np
-
-    s = Settings()
-    d = lambda i, kind, label, conf, box, enc=None, sig="": dict(id=i, kind=kind, label=label, confidence=conf, bbox=box, persona_id=None, encoding=enc or [], signature=sig)
-    assert detect.nms_of(np.array([[0, 0, 9, 9], [1, 1, 9, 9], [50, 50, 60, 60]], float), np.array([0.5, 0.9, 0.1])) == [1, 2]
-    kept = detect.merge_unique([], [d("1", "face", "face", 0.5, [0, 0, 9, 9], [1.0, 0.0]), d("2", "face", "face", 0.8, [90, 0, 9, 9], [0.99, 0.05]), d("3", "face", "face", 0.9, [0, 0, 9, 9], [0.0, 1.0])], s)
-    assert [k["id"] for k in kept] == ["2", "3"]
-    kept = detect.merge_unique([], [d("1", "pet", "pet", 0.9, [0, 0, 9, 9]), d("2", "pet", "cat", 0.3, [0, 0, 9, 9], sig="ab")], s)
-    assert [(k["id"], k["label"], k["signature"]) for k in kept] == [("1", "cat", "ab")]
-    prior = [d("p", "face", "face", 0.9, [0, 0, 9, 9], [1.0, 0.0]), d("q", "face", "face", 0.9, [0, 0, 9, 9], [0.8, 0.6])]
-    assert detect.best_previous(d("n", "face", "face", 0.9, [50, 50, 9, 9], [0.8, 0.61]), prior, set())["id"] == "q"
-    assert detect.best_previous(d("n", "face", "face", 0.9, [50, 50, 9, 9], [0.0, -1.0]), prior, set()) is None
-    assert detect.best_previous(d("n", "face", "face", 0.9, [0, 0, 9, 9]), prior, {"p"})["id"] == "q"
-    out, tags = detect.pet_detections_of([d("1", "object", "cat", 0.9, [0, 0, 9, 9]), d("2", "object", "bird", 0.9, [50, 0, 9, 9]), d("3", "object", "car", 0.9, [0, 0, 9, 9])], [d("f", "pet_face", "cat", 0.9, [0, 0, 8, 8])])
-    assert [o["id"] for o in out] == ["f", "pet-2"] and tags == ["animal", "bird", "cat", "cat face", "pet"]
-
-
 def test_folds_on_spark(spark):
     cols = "item_id string, frame int, pos int, id string, kind string, label string, confidence double, bbox array<int>, persona_id string, encoding array<double>, signature string"
     rows = [("x", f, 0, f"d{f}", "face", "face", 0.5 + f / 10, [0, 0, 9, 9], None, [1.0, f / 100], None) for f in range(3)] + [("y", 0, 0, "e", "object", "car", 0.5, [0, 0, 9, 9], None, [], None)]
