@@ -234,16 +234,6 @@ def _(spark, d):
     return detect.learned_encodings(rows).filter("kept").groupBy("persona_id").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("ids"))
 
 
-@query("carried_assignments", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'label-' || label END AS persona_id FROM embeddings")
-def _(spark, d):
-    """A second analysis with other ids finds each detection again by its vector, and carries its persona over."""
-    det = lib.detections(spark, d).withColumn("pos", F.col("vec_id").cast("int")).withColumn("bbox", F.array(*[F.lit(0)] * 4)).withColumnRenamed("detection_id", "id")
-    cols = ["item_id", "pos", *detect.FIELDS]
-    old = det.withColumn("persona_id", F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("label-"), F.col("class_label").cast("string")))).select(*cols)
-    new = det.withColumn("id", F.concat(F.lit("new-"), "id")).select(*cols)
-    return detect.carry_assignments(new, old).select(F.substring("id", 5, 20).cast("long").alias("vec_id"), "persona_id")
-
-
 @query("albums_changed", "SELECT o_custkey::VARCHAR AS id, count(*)::BIGINT + CASE WHEN o_custkey = 4 THEN (SELECT count(*) FROM orders WHERE o_orderkey IN (1, 2, 3) AND o_custkey <> 4) ELSE 0 END AS n FROM orders WHERE o_custkey <> 7 GROUP BY o_custkey")
 def _(spark, d):
     o, it = table(spark, d, "orders"), lib.items(spark, d)
@@ -539,13 +529,6 @@ def _(spark, d):
     return detect.suppress(b.withColumn("box_id", F.concat_ws("-", "k.l_linenumber", "k.l_partkey", "k.l_suppkey", F.col("k.l_quantity").cast("int"))).drop("k"))
 
 
-@query("merge_frames")
-def _(spark, d):
-    det = lib.detections(spark, d)
-    rows = det.select("item_id", (F.col("vec_id") % 2).cast("int").alias("frame"), F.col("vec_id").cast("int").alias("pos"), F.col("detection_id").alias("id"), "kind", "label", "confidence", F.array(*[(F.col("vec_id") * k % 9).cast("int") for k in (2, 3, 5, 7)]).alias("bbox"), "persona_id", "encoding", "signature")
-    return detect.merge_frames(rows).select("item_id", "pos", "id", "kind", "label", "confidence")
-
-
 # ingest and changes -----------------------------------------------------------
 
 
@@ -612,12 +595,12 @@ def _(spark, d):
 
 
 def queries() -> dict:
-    from . import state_queries  # noqa: F401  registers its own
+    from . import fold_queries, state_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import state_queries  # noqa: F401
+    from . import fold_queries, state_queries  # noqa: F401
 
     return dict(SQL)
