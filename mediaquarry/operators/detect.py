@@ -231,8 +231,3 @@ def distinct_references(rows: DataFrame) -> DataFrame:
 
     types = dict(rows.dtypes)
     return rows.groupBy("persona_id").applyInPandas(run, f"persona_id {types['persona_id']}, seq {types['seq']}, kept boolean")
-
-
-def learned_encodings(rows: DataFrame) -> DataFrame:
-    """rows (persona_id, seq, encoding): with `kept`; a vector is learnt if its cosine to all kept ones is below 0.985."""
-    return distinct_references(rows.withColumn("signature", F.lit("")))

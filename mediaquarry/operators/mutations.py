@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_pet, stable_id
-from .detect import distinct_references, learned_encodings
+from .detect import distinct_references
+from .distinct import learned_encodings
 from .relations import EMPTY, can_own, detections_of, unassigned
 
 #: Colours of personas in order of creation; they repeat.
@@ -97,8 +98,7 @@ def learn(personas: DataFrame, persona_id: str, persona_kind: str, taught: DataF
     """personas after one has been assigned detections (item_id, detection fields as in an item's list).
 
     Of those it can own, in order of item and detection, a vector is learnt if its cosine to all references
-    is below 0.985, a hash if it is new. The first item becomes the avatar where there is none. The fold over
-    vectors runs in one task for the persona, as each step depends on those before.
+    is below 0.985, a hash if it is new. The first item becomes the avatar where there is none.
     """
     own = taught.filter(can_own(F.lit(persona_kind), F.col("kind"), F.col("label")))
     order = Window.partitionBy("persona_id").orderBy("item_id", "id")

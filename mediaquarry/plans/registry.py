@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, media, text, vectors
-from ..operators import clusters, detect, memories, mutations, neighbours, projection, relations, search, similarity, textindex
+from ..operators import clusters, detect, distinct, memories, mutations, neighbours, projection, relations, search, similarity, textindex
 from ..sources import scan
 from ..streaming import ingest
 from . import adapters as lib
@@ -226,12 +226,12 @@ def _(spark, d):
     return mutations.assign_in_items(it, regions, "new", "person", reassign=True).select(F.col("id").alias("item_id"), F.size("detections").cast("long").alias("n"), F.size(own).cast("long").alias("assigned"))
 
 
-@query("learned_references", f"""WITH f AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 6 AND vec_id % 10 < 5)
+@query("learned_references", f"""WITH f AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 6)
   SELECT 'label-' || label AS persona_id, count(*)::BIGINT AS n, sum(vec_id)::BIGINT AS ids FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.label = b.label AND b.vec_id < a.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.985) GROUP BY label""")
 def _(spark, d):
-    rows = lib.detections(spark, d).filter("kind = 'face' and vec_id % 10 < 5")
+    rows = lib.detections(spark, d).filter("kind = 'face'")
     rows = rows.select(F.concat(F.lit("label-"), F.col("class_label").cast("string")).alias("persona_id"), F.col("vec_id").alias("seq"), "encoding")
-    return detect.learned_encodings(rows).filter("kept").groupBy("persona_id").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("ids"))
+    return distinct.learned_encodings(rows).filter("kept").groupBy("persona_id").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("ids"))
 
 
 @query("albums_changed", "SELECT o_custkey::VARCHAR AS id, count(*)::BIGINT + CASE WHEN o_custkey = 4 THEN (SELECT count(*) FROM orders WHERE o_orderkey IN (1, 2, 3) AND o_custkey <> 4) ELSE 0 END AS n FROM orders WHERE o_custkey <> 7 GROUP BY o_custkey")
