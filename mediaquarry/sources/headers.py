@@ -1,12 +1,14 @@
 """What media files say of themselves in their headers: size, date, animation, duration.
 
-PNG, GIF, JPEG, BMP, WebP, and MP4 or MOV, read from bytes by plain parsers over Arrow batches. A file that is
-none of these, or is cut short, has no size; nothing is decoded.
+PNG, GIF, JPEG, BMP, WebP, and MP4 or MOV, read by plain parsers over Arrow batches. Files are opened where a task runs
+and read by seeking: chunks and boxes that tell nothing are skipped by their lengths, so a video costs a few
+pages whatever its size. A file that is none of these, or is cut short, has no size; nothing is decoded.
 """
 
 from __future__ import annotations
 
-from struct import error, unpack_from
+import re
+from struct import calcsize, error, unpack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,57 @@ from ..functions.media import media_kind
 SCHEMA = "path string, width int, height int, taken string, animated boolean, duration_seconds double"
 #: EXIF tags of the date an image was taken or changed, and of its orientation.
 TAKEN, CHANGED, ORIENTATION = 36867, 306, 274
-MOST_BYTES = 256 << 20
+PAGE = 64 << 10
+#: Stores that tasks can open themselves, and their names there.
+OPENED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+class Pages:
+    """A file's bytes by index and slice, read a page at a time; two pages are kept."""
+
+    def __init__(self, stream, size: int):
+        self.stream, self.size, self.pages = stream, size, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _page(self, k: int) -> bytes:
+        if k not in self.pages:
+            self.stream.seek(k * PAGE)
+            while len(self.pages) > 1:
+                self.pages.pop(next(iter(self.pages)))
+            self.pages[k] = self.stream.read(PAGE)
+        return self.pages[k]
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            if not 0 <= at < self.size:
+                raise IndexError(at)
+            return self._page(at // PAGE)[at % PAGE]
+        a, z, _ = at.indices(self.size)
+        return b"".join(self._page(k)[max(0, a - k * PAGE) : z - k * PAGE] for k in range(a // PAGE, -(-z // PAGE))) if a < z else b""
+
+
+class Part:
+    """Some of a file's bytes, not read yet."""
+
+    def __init__(self, whole, start: int, end: int):
+        self.whole, self.start, self.end = whole, start, min(end, len(whole))
+
+    def __len__(self) -> int:
+        return max(0, self.end - self.start)
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            if not 0 <= at < len(self):
+                raise IndexError(at)
+            return self.whole[self.start + at]
+        a, z, _ = at.indices(len(self))
+        return self.whole[self.start + a : self.start + z]
+
+
+def unpack_from(form: str, b, at: int) -> tuple:
+    return unpack(form, b[at : at + calcsize(form)] if at >= 0 else b"")
 
 
 def _png(b: bytes) -> dict:
@@ -28,7 +80,7 @@ def _png(b: bytes) -> dict:
         if name == b"acTL":
             out["animated"] = unpack_from(">I", b, at + 8)[0] > 1
         elif name == b"eXIf":
-            out |= _exif(b[at + 8 : at + 8 + size])
+            out |= _exif(Part(b, at + 8, at + 8 + size))
         elif name == b"IEND":
             break
         at += 12 + size
@@ -62,7 +114,7 @@ def _gif(b: bytes) -> dict:
 def _exif(b: bytes) -> dict:
     """Date and orientation of the first directory of a TIFF block."""
     if b[:6] == b"Exif\0\0":
-        b = b[6:]
+        b = Part(b, 6, len(b))
     e = {b"II": "<", b"MM": ">"}.get(b[:2])
     if e is None:
         return {}
@@ -96,7 +148,7 @@ def _jpeg(b: bytes) -> dict:
             out["height"], out["width"] = unpack_from(">HH", b, at + 5)
             break
         if mark == 0xE1 and b[at + 4 : at + 10] == b"Exif\0\0":
-            out |= _exif(b[at + 4 : at + 2 + size])
+            out |= _exif(Part(b, at + 4, at + 2 + size))
         at += 2 + size
     return out
 
@@ -154,9 +206,9 @@ def _mp4(b: bytes) -> dict:
     return out
 
 
-def headers_of(b: bytes | None) -> dict:
+def headers_of(b: bytes | Pages | None) -> dict:
     """What a file's bytes tell: any of width, height, taken (as written), animated, duration_seconds."""
-    b = b or b""
+    b = b if b is not None else b""
     reader = (
         _png if b[:8] == b"\x89PNG\r\n\x1a\n" else _gif if b[:6] in (b"GIF87a", b"GIF89a") else _jpeg if b[:3] == b"\xff\xd8\xff" else _bmp if b[:2] == b"BM"
         else _webp if b[:4] == b"RIFF" and b[8:12] == b"WEBP" else _mp4 if b[4:8] in (b"ftyp", b"moov", b"mdat", b"wide", b"free") else None
@@ -170,20 +222,47 @@ def headers_of(b: bytes | None) -> dict:
     return out
 
 
+def _rows(told, paths, pa):
+    fields = [("width", pa.int32()), ("height", pa.int32()), ("taken", pa.string()), ("animated", pa.bool_()), ("duration_seconds", pa.float64())]
+    return pa.RecordBatch.from_arrays([paths, *[pa.array([r.get(n) for r in told], t) for n, t in fields]], names=["path", *[n for n, _ in fields]])
+
+
 def read_headers(files: DataFrame) -> DataFrame:
     """files (path, content) to SCHEMA, a row each; what a file does not tell is null."""
 
     def run(batches):
         import pyarrow as pa
 
-        fields = [("width", pa.int32()), ("height", pa.int32()), ("taken", pa.string()), ("animated", pa.bool_()), ("duration_seconds", pa.float64())]
         for b in batches:
-            rows = [headers_of(c.as_py()) for c in b.column("content")]
-            yield pa.RecordBatch.from_arrays([b.column("path"), *[pa.array([r.get(n) for r in rows], t) for n, t in fields]], names=["path", *[n for n, _ in fields]])
+            yield _rows([headers_of(c.as_py()) for c in b.column("content")], b.column("path"), pa)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def open_headers(files: DataFrame) -> DataFrame:
+    """files (path, uri, length) to SCHEMA, each file opened by the task that holds its row. One that is gone by
+    then tells nothing."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def told(uri: str, length: int) -> dict:
+            scheme, rest = re.match(r"([a-z0-9]+):/*(.*)", uri, re.S).groups()
+            store, at = (fs.LocalFileSystem(), f"/{rest}") if scheme == "file" else fs.FileSystem.from_uri(f"{OPENED[scheme]}://{rest}")
+            try:
+                with store.open_input_file(at) as stream:
+                    return headers_of(Pages(stream, length))
+            except FileNotFoundError:
+                return {}
+
+        for b in batches:
+            yield _rows([told(u, n) for u, n in zip(b.column("uri").to_pylist(), b.column("length").to_pylist())], b.column("path"), pa)
+
+    sc = files.sparkSession.sparkContext
+    return files.select("path", "uri", "length").repartition(4 * sc.defaultParallelism, "path").mapInArrow(run, SCHEMA)
+
+
 def extract_metadata(assets: DataFrame, headers: DataFrame) -> DataFrame:
     """assets (of build_assets) with what the headers of their files tell: width, height, duration_seconds, metadata,
     and captured_at where an image is dated.
@@ -206,10 +285,14 @@ def extract_metadata(assets: DataFrame, headers: DataFrame) -> DataFrame:
     return out.withColumns({"captured_at": F.coalesce(exif_date("_taken"), "captured_at"), "metadata": told}).drop("_taken", "_animated")
 
 
-def headers_under(spark: SparkSession, root: str, most: int = MOST_BYTES) -> DataFrame:
-    """Headers of the media files under a folder, paths relative to it. Files of more than `most` bytes are not
-    opened, as a file is one value: they keep what their names and times tell."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= most)
+def headers_under(spark: SparkSession, root: str) -> DataFrame:
+    """Headers of the media files under a folder, paths relative to it. Where tasks cannot open the store
+    themselves, Spark reads the files, each as one value."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file:").lstrip("/") if root.startswith(("/", "file:")) else root.rstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", ""), "^" + "".join("\\" + c if c in r".^$*+?{}[]|()\\" else c for c in base) + "/", "")
-    return read_headers(files.filter(media_kind("path").isNotNull()).select(relative.alias("path"), "content"))
+    media = files.filter(media_kind("path").isNotNull())
+    scheme = root.split(":", 1)[0] if ":" in root else "file" if spark.conf.get("spark.hadoop.fs.defaultFS", "file:").startswith("file:") else ""
+    if scheme in OPENED:
+        return open_headers(media.select(relative.alias("path"), F.col("path").alias("uri"), "length"))
+    return read_headers(media.select(relative.alias("path"), "content"))

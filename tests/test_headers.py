@@ -63,3 +63,41 @@ def test_assets_with_headers(spark, tmp_path):
     api = LibraryApi(Library(spark, str(tmp_path / "lib")))
     api.sync(list_files(spark, str(tmp_path / "2024")), "t1", headers=headers.headers_under(spark, str(tmp_path / "2024")))
     assert {r.title: (r.width, r.height, r.durationSeconds) for r in api.items().collect()} == {"a": (300, 200, 0.0), "live": (10, 20, 3.5), "b": (20, 10, 0.35), "v": (64, 48, 1.5), "bad": (0, 0, 0.0)}
+
+
+def test_pages_read_as_bytes_do(monkeypatch):
+    import io
+
+    monkeypatch.setattr(headers, "PAGE", 7)
+    for whole in [png(640, 480, 2), gif(20, 10, [10, 25]), jpeg(300, 200, "2024:05:06 07:08:09", 6), mp4(64, 48, 600, 1500), b"", b"BM"]:
+        for n in range(len(whole) + 1):
+            pages = headers.Pages(io.BytesIO(whole), n)
+            assert headers.headers_of(pages) == headers.headers_of(whole[:n]) and pages[3:11] == whole[:n][3:11]
+
+
+def test_a_large_video_costs_a_few_pages(spark, tmp_path):
+    """A gigabyte of frames (a sparse file) before the box that tells size and duration."""
+    head, tail = mp4(64, 48, 600, 1500).split(b"frames")
+    with open(tmp_path / "long.mp4", "wb") as f:
+        f.write(head[:-8] + pack(">I4sQ", 1, b"mdat", 16 + (1 << 30)))
+        f.seek(1 << 30, 1)
+        f.write(tail)
+    (tmp_path / "gone.txt").write_bytes(b"")
+    row = headers.headers_under(spark, str(tmp_path)).collect()
+    assert [(r.path, r.width, r.height, r.duration_seconds) for r in row] == [("long.mp4", 64, 48, 2.5)]
+    reads = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            reads.append(n)
+            return self.f.read(n)
+
+    with open(tmp_path / "long.mp4", "rb") as f:
+        assert headers.headers_of(headers.Pages(Counted(f), (tmp_path / "long.mp4").stat().st_size))["width"] == 64
+    assert len(reads) <= 6
