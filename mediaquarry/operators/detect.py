@@ -39,6 +39,38 @@ def suppress(boxes: DataFrame, most: float = 0.4, key: str = "image_id") -> Data
     return per.select(key, F.posexplode(kept).alias("rank", "box")).select(key, "box.box_id", "box.score", "rank")
 
 
+#: Least score of an anchor, anchors at each place of the grid.
+LEAST_SCORE, ANCHORS = 0.48, 2
+
+
+def decode_anchors(levels: DataFrame, least: float = LEAST_SCORE, anchors: int = ANCHORS) -> DataFrame:
+    """levels (image_id, stride, width, height, scale, scores, distances[, keypoints]), one row an image and stride of a
+    detector's grid: image_id, box_id, x1, y1, x2, y2, score, keypoints for the anchors of `least` or more.
+
+    Anchors stand row by row, `anchors` at each place. Distances (four an anchor: left, up, right, down) and
+    keypoints (pairs of offsets, or null) are in strides; `width` and `height` are the input's, boxes are divided by
+    `scale`. Only anchors that pass leave their arrays. Rows of null scores or distances have none.
+    """
+    stride, n = F.col("stride").cast("double"), F.col("i")
+    hits = F.filter(F.transform("scores", lambda s, i: F.struct(s.cast("double").alias("score"), i.alias("i"))), lambda x: x["score"] >= least)
+    per = levels.withColumn("hit", F.explode(hits)).select("*", "hit.*")
+    across = F.floor(F.col("width") / F.col("stride"))
+    place = F.floor(n / anchors)
+    x, y = (place % across) * stride, F.floor(place / across) * stride
+    far = lambda k: F.try_element_at("distances", 4 * n + k + 1).cast("double") * stride
+    scaled = lambda c: c / F.col("scale")
+    size = (F.size("keypoints") / F.size("scores")).cast("int") if "keypoints" in levels.columns else None
+    points = F.transform(F.slice("keypoints", n * size + 1, size), lambda p, k: scaled(F.when(k % 2 == 0, x).otherwise(y) + p.cast("double") * stride)) if size is not None else F.lit(None).cast("array<double>")
+    out = per.select("image_id", F.concat_ws("-", F.lpad(F.col("stride").cast("string"), 4, "0"), F.lpad(n.cast("string"), 9, "0")).alias("box_id"), scaled(x - far(0)).alias("x1"), scaled(y - far(1)).alias("y1"), scaled(x + far(2)).alias("x2"), scaled(y + far(3)).alias("y2"), "score", points.alias("keypoints"))
+    return out.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+
+
+def detect_faces(levels: DataFrame, least: float = LEAST_SCORE, anchors: int = ANCHORS, most: float = 0.4) -> DataFrame:
+    """decode_anchors over all strides of an image, then suppression across them, with the rank of each box."""
+    boxes = decode_anchors(levels, least, anchors)
+    return suppress(boxes, most).select("image_id", "box_id", "rank").join(boxes, ["image_id", "box_id"])
+
+
 #: How alike two detections are that show one subject (faces, pets; bits; overlap of subjects, of objects).
 SAME_FACE, SAME_PET, SAME_BITS, SAME_BOX, SAME_OBJECT_BOX = 0.72, 0.78, 8, 0.55, 0.65
 #: The same for a detection and the one of an earlier analysis that it continues.

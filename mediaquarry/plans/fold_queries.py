@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import stable_id
 from ..operators import detect
 from .adapters import table
-from .registry import query
+from .registry import SUPPRESSED, query
 
 CATS, DOGS = "('cat', 'kitten')", "('dog', 'puppy')"
 PETS = "('cat', 'kitten', 'dog', 'puppy', 'bird', 'horse', 'rabbit', 'hamster', 'guinea pig', 'ferret')"
@@ -119,3 +119,21 @@ def _(spark, d):
     kind = F.when((F.col("kind") == "pet") & ((F.col("pos") % 8 + F.col("frame")) % 2 == 0), "pet_face").otherwise("object")
     out = detect.pet_detections(rows.filter("kind <> 'face'").withColumn("kind", kind))
     return out.select("item_id", F.array_join(F.transform("pets", lambda p: F.concat_ws(":", p["id"], p["kind"], p["label"])), ",").alias("pets"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("anchor_faces", """WITH RECURSIVE l AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest([{'s': 8, 'w': 4, 'n': 32, 'o': 0}, {'s': 16, 'w': 2, 'n': 8, 'o': 32}]) AS g FROM embeddings),
+  a AS (SELECT vec_id, e, g.s AS s, g.w AS w, g.o AS o, unnest(range(g.n)) AS i FROM l), p AS (SELECT *, i // 2 % w * s AS x, i // 2 // w * s AS y, abs(e[o + i + 1]) * 2 AS score FROM a),
+  b AS (SELECT vec_id AS image_id, lpad(s::VARCHAR, 4, '0') || '-' || lpad(i::VARCHAR, 9, '0') AS box_id, (x - abs(e[(4 * i) % 64 + 1]) * 4 * s) / 0.5 AS x1, (y - abs(e[(4 * i + 1) % 64 + 1]) * 4 * s) / 0.5 AS y1,
+    (x + abs(e[(4 * i + 2) % 64 + 1]) * 4 * s) / 0.5 AS x2, (y + abs(e[(4 * i + 3) % 64 + 1]) * 4 * s) / 0.5 AS y2, score FROM p WHERE score >= 0.48),
+""" + SUPPRESSED.replace("SELECT image_id, o.box_id AS box_id, o.score AS score, rank::INT AS rank FROM f", "SELECT image_id, o.box_id AS box_id, round(o.x1, 6) AS x1, round(o.y2, 6) AS y2, round(o.score, 6) AS score, rank::INT AS rank FROM f"))
+def _(spark, d):
+    """Scores and distances of two strides, drawn from the vectors: an image each."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("e"))
+    grids = F.array(*[F.struct(F.lit(s).alias("stride"), F.lit(n).alias("n"), F.lit(o).alias("o")) for s, n, o in ((8, 32, 0), (16, 8, 32))])
+    each = e.withColumn("g", F.explode(grids)).select("image_id", "e", "g.*")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    levels = each.select(
+        "image_id", "stride", F.lit(32).alias("width"), F.lit(32).alias("height"), F.lit(0.5).alias("scale"), F.transform(upto(F.col("n")), lambda i: F.abs(F.element_at("e", F.col("o") + i + 1)) * 2).alias("scores"),
+        F.transform(upto(F.col("n") * 4), lambda i: F.abs(F.element_at("e", i % 64 + 1)) * 4).alias("distances"),
+    )
+    return detect.detect_faces(levels).select("image_id", "box_id", F.round("x1", 6).alias("x1"), F.round("y2", 6).alias("y2"), F.round("score", 6).alias("score"), "rank")

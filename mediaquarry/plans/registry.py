@@ -515,14 +515,17 @@ def _(spark, d):
     return out.select("vec_id", *[F.round(F.abs(c), 6).alias(c) for c in ("x", "y", "z")])
 
 
-@query("suppress_boxes", """WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS box_id, (l_partkey % 40)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, (l_partkey % 40 + l_quantity)::DOUBLE AS x2, (l_suppkey % 40 + l_linenumber * 8)::DOUBLE AS y2, l_extendedprice AS score FROM lineitem),
-  r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS k FROM b),
+SUPPRESSED = """  r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS k FROM b),
   w(image_id, k, kept) AS (SELECT image_id, k, [{'box_id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}] FROM r WHERE k = 1
     UNION ALL SELECT r.image_id, r.k, CASE WHEN len([o for o in kept if greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1) + 1) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1) + 1)
         > 0.4 * ((o.x2 - o.x1 + 1) * (o.y2 - o.y1 + 1) + (r.x2 - r.x1 + 1) * (r.y2 - r.y1 + 1) - greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1) + 1) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1) + 1))]) = 0
       THEN list_append(kept, {'box_id': r.box_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'score': r.score}) ELSE kept END FROM w JOIN r ON r.image_id = w.image_id AND r.k = w.k + 1),
   last AS (SELECT image_id, max_by(kept, k) AS kept FROM w GROUP BY image_id), f AS (SELECT image_id, unnest(kept) AS o, unnest(range(len(kept))) AS rank FROM last)
-  SELECT image_id, o.box_id AS box_id, o.score AS score, rank::INT AS rank FROM f""")
+  SELECT image_id, o.box_id AS box_id, o.score AS score, rank::INT AS rank FROM f"""
+
+
+@query("suppress_boxes", """WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS box_id, (l_partkey % 40)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, (l_partkey % 40 + l_quantity)::DOUBLE AS x2, (l_suppkey % 40 + l_linenumber * 8)::DOUBLE AS y2, l_extendedprice AS score FROM lineitem),
+""" + SUPPRESSED)
 def _(spark, d):
     b = lib.boxes(spark, d)
     b = b.select(F.col("l_orderkey").alias("image_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("k"), F.col("box")[0].cast("double").alias("x1"), F.col("box")[1].cast("double").alias("y1"), (F.col("box")[0] + F.col("box")[2]).cast("double").alias("x2"), (F.col("box")[1] + F.col("box")[3]).cast("double").alias("y2"), F.col("l_extendedprice").alias("score"))

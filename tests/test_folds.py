@@ -168,3 +168,21 @@ def test_repeated_ids_and_rows(spark):
     df = spark.createDataFrame(rows, COLS).drop("frame", "seconds")
     got = detect.carry_assignments(df.withColumn("persona_id", F.lit(None).cast("string")), df).collect()
     assert [r["persona_id"] for r in sorted(got, key=lambda r: r["pos"])] == ["b", None, None]
+
+
+def test_anchors_decode_to_boxes_and_points(spark):
+    """Two anchors at each place of a 3 x 2 grid of stride 8, the input being 24 x 16 and shrunk by half."""
+    scores = [0.1, 0.5, 0.9, 0.2, 0.48, 0.479, 0.0, 0.0, 0.0, 0.0, 0.0, 0.7]
+    distances, points = [k / 8 for k in range(48)], [k / 4 for k in range(120)]
+    cols = "image_id string, stride int, width int, height int, scale double, scores array<double>, distances array<double>, keypoints array<double>"
+    df = spark.createDataFrame([("a", 8, 24, 16, 0.5, scores, distances, points), ("b", 8, 24, 16, 1.0, None, None, None), ("c", 8, 24, 16, 1.0, [], [], []), ("d", 8, 24, 16, 1.0, [0.9], None, None)], cols)
+    got = {r["box_id"]: r for r in detect.decode_anchors(df).collect()}
+    want = {}
+    for i, s in enumerate(scores):
+        if s >= 0.48:
+            x, y, d = i // 2 % 3 * 8, i // 2 // 3 * 8, distances[4 * i : 4 * i + 4]
+            own = [((x, y)[k % 2] + points[10 * i + k] * 8) / 0.5 for k in range(10)]
+            want[f"0008-{i:09d}"] = ([(x - d[0] * 8) / 0.5, (y - d[1] * 8) / 0.5, (x + d[2] * 8) / 0.5, (y + d[3] * 8) / 0.5], s, own)
+    assert {k: ([r["x1"], r["y1"], r["x2"], r["y2"]], r["score"], r["keypoints"]) for k, r in got.items()} == want
+    ranked = detect.detect_faces(df.drop("keypoints")).orderBy("rank").collect()
+    assert [r["score"] for r in ranked] == sorted((r["score"] for r in ranked), reverse=True) and ranked[0]["score"] == 0.9
