@@ -100,11 +100,11 @@ def _fuzzy_sql(query: str, texts: str) -> str:
     return f"""WITH {", ".join(steps)} SELECT x.id, CASE WHEN {plain} THEN 100 ELSE floor(greatest({", ".join(f"coalesce(p{k}.s, 0)" for k in range(len(words)))}, coalesce(ts.s, 0)))::INT END AS score FROM x {joins} LEFT JOIN ts ON ts.id = x.id"""
 
 
-COMPOSITE = "type:image The%tion year:2024 h_ing"
+COMPOSITE = "type:image Th%ing year:2024 Or%ion"
 
 
 @query("search_composite_text", f"""WITH t AS (SELECT doc_id::VARCHAR AS id, lower(coalesce(text, '')) AS blob, strftime(make_date(2024, 1, (doc_id % 28 + 1)::INT), '%Y-%m-%dT00:00:00+00:00') AS captured_at, n_chars::DOUBLE AS modified_ts FROM documents WHERE doc_id % 10 <> 0),
-  newest AS (SELECT * FROM t WHERE blob LIKE '%the%tion%' AND blob LIKE '%h_ing%' ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 600), s AS ({_fuzzy_sql("The%tion h_ing", "SELECT id, blob FROM newest")})
+  newest AS (SELECT * FROM t WHERE blob LIKE '%th%ing%' AND blob LIKE '%or%ion%' ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 600), s AS ({_fuzzy_sql("Th%ing Or%ion", "SELECT id, blob FROM newest")})
   SELECT id, captured_at, score FROM s JOIN newest USING (id) WHERE score >= 35 ORDER BY score DESC, captured_at DESC, modified_ts DESC, id LIMIT 180""")
 def _(spark, d):
     """No token stands in a text as it is written, so every candidate is graded."""
