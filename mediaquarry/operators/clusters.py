@@ -1,8 +1,10 @@
-"""Greedy leader clustering of unassigned detections, exact: rows of a kind in one order, one pass.
+"""Greedy leader clustering of unassigned detections, exact: rows in one order (newest first, then ids), one pass.
 
-The result depends on the order (newest first, then ids), so a kind is one group of applyInPandas. To keep
-that group from growing with the table, `by` names columns that split it into independent libraries. The
-kept vectors of all clusters are one matrix and their hashes one array, so a row costs one matrix product.
+A row only joins a cluster that holds a near row, and clusters only merge over near rows. So rows meet within the
+connected components of the graph of near rows (by the thresholds of merging, which are the wider ones), and each component is
+folded on its own: the result is that of one pass over the whole kind. Within a component the kept vectors of all
+clusters are one matrix and their hashes one array, so a row costs one matrix product. `by` names columns that split a
+library into independent ones.
 """
 
 from __future__ import annotations
@@ -18,11 +20,22 @@ from pyspark.sql import functions as F
 
 from ..config import CAT_LABELS, DISTINCT_COSINE, DISTINCT_HAMMING, DOG_LABELS, Settings
 from ..functions.vectors import hamming_of
+from ..sources.workspace import written
+from .components import components, hash_links, star, vector_links
 from .relations import cluster_candidates
 
 MEMBER = "cluster_id string, kind string, item_id string, detection_id string, label string, confidence double, captured_at string, seq long, kept_encoding boolean, kept_signature boolean"
 
 
+def node():
+    """A row in the graph of near rows."""
+    return F.xxhash64("item_id", "detection_id")
+
+
+#: Rows up to which one task folds them all, which gives the same as component by component and takes one job.
+FEW = 5_000
+
+
 def cluster_id(kind: str, item_id: str, detection_id: str) -> str:
     return sha1(f"unknown-cluster:{kind}:{item_id}:{detection_id}".encode()).hexdigest()[:16]
 
@@ -189,13 +202,23 @@ def _fold(kind: str, s: Settings, merge: bool, by: list[str]):
     return run
 
 
-def cluster_unknown(detections: DataFrame, kind: str, settings: Settings | None = None, merge: bool = True, by: list[str] | None = None) -> DataFrame:
+def cluster_unknown(detections: DataFrame, kind: str, settings: Settings | None = None, merge: bool = True, by: list[str] | None = None, few: int = FEW) -> DataFrame:
     """Members of clusters (see MEMBER). Rows without persona, of the kind, with a vector or a hash."""
     s, by = settings or Settings(), by or []
     rows = cluster_candidates(detections, kind).select(*by, "item_id", "detection_id", "label", "confidence", "captured_at", "encoding", "signature")
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"{b} {types[b]}" for b in by], MEMBER])
-    return rows.groupBy(*(by or [F.lit(kind)])).applyInPandas(_fold(kind, s, merge, by), schema)
+    rows = written(rows.withColumn("node", node()), "candidates")
+    if rows.limit(few + 1).count() <= few:
+        return rows.groupBy(*(by or [F.lit(kind)])).applyInPandas(_fold(kind, s, merge, by), schema)
+    links = vector_links(rows.select("node", "encoding"), rows.select(F.col("node").alias("ref"), F.col("encoding").alias("reference")), s.merge_cosine(kind))
+    links = links.unionByName(hash_links(rows.select("node", "signature"), rows.select("node", "signature"), s.merge_hamming(kind)))
+    return _grouped(rows, links).groupBy(*by, "component").applyInPandas(_fold(kind, s, merge, by), schema)
+
+
+def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (node, ...) with their component; one without links is its own."""
+    return rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def finalize(members: DataFrame, by: list[str] | None = None, revision: str = "") -> DataFrame:
@@ -220,7 +243,7 @@ def kept_references(members: DataFrame, detections: DataFrame) -> DataFrame:
     return j.groupBy("cluster_id").agg(pick("kept_encoding", "encoding").alias("encodings"), pick("kept_signature", "signature").alias("signatures"))
 
 
-def cluster_incremental(state: DataFrame, detections: DataFrame, dirty: DataFrame, kind: str, settings: Settings | None = None) -> DataFrame:
+def cluster_incremental(state: DataFrame, detections: DataFrame, dirty: DataFrame, kind: str, settings: Settings | None = None, few: int = FEW) -> DataFrame:
     """One incremental pass: (cluster_id, item_id, detection_id) after placing the dirty rows.
 
     state: members (cluster_id, item_id, detection_id) in any order; they are replayed newest first. A dirty
@@ -231,7 +254,7 @@ def cluster_incremental(state: DataFrame, detections: DataFrame, dirty: DataFram
     every = cluster_candidates(detections, kind).select(*cols)
     marked = every.join(state.select("item_id", "detection_id", "cluster_id"), ["item_id", "detection_id"], "left")
     marked = marked.join(dirty.select("item_id", "detection_id").withColumn("dirty", F.lit(True)), ["item_id", "detection_id"], "left")
-    rows = marked.filter("cluster_id is not null or dirty")
+    rows = written(marked.filter("cluster_id is not null or dirty").withColumn("node", node()), "candidates")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["captured_at", "item_id", "detection_id"], ascending=[False, True, True], kind="stable")
@@ -248,7 +271,15 @@ def cluster_incremental(state: DataFrame, detections: DataFrame, dirty: DataFram
             place(leaders, row, kind, s)
         return pd.DataFrame([(c.id, r["item_id"], r["detection_id"]) for c in leaders.clusters for r in c.rows], columns=["cluster_id", "item_id", "detection_id"])
 
-    return rows.groupBy(F.lit(kind)).applyInPandas(run, "cluster_id string, item_id string, detection_id string")
+    schema = "cluster_id string, item_id string, detection_id string"
+    if rows.limit(few + 1).count() <= few:
+        return rows.groupBy(F.lit(kind)).applyInPandas(run, schema)
+    # members of a cluster stay together, and a dirty row may join what it is near
+    moved = rows.filter("dirty")
+    links = star(rows.filter("cluster_id is not null"), "cluster_id")
+    links = links.unionByName(vector_links(moved.select("node", "encoding"), rows.select(F.col("node").alias("ref"), F.col("encoding").alias("reference")), s.join_cosine(kind)))
+    links = links.unionByName(hash_links(moved.select("node", "signature"), rows.select("node", "signature"), s.join_hamming(kind)))
+    return _grouped(rows, links).groupBy("component").applyInPandas(run, schema)
 
 
 def refresh(clusters: DataFrame, state: DataFrame, detections: DataFrame, kind: str, settings: Settings | None = None) -> tuple[str, DataFrame]:

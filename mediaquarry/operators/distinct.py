@@ -18,9 +18,12 @@ from pyspark.sql.types import StructType
 from ..config import DISTINCT_COSINE
 from ..sources.workspace import written
 from . import neighbours
+from .detect import distinct_references
 from .neighbours import Pivots, _matrix, _unit
 
 KEY = ["persona_id", "seq"]
+#: Rows up to which one task a persona folds them in order, which gives the same and takes one job.
+FEW = 5_000
 
 
 def _earlier(least: float, step: int = 1024):
@@ -59,12 +62,15 @@ def _with_earlier(rows: DataFrame, references: DataFrame, least: float) -> DataF
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_earlier(least), schema).distinct()
 
 
-def learned_encodings(rows: DataFrame, least: float = DISTINCT_COSINE) -> DataFrame:
+def learned_encodings(rows: DataFrame, least: float = DISTINCT_COSINE, few: int = FEW) -> DataFrame:
     """rows (persona_id, seq, encoding), one a persona and seq: persona_id, seq, kept. A vector is learnt if its cosine to all
     kept ones before it is below `least`. Rows without a vector, or with one of zeros or with null or non-finite
     components, are near nothing: they are kept. Vectors of unequal length are not near.
     """
     rows = written(rows.select(*KEY, F.col("encoding").cast("array<double>").alias("encoding")), "learnt")
+    if rows.limit(few + 1).count() <= few:
+        usable = F.forall("encoding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        return distinct_references(rows.select(*KEY, F.when(usable, F.col("encoding")).alias("encoding"), F.lit("").alias("signature")), least)
     cells = Pivots(rows.withColumnRenamed("encoding", "reference"), KEY, "seq", True)
     if not cells.pivots:
         return rows.select(*KEY, F.lit(True).alias("kept"))

@@ -36,9 +36,9 @@ def test_rounds_equal_the_fold(spark, monkeypatch, pieces):
     rows += [("mixed", k, turned(rng.uniform(0, 3))) for k in range(50)] + [("mixed", 200 + k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(30)]
     rows += [("odd", 0, None), ("odd", 1, []), ("odd", 2, [0.0, 0.0]), ("odd", 3, [0.0, 0.0]), ("odd", 4, [math.nan, 1.0]), ("odd", 5, [1.0, 0.0]), ("odd", 6, [2.0, 0.0]), ("odd", 7, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "persona_id string, seq long, encoding array<double>").repartition(3)
-    got = {(r["persona_id"], r["seq"]): r["kept"] for r in distinct.learned_encodings(df).collect()}
-    assert got == fold(rows, 0.985) and sum(not k for k in got.values()) > 100
+    got = {(r["persona_id"], r["seq"]): r["kept"] for r in distinct.learned_encodings(df, few=0).collect()}
+    assert got == {(r["persona_id"], r["seq"]): r["kept"] for r in distinct.learned_encodings(df).collect()} == fold(rows, 0.985) and sum(not k for k in got.values()) > 100
 
 
 def test_no_rows(spark):
-    assert distinct.learned_encodings(spark.createDataFrame([], "persona_id string, seq long, encoding array<double>")).count() == 0
+    assert distinct.learned_encodings(spark.createDataFrame([], "persona_id string, seq long, encoding array<double>"), few=-1).count() == 0
