@@ -100,7 +100,7 @@ class LibraryApi:
 
     def cluster_suggestions(self, cluster_id: str, limit: int = 6) -> DataFrame:
         own = self.t("unknown_cluster_members").filter(F.col("cluster_id") == cluster_id).join(self.t("detections"), ["item_id", "detection_id"])
-        kept = detect_references(own)
+        kept = clusters.references_of(own)
         kind = (self.t("unknown_clusters").filter(F.col("cluster_id") == cluster_id).select("kind").first() or ["person"])[0]
         return similarity.suggestions(similarity.cluster_scores(kept, self.t("personas"), kind, self.settings), limit)
 
@@ -262,9 +262,3 @@ class LibraryApi:
     def toggle_favorite(self, ids: list[str], now: str) -> None:
         own = self.t("items").filter(F.col("id").isin(*ids))
         self.library.save_items(mutations.toggle_favorite(own, own.select("id")), own.limit(0).select("id"), now)
-
-
-def detect_references(rows: DataFrame) -> DataFrame:
-    """(cluster_id, encodings, signatures) of member rows, all of them."""
-    some = lambda c, ok: F.collect_list(F.when(ok, F.col(c)))
-    return rows.groupBy("cluster_id").agg(some("encoding", F.size("encoding") > 0).alias("encodings"), some("signature", F.coalesce("signature", F.lit("")) != "").alias("signatures"))

@@ -22,6 +22,8 @@ from ..config import CAT_LABELS, DISTINCT_COSINE, DISTINCT_HAMMING, DOG_LABELS,
 from ..functions.vectors import hamming_of
 from ..sources.workspace import written
 from .components import components, hash_links, star, vector_links
+from .detect import distinct_references
+from .distinct import learned_encodings
 from .relations import cluster_candidates
 
 MEMBER = "cluster_id string, kind string, item_id string, detection_id string, label string, confidence double, captured_at string, seq long, kept_encoding boolean, kept_signature boolean"
@@ -243,6 +245,18 @@ def kept_references(members: DataFrame, detections: DataFrame) -> DataFrame:
     return j.groupBy("cluster_id").agg(pick("kept_encoding", "encoding").alias("encodings"), pick("kept_signature", "signature").alias("signatures"))
 
 
+def references_of(rows: DataFrame) -> DataFrame:
+    """(cluster_id, encodings, signatures): what a cluster of these members (newest first) has learnt, vectors and hashes
+    each that differ from those before. For clusters whose `kept_` flags are not at hand."""
+    ranked = order_rank(rows, ["cluster_id"]).withColumnRenamed("cluster_id", "persona_id").select("persona_id", "seq", "encoding", F.coalesce("signature", F.lit("")).alias("signature"))
+    bare = F.array().cast("array<double>")
+    vectors = learned_encodings(ranked.filter(F.size("encoding") > 0)).filter("kept").select("persona_id", "seq", F.lit(True).alias("kept_encoding"))
+    hashes = distinct_references(ranked.filter("signature <> ''").withColumn("encoding", bare)).filter("kept").select("persona_id", "seq", F.lit(True).alias("kept_signature"))
+    j = ranked.join(vectors, ["persona_id", "seq"], "left").join(hashes, ["persona_id", "seq"], "left")
+    pick = lambda flag, col: F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("seq", col)))), lambda s: s[col])
+    return j.groupBy(F.col("persona_id").alias("cluster_id")).agg(pick("kept_encoding", "encoding").alias("encodings"), pick("kept_signature", "signature").alias("signatures"))
+
+
 def cluster_incremental(state: DataFrame, detections: DataFrame, dirty: DataFrame, kind: str, settings: Settings | None = None, few: int = FEW) -> DataFrame:
     """One incremental pass: (cluster_id, item_id, detection_id) after placing the dirty rows.
 

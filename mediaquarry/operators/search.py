@@ -197,6 +197,25 @@ def by_ids_recent(items: DataFrame, ids: DataFrame, limit: int | None = None, of
     return page(items.join(ids.select("id"), "id", "left_semi"), recency(), limit, offset)
 
 
+def peeked_page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """The rows of a page with `more` (whether others follow) and `next` (where the next page starts): one row more than
+    the page is taken, and only these are numbered."""
+    some = page(df, order, max(limit, 0) + 1, offset)
+    own = some.withColumns({"_place": F.row_number().over(Window.orderBy(*order)), "more": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > limit})
+    own = own.filter(F.col("_place") <= limit)
+    return own.withColumn("next", (F.lit(offset) + F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).cast("int")).drop("_place")
+
+
+def page_after(items: DataFrame, limit: int, last: tuple[str, float, str] | None = None) -> DataFrame:
+    """The page behind the row (captured_at, modified_ts, id) in order of recency: rows before it are filtered out at the scan, not
+    sorted again, so a late page costs no more than an early one."""
+    if last is not None:
+        date, time, key = (F.lit(x) for x in last)
+        behind = (F.col("modified_ts") < time) | (F.col("modified_ts") == time) & (F.col("id") > key)
+        items = items.filter((F.col("captured_at") <= date) & ((F.col("captured_at") < date) | behind))
+    return page(items, recency(), limit)
+
+
 @dataclass(frozen=True)
 class Page:
     items: list

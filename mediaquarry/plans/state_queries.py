@@ -79,8 +79,13 @@ def _(spark, d):
 
 @query("page_with_peek", f"WITH {ITEMS} SELECT id, true AS more, 70 AS next FROM items WHERE NOT hidden ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 50 OFFSET 20")
 def _(spark, d):
-    p = search.collect_page(search.query_items(lib.items(spark, d)), 50, 20)
-    return spark.createDataFrame([(r.id, p.has_more, p.next_offset) for r in p.items], "id string, more boolean, next int")
+    return search.peeked_page(search.query_items(lib.items(spark, d), ordered=False), search.recency(), 50, 20).select("id", "more", "next")
+
+
+@query("page_after", f"WITH {ITEMS} SELECT id, captured_at FROM items WHERE NOT hidden AND (captured_at, modified_ts) <= ('1998-02-03T00:00:00+00:00', 150000.0) ORDER BY captured_at DESC, modified_ts DESC, id LIMIT 50")
+def _(spark, d):
+    shown = search.query_items(lib.items(spark, d), ordered=False)
+    return search.page_after(shown, 50, ("1998-02-03T00:00:00+00:00", 150000.0, "")).select("id", "captured_at")
 
 
 # decoders and views ------------------------------------------------------------

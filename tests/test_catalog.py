@@ -151,6 +151,17 @@ def test_pages(spark, small):
         if not p.has_more:
             break
     assert whole == ids(ordered) and search.collect_page(ordered, 0).items == [] and not search.collect_page(ordered, 3, 99).has_more
+    last, chained = None, []
+    while rows := search.page_after(items, 2, last).collect():
+        chained += [r.id for r in rows]
+        last = (rows[-1].captured_at, rows[-1].modified_ts, rows[-1].id)
+    assert chained == ids(ordered)
+    peeked = [search.peeked_page(items, search.recency(), 3, at).collect() for at in (0, 3, 99)]
+    assert [r.id for p in peeked for r in p] == ids(ordered)[:6] and peeked[0][0].more and peeked[0][0].next == 3
+    ties = items.limit(1).crossJoin(spark.range(7).select(F.col("id").cast("string").alias("k"))).withColumn("id", F.col("k")).drop("k")
+    assert [r.id for r in search.page_after(ties, 3, ("zz", 0.0, "")).collect()] == ["0", "1", "2"]
+    one = search.page_after(ties, 3).collect()[-1]
+    assert [r.id for r in search.page_after(ties, 9, (one.captured_at, one.modified_ts, one.id)).collect()] == ["3", "4", "5", "6"]
     assert [r.id for r in search.load_in_order(items, search.id_list(spark, ["c", "a", "c", "zz", ""])).orderBy("pos").collect()] == ["c", "a", "c"]
     album = spark.createDataFrame([(["b", "gone", "a"],)], "item_ids array<string>")
     assert ids(search.members_page(album, items, 2)) == ["b"] and ids(search.members(album, items)) == ["b", "a"]
