@@ -14,27 +14,45 @@ from mediaquarry.llm.common import Scratch, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below 0.3) go."""
+    """Documents that the classifier rejects (score below 0.3) go.
+
+    Null and empty texts are scored as texts without words. Each of several equal rows is scored alike, so they stay or go
+    together; an empty table stays empty. Other columns, whatever their names, pass through.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group, the one of the least doc_id, stays: five-word shingles, similarity 0.8 or more.
+
+    Documents without words are near nothing and stay, as do rows without a doc_id. Rows of one doc_id stay or go
+    together, so a repeated row that stays is still repeated.
+    """
     return minhash.keep_one(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
+    """Documents that hold a copy of a benchmark item go, exact or edited (alignment of half an item's score or more).
+
+    Null and empty texts, and rows without a doc_id, stay; an empty benchmark keeps all. Rows of one doc_id go together.
+    """
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it: not at all, once, or up to three times.
+
+    Documents without words count nothing and stay as the operator's rule has it; null sources are a source of
+    their own. Equal rows are drawn as one document of their doc_id.
+    """
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards of near-equal bytes, each row with its place and, as struct `row`, the document; equal texts share a shard."""
+    """Shards of near-equal bytes, each row with its place and, as struct `row`, the document; equal texts share a shard.
+
+    Null texts take 8 bytes, as empty ones do. Every row of the input has one place, repeated rows several.
+    """
     return sharding.shard_rows(docs, whole=True)
 
 

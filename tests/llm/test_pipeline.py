@@ -56,3 +56,35 @@ def test_stages_keep_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+CLASH = "quality score predicted held_out component_id kept n_shingles size source_size target taken copies shard slot law row mix text_crc32 item_id key node h word _w _pos".split()
+
+
+def test_stages_with_clashing_columns_and_repeated_rows(spark, folder):
+    """Columns of the operators' own names pass through with their values; a repeated row stays as often as its stage keeps it."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id is null or doc_id < 40 or doc_id >= 500")
+    docs = docs.unionByName(docs.filter("doc_id in (1, 2, 501)")).unionByName(docs.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    wide = docs.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, folder), stage(spark, wide, folder)
+        if name in ("near_dedup", "decontaminate"):
+            assert got.filter("doc_id is null").count() == 1
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASH), name
+        assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in plain.collect()), name
+    out = corpus_pipeline.shard(spark, wide, folder).collect()
+    assert len(out) == docs.count() and all(r.row[c] == f"own {c}" for r in out for c in CLASH)
+
+
+def test_an_empty_table(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
