@@ -236,6 +236,8 @@ def nearest_vectors(rows: DataFrame, key: list[str], references: DataFrame, tie:
 BITS = 64
 #: References up to which chunks have 8 bits: a bucket then holds at most some 256; beyond, 16 bits.
 FEW_HASHES = 65_536
+#: Among so few the nearest hash is likely far, and the first round goes one bit further.
+FAR_APART = 4_096
 
 
 def chunks_of(h: Column, chunks: int) -> Column:
@@ -267,7 +269,8 @@ def nearest_hashes(rows: DataFrame, key: list[str], references: DataFrame, tie:
     rows, refs = rows.filter(has), references.filter(has).select(*cols, "h")
     if within is None and refs.isEmpty():
         return rows.select(*key, F.lit(0.0).alias("distance"), F.lit(None).cast(refs.schema[keep].dataType).alias(keep)).limit(0)
-    chunks = chunks or (8 if refs.limit(FEW_HASHES + 1).count() <= FEW_HASHES else 4)
+    n = refs.limit(FEW_HASHES + 1).count()
+    chunks = chunks or (8 if n <= FEW_HASHES else 4)
     wide = BITS // chunks
     last = wide if within is None else min(wide, within // chunks)
     dealt = lambda h: F.posexplode(chunks_of(h, chunks)).alias("chunk", "value")
@@ -291,8 +294,9 @@ def nearest_hashes(rows: DataFrame, key: list[str], references: DataFrame, tie:
             return best
         return best.select(*key, F.col("_b._d").alias("distance"), keep)
     done, open_rows, so_far = None, written(rows.select(*key, "h"), "hashes"), None
-    for t in range(1, last + 1):
-        found = joined(open_rows, [0, 1] if t == 1 else [t])
+    start = 2 if n <= FAR_APART else 1
+    for t in range(start, last + 1):
+        found = joined(open_rows, range(t + 1) if t == start else [t])
         so_far = found if so_far is None else so_far.unionByName(found).groupBy(*key).agg(F.min_by(keep, "_b").alias(keep), F.min("_b").alias("_b"))
         so_far = written(so_far.select(*key, "_b", keep), "nearest")
         settled = so_far.filter(F.col("_b._d") < chunks * (t + 1))

@@ -490,14 +490,18 @@ def _(spark, d):
     return similarity.suggestions(s).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("least"))
 
 
-@query("cluster_members")
-def _(spark, d):
+def _clustered(spark, d, **how) -> DataFrame:
     from ..config import Settings
 
-    m = clusters.cluster_unknown(lib.detections(spark, d), "person", Settings(face_embedding_similarity_threshold=0.3), few=0)
+    m = clusters.cluster_unknown(lib.detections(spark, d), "person", Settings(face_embedding_similarity_threshold=0.3), **how)
     return clusters.finalize(m).select("cluster_id", "kind", "label", "member_count", "item_count", F.round("average_confidence", 6).alias("average_confidence"), "latest_captured_at", "representative_detection_id")
 
 
+query("cluster_members")(_clustered)
+# the way of large kinds, whatever the number of rows: each component of the graph of near rows on its own
+query("cluster_members_by_component")(partial(_clustered, few=0))
+
+
 @query("auto_assign", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, substr(sha1(vec_id::VARCHAR), 1, 16) AS h FROM embeddings), refs AS (SELECT vec_id AS ref, label AS rl, v AS rv, h AS rh FROM e WHERE vec_id % 20 = 0),
   s AS (SELECT vec_id, rl, ref, list_cosine_similarity(v, rv) AS c, list_distance(v, rv) AS far, bit_count(xor(('0x' || substr(h, 1, 8))::BIGINT, ('0x' || substr(rh, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(h, 9, 8))::BIGINT, ('0x' || substr(rh, 9, 8))::BIGINT)) AS x, label FROM e, refs WHERE (label < 6) = (rl < 6)),
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY how, CASE how WHEN 1 THEN -round(c, 12) WHEN 2 THEN far ELSE x END, rl, ref) AS k FROM (SELECT *, CASE WHEN c >= 0.3 THEN 1 WHEN label < 6 AND far <= 0.42 THEN 2 WHEN label >= 6 AND x <= 14 THEN 3 END AS how FROM s) WHERE how IS NOT NULL)
