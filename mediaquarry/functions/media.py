@@ -28,10 +28,6 @@ def media_kind(path) -> Column:
     return out.when(e.isin(*EXTENSIONS["video"]), "video").when(e.isin(*EXTENSIONS["image"]), "image")
 
 
-def is_supported(path) -> Column:
-    return media_kind(path).isNotNull()
-
-
 def sample_frames_of(frame_count: int, fps: float, seconds: float = 2.0, most: int = 12) -> list[int]:
     """Frames of a video to look at: all of a short one, else one every so many seconds with first and last,
     thinned evenly to `most`."""

@@ -112,7 +112,7 @@ def learn(personas: DataFrame, persona_id: str, persona_kind: str, taught: DataF
     hashes = own.filter(F.coalesce("signature", F.lit("")) != "").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "id", "signature"))), lambda x: x["signature"])).alias("_h"))
     avatar = taught.agg(F.min("item_id").alias("_a"))
     extra = hashes.crossJoin(avatar).join(vectors, F.lit(True), "left").withColumn("_p", F.lit(persona_id))  # one row
-    out = personas.join(F.broadcast(extra.select("_p", "_v", "_h", "_a")), F.col("id") == F.col("_p"), "left")
+    out = personas.join(extra.select("_p", "_v", "_h", "_a"), F.col("id") == F.col("_p"), "left")
     out = out.withColumns({
         "reference_encodings": F.when(me, F.coalesce("_v", "reference_encodings")).otherwise(F.col("reference_encodings")),
         "reference_signatures": F.when(me, F.array_union("reference_signatures", F.coalesce("_h", F.expr(EMPTY)))).otherwise(F.col("reference_signatures")),

@@ -19,14 +19,15 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..sources.workspace import written
 
 #: Pivots of a set of references of one length; rows and references of a cell that meet in one task.
 PIVOTS, ROWS_TOGETHER, REFERENCES_TOGETHER = 64, 16_384, 4_096
-#: Pivots are picked among so many times their number of references.
-SAMPLED = 16
+#: Pivots are picked among so many times their number of references: below 1,000, so that tasks apply this limit
+#: of a length before they shuffle.
+SAMPLED = 15
 #: Distances as near as this are taken for ties (cosines that agree to 12 digits differ less).
 SLACK = 1e-5
 

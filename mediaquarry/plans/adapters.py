@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso
-from ..functions.text import stable_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +101,3 @@ def files(spark, d) -> DataFrame:
     stem = F.concat_ws("/", "source", F.concat((F.col("doc_id") % 30 + 1995).cast("string"), F.lit("-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")), F.concat(F.lit("IMG_"), F.col("doc_id").cast("string")))
     ext = F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(".HEIC"), F.lit(".MOV"))).when(F.col("doc_id") % 7 == 0, F.array(F.lit(".txt"))).otherwise(F.array(F.lit(".jpg"))))
     return t.select(stem.alias("stem"), F.col("n_chars").alias("size_bytes"), (F.col("doc_id") * 1_000_000_000).alias("mtime_ns"), ext.alias("ext")).select(F.concat("stem", "ext").alias("path"), "size_bytes", "mtime_ns")
-
-
-def short_id(c):
-    return stable_id(c)

@@ -602,12 +602,12 @@ def _(spark, d):
 
 
 def queries() -> dict:
-    from . import fold_queries, state_queries  # noqa: F401  register their own
+    from . import fold_queries, library_queries, state_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import fold_queries, state_queries  # noqa: F401
+    from . import fold_queries, library_queries, state_queries  # noqa: F401
 
     return dict(SQL)
