@@ -3,7 +3,9 @@
 A save writes new snapshots of the tables it changes and then a manifest with the next number, by renaming a
 finished file to a name that must not exist yet. The highest number counts, so readers see the old or the new
 state whenever a save stops, no path is overwritten while it is read, and of two saves that start from one
-state the later fails instead of undoing the other.
+state the later fails instead of undoing the other. That rests on a rename that fails if its target exists, as on HDFS;
+stores whose rename overwrites need one writer at a time. Old states stay readable for KEPT_MANIFESTS saves;
+`vacuum` deletes what no kept manifest names.
 """
 
 from __future__ import annotations
@@ -48,10 +50,13 @@ class Library:
         if not found:
             return {"number": 0, "tables": {}, "metadata": {"schema_version": "1"}}
         number, at = found[-1]
+        return {**self._named(at), "number": number}
+
+    def _named(self, at: str) -> dict:
         path, fs = self._fs(at)
         stream = fs.open(path)
         try:
-            return {**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")), "number": number}
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
@@ -70,6 +75,27 @@ class Library:
             if old <= number - KEPT_MANIFESTS:
                 fs.delete(self._fs(path)[0], False)
 
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Deletes snapshots and parts that none of the kept manifests names, and staged changes that were left behind,
+        if they are older than so many seconds: a save that is under way has younger ones, and readers of a kept
+        state lose nothing. Returns how many folders went."""
+        import time
+
+        kept = set()
+        for _, at in self._manifests():
+            for entry in self._named(at)["tables"].values():
+                kept |= {entry} if isinstance(entry, str) else set(entry.values())
+        before, gone = (time.time() - older_than) * 1000, 0
+        for table in [*TABLES, "_changes"]:
+            at, fs = self._fs(f"{self.root}/{table}")
+            for snapshot in fs.listStatus(at) if fs.exists(at) else []:
+                name = f"{table}/{snapshot.getPath().getName()}"
+                parts = {k for k in kept if k.startswith(f"{name}/")}
+                doomed = [] if name in kept else [f.getPath() for f in fs.listStatus(snapshot.getPath()) if f.isDirectory() and f"{name}/{f.getPath().getName()}" not in kept] if parts else [snapshot.getPath()]
+                for path in doomed if snapshot.getModificationTime() < before else []:
+                    gone += bool(fs.delete(path, True))
+        return gone
+
     def metadata(self, key: str, default: str | None = None) -> str | None:
         return self.manifest()["metadata"].get(key, default)
 

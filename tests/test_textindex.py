@@ -58,3 +58,21 @@ def test_files_are_sorted_by_run(spark, tmp_path):
         g = pq.read_table(f, columns=["gram"]).column(0).to_pylist()
         assert g == sorted(g)
     assert files
+
+
+def test_vacuum_deletes_what_no_manifest_names(spark, tmp_path, monkeypatch):
+    from mediaquarry.sources import store
+
+    monkeypatch.setattr(store, "KEPT_MANIFESTS", 2)
+    lib = Library(spark, str(tmp_path / "lib"), parts=3)
+    items = conform(spark.createDataFrame([(f"i{k}", f"title {k}") for k in range(30)], "id string, title string"), "items")
+    lib.save_state(items, *[empty(spark, t) for t in ("personas", "albums", "memories")], "t0")
+    first = lib.table("items")
+    for t in range(3):
+        lib.save_items(items.filter("id = 'i5'").withColumn("title", F.lit(f"new {t}")), items.limit(0).select("id"), f"t{t + 1}")
+    folders = lambda: len(list((tmp_path / "lib" / "items").glob("*/_part=*")))
+    before, reader = folders(), lib.table("items")
+    assert lib.vacuum() == 0 and folders() == before and first.count() == 30  # all too young
+    assert lib.vacuum(older_than=-5) > 0 and 3 <= folders() < before
+    assert reader.count() == 30 and {r.title for r in lib.table("items").filter("id = 'i5'").collect()} == {"new 2"}
+    assert lib.vacuum(older_than=-5) == 0 and all(lib.table(t).count() >= 0 for t in lib.manifest()["tables"])
