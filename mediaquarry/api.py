@@ -14,6 +14,7 @@ from .config import Settings
 from .operators import clusters, detect, memories, mutations, relations, search, similarity
 from .schema import conform
 from .sources.headers import extract_metadata
+from .sources.workspace import written
 from .sources.scan import build_assets
 from .sources.store import Library
 from .streaming.ingest import diff_counts, keep_assignments, mark_clean, mark_stable, refresh_faces, snapshot_diff
@@ -164,7 +165,9 @@ class LibraryApi:
         partly = F.col("action") == "reanalyse"
         fresh = fresh.withColumns({"detections": F.when(partly, d).otherwise(F.col("detections")), "tags": F.when(partly, t).otherwise(F.col("tags")), "metadata": F.when(partly, m).otherwise(F.col("metadata"))})
         fresh = fresh.select(*known.columns)
-        carried = detect.carry_assignments(relations.detections_of(fresh), relations.detections_of(known.join(fresh.select("id"), "id", "left_semi")), personas)
+        # written once: what follows looks at these rows several times, and should not find what was done to get them
+        fresh = written(fresh, "analysed")
+        carried = written(detect.carry_assignments(relations.detections_of(fresh), relations.detections_of(known.join(fresh.select("id"), "id", "left_semi")), personas), "carried")
         carried = similarity.auto_assign(carried.withColumnRenamed("id", "detection_id"), personas, self.settings).withColumnRenamed("detection_id", "id")
         return keep_assignments(relations.with_detections(fresh, carried), known)
 

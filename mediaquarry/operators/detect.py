@@ -109,11 +109,11 @@ def _text(v: Column) -> Column:
 
 
 def by_evidence(a: Column, b: Column, vectors, hashes, boxes) -> Column:
-    """What the best evidence that both detections have says: vectors, else hashes, else boxes. Each argument
-    is a function of the cosine, the differing bits or the overlap."""
-    return F.when(_long(a["encoding"]) & _long(b["encoding"]), vectors(cosine(a["encoding"], b["encoding"]))).when(
-        _text(a["signature"]) & _text(b["signature"]), hashes(hamming(a["signature"], b["signature"]))
-    ).otherwise(boxes(iou(a["bbox"], b["bbox"])))
+    """What the best evidence that both detections have says: vectors, else hashes, else boxes. The arguments
+    are functions of the cosine, of the differing bits, and of both boxes."""
+    return F.when(_long(a["encoding"]) & _long(b["encoding"]), _let(cosine(a["encoding"], b["encoding"]), vectors)).when(
+        _text(a["signature"]) & _text(b["signature"]), _let(hamming(a["signature"], b["signature"]), hashes)
+    ).otherwise(boxes(a["bbox"], b["bbox"]))
 
 
 def one_subject(a: Column, b: Column, settings: Settings) -> Column:
@@ -124,7 +124,7 @@ def one_subject(a: Column, b: Column, settings: Settings) -> Column:
     pets = pet(a) & pet(b)
     species = (_species(a) == _species(b)) | (_tag(a) == "pet") | (_tag(b) == "pet")
     least = F.when(faces, max(settings.face_embedding_similarity_threshold, SAME_FACE)).otherwise(max(settings.pet_embedding_similarity_threshold, SAME_PET))
-    alike = by_evidence(a, b, lambda c: c >= least, lambda h: h <= SAME_BITS, lambda o: o >= SAME_BOX)
+    alike = by_evidence(a, b, lambda c: c >= least, lambda h: h <= SAME_BITS, lambda p, q: iou(p, q) >= SAME_BOX)
     things = (_tag(a) == _tag(b)) & (iou(a["bbox"], b["bbox"]) >= SAME_OBJECT_BOX)
     return F.coalesce(F.when(faces | pets & species, alike).when(pets, F.lit(False)).otherwise(things), F.lit(False))
 
@@ -185,9 +185,9 @@ def continues(d: Column, p: Column) -> Column:
     in either case by overlap from 1.55 if that is more; null if in no way."""
     face, pets = d["kind"] == "face", is_pet(d["kind"], d["label"]) & is_pet(p["kind"], p["label"])
     nothing = F.lit(None).cast("double")
-    alike = by_evidence(d, p, lambda c: F.when(c >= F.when(face, NEXT_FACE).otherwise(NEXT_PET), 2.0 + c), lambda h: F.when(h <= NEXT_BITS, 1.5 - h / 20.0), lambda o: nothing)
-    overlap = iou(d["bbox"], p["bbox"])
-    return F.when(d["kind"] == p["kind"], F.greatest(F.when(face | pets, alike), F.when(overlap >= SAME_BOX, 1.0 + overlap)))
+    alike = by_evidence(d, p, lambda c: F.when(c >= F.when(face, NEXT_FACE).otherwise(NEXT_PET), 2.0 + c), lambda h: F.when(h <= NEXT_BITS, 1.5 - h / 20.0), lambda p, q: nothing)
+    overlap = _let(iou(d["bbox"], p["bbox"]), lambda o: F.when(o >= SAME_BOX, 1.0 + o))
+    return F.when(d["kind"] == p["kind"], F.greatest(F.when(face | pets, alike), overlap))
 
 
 def carry_assignments(current: DataFrame, previous: DataFrame, personas: DataFrame | None = None) -> DataFrame:
