@@ -62,6 +62,30 @@ def _with_earlier(rows: DataFrame, references: DataFrame, least: float) -> DataF
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_earlier(least), schema).distinct()
 
 
+def first_encodings(rows: DataFrame, least: float = DISTINCT_COSINE) -> DataFrame:
+    """rows (persona_id, seq, encoding), one a persona and seq: persona_id, seq, first. A vector is a first one if its cosine to
+    every vector before it, learnt or not, is below `least`. Odd vectors are near nothing, as in `learned_encodings`.
+
+    First ones are what the first round below keeps; later rounds also keep rows that are near rows left out only.
+    """
+    rows = written(rows.select(*KEY, F.col("encoding").cast("array<double>").alias("encoding")), "learnt")
+    found = _cells(rows, least)
+    if found is None:
+        return rows.select(*KEY, F.lit(True).alias("first"))
+    later = _with_earlier(*found, least).withColumn("_later", F.lit(True))
+    return rows.select(*KEY).join(later, KEY, "left").select(*KEY, F.col("_later").isNull().alias("first"))
+
+
+def _cells(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame] | None:
+    """Rows as candidates of the cells that may hold one near them, and rows as references in their cells; None if no row has
+    a vector that can be compared."""
+    cells = Pivots(rows.withColumnRenamed("encoding", "reference"), KEY, "seq", True)
+    if not cells.pivots:
+        return None
+    met = written(cells.candidates(rows, KEY, None, math.sqrt(2 - 2 * least), None), "candidates")
+    return met, cells.references.select(*KEY, "reference", "size", "cell")
+
+
 def learned_encodings(rows: DataFrame, least: float = DISTINCT_COSINE, few: int = FEW) -> DataFrame:
     """rows (persona_id, seq, encoding), one a persona and seq: persona_id, seq, kept. A vector is learnt if its cosine to all
     kept ones before it is below `least`. Rows without a vector, or with one of zeros or with null or non-finite
@@ -71,11 +95,10 @@ def learned_encodings(rows: DataFrame, least: float = DISTINCT_COSINE, few: int
     if rows.limit(few + 1).count() <= few:
         usable = F.forall("encoding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return distinct_references(rows.select(*KEY, F.when(usable, F.col("encoding")).alias("encoding"), F.lit("").alias("signature")), least)
-    cells = Pivots(rows.withColumnRenamed("encoding", "reference"), KEY, "seq", True)
-    if not cells.pivots:
+    found = _cells(rows, least)
+    if found is None:
         return rows.select(*KEY, F.lit(True).alias("kept"))
-    refs = cells.references.select(*KEY, "reference", "size", "cell")
-    met = written(cells.candidates(rows, KEY, None, math.sqrt(2 - 2 * least), None), "candidates")
+    met, refs = found
     still, dropped = None, None
     while True:
         open_ = (lambda df: df) if still is None else (lambda df, own=still: df.join(own, KEY, "left_semi"))

@@ -42,3 +42,25 @@ def test_rounds_equal_the_fold(spark, monkeypatch, pieces):
 
 def test_no_rows(spark):
     assert distinct.learned_encodings(spark.createDataFrame([], "persona_id string, seq long, encoding array<double>"), few=-1).count() == 0
+
+
+def test_first_ones_have_no_near_row_before_them(spark, tmp_path):
+    """Third of a chain: near the second, which is itself left out. The fold keeps it, the query's SQL does not."""
+    from pathlib import Path
+
+    import duckdb
+
+    from mediaquarry.plans import registry
+
+    turn = math.acos(0.985) * 0.8
+    rows = [(k, 0, turned(k * turn)) for k in range(9)] + [(20 + k, 1, turned(k * 0.5)) for k in range(5)] + [(30 + k, 1, turned(2.0)) for k in range(4)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["learned_references"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{Path(tmp_path)}/embeddings.parquet/*.parquet')")
+    want = {tuple(r) for r in db.sql(registry.oracle_sql()["learned_references"]).fetchall()}
+    assert {(r["persona_id"], r["n"], r["ids"]) for r in got.collect()} == want and ("label-0", 1, 0) in want
+    df = spark.createDataFrame([("p", k, v) for k, _, v in rows[:9]] + [("p", 50, None), ("p", 51, [0.0, 0.0])], "persona_id string, seq long, encoding array<double>")
+    assert {r["seq"] for r in distinct.first_encodings(df).filter("first").collect()} == {0, 50, 51}
+    assert {r["seq"] for r in distinct.learned_encodings(df, few=0).filter("kept").collect()} == {0, 2, 4, 6, 8, 50, 51}
+    assert distinct.first_encodings(df.filter("seq >= 50")).filter("first").count() == 2
