@@ -17,8 +17,8 @@ from ..sources.workspace import written
 from . import neighbours
 from .neighbours import Pivots, _matrix, _unit, nearest_hashes
 
-#: Rows of a piece: as many as let it hold one bit of nearness for every row and reference.
-TOGETHER = 4096
+#: Rows of a piece: as many as let it hold one bit of nearness for every row and reference; of those it looks at STEP at once.
+TOGETHER, STEP = 8192, 256
 LINKS = "a long, b long"
 
 
@@ -32,16 +32,18 @@ def _united(least: float):
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if left.num_rows and right.num_rows:
             (_, v), (_, r) = _matrix(left.column("encoding").combine_chunks()).popitem()[1], _matrix(right.column("reference").combine_chunks()).popitem()[1]
-            near = _unit(v, True) @ _unit(r, True).T >= least - 1e-9
+            v, r = _unit(v, True), _unit(r, True)
+            bits = np.concatenate([np.packbits(v[s : s + STEP] @ r.T >= least - 1e-9, axis=1) for s in range(0, len(v), STEP)])
+            near = lambda s: np.unpackbits(bits[s : s + STEP], axis=1, count=len(r)).astype(bool)
             rows, refs = left.column("node").to_numpy(), right.column("ref").to_numpy()
             far = len(refs)
             label, own = np.arange(far), np.full(len(rows), far)
             while True:
-                for s in range(0, len(rows), 512):
-                    own[s : s + 512] = np.where(near[s : s + 512], label[None, :], far).min(axis=1)
                 moved = label.copy()
-                for s in range(0, len(rows), 512):
-                    moved = np.minimum(moved, np.where(near[s : s + 512], own[s : s + 512, None], far).min(axis=0))
+                for s in range(0, len(rows), STEP):
+                    some = near(s)
+                    own[s : s + STEP] = np.where(some, label[None, :], far).min(axis=1)
+                    moved = np.minimum(moved, np.where(some, own[s : s + STEP, None], far).min(axis=0))
                 if (moved == label).all():
                     break
                 label = moved
@@ -59,12 +61,12 @@ def vector_links(rows: DataFrame, references: DataFrame, least: float) -> DataFr
     cells = Pivots(references, ["ref"], "ref", True)
     if not cells.pivots:
         return rows.sparkSession.createDataFrame([], LINKS)
-    met = written(cells.candidates(rows, ["node"], None, math.sqrt(max(0.0, 2 - 2 * least)), None), "candidates")
+    met, refs = written(cells.candidates(rows, ["node"], None, math.sqrt(max(0.0, 2 - 2 * least)), None, packed=True), "candidates"), cells.packed()
     place = ["size", "cell"]
     many = lambda df, most, name: df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    pieces = many(met, TOGETHER, "salts").join(many(cells.references, neighbours.REFERENCES_TOGETHER, "blocks"), place)
+    pieces = many(met, TOGETHER, "salts").join(many(refs, neighbours.REFERENCES_TOGETHER, "blocks"), place)
     left = met.join(pieces, place).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = cells.references.drop("far").join(pieces, place).withColumn("block", F.pmod(F.xxhash64("ref"), "blocks").cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = refs.join(pieces, place).withColumn("block", F.pmod(F.xxhash64("ref"), "blocks").cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     group = [*place, "salt", "block"]
     left, right = left.select(*group, "node", "encoding"), right.select(*group, "ref", "reference")
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_united(least), LINKS)

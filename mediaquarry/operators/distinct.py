@@ -77,13 +77,13 @@ def first_encodings(rows: DataFrame, least: float = DISTINCT_COSINE) -> DataFram
 
 
 def _cells(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame] | None:
-    """Rows as candidates of the cells that may hold one near them, and rows as references in their cells; None if no row has
+    """Rows as candidates of the packs of cells that may hold one near them, and rows as references in their packs; None if no row has
     a vector that can be compared."""
     cells = Pivots(rows.withColumnRenamed("encoding", "reference"), KEY, "seq", True)
     if not cells.pivots:
         return None
-    met = written(cells.candidates(rows, KEY, None, math.sqrt(2 - 2 * least), None), "candidates")
-    return met, cells.references.select(*KEY, "reference", "size", "cell")
+    met = written(cells.candidates(rows, KEY, None, math.sqrt(2 - 2 * least), None, packed=True), "candidates")
+    return met, cells.packed().select(*KEY, "reference", "size", "cell")
 
 
 def learned_encodings(rows: DataFrame, least: float = DISTINCT_COSINE, few: int = FEW) -> DataFrame:

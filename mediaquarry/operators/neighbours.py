@@ -4,6 +4,8 @@ Vectors: some references are pivots, every reference belongs to the cell of its
 cell the least and greatest distance to each pivot is known (a table of pivots by pivots). The distances of a row to the
 pivots then bound its distance to all of a cell from below (triangle inequality) and, pivots being references, its nearest
 distance from above: it meets only the cells that these bounds leave. Cosines are compared as chords of unit vectors.
+Near cells are packed up to a number of references, and a row is sent to a pack once, however many of its cells the bounds
+leave: where they leave most, a row has as many copies as there are packs, not cells.
 
 Hashes: the bits in chunks; two hashes within distance r agree in some chunk up to r / chunks bits, so rows
 meet references by equal chunk values once the references stand under all values that near. The nearest one is found
@@ -19,12 +21,13 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..sources.workspace import written
 
-#: Pivots of a set of references of one length; rows and references of a cell that meet in one task.
-PIVOTS, ROWS_TOGETHER, REFERENCES_TOGETHER = 64, 16_384, 4_096
+#: Pivots of a set of references of one length; rows and references of a pack that meet in one task, and their scores
+#: that are held at once.
+PIVOTS, ROWS_TOGETHER, REFERENCES_TOGETHER, SCORES = 64, 16_384, 16_384, 1 << 22
 #: Pivots are picked among so many times their number of references: below 1,000, so that tasks apply this limit
 #: of a length before they shuffle.
 SAMPLED = 15
@@ -74,6 +77,21 @@ def _far_apart(m, most: int) -> list[int]:
     return at
 
 
+def _packs(pivots, counts: list[int], most: int):
+    """The pack of each cell: the nearest that are left join the first one that is, while a pack has at most so many references."""
+    import numpy as np
+
+    out, left, pack = np.full(len(pivots), -1), set(range(len(pivots))), 0
+    while left:
+        first, held = min(left), 0
+        for k in [first, *np.argsort(_far(pivots[first][None], pivots)[0], kind="stable").tolist()]:
+            if k in left and (k == first or held + counts[k] <= most):
+                out[k], held = pack, held + counts[k]
+                left.remove(k)
+        pack += 1
+    return out
+
+
 class Pivots:
     """The cells of a set of references: pivots by vector length, and the references with their cells."""
 
@@ -95,34 +113,71 @@ class Pivots:
             at = _far_apart(m, pivots)
             self.pivots[n], self.names[n] = m[at], [own[k][keep] for k in at]
         self.references = written(self._celled(refs), "cells")
-        # for each cell the least and greatest distance to each pivot: at most pivots^2 pairs of numbers
-        some = self.references.select("size", "cell", F.posexplode("far").alias("pivot", "d")).groupBy("size", "cell", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        # for each cell the least and greatest distance to each pivot: at most pivots^2 pairs of numbers, from a task too
+        some = self.references.select("reference", "cell").mapInArrow(self._spans(), "size int, cell int, pivot int, lo double, hi double, n long")
+        some = some.groupBy("size", "cell", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).collect()
         self.low = {n: np.full((len(p), len(p)), np.inf) for n, p in self.pivots.items()}
         self.high = {n: np.full((len(p), len(p)), -np.inf) for n, p in self.pivots.items()}
         self.count: dict[tuple[int, int], int] = {}
         for r in some:
             self.low[r["size"]][r["cell"], r["pivot"]], self.high[r["size"]][r["cell"], r["pivot"]] = r["lo"], r["hi"]
             self.count[r["size"], r["cell"]] = r["n"]
+        self.packs = {n: _packs(p, [self.count.get((n, k), 0) for k in range(len(p))], REFERENCES_TOGETHER) for n, p in self.pivots.items()}
+        self.held: dict[tuple[int, int], int] = {}  # references of a pack
+        for (n, cell), k in self.count.items():
+            self.held[n, int(self.packs[n][cell])] = self.held.get((n, int(self.packs[n][cell])), 0) + k
+
+    def packed(self) -> DataFrame:
+        """The references, `cell` being the pack."""
+        at = [(n, cell, int(pack)) for n, packs in self.packs.items() for cell, pack in enumerate(packs)]
+        at = self.references.sparkSession.createDataFrame(at, "size int, cell int, pack int")
+        return self.references.join(F.broadcast(at), ["size", "cell"]).drop("cell").withColumnRenamed("pack", "cell")
+
+    def _spans(self):
+        pivots, cosine = self.pivots, self.cosine
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            low = {n: np.full((len(p), len(p)), np.inf) for n, p in pivots.items()}
+            high, count = {n: -m for n, m in low.items()}, {n: np.zeros(len(m), np.int64) for n, m in low.items()}
+            for b in batches:
+                cells = b.column("cell").to_numpy()
+                for n, (own, v) in _matrix(b.column("reference")).items():
+                    d = _far(_unit(v, cosine), pivots[n])
+                    np.minimum.at(low[n], cells[own], d)
+                    np.maximum.at(high[n], cells[own], d)
+                    np.add.at(count[n], cells[own], 1)
+            for n in pivots:
+                own = np.flatnonzero(count[n])
+                wide = len(count[n])
+                columns = [np.full(len(own) * wide, n, np.int32), np.repeat(own, wide).astype(np.int32), np.tile(np.arange(wide, dtype=np.int32), len(own)), low[n][own].ravel(), high[n][own].ravel(), np.repeat(count[n][own], wide)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["size", "cell", "pivot", "lo", "hi", "n"])
+
+        return run
 
     def _celled(self, refs: DataFrame) -> DataFrame:
         pivots, cosine = self.pivots, self.cosine
 
         def run(batches):
-            import numpy as np
             import pyarrow as pa
 
             for b in batches:
                 for n, (own, v) in _matrix(b.column("reference")).items():
                     d = _far(_unit(v, cosine), pivots[n])
                     part = b.take(pa.array(own))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d.argmin(1), pa.int32()), pa.array(list(np.ascontiguousarray(d)), pa.list_(pa.float64()))], names=[*part.schema.names, "cell", "far"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d.argmin(1), pa.int32())], names=[*part.schema.names, "cell"])
 
-        return refs.mapInArrow(run, StructType([*refs.schema.fields, StructField("cell", IntegerType()), StructField("far", ArrayType(DoubleType()))]))
+        return refs.mapInArrow(run, StructType([*refs.schema.fields, StructField("cell", IntegerType())]))
 
-    def candidates(self, rows: DataFrame, key: list[str], most: int | None, limit: float | None, self_key: str | None) -> DataFrame:
+    def candidates(self, rows: DataFrame, key: list[str], most: int | None, limit: float | None, self_key: str | None, packed: bool = False) -> DataFrame:
         """(key..., encoding, size, cell): each row once for every cell that may hold one of its `most` nearest within
-        the limit, or anything within it."""
+        the limit, or anything within it; `packed`, once for every pack with such a cell, and `cell` is the pack."""
+        import numpy as np
+
         pivots, names, low, high, cosine = self.pivots, self.names, self.low, self.high, self.cosine
+        into = {n: np.eye(int(p.max()) + 1, dtype=np.float32)[p] for n, p in self.packs.items()} if packed else {}
         rows = rows.select(*key, F.col("encoding").cast("array<double>").alias("encoding")).filter(_usable(F.col("encoding"), cosine) & F.size("encoding").isin(list(pivots)))
 
         def run(batches):
@@ -144,7 +199,8 @@ class Pivots:
                     for s in range(0, len(own), 256):
                         x = d[s : s + 256, None, :]
                         least = np.maximum(x - high[n][None], low[n][None] - x).max(axis=2)  # an empty cell is infinitely far
-                        i, cell = np.nonzero(least <= bound[s : s + 256, None] + SLACK)
+                        near = least <= bound[s : s + 256, None] + SLACK
+                        i, cell = np.nonzero(near.astype(np.float32) @ into[n] if into else near)
                         part = b.take(pa.array(own[s + i]))
                         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(i), n), pa.int32()), pa.array(cell, pa.int32())], names=[*part.schema.names, "size", "cell"])
 
@@ -154,19 +210,19 @@ class Pivots:
         """(key..., score, keep, rank): the `most` best references of each row, by cosine or negative distance; without
         `most` the best score for each value of `keep` within the limit (no rank).
 
-        A cell's references and the rows that look into it meet in bounded pieces: the references in blocks, the
-        rows dealt out by a salt, so that no cell is one task's work.
+        A pack's references and the rows that look into it meet in bounded pieces: the references in blocks, the
+        rows dealt out by a salt, so that no pack is one task's work.
         """
         from pyspark.sql import Window
 
-        met = written(self.candidates(rows, key, most, limit, self_key), "candidates")
-        sizes = met.groupBy("size", "cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
+        met = written(self.candidates(rows, key, most, limit, self_key, packed=True), "candidates")
+        sizes = met.groupBy("size", "cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a pack
         salts = {(r["size"], r["cell"]): -(-r["n"] // ROWS_TOGETHER) for r in sizes}
-        plan = [(n, cell, s, -(-self.count[n, cell] // REFERENCES_TOGETHER)) for (n, cell), s in salts.items()]
+        plan = [(n, cell, s, -(-self.held[n, cell] // REFERENCES_TOGETHER)) for (n, cell), s in salts.items()]
         pieces = rows.sparkSession.createDataFrame(plan, "size int, cell int, salts int, blocks int")
         left = met.join(F.broadcast(pieces), ["size", "cell"]).withColumn("salt", F.pmod(F.xxhash64(*key), "salts").cast("int"))
         left = left.select(*key, "encoding", "size", "cell", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        right = self.references.drop("far").join(F.broadcast(pieces), ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64(*self.tie), "blocks").cast("int"))
+        right = self.packed().join(F.broadcast(pieces), ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64(*self.tie), "blocks").cast("int"))
         right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "blocks")
         group, tie, keep = ["size", "cell", "block", "salt"], self.tie, self.keep
         schema = StructType([*[rows.schema[k] for k in key], StructField("score", DoubleType()), StructField(keep, self.kind), *[StructField(f"_t{k}", right.schema[t].dataType) for k, t in enumerate(tie)]])
@@ -189,10 +245,11 @@ def _compared(key: list[str], tie: list[str], keep: str, cosine: bool, limit: fl
             (_, v), (_, r) = _matrix(v).popitem()[1], _matrix(r).popitem()[1]
             v, r = _unit(v, cosine), _unit(r, cosine)
             ids, names = (left.column(self_key).to_pylist(), {n: k for k, n in enumerate(right.column(keep).to_pylist())}) if self_key else (None, {})
-            for s in range(0, len(v), 1024):
-                scores = v[s : s + 1024] @ r.T if cosine else -_far(v[s : s + 1024], r)
+            step = min(1024, max(16, SCORES // len(r)))
+            for s in range(0, len(v), step):
+                scores = v[s : s + step] @ r.T if cosine else -_far(v[s : s + step], r)
                 if ids:
-                    for i, name in enumerate(ids[s : s + 1024]):
+                    for i, name in enumerate(ids[s : s + step]):
                         if name in names:
                             scores[i, names[name]] = -np.inf
                 if limit is not None:
@@ -237,6 +294,8 @@ def nearest_vectors(rows: DataFrame, key: list[str], references: DataFrame, tie:
 BITS = 64
 #: References up to which chunks have 8 bits: a bucket then holds at most some 256; beyond, 16 bits.
 FEW_HASHES = 65_536
+#: Rows of the flipped chunks of the references up to which the planner may broadcast them: it takes them for as few as the references.
+FEW_FLIPPED = 200_000
 #: Among so few the nearest hash is likely far, and the first round goes one bit further.
 FAR_APART = 4_096
 
@@ -279,6 +338,8 @@ def nearest_hashes(rows: DataFrame, key: list[str], references: DataFrame, tie:
     def joined(left: DataFrame, radii) -> DataFrame:
         flips = [x for t in radii for x in near_values(t, wide)]
         near = refs.select(*[F.col(c).alias(f"_r_{c}") for c in cols], F.col("h").alias("_rh"), dealt(F.col("h"))).withColumn("value", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]) if len(flips) < 64 else _table(flips), lambda x: F.col("value").bitwiseXOR(x))))
+        if n * chunks * len(flips) > FEW_FLIPPED:
+            near = near.hint("merge")
         met = left.select(*key, "h", dealt(F.col("h"))).join(near, ["chunk", "value"])
         d = hamming_bits("h", "_rh")
         met = met.select(*key, d.alias("_d"), *[f"_r_{c}" for c in cols])

@@ -149,3 +149,29 @@ def test_pet_matches_score_as_their_sql(spark, tmp_path):
     db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = {tuple(r) for r in db.sql(registry.oracle_sql()["pet_matches"]).fetchall()}
     assert got == want and ("21", "cosine", 1.0) in want
+
+
+def test_a_row_goes_to_a_pack_once(spark):
+    """Vectors without groups: the bounds leave most cells, and a row is still sent but once to each pack."""
+    rng = np.random.default_rng(10)
+    m = list(enumerate(rng.normal(size=(700, 24))))
+    cells = neighbours.Pivots(frame(spark, m[:500], "ref", "reference"), ["ref"], "ref", False)
+    rows = frame(spark, m[500:], "id", "encoding")
+    assert cells.candidates(rows, ["id"], 1, None, None).count() > 200 * 20
+    assert cells.candidates(rows, ["id"], 1, None, None, packed=True).count() == 200
+    assert {(r["size"], r["cell"], r["count"]) for r in cells.packed().groupBy("size", "cell").count().collect()} == {(24, 0, 500)} == {(*k, n) for k, n in cells.held.items()}
+
+
+def test_packs_hold_near_cells_up_to_a_number_of_references():
+    pivots = np.array([[0.0], [10.0], [0.1], [10.1], [0.2]])
+    assert neighbours._packs(pivots, [4, 4, 4, 4, 4], 8).tolist() == [0, 1, 0, 1, 2]
+    assert neighbours._packs(pivots, [20, 1, 1, 1, 1], 8).tolist() == [0, 1, 1, 1, 1]
+
+
+def test_flipped_hashes_of_many_references_are_not_broadcast(spark):
+    """Every reference stands under 72 values: the planner, which sees as many rows as there are references, would broadcast them all."""
+    own = spark.range(4000).select(F.col("id").alias("id"), vectors.hash_bits(F.substring(F.sha1(F.col("id").cast("string").cast("binary")), 1, 16)).alias("h"))
+    got = neighbours.nearest_hashes(own, ["id"], own.withColumnRenamed("id", "ref"), ["ref"], "ref", 10, each=True)
+    assert "BroadcastHashJoin" not in plan_of(got) and "SortMergeJoin" in plan_of(got)
+    few = neighbours.nearest_hashes(own, ["id"], own.filter("id < 50").withColumnRenamed("id", "ref"), ["ref"], "ref", 10, each=True)
+    assert few.filter("id = ref").count() == 50
