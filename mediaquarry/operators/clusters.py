@@ -36,6 +36,8 @@ def node():
 
 #: Rows up to which one task folds them all, which gives the same as component by component and takes one job.
 FEW = 5_000
+#: Rows, on average, of the components that are handed to a task together.
+BUNDLE = 500
 
 
 def cluster_id(kind: str, item_id: str, detection_id: str) -> str:
@@ -215,12 +217,20 @@ def cluster_unknown(detections: DataFrame, kind: str, settings: Settings | None
         return rows.groupBy(*(by or [F.lit(kind)])).applyInPandas(_fold(kind, s, merge, by), schema)
     links = vector_links(rows.select("node", "encoding"), rows.select(F.col("node").alias("ref"), F.col("encoding").alias("reference")), s.merge_cosine(kind))
     links = links.unionByName(hash_links(rows.select("node", "signature"), rows.select("node", "signature"), s.merge_hamming(kind)))
-    return _grouped(rows, links).groupBy(*by, "component").applyInPandas(_fold(kind, s, merge, by), schema)
+    return _folded(rows, links, by, _fold(kind, s, merge, by), schema)
 
 
-def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (node, ...) with their component; one without links is its own."""
-    return rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _folded(rows: DataFrame, links: DataFrame, by: list[str], fold, schema: str) -> DataFrame:
+    """The fold of each component of rows (node, ...); a row without links is its own. Most components are of a row or
+    two, so many are handed to a task at once. Written, since what follows reads the members more than once."""
+    bundles = -(-rows.count() // BUNDLE)
+    rows = rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.withColumn("bundle", F.pmod(F.xxhash64("component"), F.lit(max(1, bundles))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fold(own) for _, own in pdf.groupby("component", sort=False)], ignore_index=True)
+
+    return written(rows.groupBy(*by, "bundle").applyInPandas(run, schema), "members")
 
 
 def finalize(members: DataFrame, by: list[str] | None = None, revision: str = "") -> DataFrame:
@@ -293,7 +303,7 @@ def cluster_incremental(state: DataFrame, detections: DataFrame, dirty: DataFram
     links = star(rows.filter("cluster_id is not null"), "cluster_id")
     links = links.unionByName(vector_links(moved.select("node", "encoding"), rows.select(F.col("node").alias("ref"), F.col("encoding").alias("reference")), s.join_cosine(kind)))
     links = links.unionByName(hash_links(moved.select("node", "signature"), rows.select("node", "signature"), s.join_hamming(kind)))
-    return _grouped(rows, links).groupBy("component").applyInPandas(run, schema)
+    return _folded(rows, links, [], run, schema)
 
 
 def refresh(clusters: DataFrame, state: DataFrame, detections: DataFrame, kind: str, settings: Settings | None = None) -> tuple[str, DataFrame]:
