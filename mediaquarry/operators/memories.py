@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import CAT_LABELS, STOP_TAGS, Settings
 from ..functions.dates import captured_ts, label
 from ..functions.text import stable_id, title_case
+from ..sources.workspace import written
 
 IDS, PAIRS, THEMES, SPANS, MOST = 48, 6, 8, 8, 24
 COLUMNS = ["id", "title", "subtitle", "summary", "created_at", "memory_type", "item_ids", "persona_ids", "start_date", "end_date", "weight", "builder", "seq"]
@@ -153,6 +154,8 @@ def favorite_memories(items: DataFrame, now: str = "", settings: Settings | None
 def regenerate(items: DataFrame, item_personas: DataFrame, personas: DataFrame, now: str = "", settings: Settings | None = None) -> DataFrame:
     """All builders together: by weight, builders in their order at ties; the first 24, then one of each id."""
     s = settings or Settings()
+    # seven builders read them, most of them twice
+    items, item_personas = written(items.select("id", "captured_at", "modified_ts", "favorite", "tags"), "items"), written(item_personas.select("item_id", "persona_id").distinct(), "links")
     parts = [month_memories(items, now, s), day_memories(items, now, s), span_memories(items, now, s), persona_memories(items, item_personas, personas, now, s), pair_memories(items, item_personas, personas, now, s), theme_memories(items, now, s), favorite_memories(items, now, s)]
     # each builder's first 24 are numbered in its own order; only they can be among the first 24 of all
     first = [p.orderBy(F.col("weight").desc(), "seq", "id").limit(MOST) for p in parts]
