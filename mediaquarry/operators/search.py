@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.dates import captured_ts, year_of
 from ..functions.text import fuzzy_score, like_token
+from ..sources.workspace import small_batches
 from .textindex import with_tokens
 
 KEYS = ("type", "tag", "person", "pet", "year")
@@ -159,9 +160,10 @@ def search(
 def fuzzy_ranked(texts: DataFrame, query: str, blob: str, ties: list[Column], least: int | None = None, limit: int | None = None) -> DataFrame:
     """texts with their fuzzy `score`, the best first, those below `least` left out; a limit makes it a top-k.
 
-    Scoring costs far more than moving a text, so a table that is read in fewer parts than there are cores is dealt
+    Texts reach the scoring in batches of a few MB, whatever their number and length. Scoring costs far more than moving a text, so a table that is read in fewer parts than there are cores is dealt
     out first; one of many parts stays where it is.
     """
+    small_batches(texts.sparkSession)
     sc = texts.sparkSession.sparkContext
     if texts.rdd.getNumPartitions() < sc.defaultParallelism:
         texts = texts.repartition(4 * sc.defaultParallelism)

@@ -26,6 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Bounds the Arrow batches that Python workers hold, in bytes, for the rest of the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    size = int(now[:-1]) * {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[now[-1].lower()] if now[-1].isalpha() else int(now)
+    if size <= 0 or size > mb << 20:
+        spark.conf.set(key, f"{mb}m")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet and read again with its schema. The files go when the session ends, since a
     result may still be read from them."""
