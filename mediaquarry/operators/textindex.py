@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like_token
+from ..sources.workspace import written
 
 GRAM = 3
 #: Items of the rarest run up to which they are broadcast to the postings of the other runs.
@@ -26,9 +27,10 @@ def gram_of(s: str) -> int:
     return a << 42 | b << 21 | c
 
 
-def postings(item_search: DataFrame) -> DataFrame:
+def postings(item_search: DataFrame, only: list[int] | None = None) -> DataFrame:
     """(item_id, gram, places) of texts (item_id, search_blob); texts of fewer than three characters, null and empty
-    ones have none. A text is taken apart where it lies, nothing is shuffled."""
+    ones have none. A text is taken apart where it lies, nothing is shuffled. `only` names the runs that are asked for, for
+    an index that answers one query and is not kept: what others would be filtered out is not sorted and sent."""
     import numpy as np
 
     def run(batches):
@@ -41,7 +43,13 @@ def postings(item_search: DataFrame) -> DataFrame:
                 if len(c) < GRAM:
                     continue
                 g = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
-                order = np.argsort(g, kind="stable")
+                if only is None:
+                    order = np.argsort(g, kind="stable")
+                else:
+                    order = np.flatnonzero(np.isin(g, only))
+                    order = order[np.argsort(g[order], kind="stable")]
+                    if not len(order):
+                        continue
                 g = g[order]
                 head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
                 places = pa.ListArray.from_arrays(pa.array(np.append(head, len(g)), pa.int32()), pa.array(order, pa.int32()))
@@ -60,6 +68,16 @@ def runs_of(token: str) -> list[list[tuple[int, int]]]:
     return parts
 
 
+def wanted_runs(tokens: list[str]) -> list[int]:
+    """The runs whose postings tell of these tokens."""
+    return sorted({g for t in tokens for part in runs_of(t) for g, _ in part})
+
+
+def postings_for(item_search: DataFrame, tokens: list[str]) -> DataFrame:
+    """The postings of the tokens' own runs, written: they are read more than once, and made by one pass over the texts."""
+    return written(postings(item_search, wanted_runs(tokens)), "postings")
+
+
 def _moved(places: Column, by: int) -> Column:
     return F.transform(places, lambda x: x - by)
 
@@ -71,7 +89,7 @@ def with_tokens(grams: DataFrame, item_search: DataFrame, tokens: list[str]) ->
     items only. Tokens without a literal part of three characters are checked with LIKE; if all are so, all texts are.
     """
     parts = {t: runs_of(t) for t in dict.fromkeys(tokens)}
-    wanted = sorted({g for own in parts.values() for p in own for g, _ in p})
+    wanted = wanted_runs(list(parts))
     unsure = [t for t in parts if not parts[t] or "%" in t or "_" in t]
     hits = None
     if wanted:

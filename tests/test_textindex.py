@@ -76,3 +76,36 @@ def test_vacuum_deletes_what_no_manifest_names(spark, tmp_path, monkeypatch):
     assert lib.vacuum(older_than=-5) > 0 and 3 <= folders() < before
     assert reader.count() == 30 and {r.title for r in lib.table("items").filter("id = 'i5'").collect()} == {"new 2"}
     assert lib.vacuum(older_than=-5) == 0 and all(lib.table(t).count() >= 0 for t in lib.manifest()["tables"])
+
+
+def test_postings_of_a_query_are_those_of_its_runs(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", "the orantion, the end"), ("b", "or"), ("c", None), ("d", "nothing of it"), ("e", "oration")], "item_id string, search_blob string")
+    tokens = ["ora_tion", "the", "a"]
+    show = lambda d: sorted((r["item_id"], r["gram"], r["places"]) for r in d.collect())
+    own = textindex.wanted_runs(tokens)
+    want = show(textindex.postings(df).filter(F.col("gram").isin(own)))
+    assert show(textindex.postings(df, own)) == show(textindex.postings_for(df, tokens)) == want and len(want) > 3
+    assert [r["item_id"] for r in textindex.with_tokens(textindex.postings_for(df, ["%oran%", "the"]), df, ["%oran%", "the"]).collect()] == ["a"]
+
+
+def test_fuzzy_texts_come_in_batches_of_bounded_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from mediaquarry.operators import search
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    search.fuzzy_ranked(spark.createDataFrame([("a", "x")], "id string, blob string"), "y", "blob", [F.col("id")])
+    assert spark.conf.get(key) == "8m"
+    spark.conf.unset(key) if had is None else spark.conf.set(key, had)
+
+
+def test_collections_read_their_tables_once(spark):
+    from mediaquarry.plans import registry
+
+    got = registry.queries()["memory_top24"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "orders" not in plan
