@@ -28,7 +28,7 @@ def _(spark, d):
     items = lib.whole_items(spark, d)
     own.save_state(items, *[empty(spark, t) for t in ("personas", "albums", "memories")], "t0")
     tenth = lambda k: table(spark, d, "orders").filter(F.col("o_custkey") % 10 == k).select(F.col("o_orderkey").cast("string").alias("id"))
-    own.save_items(items.join(tenth(0), "id", "left_semi").withColumn("favorite", ~F.col("favorite")), tenth(1), "t1")
+    own.save_items(own.table("items").join(tenth(0), "id", "left_semi").withColumn("favorite", ~F.col("favorite")), tenth(1), "t1")
     t = own.load()
     n = t["detections"].groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("detections"))
     p = t["item_personas"].groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("personas"))
