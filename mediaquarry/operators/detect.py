@@ -243,10 +243,11 @@ def _has(x) -> bool:
     return x is not None and len(x) > 0
 
 
-def distinct_references(rows: DataFrame, least: float = DISTINCT_COSINE) -> DataFrame:
+def distinct_references(rows: DataFrame, least: float = DISTINCT_COSINE, since: int | None = None) -> DataFrame:
     """rows (persona_id, seq, encoding, signature): with `kept`, whether each adds to its persona's references.
 
-    A vector must differ from all kept vectors; without kept vectors a hash must differ from kept hashes.
+    A vector must differ from all kept vectors; without kept vectors a hash must differ from kept hashes. Rows whose seq is
+    below `since` are references already and kept as they are.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +256,7 @@ def distinct_references(rows: DataFrame, least: float = DISTINCT_COSINE) -> Data
         for r in pdf.to_dict("records"):
             sims = [cosine_of(r["encoding"], k["encoding"]) for k in kept if _has(r["encoding"]) and _has(k["encoding"])]
             gaps = [hamming_of(r["signature"], k["signature"]) for k in kept if r["signature"] and k["signature"]]
-            new = max(sims) < least if sims else min(gaps) > DISTINCT_HAMMING if gaps else True
+            new = True if since is not None and r["seq"] < since else max(sims) < least if sims else min(gaps) > DISTINCT_HAMMING if gaps else True
             flags.append(new)
             if new:
                 kept.append(r)

@@ -86,20 +86,25 @@ def _cells(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame] | None:
     return met, cells.packed().select(*KEY, "reference", "size", "cell")
 
 
-def learned_encodings(rows: DataFrame, least: float = DISTINCT_COSINE, few: int = FEW) -> DataFrame:
+def learned_encodings(rows: DataFrame, least: float = DISTINCT_COSINE, few: int = FEW, since: int | None = None) -> DataFrame:
     """rows (persona_id, seq, encoding), one a persona and seq: persona_id, seq, kept. A vector is learnt if its cosine to all
     kept ones before it is below `least`. Rows without a vector, or with one of zeros or with null or non-finite
-    components, are near nothing: they are kept. Vectors of unequal length are not near.
+    components, are near nothing: they are kept. Vectors of unequal length are not near. Rows whose seq is below `since`
+    are references already: they are all kept, near each other or not, and what is near one of them is not learnt.
     """
     rows = written(rows.select(*KEY, F.col("encoding").cast("array<double>").alias("encoding")), "learnt")
     if rows.limit(few + 1).count() <= few:
         usable = F.forall("encoding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return distinct_references(rows.select(*KEY, F.when(usable, F.col("encoding")).alias("encoding"), F.lit("").alias("signature")), least)
+        return distinct_references(rows.select(*KEY, F.when(usable, F.col("encoding")).alias("encoding"), F.lit("").alias("signature")), least, since)
     found = _cells(rows, least)
     if found is None:
         return rows.select(*KEY, F.lit(True).alias("kept"))
     met, refs = found
     still, dropped = None, None
+    if since is not None:
+        new = F.col("seq") >= since
+        dropped = written(_with_earlier(met.filter(new), refs.filter(~new), least), "gone")
+        still = written(rows.select(*KEY).filter(new).join(dropped, KEY, "left_anti"), "open")
     while True:
         open_ = (lambda df: df) if still is None else (lambda df, own=still: df.join(own, KEY, "left_semi"))
         waiting = written(_with_earlier(open_(met), open_(refs), least), "waiting")

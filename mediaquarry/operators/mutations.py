@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_pet, stable_id
 from .detect import distinct_references
-from .distinct import learned_encodings
+from .distinct import first_encodings, learned_encodings
 from .relations import EMPTY, can_own, detections_of, unassigned
 
 #: Colours of personas in order of creation; they repeat.
@@ -94,21 +94,23 @@ def clear_in_items(items: DataFrame, regions: DataFrame) -> DataFrame:
     return hit.withColumn("detections", F.transform("detections", bare)).select(*items.columns)
 
 
-def learn(personas: DataFrame, persona_id: str, persona_kind: str, taught: DataFrame) -> DataFrame:
+def learn(personas: DataFrame, persona_id: str, persona_kind: str, taught: DataFrame, by: tuple[str, ...] = ("item_id", "id"), first: bool = False) -> DataFrame:
     """personas after one has been assigned detections (item_id, detection fields as in an item's list).
 
-    Of those it can own, in order of item and detection, a vector is learnt if its cosine to all references
-    is below 0.985, a hash if it is new. The first item becomes the avatar where there is none.
+    Of those it can own, in order of item and detection (`by`), a vector is learnt if its cosine to all references
+    is below 0.985, a hash if it is new. The first item becomes the avatar where there is none. With `first` a vector
+    must also be that far from those before it that were not learnt.
     """
     own = taught.filter(can_own(F.lit(persona_kind), F.col("kind"), F.col("label")))
-    order = Window.partitionBy("persona_id").orderBy("item_id", "id")
+    order = Window.partitionBy("persona_id").orderBy(*by)
     new = own.filter(F.coalesce(F.size("encoding"), F.lit(0)) > 0).select(F.lit(persona_id).alias("persona_id"), "item_id", "id", "encoding")
-    new = new.withColumn("seq", F.row_number().over(order).cast("long") + (1 << 40))
+    since = 1 << 40  # below are the places of what is known
+    new = new.withColumn("seq", F.row_number().over(order).cast("long") + since)
     me = F.col("id") == persona_id
     known = personas.filter(me).select(F.col("id").alias("persona_id"), F.posexplode("reference_encodings").alias("pos", "encoding"))
     rows = known.select("persona_id", F.col("pos").cast("long").alias("seq"), "encoding").unionByName(new.select("persona_id", "seq", "encoding"))
-    fits = learned_encodings(rows).filter(F.col("kept") | (F.col("seq") < 1 << 40)).select("persona_id", "seq")
-    vectors = rows.join(fits, ["persona_id", "seq"]).groupBy("persona_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "encoding"))), lambda x: x["encoding"]).alias("_v"))
+    fits = first_encodings(rows).filter(F.col("first") | (F.col("seq") < since)) if first else learned_encodings(rows, since=since).filter("kept")
+    vectors = rows.join(fits.select("persona_id", "seq"), ["persona_id", "seq"]).groupBy("persona_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "encoding"))), lambda x: x["encoding"]).alias("_v"))
     hashes = own.filter(F.coalesce("signature", F.lit("")) != "").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "id", "signature"))), lambda x: x["signature"])).alias("_h"))
     avatar = taught.agg(F.min("item_id").alias("_a"))
     extra = hashes.crossJoin(avatar).join(vectors, F.lit(True), "left").withColumn("_p", F.lit(persona_id))  # one row
