@@ -18,7 +18,8 @@ def persona_ids(manual="manual_persona_ids", detections="detections") -> Column:
 
 
 def item_personas(items: DataFrame) -> DataFrame:
-    return items.select(F.col("id").alias("item_id"), F.explode(persona_ids()).alias("persona_id"))
+    own = items.select("id", persona_ids().alias("own"))  # on its own, so that files are read for these fields only
+    return own.select(F.col("id").alias("item_id"), F.explode("own").alias("persona_id"))
 
 
 def item_tags(items: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def item_tags(items: DataFrame) -> DataFrame:
 
 def item_search(items: DataFrame, personas: DataFrame) -> DataFrame:
     """One blob of searchable text an item; persona names in the order of their ids."""
-    names = items.select(F.col("id").alias("item_id"), F.posexplode(persona_ids()).alias("pos", "persona_id")).join(personas.select(F.col("id").alias("persona_id"), "name"), "persona_id")
+    own = items.select("id", persona_ids().alias("own"))
+    names = own.select(F.col("id").alias("item_id"), F.posexplode("own").alias("pos", "persona_id")).join(personas.select(F.col("id").alias("persona_id"), "name"), "persona_id")
     names = names.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
     out = items.join(names, items.id == names.item_id, "left")
     blob = search_blob("title", "relative_key", "media_kind", "tags", F.coalesce("names", F.expr(EMPTY)), F.coalesce(F.col("detections")["label"], F.expr(EMPTY)), "metadata", "notes")

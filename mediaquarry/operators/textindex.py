@@ -17,6 +17,8 @@ from ..functions.text import like_token
 from ..sources.workspace import written
 
 GRAM = 3
+#: Characters that are taken apart together; a longer text is on its own.
+TOGETHER = 1 << 19
 #: Items of the rarest run up to which they are broadcast to the postings of the other runs.
 FEW_ITEMS = 200_000
 
@@ -33,27 +35,44 @@ def postings(item_search: DataFrame, only: list[int] | None = None) -> DataFrame
     an index that answers one query and is not kept: what others would be filtered out is not sorted and sent."""
     import numpy as np
 
-    def run(batches):
+    together = TOGETHER
+
+    def taken_apart(ids, texts):
         import pyarrow as pa
 
+        size = np.array([len(t) for t in texts])
+        c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(texts)), size)  # the text of a character, and its place there
+        place = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
+        at = np.flatnonzero(place < size[own] - (GRAM - 1))
+        g = c[at] << 42 | c[at + 1] << 21 | c[at + 2]
+        if only is not None:
+            asked = np.isin(g, only)
+            at, g = at[asked], g[asked]
+        order = np.lexsort((g, own[at]))  # stable: places stay in order
+        at, g = at[order], g[order]
+        if not len(g):
+            return None
+        text = own[at]
+        head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (text[1:] != text[:-1])))
+        places = pa.ListArray.from_arrays(pa.array(np.append(head, len(g)), pa.int32()), pa.array(place[at], pa.int32()))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(text[head])), pa.array(g[head]), places], names=["item_id", "gram", "places"])
+
+    def run(batches):
         for b in batches:
+            start, n, texts = 0, 0, []
             for k in range(b.num_rows):
                 text = b.column(1)[k].as_py() or ""
-                c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-                if len(c) < GRAM:
-                    continue
-                g = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
-                if only is None:
-                    order = np.argsort(g, kind="stable")
-                else:
-                    order = np.flatnonzero(np.isin(g, only))
-                    order = order[np.argsort(g[order], kind="stable")]
-                    if not len(order):
-                        continue
-                g = g[order]
-                head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                places = pa.ListArray.from_arrays(pa.array(np.append(head, len(g)), pa.int32()), pa.array(order, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[k], len(head)), pa.array(g[head]), places], names=["item_id", "gram", "places"])
+                if texts and n + len(text) > together:
+                    out = taken_apart(b.column(0).slice(start, len(texts)), texts)
+                    start, n, texts = k, 0, []
+                    if out is not None:
+                        yield out
+                texts.append(text)
+                n += len(text)
+            out = taken_apart(b.column(0).slice(start, len(texts)), texts) if texts else None
+            if out is not None:
+                yield out
 
     return item_search.select("item_id", "search_blob").mapInArrow(run, "item_id string, gram long, places array<int>")
 

@@ -47,10 +47,12 @@ def whole_items(spark, d) -> DataFrame:
 
     li = table(spark, d, "lineitem")
     name = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linenumber")
-    face = F.struct(name.alias("id"), F.lit("face").alias("kind"), F.lit("").alias("label"), F.lit(1.0).alias("confidence"), F.lit(None).cast("array<int>").alias("bbox"), F.col("l_suppkey").cast("string").alias("persona_id"), F.lit(None).cast("array<double>").alias("encoding"), F.lit("").alias("signature"))
-    per = li.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_sort(F.collect_list(face)).alias("detections"))
+    face = lambda x: F.struct(x["id"].alias("id"), F.lit("face").alias("kind"), F.lit("").alias("label"), F.lit(1.0).alias("confidence"), F.lit(None).cast("array<int>").alias("bbox"), x["persona_id"].alias("persona_id"), F.lit(None).cast("array<double>").alias("encoding"), F.lit("").alias("signature"))
+    # only what differs is collected and sorted; the rest is the same for all
+    own = F.sort_array(F.collect_list(F.struct(name.alias("id"), F.col("l_suppkey").cast("string").alias("persona_id"))))
+    per = li.groupBy("l_orderkey").agg(own.alias("own")).select(F.col("l_orderkey").alias("_key"), F.transform("own", face).alias("detections"))
     hand = F.when(F.col("favorite"), F.array(F.lit("7"))).otherwise(F.array().cast("array<string>"))
-    return conform(items(spark, d).join(per, "id").withColumn("manual_persona_ids", hand), "items")
+    return conform(items(spark, d).join(per, F.col("id").cast("long") == F.col("_key")).withColumn("manual_persona_ids", hand), "items")
 
 
 def text_items(spark, d) -> DataFrame:

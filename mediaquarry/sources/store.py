@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mutations, relations, textindex
+from ..operators import relations, textindex
 from ..schema import TABLES, conform, empty, schema
 
 
@@ -114,7 +114,10 @@ class Library:
         paths = [entry] if isinstance(entry, str) else [at for k, at in (entry or {}).items() if parts is None or int(k) in parts]
         if not paths:
             return empty(self.spark, name)
-        return conform(self.spark.read.schema(schema(name)).parquet(*[f"{self.root}/{at}" for at in paths]), name)
+        return conform(self._plain(name, paths), name)
+
+    def _plain(self, name: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema(name)).parquet(*[f"{self.root}/{at}" for at in paths]) if paths else empty(self.spark, name)
 
     def load(self) -> dict[str, DataFrame]:
         """All tables of one state."""
@@ -125,15 +128,16 @@ class Library:
         return F.pmod(F.xxhash64(column), F.lit(manifest.setdefault("parts", self.parts))).cast("int")
 
     def _stage(self, name: str, df: DataFrame, manifest: dict, made: dict, parts: set[int] | None = None) -> DataFrame:
-        """A new snapshot of a table, or of the given parts of it, not published yet; what is derived from it reads it."""
+        """A new snapshot of a table, or of the given parts of it, not published yet; what is derived from it reads it, by its
+        plain columns: what has just been written needs no conforming, and files are read for the fields asked for."""
         at, df = f"{name}/{uuid.uuid4().hex}", conform(df, name)
         if name not in KEYED:
             made[name] = at
             df.write.parquet(f"{self.root}/{at}")
-            return self._read(name, at)
+            return self._plain(name, [at])
         df = df.withColumn("_part", self._part(KEYED[name], manifest))
         if name in SORTED:
-            df = df.repartition("_part").sortWithinPartitions("_part", SORTED[name])
+            df = df.sortWithinPartitions("_part", SORTED[name])  # each task its own rows: a part is not one task's work
         df.write.partitionBy("_part").parquet(f"{self.root}/{at}")
         path, fs = self._fs(f"{self.root}/{at}")
         names = [str(f.getPath().getName()) for f in fs.listStatus(path)]
@@ -143,7 +147,7 @@ class Library:
             made[name] = {k: v for k, v in old.items() if int(k) not in parts} | new
         else:
             made[name] = new
-        return self._read(name, new)
+        return self._plain(name, list(new.values()))
 
     def _commit(self, manifest: dict, made: dict, now: str) -> None:
         manifest["tables"].update(made)
@@ -169,13 +173,23 @@ class Library:
         self._follow(items, personas, m, made, now)
         self._commit(m, made, now)
 
-    def _follow(self, items: DataFrame, personas: DataFrame, m: dict, made: dict, now: str, parts: set[int] | None = None) -> None:
-        """What follows from new items, or from those of some parts: indexes, detections, memberships, clusters."""
+    def _follow(self, items: DataFrame, personas: DataFrame, m: dict, made: dict, now: str, parts: set[int] | None = None, changed: DataFrame | None = None, keys: DataFrame | None = None) -> None:
+        """What follows from new items, or from those of some parts: indexes, detections, memberships, clusters. Where only
+        some items are `changed` (`keys`: their ids and those that are gone), the detections of others stay as they are."""
         from ..streaming.ingest import detection_feed
 
-        for name, df in self.indexes(items, personas).items():
-            self._stage(name, df, m, made, parts)
-        feed = detection_feed(self.table("detections", m, parts), relations.detection_rows(items, now), now)
+        named = empty(self.spark, "personas") if personas.isEmpty() else personas  # without names, texts are made where items lie
+        for name, df in self.indexes(items, named).items():
+            staged = self._stage(name, df, m, made, parts)
+            if name == "item_search":
+                self._stage("item_grams", textindex.postings(staged), m, made, parts)
+        old = self.table("detections", m, parts)
+        if changed is None:
+            feed = detection_feed(old, relations.detection_rows(items, now), now)
+        else:
+            own = old.join(changed.select(F.col("id").alias("item_id")).hint("shuffle_hash"), "item_id", "left_semi")
+            others = old.join(keys.select(F.col("id").alias("item_id")).hint("shuffle_hash"), "item_id", "left_anti")
+            feed = others.unionByName(detection_feed(own, relations.detection_rows(changed, now), now))
         detections = self._stage("detections", feed, m, made, parts)
         free = detections.filter(relations.unassigned() & ~F.col("cluster_dirty")).select("item_id", "detection_id")
         self._stage("unknown_cluster_members", self.table("unknown_cluster_members", m, parts).join(free, ["item_id", "detection_id"], "left_semi"), m, made, parts)
@@ -186,13 +200,14 @@ class Library:
         """Progress of a sync, or an assignment: removed ids go, changed items are upserted, indexes and detections
         follow. Only the parts that hold such items are read and written anew."""
         m, made, staged = self.manifest(), {}, f"{self.root}/_changes/{uuid.uuid4().hex}"
-        conform(changed, "items").write.parquet(staged)
-        changed = self.spark.read.schema(schema("items")).parquet(staged)
-        keys = changed.select("id", F.lit(False).alias("gone")).unionByName(removed.select("id", F.lit(True).alias("gone")))
+        conform(changed, "items").write.parquet(f"{staged}/items")
+        changed = self.spark.read.schema(schema("items")).parquet(f"{staged}/items")
+        changed.select("id", F.lit(False).alias("gone")).unionByName(removed.select("id", F.lit(True).alias("gone"))).write.parquet(f"{staged}/keys")
+        keys = self.spark.read.schema("id string, gone boolean").parquet(f"{staged}/keys")
         touched = {r[0]: r[1] for r in keys.groupBy(self._part("id", m).alias("p")).agg(F.max("gone")).collect()}  # at most a row a part
         parts, gone = set(touched), any(touched.values())
         if parts:
-            items = mutations.upsert(mutations.remove(self.table("items", m, parts), removed), changed)
+            items = self.table("items", m, parts).join(keys.select("id").hint("shuffle_hash"), "id", "left_anti").unionByName(changed)
             items = self._stage("items", items, m, made, parts)
         people = personas if personas is not None else self.table("personas", m)
         if gone:
@@ -203,7 +218,7 @@ class Library:
         if gone or personas is not None:
             people = self._stage("personas", people, m, made)
         if parts:
-            self._follow(items, people, m, made, now, parts)
+            self._follow(items, people, m, made, now, parts, changed, keys)
         self._commit(m, made, now)
         at, fs = self._fs(staged)
         fs.delete(at, True)
@@ -214,15 +229,15 @@ class Library:
 
     @staticmethod
     def indexes(items: DataFrame, personas: DataFrame) -> dict[str, DataFrame]:
-        search = relations.item_search(items, personas)
-        return {"item_personas": relations.item_personas(items), "item_tags": relations.item_tags(items), "item_search": search, "item_grams": textindex.postings(search)}
+        """The indexes that are made from items; the postings follow from item_search as it is staged."""
+        return {"item_personas": relations.item_personas(items), "item_tags": relations.item_tags(items), "item_search": relations.item_search(items, personas)}
 
     def grams(self) -> DataFrame | None:
         """The index of search texts with its plain columns, so that filters reach its files; None before the first save."""
         entry = self.manifest()["tables"].get("item_grams")
         if not entry:
             return None
-        return self.spark.read.schema(schema("item_grams")).parquet(*[f"{self.root}/{at}" for at in entry.values()])
+        return self._plain("item_grams", list(entry.values()))
 
     def find(self, name: str, key: str, column: str = "id") -> DataFrame:
         """Point lookup."""

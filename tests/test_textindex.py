@@ -109,3 +109,45 @@ def test_collections_read_their_tables_once(spark):
     got = registry.queries()["memory_top24"](spark, "/root/testdata/sf0.001")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "orders" not in plan
+
+
+def test_a_part_of_the_index_is_written_by_several_tasks(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    lib = Library(spark, str(tmp_path / "lib"), parts=1)
+    items = spark.createDataFrame([(f"i{k}", f"some title {k * 7919}") for k in range(60)], "id string, title string").repartition(3)
+    lib.save_state(conform(items, "items"), *[empty(spark, t) for t in ("personas", "albums", "memories")], "t0")
+    files = [f for at in lib.manifest()["tables"]["item_grams"].values() for f in (tmp_path / "lib" / at).glob("*.parquet")]
+    own = [pq.read_table(f).column("gram").to_pylist() for f in files]
+    assert len(own) == 3 and all(g == sorted(g) for g in own) and sum(map(len, own)) == lib.grams().count()
+
+
+@pytest.mark.parametrize("together", [1, 7, 20, 1 << 19])
+def test_texts_are_taken_apart_together(spark, monkeypatch, together):
+    """Runs do not go from one text into the next, and every text has its own places, however many share a step."""
+    monkeypatch.setattr(textindex, "TOGETHER", together)
+    texts = ["aaaa", "", None, "ab", "abcabc", "bca", "ÿ😀ÿ😀ÿ", "x" * 30, "abc"]
+    df = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(texts)], "item_id string, search_blob string").coalesce(1)
+    want = {}
+    for k, t in enumerate(texts):
+        for p in range(len(t or "") - 2):
+            want.setdefault((f"i{k}", textindex.gram_of(t[p : p + 3])), []).append(p)
+    got = textindex.postings(df).collect()
+    assert {(r.item_id, r.gram): r.places for r in got} == want and len(got) == len(want)
+    some = textindex.wanted_runs(["abc", "xxx"])
+    assert {(r.item_id, r.gram): r.places for r in textindex.postings(df, some).collect()} == {k: v for k, v in want.items() if k[1] in some}
+
+
+def test_a_save_leaves_detections_of_other_items(spark, tmp_path):
+    """Rows of items that are neither changed nor gone are carried over as stored; those of changed ones follow the items."""
+    lib = Library(spark, str(tmp_path / "lib"), parts=1)
+    face = "named_struct('id', 'd', 'kind', 'face', 'label', '', 'confidence', 1.0D, 'bbox', cast(null as array<int>), 'persona_id', cast(null as string), 'encoding', cast(null as array<double>), 'signature', '')"
+    items = conform(spark.createDataFrame([(k,) for k in "abcd"], "id string").withColumn("detections", F.expr(f"array({face})")), "items")
+    lib.save_state(items, *[empty(spark, t) for t in ("personas", "albums", "memories")], "t0")
+    lib.save({"detections": lib.table("detections").withColumn("cluster_dirty", F.lit(False)).withColumn("source_frame_token", F.lit("7"))})
+    own = lib.table("items")
+    changed = own.filter("id in ('a', 'd')").withColumn("title", F.lit("new")).withColumn("detections", F.when(F.col("id") == "d", F.transform("detections", lambda x: x.withField("label", F.lit("cat")))).otherwise(F.col("detections")))
+    lib.save_items(changed, spark.createDataFrame([("c",), ("d",)], "id string"), "t1")
+    got = {r.item_id: (r.label, r.source_frame_token, r.cluster_dirty, r.updated_at) for r in lib.table("detections").collect()}
+    assert got["b"] == ("", "7", False, "t0") and got["d"] == ("cat", "", True, "t1") and set(got) == {"a", "b", "d"}
+    assert {r.id: r.title for r in lib.table("items").collect()} == {"a": "new", "b": "", "d": "new"}
